@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyscope.llm import mixing, packing, sentencepiece_codec, sharding, warc
+from tallyscope.llm import mixing, packing, quality_rules, sentencepiece_codec, sharding, warc
 from tallyscope.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,8 +37,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op8_warc": op8_warc,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_quality": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
