@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyscope.llm import mixing, packing, quality_rules, sentencepiece_codec, sharding, warc
+from tallyscope.llm import mixing, packing, quality_rules, sentencepiece_codec, sharding, toxicity, warc
 from tallyscope.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.build_records(table(spark, sf_dir, "pages"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op8_warc": op8_warc,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op5_quality": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
