@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyscope.llm import mixing, packing, quality_rules, sentencepiece_codec, sharding, toxicity, warc
+from tallyscope.llm import mixing, packing, quality_rules, sentencepiece_codec, sharding, toxicity, vafile, warc
 from tallyscope.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_topk": op2_topk,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
@@ -47,4 +52,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op5_quality": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_topk": vafile.ORACLE_SQL, "op5_quality": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
