@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyscope.llm import mixing, packing, quality_rules, sentencepiece_codec, sharding, toxicity, vafile, warc
+from tallyscope.llm import jaccard_join, mixing, packing, quality_rules, sentencepiece_codec, sharding, toxicity, vafile, warc
 from tallyscope.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,10 +50,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_topk": op2_topk,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_jaccard": op4_jaccard,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op2_topk": vafile.ORACLE_SQL, "op5_quality": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_topk": vafile.ORACLE_SQL, "op4_jaccard": jaccard_join.ORACLE_SQL, "op5_quality": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
