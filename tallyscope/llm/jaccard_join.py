@@ -184,6 +184,24 @@ def join_documents(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, with the columns of docs.
+
+    Rows that share a doc_id count as one document: one of them stays if any is its component's smallest.
+    Documents without shingles, and rows without a doc_id (nothing names them), all stay. Only doc_ids are joined;
+    texts are shuffled only if the ids to drop are too many for a broadcast join, or if doc_ids repeat.
+    """
+    found = written(join_documents(docs), "joined")
+    by_id = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    by_id = written(by_id.where("not stays or rows > 1"), "changed")
+    kept = docs.join(by_id.where("not stays").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    repeated = by_id.where("stays and rows > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+
+
 ORACLE_SQL = r"""
 with recursive d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 s as (select distinct rid, g from (

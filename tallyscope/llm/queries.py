@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyscope.llm import jaccard_join, mixing, packing, quality_rules, sentencepiece_codec, sharding, toxicity, vafile, warc
+from tallyscope.llm import html_crf, jaccard_join, mixing, packing, quality_rules, sentencepiece_codec, sharding, toxicity, vafile, warc
 from tallyscope.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.build_records(table(spark, sf_dir, "pages"))
 
@@ -46,6 +50,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_topk": op2_topk,
@@ -53,8 +63,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard": op4_jaccard,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
+    "op7_html": op7_html,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {"op2_topk": vafile.ORACLE_SQL, "op4_jaccard": jaccard_join.ORACLE_SQL, "op5_quality": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
