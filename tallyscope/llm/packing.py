@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.sentencepiece_codec import MODEL, Codec, load_pieces, text_slices
+from tallyscope.llm.sentencepiece_codec import MODEL, load_pieces, shared_codec, text_slices
 
 WIDTH = 2048
 #: Tokens held by a task before a pool is packed: 8 MB of ids.
@@ -127,7 +127,7 @@ def pack_documents(docs: DataFrame, model: str = MODEL, width: int = WIDTH, pad:
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(pieces.value)
+        codec = shared_codec(pieces.value)
 
         def tokens() -> Iterator[tuple[int, int | None, np.ndarray]]:
             for batch in text_slices(batches):

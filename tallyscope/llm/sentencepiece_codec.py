@@ -19,6 +19,7 @@ repeated rows repeat; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,11 +30,13 @@ from pyspark.sql import DataFrame
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Entries of the table of cuts seen before, and the longest cut it keeps; it starts anew when full.
-TABLE_SIZE, TABLE_LENGTH = 200_000, 48
+#: Entries of each of the two tables of cuts seen before, and the longest cut they keep. When the newer is full it
+#: becomes the older, so cuts that come again stay.
+TABLE_SIZE, TABLE_LENGTH = 250_000, 48
 #: Bytes of text encoded at a time.
 SLICE_BYTES = 1_000_000
 _CUTS = re.compile(" *[^ ]+| +")
+_NEVER = float("-inf")
 
 
 def load_pieces(model: str = MODEL) -> list[tuple[str, float, str]]:
@@ -47,8 +50,8 @@ def load_pieces(model: str = MODEL) -> list[tuple[str, float, str]]:
 
 class Codec:
     def __init__(self, pieces: list[tuple[str, float, str]]):
-        self.automaton = ahocorasick.Automaton()
         normal = [(p, s, i) for i, (p, s, kind) in enumerate(pieces) if kind == "normal" and p]
+        self.automaton = ahocorasick.Automaton()
         for p, s, i in normal:
             self.automaton.add_word(p, (len(p), s, i))
         self.automaton.make_automaton()
@@ -58,43 +61,63 @@ class Codec:
         self.fallback_score = min(s for _, s, _ in normal) - 10.0
         self.by_words = not any(MARK in p.lstrip(MARK) for p, _, _ in normal)
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.restored = [bytes([int(p[3:5], 16)]) if kind == "byte" else p.replace(MARK, " ").encode() if kind == "normal" else b"" for p, _, kind in pieces]
 
     def viterbi(self, marked: str) -> list[int]:
         """Ids of the best path through a text whose spaces are marks."""
         n = len(marked)
-        best: list[float] = [0.0] + [float("-inf")] * n
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-        done = 0  # positions up to here have their fallback arc
-        fallback = self.fallback_score
-        for end, (length, score, i) in self.automaton.iter(marked):
-            while done < end:
-                done += 1
-                if best[done] == float("-inf"):
-                    best[done], back[done] = best[done - 1] + fallback, (done - 1, -1)
+        best = [_NEVER] * (n + 1)
+        best[0] = 0.0
+        last: list = [None] * (n + 1)  # the (length, score, id) that ends at each position on its best path
+        for end, piece in self.automaton.iter(marked):
             at = end + 1
-            if (got := best[at - length] + score) > best[at]:
-                best[at], back[at] = got, (at - length, i)
-        while done < n:
-            done += 1
-            if best[done] == float("-inf"):
-                best[done], back[done] = best[done - 1] + fallback, (done - 1, -1)
+            got = best[at - piece[0]] + piece[1]
+            if got > best[at]:
+                best[at] = got
+                last[at] = piece
+        if _NEVER in best:
+            best, last = self._with_fallback(marked)
         ids: list[int] = []
         at = n
         while at:
-            start, i = back[at]
-            if i < 0:
-                ids.extend(self.byte_ids[b] for b in reversed(marked[start:at].encode()))
+            piece = last[at]
+            if piece is None:
+                ids.extend(self.byte_ids[b] for b in reversed(marked[at - 1].encode()))
+                at -= 1
             else:
-                ids.append(i)
-            at = start
+                ids.append(piece[2])
+                at -= piece[0]
         ids.reverse()
         return ids
 
+    def _with_fallback(self, marked: str) -> tuple[list[float], list]:
+        """The same pass, with an arc over its bytes into every position that no piece reaches."""
+        n = len(marked)
+        best, last = [0.0] + [_NEVER] * n, [None] * (n + 1)
+        done = 0  # positions up to here are settled
+        for end, piece in self.automaton.iter(marked):
+            while done < end:
+                done += 1
+                if best[done] == _NEVER:
+                    best[done] = best[done - 1] + self.fallback_score
+            at = end + 1
+            got = best[at - piece[0]] + piece[1]
+            if got > best[at]:
+                best[at], last[at] = got, piece
+        while done < n:
+            done += 1
+            if best[done] == _NEVER:
+                best[done] = best[done - 1] + self.fallback_score
+        return best, last
+
     def _cut(self, cut: str) -> bytes:
-        out = np.array(self.viterbi(cut.replace(" ", MARK)), dtype=np.int32).tobytes()
+        out = self.older.get(cut)
+        if out is None:
+            out = array("i", self.viterbi(cut.replace(" ", MARK))).tobytes()
         if len(cut) <= TABLE_LENGTH:
             if len(self.table) >= TABLE_SIZE:
+                self.older = self.table.copy()
                 self.table.clear()
             self.table[cut] = out
         return out
@@ -119,6 +142,18 @@ class Codec:
         return b"".join([restored[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
+_codecs: dict[int, Codec] = {}
+
+
+def shared_codec(pieces: list[tuple[str, float, str]]) -> Codec:
+    """One codec per vocabulary and Python worker: later tasks of a worker find its automaton and tables."""
+    key = hash(tuple(pieces))
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(pieces)
+    return _codecs[key]
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "_text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about `size` bytes of the text column, or one row."""
     for batch in batches:
@@ -153,7 +188,7 @@ def encode_texts(docs: DataFrame, model: str = MODEL, keep: list[str] | None = N
     kept = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(pieces.value)
+        codec = shared_codec(pieces.value)
         for batch in text_slices(batches):
             texts = batch.column("_text").to_pylist()
             encoded = [None if t is None else codec.encode(t) for t in texts]
@@ -176,7 +211,7 @@ def decode_ids(encoded: DataFrame, ids: str = "token_ids", to: str = "text", mod
     names = [c for c in encoded.columns if c != to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(pieces.value)
+        codec = shared_codec(pieces.value)
         for batch in batches:
             texts = [None if i is None else codec.decode(i) for i in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {to: pa.array(texts, pa.string())})
