@@ -70,7 +70,7 @@ def parse_description(c: Column) -> dict[str, Column]:
     body = F.trim(F.regexp_replace(parted, r"^[0-9]+\b\s+", ""))
     ids = F.regexp_extract_all(body, F.lit(r"(\b\S*[0-9]\S*\b)"), F.lit(1))
     id1, id2 = F.get(ids, F.lit(0)), F.get(ids, F.lit(1))
-    before = F.substring_index(body, id1, 1)
+    before = F.substr(body, F.lit(1), F.instr(body, id1) - 1)
     after = F.trim(F.substr(body, F.instr(body, id1) + F.length(id1)))
     at2 = F.instr(after, id2)
     detail = F.when(id2.isNull() | (at2 == 0), after).otherwise(F.substr(after, F.lit(1), at2 - 1))

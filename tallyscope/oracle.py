@@ -36,8 +36,8 @@ PARTS: dict[str, str] = {
     "tx": """select concat_ws('-', leg, order_key, part_key, supp_key, line_number) as tx_id, user_id, receiver_id, ts, strftime(ts, '%Y-%m') as month_id, movement_amount as amt,
       nullif(trim(descripcion), '') as descripcion, origin_application_id as app, reference_text as ref, value_ts, sn, rn,
       case when receiver_id = user_id then 'mismo_usuario' when (sn > 0 and rn = sn // 4) or (sn >= 4 and rn = sn // 16) then 'manager_del_emisor' when rn // 4 = sn // 4 then 'companero_equipo' else 'otro' end as relacion,
-      round_even(floor((epoch_us(ts) - epoch_us(timestamp '1990-01-01' + to_days(cast(sn * 977 % 4300 as int)))) / 86400000000.0) / 365.25, 2) as ten_u,
-      round_even(floor((epoch_us(ts) - epoch_us(timestamp '1990-01-01' + to_days(cast(rn * 977 % 4300 as int)))) / 86400000000.0) / 365.25, 2) as ten_r,
+      round_even(floor((epoch_us(ts) - epoch_us(timestamp '1990-01-01' + to_days(cast(sn * 977 % 4300 as int)))) / 86400000000.0) / 365.25, 2) + 0.0 as ten_u,
+      round_even(floor((epoch_us(ts) - epoch_us(timestamp '1990-01-01' + to_days(cast(rn * 977 % 4300 as int)))) / 86400000000.0) / 365.25, 2) + 0.0 as ten_r,
       user_id || '→' || receiver_id as pair, least(user_id || '|' || receiver_id, receiver_id || '|' || user_id) as upair from f1""",
     "base": "select tx_id, m, sd, case when coalesce(sd, 0) = 0 then 0 else (amt - m) / sd end as z from (select tx_id, amt, avg(amt) over (partition by user_id) as m, stddev_samp(amt) over (partition by user_id) as sd from tx)",
     "amounts": "select tx_id, least(abs(amt - 17000), abs(amt - 85000), abs(amt - 92500)) as delta, " + " or ".join(f"least(amt % {b}, {b} - amt % {b}) < 1e-9" for b in DEFAULTS.round_bases) + " as is_round from tx",

@@ -36,7 +36,8 @@ def rate(flag: str) -> Column:
 
 
 def mean(c: str) -> Column:
-    return F.round(F.avg(c), 6)
+    """Means of amounts keep 8 digits: with two decimals in, 6 would often fall on a tie."""
+    return F.round(F.avg(c), 8 if c == AMOUNT else 6)
 
 
 def total(c: str = AMOUNT) -> Column:
@@ -81,12 +82,12 @@ def persons(s: DataFrame) -> DataFrame:
     p = e.groupBy(TF, "persona").agg(
         F.count_if(sent).alias("n_tx_emit"),
         F.round(zero(F.sum(if_(sent, AMOUNT))), 4).alias("sum_emit"),
-        r6(F.avg(if_(sent, AMOUNT))).alias("avg_emit"),
+        F.round(zero(F.avg(if_(sent, AMOUNT))), 8).alias("avg_emit"),
         r6(F.avg(if_(sent, "risk_score"))).alias("risk_avg_em"),
         r6(F.max(if_(sent, "risk_score"))).alias("risk_max_emit"),
         F.count_if(got).alias("n_tx_recv"),
         F.round(zero(F.sum(if_(got, AMOUNT))), 4).alias("sum_recv"),
-        r6(F.avg(if_(got, AMOUNT))).alias("avg_recv"),
+        F.round(zero(F.avg(if_(got, AMOUNT))), 8).alias("avg_recv"),
         r6(F.avg(if_(got, "risk_score"))).alias("risk_avg_re"),
         r6(F.max(if_(got, "risk_score"))).alias("risk_max_recv"),
         F.count(concept).alias("nlp_persona_total_transacciones_sospechosas"),
@@ -100,7 +101,7 @@ def persons(s: DataFrame) -> DataFrame:
         *rates,
     )
     p = p.withColumns({
-        "risk_avg_person": F.round((F.col("risk_avg_em") + F.col("risk_avg_re")) / 2, 6),
+        "risk_avg_person": F.round((F.col("risk_avg_em") + F.col("risk_avg_re")) / 2, 7),
         # the mean always divides by two (Q-16)
         "nlp_sentimiento_promedio": F.round((F.col("nlp_sent_emit_avg") + F.col("nlp_sent_recv_avg")) / 2, 6),
         "nlp_score_max": F.greatest("nlp_score_emit_avg", "nlp_score_emit_max", "nlp_score_recv_avg", "nlp_score_recv_max"),
@@ -190,7 +191,7 @@ def case12(s: DataFrame, min_tx: int = 3, tolerance: float = 0.03) -> DataFrame:
         TF,
         "pair",
         "caso12_par_tanda_tx_count",
-        F.round("_avg", 6).alias("caso12_par_tanda_monto_promedio"),
+        F.round("_avg", 8).alias("caso12_par_tanda_monto_promedio"),
         (enough & (F.col("_u") == 1)).cast("int").alias("caso12_par_tanda_no_ofuscada_flag"),
         (enough & (F.col("_u") > 1) & (F.col("_range") <= F.abs("_avg") * tolerance)).cast("int").alias("caso12_par_tanda_ofuscada_flag"),
     )
