@@ -198,7 +198,7 @@ def encode_texts(docs: DataFrame, model: str = MODEL, keep: list[str] | None = N
             if check:
                 decoded = [None if e is None else codec.decode(np.frombuffer(e, dtype=np.int32).tolist()) for e in encoded]
                 columns["decoded_crc32"] = pa.array([None if d is None else zlib.crc32(d.encode()) for d in decoded], pa.int64())
-                columns["round_trip"] = pa.array([d == t for d, t in zip(decoded, texts)], pa.bool_())
+                columns["round_trip"] = pa.array([None if t is None else d == t for d, t in zip(decoded, texts)], pa.bool_())
             yield pa.RecordBatch.from_pydict(columns)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_tokens long, token_ids array<int>" + ", decoded_crc32 long, round_trip boolean" * check
