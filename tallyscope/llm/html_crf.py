@@ -274,7 +274,10 @@ def labelled(html: str, main: str = "mark") -> tuple[list[Block], list[int]]:
 
 def train(pages: DataFrame, limit: int = TRAIN_PAGES) -> Field:
     """A field from SEED_PAGES and at most `limit` pages of the table that have one article element."""
-    taken = pages.where(F.col("html").contains("<article") | F.col("html").contains("<main")).select("html", F.xxhash64("html").alias("h")).orderBy("h").limit(limit).select("html").collect()
+    named = pages.where(F.col("html").contains("<article") | F.col("html").contains("<main")).select("html", F.xxhash64("html").alias("h"))
+    # hashes alone are ordered; only the pages chosen, equal ones once, reach the driver
+    last = named.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    taken = named.where(F.col("h") <= last).groupBy("h").agg(F.first("html").alias("html")).orderBy("h").collect() if last is not None else []
     seeds = [(features(b), y) for b, y in map(labelled, SEED_PAGES)] + [(features(b, True), y) for b, y in map(labelled, SEED_PAGES)]
     own = [labelled(r["html"], "own") for r in taken]
     rows = [(features(b), y) for b, y in own] + [(features(b, True), y) for b, y in own]
