@@ -52,7 +52,7 @@ PARTS: dict[str, str] = {
     "recurrent": "select tx_id from tx join (select user_id, receiver_id, day(ts) as d from tx group by all having count(distinct month_id) >= 3) g on tx.user_id = g.user_id and tx.receiver_id = g.receiver_id and day(tx.ts) = g.d",
     "yoyo": """select distinct unnest([i, j]) as tx_id from (select a.tx_id as i, b.tx_id as j from tx a join tx b on a.user_id = b.receiver_id and a.receiver_id = b.user_id
       where a.user_id < a.receiver_id and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 28800000000 and abs(a.amt - b.amt) <= greatest(a.amt, b.amt) * 0.02)""",
-    "loan": f"""select a.tx_id, coalesce(sum(b.amt), 0) / a.amt as ratio from tx a left join tx b on b.user_id = a.receiver_id and b.receiver_id = a.user_id and b.ts between a.ts and a.ts + interval 60 days
+    "loan": f"""select a.tx_id, case when a.amt > 0 then coalesce(sum(b.amt), 0) / a.amt else 1.0 end as ratio from tx a left join tx b on b.user_id = a.receiver_id and b.receiver_id = a.user_id and b.ts between a.ts and a.ts + interval 60 days
       where regexp_matches({_norm.format('a.descripcion')}, '\\b(prestam|adelant|abono)\\b') group by a.tx_id, a.amt""",
     "bins": """select app as canal, time_bucket(interval '2 hours', ts) as ini, count(*) as n, sum((hour(ts) < 8 or hour(ts) >= 20)::int)::bigint as off, count(distinct user_id) as em, count(distinct receiver_id) as re, sum(amt) as total from tx group by all""",
     "refs": f"""select rn_ as ref_norm, count(*) as n, count(distinct upair) as pairs, min(ts) as lo, max(ts) as hi, sum(amt) as total from (select *, {_norm.format('ref')} as rn_ from tx) where length(rn_) >= 4 group by rn_""",

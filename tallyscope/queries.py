@@ -372,14 +372,26 @@ over_slices("q3_details", lambda s: questions.q3_with_details(s))
 over_slices("q4", lambda s: questions.q4(s).select(TF, "tx_id", "movement_amount", "feat_quid_score", "dias_valor_vs_carga", "responsable", "nivel_relajado"), "select timeframe_periodo, tx_id, amt as movement_amount, qscore as feat_quid_score, round(days, 6) as dias_valor_vs_carga, coalesce(case when relacion = 'manager_del_emisor' then receiver_id end, case when sn > 0 then 'P' || lpad((sn // 4)::varchar, 4, '0') end, user_id) as responsable, 0 as nivel_relajado from s where days < 0")
 over_slices("q5", lambda s: questions.q5(s).drop("textos"), "select timeframe_periodo, receiver_id, c as concepto, count(distinct user_id)::int as emisores_unicos, array_to_string(list_sort(list(distinct user_id)), ', ') as emisores_lista, count(*)::bigint as tx_count, round(sum(amt), 4) as monto_total, round(quantile_cont(risk, 0.95), 6) as risk_p95 from (select *, unnest(cats) as c from s) group by timeframe_periodo, receiver_id, c having count(distinct user_id) >= 2")
 over_slices("q6", lambda s: questions.q6(s).select(TF, "month_id", "receiver_id", F.round("inflow", 2).alias("inflow"), "emisores_unicos", F.round("inflow_acumulado", 2).alias("inflow_acumulado")), "select timeframe_periodo, month_id, receiver_id, round(i, 2) as inflow, e as emisores_unicos, round(sum(i) over (partition by timeframe_periodo, receiver_id order by month_id), 2) as inflow_acumulado from (select timeframe_periodo, month_id, receiver_id, round(sum(amt), 4) as i, count(distinct user_id)::bigint as e from s group by all)")
-over_slices("q7", lambda s: questions.q7(s))
-over_slices("q8", lambda s: questions.q8(s))
-over_slices("q9", lambda s: questions.q9(s))
+over_slices("q7", lambda s: questions.q7(s), """select timeframe_periodo, persona, round(sum(e), 4) as desbalance_persona_monto_neto, count(*) filter (where z >= 2)::bigint as desbalance_persona_meses_envia_extremo, count(*) filter (where z <= -2)::bigint as desbalance_persona_meses_recibe_extremo from (
+  select *, round(case when stddev_pop(net) over w > 0 then (net - avg(net) over w) / stddev_pop(net) over w else 0 end, 6) as z from (select timeframe_periodo, month_id, persona, sum(case when sent_ then amt else -amt end) as e, round(sum(case when sent_ then amt else -amt end), 4) as net from ends group by all) window w as (partition by timeframe_periodo, month_id)) group by all""")
+over_slices("q8", lambda s: questions.q8(s), """select * exclude (best) from (select *, min(nivel_relajado) over (partition by timeframe_periodo) as best from (select *, 1 - caso13_persona_flag_nuevo_receptor_altos_montos as nivel_relajado from (
+  select timeframe_periodo, receiver_id as persona, count(*)::bigint as caso13_persona_tx_recibidas, round(sum(amt), 4) as caso13_persona_monto_total, count(distinct user_id)::bigint as caso13_persona_emisores_unicos, count(*) filter (where amt >= cut)::bigint as caso13_persona_tx_altos, round(avg(amt), 8) as caso13_persona_monto_promedio,
+  (count(distinct user_id) >= 3 and count(*) filter (where amt >= cut) >= 2)::int as caso13_persona_flag_nuevo_receptor_altos_montos, array_to_string(list_sort(list(distinct user_id)), ', ') as caso13_persona_emisores_lista from s join (select timeframe_periodo, quantile_cont(amt, 0.9) as cut from s group by 1) using (timeframe_periodo) where ten_r <= 0.5 group by all))) where nivel_relajado = best""")
+over_slices("q9", lambda s: questions.q9(s), """select * exclude (lv) from (select *, min(nivel_relajado) over (partition by timeframe_periodo) as lv from (
+  select timeframe_periodo, receiver_id as persona, count(*)::bigint as caso14_persona_tx_de_emisores_nuevos, round(sum(amt), 4) as caso14_persona_monto_de_emisores_nuevos, count(distinct user_id)::bigint as caso14_persona_emisores_nuevos_unicos, round(avg(amt), 8) as caso14_persona_monto_promedio_de_emisores_nuevos,
+    array_to_string(list_sort(list(distinct user_id)), ', ') as caso14_persona_emisores_nuevos_lista, max(tier_)::int as limites_usados, case when count(distinct user_id) >= 3 and count(*) >= 5 then 0 else 1 end as nivel_relajado
+  from (select *, min(tier_) over (partition by timeframe_periodo) as best from (select s.*, case when ten_u <= 0.5 and ten_r >= 5 then 0 when ten_u <= 1 and ten_r >= 4 then 1 when ten_u <= 1.5 and ten_r >= 3.5 then 2 when ten_u <= q1_ and ten_r >= q3_ then 3 end as tier_
+    from s join (select timeframe_periodo, quantile_cont(ten_u, 0.25) as q1_, quantile_cont(ten_r, 0.75) as q3_ from s group by 1) using (timeframe_periodo))) where tier_ <= best group by timeframe_periodo, receiver_id)) where nivel_relajado = lv""")
 over_slices("q10", lambda s: questions.q10(s))
-over_slices("q11", lambda s: questions.q11(s))
+over_slices("q11", lambda s: questions.q11(s), """select timeframe_periodo, pair, meses_con_near, tx_near_totales, monto_total_near, delta_promedio, riesgo_max, criterio, lv as nivel_relajado from (select *, min(lv) over (partition by timeframe_periodo) as best_ from (
+  select timeframe_periodo, pair, count(*)::bigint as meses_con_near, sum(n)::bigint as tx_near_totales, round(sum(x), 4) as monto_total_near, round(avg(d), 6) as delta_promedio, round(max(r), 6) as riesgo_max, max(lv)::int as criterio, greatest(0, 3 - count(*))::int as lv from (
+    select timeframe_periodo, pair, month_id, count(*) as n, sum(amt) as x, avg(delta) as d, max(risk) as r, max(lv) as lv from (select *, min(lv) over (partition by timeframe_periodo) as best from (
+      select s.*, case when delta <= 10 then 0 when delta <= 20 then 2 when delta <= p15 then 3 end as lv from s join (select timeframe_periodo, quantile_cont(delta, 0.15) as p15 from s group by 1) using (timeframe_periodo))) where lv = best group by all) group by 1, 2)) where lv = best_""")
 over_slices("q12", lambda s: questions.q12(s).drop("nivel_relajado"), _TOP("""select timeframe_periodo, pair, count(*)::bigint as meses_con_fraccionamiento, sum(n)::bigint as transacciones_fraccionadas, round(sum(x), 4) as monto_fraccionado_total, round(avg(r), 6) as riesgo_promedio, round(max(m), 6) as riesgo_maximo,
   case when round(arg_max(r, month_id) - arg_min(r, month_id), 6) > 0.05 then 'al alza' when round(arg_max(r, month_id) - arg_min(r, month_id), 6) < -0.05 then 'a la baja' else 'estable' end as tendencia_riesgo from (select timeframe_periodo, pair, month_id, count(*) as n, sum(amt) as x, avg(risk) as r, max(risk) as m from s where smurf group by all) group by 1, 2""", "monto_fraccionado_total desc, transacciones_fraccionadas desc, meses_con_fraccionamiento desc, pair", 25))
-over_slices("q13", lambda s: questions.q13(s))
+over_slices("q13", lambda s: questions.q13(s), """select * exclude (best) from (select *, min(nivel_relajado) over (partition by timeframe_periodo) as best from (
+  select timeframe_periodo, pair, count(*)::bigint as meses_con_coincidencia, sum(l)::bigint as prestamos_incumplidos, round(sum(x), 4) as monto_prestamos_incumplidos, sum(f)::bigint as eventos_alta_frecuencia, round(max(r), 6) as riesgo_max, round(avg(ra), 6) as riesgo_promedio, (count(*) < 2)::int as nivel_relajado from (
+    select timeframe_periodo, pair, month_id, count(*) filter (where bad_loan) as l, sum(amt) filter (where bad_loan) as x, count(*) filter (where freq) as f, max(risk) as r, avg(risk) as ra from s group by all) where l > 0 and f > 0 group by 1, 2)) where nivel_relajado = best""")
 over_slices("q14", lambda s: questions.q14(s), _TOP("select timeframe_periodo, user_id as emisor, receiver_id as receptor, day(ts)::int as dia_corte, count(distinct month_id)::bigint as meses_recurrentes, count(*)::bigint as tx_totales, round(sum(amt), 4) as monto_total, round(avg(amt), 8) as monto_promedio from s group by all having count(distinct month_id) >= 3", "meses_recurrentes desc, monto_total desc, emisor, receptor, dia_corte", 50))
 over_slices("q15", lambda s: questions.q15(s))
 over_slices("q16", lambda s: questions.q16(s).drop("nivel_relajado", "risk_tier"), _TOP("select timeframe_periodo, tx_id, user_id, receiver_id, amt as movement_amount, round(risk, 6) as risk_score, n as senales from (select *, smurf::int + yoyo::int + bad_loan::int + freq::int + near::int + is_round::int as n, max(smurf::int + yoyo::int + bad_loan::int + freq::int + near::int + is_round::int) over (partition by timeframe_periodo) as best from s) where n >= least(3, best)", "senales desc, risk_score desc, tx_id", 25))
