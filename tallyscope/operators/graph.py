@@ -58,11 +58,10 @@ def cycle_nodes(edges: DataFrame, simple: bool = False) -> DataFrame:
     e = edges.where("a <> b") if simple else edges
     paths = cut(two_paths(e), "paths")
     back = e.select(F.col("a").alias("c"), F.col("b").alias("a"))
-    three = paths.join(back, ["a", "c"])
-    ends3 = three.select(F.explode(F.array("a", "c")).alias("node"))
-    step = e.select(F.col("a").alias("s"), F.col("b").alias("t"))
-    # middles: b with a -> b -> c and c -> a
-    mids3 = three.select("a", "c").join(step.withColumnRenamed("s", "a").withColumnRenamed("t", "node"), "a").join(step.withColumnRenamed("s", "node").withColumnRenamed("t", "c"), ["node", "c"], "left_semi").select("node")
+    # every turn of a closed 3-walk is one too, so the starts are all of its nodes
+    three = cut(paths.join(back, ["a", "c"]).select(F.col("a").alias("node")).distinct(), "threes")
+    if three.count() == nodes_of(edges).count():
+        return three
     forth = paths.where("a <> c") if simple else paths
     # d ranges over middles of c -> d -> a but for a itself (and, for simple cycles, both ends)
     via = e.select(F.col("a").alias("c"), F.col("b").alias("d")).join(e.select(F.col("a").alias("d"), F.col("b").alias("a")), "d").where("d <> a" + (" and d <> c" if simple else ""))
@@ -71,7 +70,7 @@ def cycle_nodes(edges: DataFrame, simple: bool = False) -> DataFrame:
     ends4 = four.where("not (n = 1 and nd = 1 and lo = lod)").select(F.explode(F.array("a", "c")).alias("node"))
     on_b = e.select("a", F.col("b").alias("node")).join(four.select("a", "c", "nd", "lod"), "a").join(e.select(F.col("a").alias("node"), F.col("b").alias("c")), ["node", "c"], "left_semi").where("nd > 1 or lod <> node").select("node")
     on_d = via.join(forth, ["a", "c"]).where("n > 1 or lo <> d").select(F.col("d").alias("node"))
-    return ends3.union(mids3).union(ends4).union(on_b).union(on_d).distinct()
+    return three.union(ends4).union(on_b).union(on_d).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
