@@ -37,25 +37,35 @@ from pyspark.sql import functions as F
 from tallyscope.llm.common import written
 from tallyscope.llm.components import connected
 from tallyscope.llm.sentencepiece_codec import text_slices
-from tallyscope.llm.shingles import set_key, shingle_sets
+from tallyscope.llm.shingles import mix, set_key, shingle_sets
 
 SHINGLE_WORDS = 5
 PERCENT = 75
 #: Rounds in which nodes meet one leader, before all remaining pairs are taken.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Bits of a node's parity map.
+PARITY_BITS = 1024
+#: Bits of a shingle's hash beside the 5 bits of its frequency.
+ID_BITS = 58
 #: Set hashes that a task remembers so as to emit equal sets once.
 REMEMBERED = 200_000
 
 
+def parity_map(shingles: np.ndarray) -> list[int]:
+    """PARITY_BITS bits, each the parity of the shingles that hash to it, as longs: two maps differ in at most as many bits as the sets in shingles."""
+    places = (mix(shingles.view(np.uint64)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
 def set_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, node (null: no shingles), n_shingles per row."""
+    """doc_id, node (null: no shingles), n_shingles and the parity map (see parity_map) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             sets = shingle_sets(batch.column("_text").to_pylist(), SHINGLE_WORDS)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "node": pa.array([set_key(s) for s in sets], pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "node": pa.array([set_key(s) for s in sets], pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "parity": pa.array([parity_map(s) for s in sets], pa.list_(pa.int64()))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, "doc_id long, node long, n_shingles long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, "doc_id long, node long, n_shingles long, parity array<long>")
 
 
 def incidence(docs: DataFrame) -> DataFrame:
@@ -90,20 +100,25 @@ def least_overlap(n: Column, m: Column) -> Column:
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
-    """node, n, shared: its shingles of several nodes as sorted (df, shingle), for nodes with enough of them."""
+    """node, n, shingles: its shingles of several nodes, rarest first, for nodes with enough of them.
+
+    A shingle becomes one long whose order is the order wanted: the logarithm of its number of nodes, then 58 bits of its hash.
+    """
     # dealt by shingle once: both the distinct entries and the counts are made from that
     one = entries.repartition("shingle").groupBy("shingle", "node").agg(F.first("n").alias("n"))
     counted = one.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("df > 1")
-    shared = counted.groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
-    return shared.where(F.size("shared") >= least_shared(F.col("n"))).select("node", "n", F.col("shared.shingle").alias("shingles"))
+    rarity = F.shiftleft(F.least(F.floor(F.log2("df")), F.lit(31)).cast("long"), ID_BITS)
+    packed = rarity.bitwiseOR(F.col("shingle").bitwiseAND(F.lit((1 << ID_BITS) - 1)))
+    shared = counted.select("node", "n", packed.alias("shingle")).groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("shingle")).alias("shingles"))
+    return shared.where(F.size("shingles") >= least_shared(F.col("n")))
 
 
 def prefixes(nodes: DataFrame) -> DataFrame:
-    """shingle, node, n, at: the first n - ceil(0.75 n) + 1 shingles of each node in the order rarest first, at counting the ones before."""
+    """shingle, node, n, alone, at: the first n - ceil(0.75 n) + 1 shingles of each node in the order rarest first, at counting the ones before."""
     alone = F.col("n") - F.size("shingles")
     length = F.col("n") - least_shared(F.col("n")) + 1 - alone
     cut = nodes.select("node", "n", alone.alias("alone"), F.posexplode(F.slice("shingles", F.lit(1), length.cast("int"))).alias("i", "shingle"))
-    return cut.select("shingle", "node", "n", (F.col("i") + F.col("alone")).cast("long").alias("at"))
+    return cut.select("shingle", "node", "n", "alone", (F.col("i") + F.col("alone")).cast("long").alias("at"))
 
 
 def may_link(n: Column, at: Column, m: Column, m_at: Column) -> Column:
@@ -113,6 +128,8 @@ def may_link(n: Column, at: Column, m: Column, m_at: Column) -> Column:
 
 def links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The (a, b) of pairs that link, by the exact overlap of their shared shingles."""
+    pairs = written(pairs, "pairs")
+    nodes = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
     both = F.size(F.array_intersect("s_a", "s_b"))
@@ -135,35 +152,44 @@ def mixed_lists(entries: DataFrame) -> DataFrame:
 
 
 def leader_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """(a, b): for each node, the leader it meets in most of its lists. A list's leader is its least node by a hash that changes every turn."""
-    rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "at", "component")
+    """(a, b): for each node, the leader it meets in most of its lists.
+
+    A list's leader is at first the node with the fewest shingles of its own, as a text is most like the one that its copies
+    were made from; in later turns it is the least by a hash that changes every turn.
+    """
+    order = F.xxhash64("node", F.lit(turn))
+    rank = F.struct((F.lit(0) if turn else F.col("alone")).cast("long").alias("r"), order.alias("h"), "node", "n", "at", "component")
     leaders = entries.groupBy("shingle").agg(F.min(rank).alias("l"))
     met = entries.join(leaders, "shingle").where((F.col("component") != F.col("l.component")) & may_link(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at")))
     votes = met.groupBy("node", F.col("l.node").alias("leader")).agg(F.count(F.lit(1)).alias("votes"))
     return votes.groupBy("node").agg(F.max(F.struct("votes", "leader")).alias("v")).select(F.col("node").alias("a"), F.col("v.leader").alias("b"))
 
 
-def remaining_pairs(entries: DataFrame) -> DataFrame:
+def remaining_pairs(entries: DataFrame, parity: DataFrame) -> DataFrame:
     """Distinct (a, b) in different components that may link at some shingle.
 
-    A list's widest component is left out on one side, so its own pairs are never formed.
+    A list's widest component is left out on one side, so its own pairs are never formed. Pairs whose
+    parity maps differ in more bits than linked sets can differ in shingles are no links either.
     """
+    entries = entries.join(parity, "node")
     sizes = entries.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
     widest = sizes.groupBy("shingle").agg(F.max(F.struct("c", "component"))["component"].alias("widest"))
-    left = entries.join(widest, "shingle").where("component <> widest").select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("component").alias("cx"), "widest")
-    right = entries.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("at").alias("iy"), F.col("component").alias("cy"))
+    left = entries.join(widest, "shingle").where("component <> widest").select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("component").alias("cx"), F.col("parity").alias("px"), "widest")
+    right = entries.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("at").alias("iy"), F.col("component").alias("cy"), F.col("parity").alias("py"))
     apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("widest")) | (F.col("x") < F.col("y")))
-    met = left.join(right, "shingle").where(apart & may_link(F.col("nx"), F.col("ix"), F.col("ny"), F.col("iy")))
+    differ = sum((F.bit_count(F.get("px", F.lit(i)).bitwiseXOR(F.get("py", F.lit(i)))) for i in range(PARITY_BITS // 64)), F.lit(0))
+    like = differ <= F.col("nx") + F.col("ny") - 2 * least_overlap(F.col("nx"), F.col("ny"))
+    met = left.join(right, "shingle").where(apart & may_link(F.col("nx"), F.col("ix"), F.col("ny"), F.col("iy")) & like)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def node_components(nodes: DataFrame) -> DataFrame:
+def node_components(nodes: DataFrame, parity: DataFrame) -> DataFrame:
     """node, component for the nodes that link with another; the others are left out."""
     prefix = written(prefixes(nodes), "prefixes")
     edges, components = None, None
     for turn in range(LEADER_ROUNDS + 1):
         entries = written(mixed_lists(labelled(prefix, components)), "lists")
-        pairs = leader_pairs(entries, turn) if turn < LEADER_ROUNDS else remaining_pairs(entries)
+        pairs = leader_pairs(entries, turn) if turn < LEADER_ROUNDS else remaining_pairs(entries, parity)
         found = written(links(pairs, nodes), "links")
         edges = found if edges is None else edges.unionByName(found)
         components = written(connected(edges), "components")
@@ -175,7 +201,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     keys = written(set_keys(docs), "keys")
     nodes = written(shared_entries(incidence(docs)), "nodes")
-    components = node_components(nodes)
+    parity = keys.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("parity").alias("parity"))
+    components = node_components(nodes, written(parity, "parity"))
     least = keys.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = least.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
