@@ -44,7 +44,7 @@ PERCENT = 75
 #: Rounds in which nodes meet one leader, before all remaining pairs are taken.
 LEADER_ROUNDS = 2
 #: Bits of a node's parity map.
-PARITY_BITS = 1024
+PARITY_BITS = 512
 #: Bits of a shingle's hash beside the 5 bits of its frequency.
 ID_BITS = 58
 #: Set hashes that a task remembers so as to emit equal sets once.
