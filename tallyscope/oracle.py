@@ -6,7 +6,7 @@ import re
 
 from tallyscope.operators import lexicon as lx
 from tallyscope.params import DEFAULTS
-from tallyscope.sources.fixtures import F1_SQL, F3_SQL
+from tallyscope.sources.fixtures import F1_SQL, F3_SQL, F3_WHOLE_SQL
 
 W = DEFAULTS.weights
 
@@ -108,6 +108,9 @@ PARTS: dict[str, str] = {
     "ends": "select s.*, user_id as persona, true as sent_ from s union all select s.*, receiver_id as persona, false as sent_ from s",
     "f3e": "select distinct user_id as a, receiver_id as b from f3",
     "f3u": "select a, b from f3e union select b, a from f3e",
+    "f3w": F3_WHOLE_SQL,
+    "f3we": "select distinct user_id as a, receiver_id as b from f3w",
+    "f3wu": "select a, b from f3we union select b, a from f3we",
 }
 
 _NAMES = list(PARTS)

@@ -78,6 +78,12 @@ def payment_profile(s: DataFrame) -> DataFrame:
     return month.groupBy(TF, "persona").agg(F.count(F.lit(1)).alias("meses"), F.round(F.stddev_pop("monto_total"), 4).alias("std_monto_mensual"), F.round(F.stddev_pop("dia_pago_promedio"), 6).alias("std_dia_pago_mensual"), F.array_sort(F.collect_list(detail)).alias("detalle_pagos_mensuales"))
 
 
+def payment_rows(s: DataFrame) -> DataFrame:
+    """The nested payments of payment_profile, a row each."""
+    months = payment_profile(s).select(TF, "persona", F.explode("detalle_pagos_mensuales").alias("d")).select(TF, "persona", "d.*")
+    return months.select(TF, "persona", "mes", "monto_total", "dia_pago_promedio", F.explode("pagos").alias("p")).select(TF, "persona", "mes", "monto_total", "dia_pago_promedio", "p.fecha", "p.monto")
+
+
 def q18(s: DataFrame, top_n: int = 25) -> DataFrame:
     """Persons by weighted scenario scores, with tier, main scenarios, flags, balance and the total over all time frames."""
     long = reduce(DataFrame.unionByName, [df.select(TF, "persona", "metric").withColumn("scenario", F.lit(k)) for k, df in scenario_metrics(s).items()])

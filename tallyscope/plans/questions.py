@@ -353,6 +353,11 @@ def pair_month_pivot(s: DataFrame, months: list[str], frame: str = "todo_el_tiem
     return s.where(F.col(TF) == frame).groupBy(pair().alias("pair")).pivot("month_id", months).agg(F.count(F.lit(1))).fillna(0)
 
 
+def pair_month_counts(s: DataFrame, frame: str = "todo_el_tiempo") -> DataFrame:
+    """Transfers per directed pair and month, a row for every month of the pair, so no list of months is needed."""
+    return s.where(F.col(TF) == frame).groupBy(pair().alias("pair"), "month_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def yoyo_timeline(s: DataFrame, n: int = 10, frame: str = "todo_el_tiempo") -> DataFrame:
     """K5, M2: monthly share of back-and-forth transfers of the n pairs with the highest mean share."""
     t = s.where(F.col(TF) == frame)

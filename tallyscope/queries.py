@@ -217,6 +217,32 @@ ORACLE_SQL["components"] = (
 )
 
 
+# The same three over the edges of all orders; the names above keep the part that their SQL takes.
+
+
+def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.distinct_edges(fixtures.whole_transfers(spark, sf_dir))
+
+
+@register("triangles_whole", "select distinct x.a as node from f3wu x join f3wu y on x.a = y.a and x.b < y.b join f3wu z on z.a = x.b and z.b = y.b")
+def _triangles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.triangle_nodes(whole_edges(spark, sf_dir))
+
+
+@register("cycles_whole", """select distinct unnest([a, b, c]) as node from (select x.a, x.b, y.b as c from f3we x join f3we y on x.b = y.a join f3we z on z.a = y.b and z.b = x.a)
+  union select distinct unnest([a, b, c, d]) from (select x.a, x.b, y.b as c, z.b as d from f3we x join f3we y on x.b = y.a join f3we z on z.a = y.b join f3we u on u.a = z.b and u.b = x.a where z.b <> x.a and x.b <> z.b)""")
+def _cycles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cycle_nodes(whole_edges(spark, sf_dir))
+
+
+def _components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cluster_ids(whole_edges(spark, sf_dir))
+
+
+QUERIES["components_whole"] = _components_whole
+ORACLE_SQL["components_whole"] = ORACLE_SQL["components"].replace(fixtures.F3_SQL, fixtures.F3_WHOLE_SQL)
+
+
 @register("network_totals", "select user_id as persona, round(sum(amt), 2) as p1_out_sum, bool_or(user_id in (select node from cyc)) as en_ciclo, bool_or(user_id in (select node from tri)) as en_triangulo from tx group by user_id")
 def _network(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = graph.network_flags(pipeline.ingested(spark, sf_dir))
@@ -371,6 +397,9 @@ over_slices("q3", lambda s: questions.q3(s))
 over_slices("q3_details", lambda s: questions.q3_with_details(s))
 over_slices("q4", lambda s: questions.q4(s).select(TF, "tx_id", "movement_amount", "feat_quid_score", "dias_valor_vs_carga", "responsable", "nivel_relajado"), "select timeframe_periodo, tx_id, amt as movement_amount, qscore as feat_quid_score, round(days, 6) as dias_valor_vs_carga, coalesce(case when relacion = 'manager_del_emisor' then receiver_id end, case when sn > 0 then 'P' || lpad((sn // 4)::varchar, 4, '0') end, user_id) as responsable, 0 as nivel_relajado from s where days < 0")
 over_slices("q5", lambda s: questions.q5(s).drop("textos"), "select timeframe_periodo, receiver_id, c as concepto, count(distinct user_id)::int as emisores_unicos, array_to_string(list_sort(list(distinct user_id)), ', ') as emisores_lista, count(*)::bigint as tx_count, round(sum(amt), 4) as monto_total, round(quantile_cont(risk, 0.95), 6) as risk_p95 from (select *, unnest(cats) as c from s) group by timeframe_periodo, receiver_id, c having count(distinct user_id) >= 2")
+over_slices("q5_textos", lambda s: questions.q5(s).select(TF, "receiver_id", "concepto", "textos"), """select timeframe_periodo, receiver_id, c as concepto, string_agg(t, ' | ' order by f) as textos from (
+  select timeframe_periodo, receiver_id, c, t, min(strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' ' || tx_id) as f from (select *, unnest(cats) as c, coalesce(descripcion, '') as t from s) group by all) join (
+  select timeframe_periodo, receiver_id, c from (select *, unnest(cats) as c from s) group by all having count(distinct user_id) >= 2) using (timeframe_periodo, receiver_id, c) group by all""")
 over_slices("q6", lambda s: questions.q6(s).select(TF, "month_id", "receiver_id", F.round("inflow", 2).alias("inflow"), "emisores_unicos", F.round("inflow_acumulado", 2).alias("inflow_acumulado")), "select timeframe_periodo, month_id, receiver_id, round(i, 2) as inflow, e as emisores_unicos, round(sum(i) over (partition by timeframe_periodo, receiver_id order by month_id), 2) as inflow_acumulado from (select timeframe_periodo, month_id, receiver_id, round(sum(amt), 4) as i, count(distinct user_id)::bigint as e from s group by all)")
 over_slices("q7", lambda s: questions.q7(s), """select timeframe_periodo, persona, round(sum(e), 4) as desbalance_persona_monto_neto, count(*) filter (where z >= 2)::bigint as desbalance_persona_meses_envia_extremo, count(*) filter (where z <= -2)::bigint as desbalance_persona_meses_recibe_extremo from (
   select *, round(case when stddev_pop(net) over w > 0 then (net - avg(net) over w) / stddev_pop(net) over w else 0 end, 6) as z from (select timeframe_periodo, month_id, persona, sum(case when sent_ then amt else -amt end) as e, round(sum(case when sent_ then amt else -amt end), 4) as net from ends group by all) window w as (partition by timeframe_periodo, month_id)) group by all""")
@@ -398,9 +427,11 @@ over_slices("q16", lambda s: questions.q16(s).drop("nivel_relajado", "risk_tier"
 over_slices("q17", lambda s: questions.q17(s))
 over_slices("q18", lambda s: person_risk.q18(s))
 over_slices("payment_profile", lambda s: person_risk.payment_profile(s).drop("detalle_pagos_mensuales"), "select timeframe_periodo, persona, count(*)::bigint as meses, round(stddev_pop(m), 4) as std_monto_mensual, round(stddev_pop(d), 6) as std_dia_pago_mensual from (select timeframe_periodo, user_id as persona, month_id, round(sum(amt), 4) as m, round(avg(day(ts)), 6) as d from s group by all) group by 1, 2")
+over_slices("payment_details", lambda s: person_risk.payment_rows(s).select(TF, "persona", "mes", "monto_total", "dia_pago_promedio", us("fecha").alias("us"), "monto"), "select timeframe_periodo, user_id as persona, month_id as mes, round(sum(amt) over w, 4) as monto_total, round(avg(day(ts)) over w, 6) as dia_pago_promedio, epoch_us(ts)::bigint as us, amt as monto from s window w as (partition by timeframe_periodo, user_id, month_id)")
 over_slices("overview", lambda s: questions.overview(s))
 over_slices("digest", lambda s: questions.digest(s))
 over_slices("pair_month_pivot", lambda s: questions.pair_month_pivot(s, ["1995-01", "1995-02", "1995-03"]), "select pair, count(*) filter (where month_id = '1995-01')::bigint as \"1995-01\", count(*) filter (where month_id = '1995-02')::bigint as \"1995-02\", count(*) filter (where month_id = '1995-03')::bigint as \"1995-03\" from s where timeframe_periodo = 'todo_el_tiempo' group by pair")
+over_slices("pair_months_all", lambda s: questions.pair_month_counts(s), "select pair, month_id, count(*)::bigint as n from s where timeframe_periodo = 'todo_el_tiempo' group by all")
 over_slices("yoyo_timeline", lambda s: questions.yoyo_timeline(s))
 over_slices("top_pairs", lambda s: questions.top_summary(reports.pairs(s), "pair", "risk_max").select(TF, "pair", "tx_count", "risk_max"), _TOP("select timeframe_periodo, pair, count(*)::bigint as tx_count, round(max(risk), 6) as risk_max from s group by all", "risk_max desc, pair", 10))
 
