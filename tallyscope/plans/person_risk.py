@@ -42,7 +42,7 @@ def scenario_metrics(s: DataFrame) -> dict[str, DataFrame]:
     return {
         "manager_nlp": both_ends(q1, F.col("manager_user_id"), F.col("subordinado_user_id"), F.col("tx_count")),
         "manager_concepts": both_ends(severe, F.col("manager_user_id"), F.col("subordinado_user_id"), F.col("risk_p95"), F.max),
-        "quid_pairs": by_pair(questions.q3(s), "quid_pair_clave", F.col("quid_tx_count") * F.greatest("quid_score_max", "quid_score_avg", F.lit(0.0))),
+        "quid_pairs": by_pair(questions.q3(s, min_score=1.0, min_manager_ratio=0.0), "quid_pair_clave", F.col("quid_tx_count") * F.greatest("quid_score_max", "quid_score_avg", F.lit(0.0))),
         "quid_value_vs_load": both_ends(q4, F.col("user_id"), F.col("receiver_id"), F.abs("dias_valor_vs_carga") + F.col("feat_quid_score")),
         "reference_reuse": by_pair(refs, "p", F.col("tx_count")),
         "centralizer": one(questions.q6(s), "receiver_id", "inflow"),

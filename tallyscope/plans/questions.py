@@ -250,8 +250,15 @@ def q11(s: DataFrame, min_months: int = 3, delta: float = 10.0) -> DataFrame:
     return kept.withColumn("interpretabilidad", say(F.col("pair"), " se mantuvo cerca de un umbral en ", months, " meses"))
 
 
+def q12_order() -> list[Column]:
+    return [F.desc("monto_fraccionado_total"), F.desc("transacciones_fraccionadas"), F.desc("meses_con_fraccionamiento"), F.col("pair")]
+
+
 def q12(s: DataFrame, min_months: int | None = None, top_n: int = 25) -> DataFrame:
-    """Split payments by pair with the trend of their risk; without flags, the amounts in the lowest quarter of each pair."""
+    """Split payments by pair with the trend of their risk; without flags, the amounts in the lowest quarter of each pair.
+
+    Every pair that passes; top_n holds only where none has min_months.
+    """
     quarter = s.groupBy(TF, pair().alias("_p")).agg(F.percentile(AMOUNT, F.lit(0.25)).alias("_q"))
     rows = s.withColumn("_p", pair()).join(quarter, [TF, "_p"])
     found = relaxed(rows, [F.col("sig_smurf"), F.col(AMOUNT) <= F.col("_q")])
@@ -259,9 +266,9 @@ def q12(s: DataFrame, min_months: int | None = None, top_n: int = 25) -> DataFra
     g = by_month_then_pair(found, {"n": F.count(AMOUNT), "x": F.sum(AMOUNT), "r": F.avg("risk_score"), "rm": F.max("risk_score")}, {"meses_con_fraccionamiento": F.count(F.lit(1)), "transacciones_fraccionadas": F.sum("n"), "monto_fraccionado_total": F.round(F.sum("x"), 4), "riesgo_promedio": F.round(F.avg("r"), 6), "riesgo_maximo": F.round(F.max("rm"), 6), "_t": F.round(trend, 6)})
     g = g.withColumn("tendencia_riesgo", F.when(F.col("_t") > 0.05, "al alza").when(F.col("_t") < -0.05, "a la baja").otherwise("estable")).drop("_t")
     if min_months:
-        g = relaxed(g, [F.col("meses_con_fraccionamiento") >= min_months, F.lit(True)])
-    kept = top(g, top_n, F.desc("monto_fraccionado_total"), F.desc("transacciones_fraccionadas"), F.desc("meses_con_fraccionamiento"), F.col("pair"))
-    return kept.withColumn("interpretabilidad", say(F.col("pair"), " fraccionó ", num("monto_fraccionado_total"), ", riesgo ", F.col("tendencia_riesgo")))
+        kept = relaxed(g, [F.col("meses_con_fraccionamiento") >= min_months, F.lit(True)])
+        g = kept.where("nivel_relajado = 0").unionByName(top(kept.where("nivel_relajado = 1"), top_n, *q12_order()))
+    return g.withColumn("interpretabilidad", say(F.col("pair"), " fraccionó ", num("monto_fraccionado_total"), ", riesgo ", F.col("tendencia_riesgo")))
 
 
 def q13(s: DataFrame, min_months: int = 2) -> DataFrame:
@@ -273,10 +280,16 @@ def q13(s: DataFrame, min_months: int = 2) -> DataFrame:
     return kept.withColumn("interpretabilidad", say(F.col("pair"), ": ", F.col("prestamos_incumplidos"), " préstamos sin retorno en ", F.col("meses_con_coincidencia"), " meses"))
 
 
-def q14(s: DataFrame, min_months: int = 3, top_n: int = 50) -> DataFrame:
-    """Payments that recur on the same day of the month."""
+def q14_order() -> list[Column]:
+    return [F.desc("meses_recurrentes"), F.desc("monto_total"), F.col("emisor"), F.col("receptor"), F.col("dia_corte")]
+
+
+def q14(s: DataFrame, min_months: int = 3, top_n: int = 25) -> DataFrame:
+    """Payments that recur on the same day of the month: all with min_months, else with a month less, else the first top_n."""
     g = s.groupBy(TF, F.col("user_id").alias("emisor"), F.col("receiver_id").alias("receptor"), F.dayofmonth("fecha_hora_ts").alias("dia_corte")).agg(F.count_distinct("month_id").alias("meses_recurrentes"), F.count(AMOUNT).alias("tx_totales"), total().alias("monto_total"), mean(AMOUNT).alias("monto_promedio"))
-    kept = top(g.where(F.col("meses_recurrentes") >= min_months), top_n, F.desc("meses_recurrentes"), F.desc("monto_total"), F.col("emisor"), F.col("receptor"), F.col("dia_corte"))
+    months = F.col("meses_recurrentes")
+    kept = relaxed(g, [months >= min_months, months >= max(min_months - 1, 1), F.lit(True)])
+    kept = kept.where("nivel_relajado < 2").unionByName(top(kept.where("nivel_relajado = 2"), top_n, *q14_order()))
     return kept.withColumn("interpretabilidad", say(F.col("emisor"), " paga a ", F.col("receptor"), " el día ", F.col("dia_corte"), " en ", F.col("meses_recurrentes"), " meses"))
 
 

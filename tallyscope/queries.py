@@ -416,12 +416,18 @@ over_slices("q11", lambda s: questions.q11(s), """select timeframe_periodo, pair
   select timeframe_periodo, pair, count(*)::bigint as meses_con_near, sum(n)::bigint as tx_near_totales, round(sum(x), 4) as monto_total_near, round(avg(d), 6) as delta_promedio, round(max(r), 6) as riesgo_max, max(lv)::int as criterio, greatest(0, 3 - count(*))::int as lv from (
     select timeframe_periodo, pair, month_id, count(*) as n, sum(amt) as x, avg(delta) as d, max(risk) as r, max(lv) as lv from (select *, min(lv) over (partition by timeframe_periodo) as best from (
       select s.*, case when delta <= 10 then 0 when delta <= 20 then 2 when delta <= p15 then 3 end as lv from s join (select timeframe_periodo, quantile_cont(delta, 0.15) as p15 from s group by 1) using (timeframe_periodo))) where lv = best group by all) group by 1, 2)) where lv = best_""")
-over_slices("q12", lambda s: questions.q12(s).drop("nivel_relajado"), _TOP("""select timeframe_periodo, pair, count(*)::bigint as meses_con_fraccionamiento, sum(n)::bigint as transacciones_fraccionadas, round(sum(x), 4) as monto_fraccionado_total, round(avg(r), 6) as riesgo_promedio, round(max(m), 6) as riesgo_maximo,
+# q12 and q14: the first rows, as their SQL takes them; q12_all and q14_all: every row
+over_slices("q12", lambda s: questions.top(questions.q12(s), 25, *questions.q12_order()), _TOP("""select timeframe_periodo, pair, count(*)::bigint as meses_con_fraccionamiento, sum(n)::bigint as transacciones_fraccionadas, round(sum(x), 4) as monto_fraccionado_total, round(avg(r), 6) as riesgo_promedio, round(max(m), 6) as riesgo_maximo,
   case when round(arg_max(r, month_id) - arg_min(r, month_id), 6) > 0.05 then 'al alza' when round(arg_max(r, month_id) - arg_min(r, month_id), 6) < -0.05 then 'a la baja' else 'estable' end as tendencia_riesgo from (select timeframe_periodo, pair, month_id, count(*) as n, sum(amt) as x, avg(risk) as r, max(risk) as m from s where smurf group by all) group by 1, 2""", "monto_fraccionado_total desc, transacciones_fraccionadas desc, meses_con_fraccionamiento desc, pair", 25))
+over_slices("q12_all", lambda s: questions.q12(s), """select timeframe_periodo, pair, count(*)::bigint as meses_con_fraccionamiento, sum(n)::bigint as transacciones_fraccionadas, round(sum(x), 4) as monto_fraccionado_total, round(avg(r), 6) as riesgo_promedio, round(max(m), 6) as riesgo_maximo,
+  case when round(arg_max(r, month_id) - arg_min(r, month_id), 6) > 0.05 then 'al alza' when round(arg_max(r, month_id) - arg_min(r, month_id), 6) < -0.05 then 'a la baja' else 'estable' end as tendencia_riesgo from (select timeframe_periodo, pair, month_id, count(*) as n, sum(amt) as x, avg(risk) as r, max(risk) as m from s where smurf group by all) group by 1, 2""")
 over_slices("q13", lambda s: questions.q13(s), """select * exclude (best) from (select *, min(nivel_relajado) over (partition by timeframe_periodo) as best from (
   select timeframe_periodo, pair, count(*)::bigint as meses_con_coincidencia, sum(l)::bigint as prestamos_incumplidos, round(sum(x), 4) as monto_prestamos_incumplidos, sum(f)::bigint as eventos_alta_frecuencia, round(max(r), 6) as riesgo_max, round(avg(ra), 6) as riesgo_promedio, (count(*) < 2)::int as nivel_relajado from (
     select timeframe_periodo, pair, month_id, count(*) filter (where bad_loan) as l, sum(amt) filter (where bad_loan) as x, count(*) filter (where freq) as f, max(risk) as r, avg(risk) as ra from s group by all) where l > 0 and f > 0 group by 1, 2)) where nivel_relajado = best""")
-over_slices("q14", lambda s: questions.q14(s), _TOP("select timeframe_periodo, user_id as emisor, receiver_id as receptor, day(ts)::int as dia_corte, count(distinct month_id)::bigint as meses_recurrentes, count(*)::bigint as tx_totales, round(sum(amt), 4) as monto_total, round(avg(amt), 8) as monto_promedio from s group by all having count(distinct month_id) >= 3", "meses_recurrentes desc, monto_total desc, emisor, receptor, dia_corte", 50))
+over_slices("q14", lambda s: questions.top(questions.q14(s).where("nivel_relajado = 0").drop("nivel_relajado"), 50, *questions.q14_order()), _TOP("select timeframe_periodo, user_id as emisor, receiver_id as receptor, day(ts)::int as dia_corte, count(distinct month_id)::bigint as meses_recurrentes, count(*)::bigint as tx_totales, round(sum(amt), 4) as monto_total, round(avg(amt), 8) as monto_promedio from s group by all having count(distinct month_id) >= 3", "meses_recurrentes desc, monto_total desc, emisor, receptor, dia_corte", 50))
+over_slices("q14_all", lambda s: questions.q14(s), """select * exclude (best) from (select *, min(nivel_relajado) over (partition by timeframe_periodo) as best from (
+  select timeframe_periodo, user_id as emisor, receiver_id as receptor, day(ts)::int as dia_corte, count(distinct month_id)::bigint as meses_recurrentes, count(*)::bigint as tx_totales, round(sum(amt), 4) as monto_total, round(avg(amt), 8) as monto_promedio, greatest(0, 3 - count(distinct month_id))::int as nivel_relajado from s group by all))
+  where nivel_relajado = best qualify nivel_relajado < 2 or row_number() over (partition by timeframe_periodo order by meses_recurrentes desc, monto_total desc, emisor, receptor, dia_corte) <= 25""")
 over_slices("q15", lambda s: questions.q15(s))
 over_slices("q16", lambda s: questions.q16(s).drop("nivel_relajado", "risk_tier"), _TOP("select timeframe_periodo, tx_id, user_id, receiver_id, amt as movement_amount, round(risk, 6) as risk_score, n as senales from (select *, smurf::int + yoyo::int + bad_loan::int + freq::int + near::int + is_round::int as n, max(smurf::int + yoyo::int + bad_loan::int + freq::int + near::int + is_round::int) over (partition by timeframe_periodo) as best from s) where n >= least(3, best)", "senales desc, risk_score desc, tx_id", 25))
 over_slices("q17", lambda s: questions.q17(s))

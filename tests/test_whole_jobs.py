@@ -4,8 +4,10 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tallyscope import queries
+from tallyscope.plans import questions
 
 SF = "/root/testdata/sf0.01"
 
@@ -39,3 +41,22 @@ def test_every_order_and_month_counts(spark, con):
     assert queries.whole_edges(spark, SF).count() == edges
     months = {r["month_id"] for r in queries.QUERIES["pair_months_all"](spark, SF).select("month_id").distinct().collect()}
     assert len(months) > 12
+
+
+@pytest.mark.parametrize("name", ["q12", "q12_all", "q14", "q14_all"])
+def test_audit_question_equals_sql(spark, con, name):
+    rows = equal_to_sql(spark, con, name)
+    print(name, sum(rows.values()))
+
+
+def test_all_passing_pairs_count(spark):
+    """More passing pairs than the old caps; a frame without any falls back to the first ones."""
+    rows = [(f"t{i}-{m}", f"A{i}", f"B{i}", f"2024-0{m}-05 10:00:00", 100.0 + i) for i in range(60) for m in (1, 2, 3)]
+    s = spark.createDataFrame(rows, "tx_id string, user_id string, receiver_id string, ts string, movement_amount double")
+    s = s.withColumn("fecha_hora_ts", F.col("ts").cast("timestamp")).withColumn("month_id", F.substring("ts", 1, 7)).withColumns({"timeframe_periodo": F.lit("todo_el_tiempo"), "risk_score": F.lit(1.0), "sig_smurf": F.lit(True)})
+    assert questions.q12(s).count() == 60
+    assert questions.q12(s, min_months=3).count() == 60
+    assert questions.q12(s, min_months=4).count() == 25
+    assert questions.q14(s).count() == 60
+    assert questions.q14(s.where("month_id < '2024-03'")).count() == 60
+    assert questions.q14(s.where("month_id < '2024-02'")).count() == 25
