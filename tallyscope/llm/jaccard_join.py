@@ -127,14 +127,14 @@ def may_link(n: Column, at: Column, m: Column, m_at: Column) -> Column:
 
 
 def links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The (a, b) of pairs that link, by the exact overlap of their shared shingles."""
+    """The (a, b) of pairs that link, and the exact overlap of their shared shingles."""
     pairs = written(pairs, "pairs")
     nodes = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     joined = pairs.join(left, "a").join(right, "b").withColumn("both", both)
-    return joined.where(100 * F.col("both") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+    return joined.where(100 * F.col("both") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b", F.col("both").cast("long").alias("overlap"))
 
 
 def labelled(prefix: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -165,6 +165,12 @@ def leader_pairs(entries: DataFrame, turn: int) -> DataFrame:
     return votes.groupBy("node").agg(F.max(F.struct("votes", "leader")).alias("v")).select(F.col("node").alias("a"), F.col("v.leader").alias("b"))
 
 
+def alike() -> Column:
+    """Do the parity maps px and py of sets of nx and ny shingles differ in no more bits than linked sets can differ in shingles?"""
+    differ = sum((F.bit_count(F.get("px", F.lit(i)).bitwiseXOR(F.get("py", F.lit(i)))) for i in range(PARITY_BITS // 64)), F.lit(0))
+    return differ <= F.col("nx") + F.col("ny") - 2 * least_overlap(F.col("nx"), F.col("ny"))
+
+
 def remaining_pairs(entries: DataFrame, parity: DataFrame) -> DataFrame:
     """Distinct (a, b) in different components that may link at some shingle.
 
@@ -177,12 +183,19 @@ def remaining_pairs(entries: DataFrame, parity: DataFrame) -> DataFrame:
     left = entries.join(widest, "shingle").where("component <> widest").select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("component").alias("cx"), F.col("parity").alias("px"), "widest")
     right = entries.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("at").alias("iy"), F.col("component").alias("cy"), F.col("parity").alias("py"))
     apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("widest")) | (F.col("x") < F.col("y")))
-    differ = sum((F.bit_count(F.get("px", F.lit(i)).bitwiseXOR(F.get("py", F.lit(i)))) for i in range(PARITY_BITS // 64)), F.lit(0))
-    like = differ <= F.col("nx") + F.col("ny") - 2 * least_overlap(F.col("nx"), F.col("ny"))
-    met = left.join(right, "shingle").where(apart & may_link(F.col("nx"), F.col("ix"), F.col("ny"), F.col("iy")) & like)
+    met = left.join(right, "shingle").where(apart & may_link(F.col("nx"), F.col("ix"), F.col("ny"), F.col("iy")) & alike())
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def prefix_pairs(prefix: DataFrame, parity: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of all pairs that may link at some shingle, whatever their components."""
+    entries = prefix.join(parity, "node")
+    left = entries.select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("parity").alias("px"))
+    right = entries.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("at").alias("iy"), F.col("parity").alias("py"))
+    met = left.join(right, "shingle").where((F.col("x") < F.col("y")) & may_link(F.col("nx"), F.col("ix"), F.col("ny"), F.col("iy")) & alike())
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
 def node_components(nodes: DataFrame, parity: DataFrame) -> DataFrame:
     """node, component for the nodes that link with another; the others are left out."""
     prefix = written(prefixes(nodes), "prefixes")
@@ -190,25 +203,51 @@ def node_components(nodes: DataFrame, parity: DataFrame) -> DataFrame:
     for turn in range(LEADER_ROUNDS + 1):
         entries = written(mixed_lists(labelled(prefix, components)), "lists")
         pairs = leader_pairs(entries, turn) if turn < LEADER_ROUNDS else remaining_pairs(entries, parity)
-        found = written(links(pairs, nodes), "links")
+        found = written(links(pairs, nodes).select("a", "b"), "links")
         edges = found if edges is None else edges.unionByName(found)
         components = written(connected(edges), "components")
         prefix = entries.drop("component")
     return components
 
 
-def join_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
-    keys = written(set_keys(docs), "keys")
+def sharing_nodes(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes that share enough to link (see shared_entries), and node, parity of these."""
     nodes = written(shared_entries(incidence(docs)), "nodes")
     parity = keys.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("parity").alias("parity"))
-    components = node_components(nodes, written(parity, "parity"))
+    return nodes, written(parity, "parity")
+
+
+def members(keys: DataFrame, components: DataFrame) -> DataFrame:
+    """keys with component (null: no shingles) and component_id."""
     least = keys.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = least.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = named.select(F.col("node").alias("_node"), "component").join(smallest, "component").select("_node", "component_id")
-    joined = keys.join(by_node, keys["node"] == F.col("_node"), "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    by_node = named.select(F.col("node").alias("_node"), "component").join(smallest, "component").select("_node", "component", "component_id")
+    joined = keys.join(by_node, keys["node"] == F.col("_node"), "left").drop("_node")
+    return joined.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def join_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs."""
+    keys = written(set_keys(docs), "keys")
+    return members(keys, node_components(*sharing_nodes(docs, keys))).select("doc_id", "n_shingles", "component_id")
+
+
+def join_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The join itself: (a, b, overlap), a < b, for every pair of different texts that link, and the membership of every row.
+
+    Texts are named by node, so rows with equal sets are one end of a pair. The membership has doc_id, n_shingles, node,
+    component_id, n_links (other texts that this one links with) and n_copies (other rows with the same set). The pairs of a
+    group of near copies grow with the square of its different texts: where only components are asked for, take join_documents.
+    """
+    keys = written(set_keys(docs), "keys")
+    nodes, parity = sharing_nodes(docs, keys)
+    pairs = written(links(prefix_pairs(written(prefixes(nodes), "prefixes"), parity), nodes), "links")
+    counts = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    copies = keys.where("node is not null").groupBy("node").agg((F.count(F.lit(1)) - 1).alias("n_copies"))
+    rows = members(keys, written(connected(pairs.select("a", "b")), "components")).join(copies.join(counts, "node", "left"), "node", "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return pairs, rows.select("doc_id", "n_shingles", "node", "component_id", none("n_links"), none("n_copies"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
