@@ -57,15 +57,17 @@ def parity_map(shingles: np.ndarray) -> list[int]:
     return np.packbits((np.bincount(places, minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64).tolist()
 
 
-def set_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, node (null: no shingles), n_shingles and the parity map (see parity_map) per row."""
+def set_keys(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, node (null: no shingles), n_shingles and the parity map (see parity_map) per row, and its long `row` if named."""
+    more = [row] if row else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             sets = shingle_sets(batch.column("_text").to_pylist(), SHINGLE_WORDS)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "node": pa.array([set_key(s) for s in sets], pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "parity": pa.array([parity_map(s) for s in sets], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in more}, "doc_id": batch.column("doc_id"), "node": pa.array([set_key(s) for s in sets], pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "parity": pa.array([parity_map(s) for s in sets], pa.list_(pa.int64()))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, "doc_id long, node long, n_shingles long, parity array<long>")
+    schema = "".join(f"{c} long, " for c in more) + "doc_id long, node long, n_shingles long, parity array<long>"
+    return docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def incidence(docs: DataFrame) -> DataFrame:
@@ -251,21 +253,18 @@ def join_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with the columns of docs.
+    """One row of each component, the one with the smallest doc_id (rows without one come last), with the columns of docs.
 
-    Rows that share a doc_id count as one document: one of them stays if any is its component's smallest.
-    Documents without shingles, and rows without a doc_id (nothing names them), all stay. Only doc_ids are joined;
-    texts are shuffled only if the ids to drop are too many for a broadcast join, or if doc_ids repeat.
+    Rows are told apart by an id that they get as they are written once, not by doc_id: rows that share a doc_id, or have none,
+    are judged by their own texts. Rows without shingles all stay. Texts are shuffled only if the rows to drop are too many for
+    a broadcast join.
     """
-    found = written(join_documents(docs), "joined")
-    by_id = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count(F.lit(1)).alias("rows"))
-    by_id = written(by_id.where("not stays or rows > 1"), "changed")
-    kept = docs.join(by_id.where("not stays").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    repeated = by_id.where("stays and rows > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    keys = written(set_keys(rows, "_row"), "keys")
+    found = written(members(keys, node_components(*sharing_nodes(rows, keys))).where("n_shingles > 0").select("_row", "doc_id", "component"), "joined")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))["_row"].alias("_row"))
+    dropped = written(found.select("_row").join(first.select("_row"), "_row", "left_anti"), "dropped")
+    return rows.join(dropped, "_row", "left_anti").select(docs.columns)
 
 
 ORACLE_SQL = r"""

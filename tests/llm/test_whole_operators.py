@@ -49,3 +49,14 @@ def test_jaccard_gives_every_link(spark):
         assert (r["n_links"], r["n_copies"]) == ((degree[x], copies[x] - 1) if x else (0, 0))
     same = jaccard_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["component_id"]) for r in same} == {(r["doc_id"], r["component_id"]) for r in found}
+
+
+def test_keep_one_goes_by_row(spark):
+    def near(k, i):
+        return " ".join(f"t{k}_{j}" if j != i else "other" for j in range(60))
+
+    rows = [(1, near(0, -1)), (7, near(0, 5)), (7, near(1, -1)), (None, near(2, -1)), (None, near(2, 9)), (None, near(1, 3)), (8, near(3, 1)), (8, near(3, 1)), (9, ""), (9, None), (9, near(0, 7)), (None, "")]
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, place int").repartition(5)
+    got = sorted(r["place"] for r in jaccard_join.keep_one(df).select("place").collect())
+    assert [p for p in got if p not in (3, 4, 6, 7)] == [0, 2, 8, 9, 11]
+    assert len({3, 4} & set(got)) == len({6, 7} & set(got)) == 1 and len(got) == 7
