@@ -36,8 +36,6 @@ CUTOFFS = {
 }
 RISK = 0.01
 DELTA = 0.05
-#: Beyond so many labelled rows in a stratum the binomial tail is bounded by Chernoff's inequality, which is never below it.
-EXACT_ROWS = 1_000_000
 #: Up to this many strata their cutoffs are broadcast; beyond it they are joined by shuffle.
 BROADCAST_STRATA = 10_000
 
@@ -103,7 +101,7 @@ def measures() -> dict[str, Column]:
 
 
 def log_tail(n: Column, k: Column, risk: float) -> Column:
-    """log P(Binomial(n, risk) <= k), for k < n * risk."""
+    """log P(Binomial(n, risk) <= k), for k < n * risk: k steps at any n."""
     odds = math.log(risk / (1 - risk))
 
     def step(a: Column, i: Column) -> Column:
@@ -112,10 +110,7 @@ def log_tail(n: Column, k: Column, risk: float) -> Column:
         return F.struct(term.alias("term"), (top + F.log(F.exp(a["sum"] - top) + F.exp(term - top))).alias("sum"))
 
     first = n * F.lit(math.log(1 - risk))
-    exact = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), F.struct(first.alias("term"), first.alias("sum")), step, lambda a: a["sum"])
-    q = k / n
-    entropy = F.when(k > 0, q * F.log(q / risk)).otherwise(0.0) + (1 - q) * F.log((1 - q) / (1 - risk))
-    return F.when(n <= EXACT_ROWS, exact).otherwise(-n * entropy)
+    return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), F.struct(first.alias("term"), first.alias("sum")), step, lambda a: a["sum"])
 
 
 def certified_cutoffs(good: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:

@@ -1,13 +1,13 @@
 """The operators' whole jobs against plain Python."""
 
 import itertools
+import math
 import random
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
-from tallyscope.llm import html_crf, jaccard_join, quality_rules
+from tallyscope.llm import jaccard_join, quality_rules
 
 
 def shingles_of(text):
@@ -60,3 +60,11 @@ def test_keep_one_goes_by_row(spark):
     got = sorted(r["place"] for r in jaccard_join.keep_one(df).select("place").collect())
     assert [p for p in got if p not in (3, 4, 6, 7)] == [0, 2, 8, 9, 11]
     assert len({3, 4} & set(got)) == len({6, 7} & set(got)) == 1 and len(got) == 7
+
+
+def test_binomial_tail_is_exact_beyond_a_million_rows(spark):
+    n, k, risk = 1_500_000, 14_750, 0.01
+    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(risk) + (n - i) * math.log(1 - risk) for i in range(k + 1)]
+    want = max(terms) + math.log(math.fsum(math.exp(t - max(terms)) for t in terms))
+    got = spark.range(1).select(quality_rules.log_tail(F.lit(n).cast("long"), F.lit(k).cast("long"), risk).alias("p")).first()["p"]
+    assert abs(got - want) < 1e-6
