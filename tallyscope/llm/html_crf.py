@@ -37,10 +37,18 @@ EPOCHS = 25
 BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose content is never text of the page.
-SKIPPED = frozenset("script style template noscript head iframe svg object textarea select button option canvas audio video math".split())
+SKIPPED = frozenset("script style template noscript head iframe svg textarea select option canvas audio video".split())
+#: Elements whose content is no markup: all up to their own end tag. Unclosed, they take the rest of the page, but for noscript.
+RAW = frozenset("script style textarea iframe noscript title".split())
+#: Elements that a head may hold; any other one, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
+#: Elements that may stand in a select or option, and blocks that do not end a paragraph.
+IN_SELECT = frozenset("option button legend hr".split())
+IN_PARAGRAPH = frozenset("option button".split())
 #: An element that a new start tag of the same family ends.
-ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -66,7 +74,13 @@ def leaf_blocks(html: str) -> list[Block]:
     texts: list[str] = []
     path: tuple = ()
     links = 0
-    skip = ""
+
+    def hidden() -> bool:
+        return any(s[0] in SKIPPED for s in stack)
+
+    def close(tag: str) -> None:
+        while stack.pop()[0] != tag:
+            pass
 
     def flush() -> None:
         nonlocal texts, links
@@ -78,7 +92,9 @@ def leaf_blocks(html: str) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal path, links
-        if raw and (texts or not raw.isspace()):
+        if raw.strip() and stack and stack[-1][0] == "head":
+            stack.pop()
+        if raw and (texts or not raw.isspace()) and not hidden():
             if not texts:
                 path = tuple(stack)
             texts.append(raw)
@@ -86,51 +102,49 @@ def leaf_blocks(html: str) -> list[Block]:
                 links += len(raw)
 
     at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() < at:
-            continue
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        tag = (tag or "").lower()
-        if skip:
-            if closing and tag == skip:
-                skip = ""
-                at = m.end()
-            elif skip == "head" and tag == "body":
-                skip = ""
-            else:
-                continue
-            if closing:
-                continue
-        elif m.start() > at:
+    while m := _TOKEN.search(html, at):
+        if m.start() > at:
             add(html[at : m.start()])
         at = m.end()
+        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        tag = (tag or "").lower()
         if not tag:
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag == "head":
             flush()
         if closing:
-            if tag == "p" or any(s[0] == tag for s in stack):
-                while stack and any(s[0] == tag for s in stack):
-                    if stack.pop()[0] == tag:
-                        break
-        else:
-            if tag in SKIPPED and not attributes.rstrip().endswith("/"):
+            if any(s[0] == tag for s in stack):
+                close(tag)
+            continue
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            stack.pop()
+        if tag in BLOCKS and any(s[0] in ("select", "option") for s in stack) and tag not in IN_SELECT:
+            # a block that a select cannot hold: it was never closed
+            close("select" if any(s[0] == "select" for s in stack) else "option")
+        if tag in BLOCKS and any(s[0] == "svg" for s in stack) and not any(s[0] == "foreignobject" for s in stack):
+            close("svg")
+        if tag in SKIPPED or tag in RAW and hidden():
+            if tag not in ("option", "head"):
                 flush()
-                skip = tag
-                continue
-            if tag in VOID:
+            if attributes.rstrip().endswith("/"):
                 continue
-            if tag in BLOCKS and any(s[0] == "p" for s in stack):
-                while stack.pop()[0] != "p":
-                    pass
-            ends = ENDS.get(tag)
-            if ends and stack and stack[-1][0] in ends:
-                while stack and stack[-1][0] in ends:
-                    stack.pop()
-            stack.append((tag, _names(attributes), "data-main" in attributes))
-    if not skip and at < len(html):
-        tail = html[at:]
-        add(tail)
+            if tag in RAW:
+                end = _RAW_ENDS[tag].search(html, at)
+                if end or tag != "noscript":
+                    at = end.start() if end else len(html)
+                    continue
+                tag = "noscript-unclosed"
+        if tag in VOID:
+            continue
+        if tag in BLOCKS and tag not in IN_PARAGRAPH and any(s[0] == "p" for s in stack) and not hidden():
+            close("p")
+        ends = ENDS.get(tag)
+        if ends and stack and stack[-1][0] in ends:
+            while stack and stack[-1][0] in ends:
+                stack.pop()
+        stack.append((tag, _names(attributes), "data-main" in attributes))
+    if at < len(html):
+        add(html[at:])
     flush()
     return out
 

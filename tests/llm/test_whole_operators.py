@@ -5,9 +5,10 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallyscope.llm import jaccard_join, quality_rules
+from tallyscope.llm import html_crf, jaccard_join, quality_rules
 
 
 def shingles_of(text):
@@ -68,3 +69,20 @@ def test_binomial_tail_is_exact_beyond_a_million_rows(spark):
     want = max(terms) + math.log(math.fsum(math.exp(t - max(terms)) for t in terms))
     got = spark.range(1).select(quality_rules.log_tail(F.lit(n).cast("long"), F.lit(k).cast("long"), risk).alias("p")).first()["p"]
     assert abs(got - want) < 1e-6
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<body><p>one</p><script>for(i=0;i<n;i++){f(i)}</script><p>two</p>", ["one", "two"]),
+    ("<body><p>one</p><script>s = '<!-- <p>';</script><p>two</p>", ["one", "two"]),
+    ("<head><title>t < u</title><meta a><h1>one</h1><p>two", ["one", "two"]),
+    ("<html><head><style>p > a {}</style>one<p>two", ["one", "two"]),
+    ("<div><select><option>x<option>y</div><p>one</p>", ["one"]),
+    ("<select><option>x<p>one</p>", ["one"]),
+    ("<div><svg><path d=''></div><p>one</p>", ["one"]),
+    ("<div><svg><path d=''><p>one</p>", ["one"]),
+    ("<p>a <select><option>x</option></select> b</p><textarea><p>no</textarea><p>c", ["a", "b", "c"]),
+    ("<p>let <math><mi>x</mi></math> be</p><object><p>kept</p></object><button>go</button>", ["let x be", "kept", "go"]),
+    ("<noscript>one<p>two", ["one", "two"]),
+])
+def test_html_loses_no_block(html, want):
+    assert [b.text for b in html_crf.leaf_blocks(html)] == want
