@@ -22,11 +22,10 @@ def micros() -> Column:
 
 def sender_baseline(tx: DataFrame) -> DataFrame:
     """A1, A2: mean, sample deviation and z of a sender's amounts. Deviation 0 or unknown gives z 0 (Q-4: the reference gives NaN)."""
-    by = Window.partitionBy("user_id")
-    mean, std = F.avg(AMOUNT).over(by), F.stddev_samp(AMOUNT).over(by)
+    stats = tx.groupBy(F.col("user_id").alias("_u")).agg(F.avg(AMOUNT).alias("feat_monto_mean"), F.stddev_samp(AMOUNT).alias("feat_monto_std"))
     known = F.coalesce(F.nullif(F.col("feat_monto_std"), F.lit(0.0)), F.lit(1.0))
     z = F.when(F.coalesce(F.col("feat_monto_std"), F.lit(0.0)) == 0, 0.0).otherwise((F.col(AMOUNT) - F.col("feat_monto_mean")) / known)
-    return tx.withColumn("feat_monto_mean", mean).withColumn("feat_monto_std", std).withColumn("feat_zscore_monto", z)
+    return tx.join(stats, tx["user_id"].eqNullSafe(F.col("_u")), "left").drop("_u").withColumn("feat_zscore_monto", z)
 
 
 def amount_flags(tx: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -58,18 +57,21 @@ def frequency(tx: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 def smurfing(tx: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Rows of a directed pair in a window of smurf_days whose sum reaches a threshold while every amount is below it.
 
-    Sums must stop at the row itself where times tie, so the order key is the time with the place
-    within the tie below it: exact up to 1,024 ties, and but for a row of exactly smurf_days and 1 µs.
+    A window runs from the first row of the last smurf_days to the row itself, ties by tx_id. Its sum, and its number of amounts
+    that are not below a threshold, are running totals at the row less those before the start, in decimals: exact for any number of ties.
     """
     by = Window.partitionBy(*PAIR)
     place = by.orderBy("fecha_hora_ts", "tx_id")
-    tie = F.row_number().over(Window.partitionBy(*PAIR, "fecha_hora_ts").orderBy("tx_id")) - 1
-    out = tx.withColumn("_rn", F.row_number().over(place)).withColumn("_kk", micros() * 1024 + tie)
-    back = by.orderBy("_kk").rangeBetween(-(p.smurf_days * DAY * 1024 + 1023), 0)
-    out = out.withColumn("_start", F.min("_rn").over(back)).withColumn("_sum", F.sum(AMOUNT).over(back)).withColumn("_max", F.max(AMOUNT).over(back))
-    met = text.any_of([(F.col("_sum") >= t) & (F.col("_max") < t) for t in p.smurf_thresholds])
-    first = F.min(F.when(met, F.col("_start"))).over(place.rowsBetween(0, Window.unboundedFollowing))
-    return out.withColumn("sig_smurf", F.coalesce(first <= F.col("_rn"), F.lit(False))).drop("_rn", "_kk", "_start", "_sum", "_max")
+    upto = place.rowsBetween(Window.unboundedPreceding, 0)
+    amount = F.coalesce(F.col(AMOUNT).try_cast("decimal(38,10)"), F.lit(0).cast("decimal(38,10)"))
+    tops = {f"n{i}": (F.col(AMOUNT) >= t).cast("long") for i, t in enumerate(p.smurf_thresholds)}
+    totals = {"_s": F.sum(amount).over(upto), **{f"_{k}": F.sum(c).over(upto) for k, c in tops.items()}}
+    out = tx.withColumn("_us", micros()).withColumn("_rn", F.row_number().over(place)).withColumns(totals)
+    before = F.struct("_rn", (F.col("_s") - amount).alias("s"), *[(F.col(f"_{k}") - c).alias(k) for k, c in tops.items()])
+    out = out.withColumn("_from", F.min(before).over(by.orderBy("_us").rangeBetween(-p.smurf_days * DAY, 0)))
+    met = text.any_of([(F.col("_s") - F.col("_from.s") >= F.lit(t)) & (F.col(f"_n{i}") == F.col(f"_from.n{i}")) for i, t in enumerate(p.smurf_thresholds)])
+    first = F.min(F.when(met, F.col("_from._rn"))).over(place.rowsBetween(0, Window.unboundedFollowing))
+    return out.withColumn("sig_smurf", F.coalesce(first <= F.col("_rn"), F.lit(False))).drop("_us", "_rn", "_from", *totals)
 
 
 def recurrent_day(tx: DataFrame, p: Params = DEFAULTS) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyscope import queries
+from tallyscope.operators import groups
 from tallyscope.plans import questions
 
 SF = "/root/testdata/sf0.01"
@@ -60,3 +61,11 @@ def test_all_passing_pairs_count(spark):
     assert questions.q14(s).count() == 60
     assert questions.q14(s.where("month_id < '2024-03'")).count() == 60
     assert questions.q14(s.where("month_id < '2024-02'")).count() == 25
+
+
+def test_smurfing_beyond_1024_ties(spark):
+    """1,500 transfers at one time: the row of exactly seven days before counts for all of them."""
+    rows = [("a", "2024-01-01 00:00:00", 9000.0)] + [(f"b{i:04d}", "2024-01-08 00:00:00", 0.5) for i in range(1499)] + [("c", "2024-01-08 00:00:00", 300.0)]
+    tx = spark.createDataFrame(rows, "tx_id string, ts string, movement_amount double").withColumns({"user_id": F.lit("A"), "receiver_id": F.lit("B"), "fecha_hora_ts": F.col("ts").cast("timestamp")})
+    assert groups.smurfing(tx).where("sig_smurf").count() == 1501
+    assert groups.smurfing(tx.where("tx_id <> 'c'")).where("sig_smurf").count() == 0
