@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import written
+from tallyscope.llm.common import Scratch, written
 
 
 def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -26,16 +26,24 @@ def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for every node of edges (a, b) of longs.
 
-    Each round is a few joins on hashed keys and is written to the shared folder; the number of rounds
-    grows with the logarithm of the longest chain. Only a count and a checksum reach the driver.
+    Each round is a few joins on hashed keys and is written to the shared folder, where the round before it is
+    removed; the number of rounds grows with the logarithm of the longest chain. Only a count and a checksum reach the driver.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark = edges.sparkSession
+    kept = Scratch(spark)
+    now = kept.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
         sums = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (sums["n"], sums["s"]) == state:
             break
         state = (sums["n"], sums["s"])
-        now = written(_toward_least(_toward_least(now, True), False), "edges")
+        following = Scratch(spark)
+        now = following.written(_toward_least(_toward_least(now, True), False))
+        kept.remove()
+        kept = following
     # every edge now leads from a node to the least of its component
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    both = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")))
+    out = written(both.groupBy("node").agg(F.min("component").alias("component")), "components")
+    kept.remove()
+    return out

@@ -1,94 +1,46 @@
 """Operator 4: join of documents whose shingle sets have a Jaccard similarity of at least 75 %.
 
-The document by shingle incidence is multiplied with its transpose in blocks: its entries are dealt by
-shingle, products are taken only where a bound on the sizes leaves room for the similarity, and overlaps
-are accumulated for the pairs that remain.
+The document by shingle incidence is multiplied with its transpose in blocks (see incidence.py). Products
+are taken only where a bound on the sizes leaves room for the similarity, overlaps are accumulated
+over the shingles of a pair, and pairs that cannot reach their bound any more are discarded.
 
 1. Documents with equal sets are one node, named by a hash of the set; each task emits a node once.
-2. Entries (shingle, node) are shuffled once. A shingle of a single node drops out: it can only add
-   to a union. A node of n shingles must share ceil(0.75 n) with any partner, so with fewer shared it
-   is alone; the others keep their shared shingles, rarest first.
-3. Two nodes that link share one of their first n - ceil(0.75 n) + 1 shingles in that order (prefix
-   filter), and at the first one they share, what follows in both must leave room for the overlap that
-   their sizes ask for (positional filter).
+2. Entries are dealt in blocks of columns. A shingle of a single row drops out: it can only add to a
+   union. A node of n shingles must share ceil(0.75 n) with any partner, so with fewer shared it is
+   alone; the others keep their shared shingles, rarest first.
+3. Two nodes that link share one of their first n - ceil(0.75 n) + 1 shingles in that order, so only
+   these columns are multiplied. A pair's overlap is summed over them; with what follows the last one
+   in both sets it must reach the overlap that the two sizes ask for, else the pair is discarded. A
+   pair is not formed at all where its sizes and places, or the parity maps of the two sets, rule it out.
 4. Only components are asked for, so pairs that cannot join two components are not multiplied. In a
    few rounds, each node meets one leader of its lists that is not yet in its component; then every
-   pair in different components that passes the filters is taken, in any list that still has several
+   pair in different components that passes the bounds is taken, in any list that still has several
    components. No list is cut and no pair left out.
-5. Overlaps of the pairs taken are counted exactly and links are 100 * |both| >= 75 * |either|.
+5. For the pairs left, the product is completed over all shared shingles: links are 100 * |both| >= 75 * |either|.
 
-Shingles and sets are compared by 64-bit hashes. Large lists are only ever partial sums or skewed
-joins, never one task's group.
+Sets are named by 64-bit hashes and shingles are compared by 48 bits of theirs: two different sets of n and m
+shingles seem to share one more with a chance of n * m / 2 ** 48. Columns that very many documents have are dealt
+to several tasks by node; whatever is known of a column is found by partial sums.
 
 Defined cases: a text of fewer than five words is one shingle; without words or with null text it has
-none, links with nothing and is its own component; rows with one doc_id are separate documents;
-a null doc_id is never the smallest of a component unless all are null; an empty table gives an empty result; only doc_id and text are read.
+none, links with nothing and is its own component; texts are read whole, and one of any
+length is a row of its own; rows with one doc_id are separate documents; a null doc_id is never the smallest of a component unless all are null; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import written
+from tallyscope.llm.common import Scratch, written
 from tallyscope.llm.components import connected
-from tallyscope.llm.sentencepiece_codec import text_slices
-from tallyscope.llm.shingles import mix, set_key, shingle_sets
+from tallyscope.llm.incidence import HASH_BITS, PARITY_BITS, read_sets, shared_rows
 
-SHINGLE_WORDS = 5
 PERCENT = 75
 #: Rounds in which nodes meet one leader, before all remaining pairs are taken.
 LEADER_ROUNDS = 2
-#: Bits of a node's parity map.
-PARITY_BITS = 512
-#: Bits of a shingle's hash beside the 5 bits of its frequency.
-ID_BITS = 58
-#: Set hashes that a task remembers so as to emit equal sets once.
-REMEMBERED = 200_000
-
-
-def parity_map(shingles: np.ndarray) -> list[int]:
-    """PARITY_BITS bits, each the parity of the shingles that hash to it, as longs: two maps differ in at most as many bits as the sets in shingles."""
-    places = (mix(shingles.view(np.uint64)) % np.uint64(PARITY_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(places, minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64).tolist()
-
-
-def set_keys(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """doc_id, node (null: no shingles), n_shingles and the parity map (see parity_map) per row, and its long `row` if named."""
-    more = [row] if row else []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            sets = shingle_sets(batch.column("_text").to_pylist(), SHINGLE_WORDS)
-            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in more}, "doc_id": batch.column("doc_id"), "node": pa.array([set_key(s) for s in sets], pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "parity": pa.array([parity_map(s) for s in sets], pa.list_(pa.int64()))})
-
-    schema = "".join(f"{c} long, " for c in more) + "doc_id long, node long, n_shingles long, parity array<long>"
-    return docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, schema)
-
-
-def incidence(docs: DataFrame) -> DataFrame:
-    """shingle, node, n: an entry per distinct shingle of each text, equal sets of a task once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in text_slices(batches):
-            new: list[tuple[int, np.ndarray]] = []
-            for s in shingle_sets(batch.column("_text").to_pylist(), SHINGLE_WORDS):
-                key = set_key(s)
-                if key is not None and key not in seen:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(key)
-                    new.append((key, s))
-            if new:
-                sizes = np.array([len(s) for _, s in new], dtype=np.int64)
-                yield pa.RecordBatch.from_pydict({"shingle": np.concatenate([s for _, s in new]), "node": np.repeat(np.array([k for k, _ in new], dtype=np.int64), sizes), "n": np.repeat(sizes, sizes)})
-
-    return docs.select(F.col("text").alias("_text")).mapInArrow(run, "shingle long, node long, n long")
+#: A list of more than about 2 ** LIST_BITS nodes is dealt to several tasks.
+LIST_BITS = 10
 
 
 def least_shared(n: Column) -> Column:
@@ -101,20 +53,6 @@ def least_overlap(n: Column, m: Column) -> Column:
     return F.floor((PERCENT * (n + m) + 99 + PERCENT) / (100 + PERCENT)).cast("long")
 
 
-def shared_entries(entries: DataFrame) -> DataFrame:
-    """node, n, shingles: its shingles of several nodes, rarest first, for nodes with enough of them.
-
-    A shingle becomes one long whose order is the order wanted: the logarithm of its number of nodes, then 58 bits of its hash.
-    """
-    # dealt by shingle once: both the distinct entries and the counts are made from that
-    one = entries.repartition("shingle").groupBy("shingle", "node").agg(F.first("n").alias("n"))
-    counted = one.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("df > 1")
-    rarity = F.shiftleft(F.least(F.floor(F.log2("df")), F.lit(31)).cast("long"), ID_BITS)
-    packed = rarity.bitwiseOR(F.col("shingle").bitwiseAND(F.lit((1 << ID_BITS) - 1)))
-    shared = counted.select("node", "n", packed.alias("shingle")).groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("shingle")).alias("shingles"))
-    return shared.where(F.size("shingles") >= least_shared(F.col("n")))
-
-
 def prefixes(nodes: DataFrame) -> DataFrame:
     """shingle, node, n, alone, at: the first n - ceil(0.75 n) + 1 shingles of each node in the order rarest first, at counting the ones before."""
     alone = F.col("n") - F.size("shingles")
@@ -128,9 +66,9 @@ def may_link(n: Column, at: Column, m: Column, m_at: Column) -> Column:
     return F.least(n - at, m - m_at) >= least_overlap(n, m)
 
 
-def links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def links(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """The (a, b) of pairs that link, and the exact overlap of their shared shingles."""
-    pairs = written(pairs, "pairs")
+    pairs = scratch.written(pairs)
     nodes = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
@@ -147,14 +85,40 @@ def labelled(prefix: DataFrame, components: DataFrame | None) -> DataFrame:
     return prefix.join(found, "node", "left").withColumn("component", F.coalesce("_component", "node")).drop("_component")
 
 
+def tasks_of(shingle: Column) -> Column:
+    """Tasks that a shingle's list is dealt to, by the logarithm of its length that the shingle carries."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.shiftright(shingle, HASH_BITS) - LIST_BITS, F.lit(0)).cast("int"))
+
+
+def with_list(entries: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
+    """entries joined with one row per shingle; a long list is dealt by node, and its row goes to each of its tasks."""
+    dealt = entries.withColumn("_task", F.pmod(F.xxhash64("node"), tasks_of(F.col("shingle"))))
+    everywhere = lists.withColumn("_task", F.explode(F.sequence(F.lit(0).cast("long"), tasks_of(F.col("shingle")) - 1)))
+    return dealt.join(everywhere, ["shingle", "_task"], how).drop("_task")
+
+
 def mixed_lists(entries: DataFrame) -> DataFrame:
     """Entries of the shingles whose nodes are in more than one component."""
     mixed = entries.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    return entries.join(mixed, "shingle", "left_semi")
+    return with_list(entries, mixed, "left_semi")
+
+
+def overlaps(met: DataFrame) -> DataFrame:
+    """The pairs (a, b), a < b, whose overlap can still reach its bound.
+
+    met has a row (x, y) for each prefix shingle that both have, with their sizes nx, ny and its places ix, iy in them. All
+    that a pair shares up to the last of these places was met, and the rest follows that place in both.
+    """
+    swap = F.col("x") > F.col("y")
+    side = lambda one, other: F.when(swap, F.col(other)).otherwise(F.col(one))
+    pairs = met.select(side("x", "y").alias("a"), side("y", "x").alias("b"), side("nx", "ny").alias("n_a"), side("ny", "nx").alias("n_b"), side("ix", "iy").alias("i_a"), side("iy", "ix").alias("i_b"))
+    sums = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.max("i_a").alias("i_a"), F.max("i_b").alias("i_b"))
+    room = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) - 1
+    return sums.where(F.col("overlap") + room >= least_overlap(F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
 def leader_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """(a, b): for each node, the leader it meets in most of its lists.
+    """(a, b): for each node, the leader with which it shares most prefix shingles.
 
     A list's leader is at first the node with the fewest shingles of its own, as a text is most like the one that its copies
     were made from; in later turns it is the least by a hash that changes every turn.
@@ -162,7 +126,7 @@ def leader_pairs(entries: DataFrame, turn: int) -> DataFrame:
     order = F.xxhash64("node", F.lit(turn))
     rank = F.struct((F.lit(0) if turn else F.col("alone")).cast("long").alias("r"), order.alias("h"), "node", "n", "at", "component")
     leaders = entries.groupBy("shingle").agg(F.min(rank).alias("l"))
-    met = entries.join(leaders, "shingle").where((F.col("component") != F.col("l.component")) & may_link(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at")))
+    met = with_list(entries, leaders).where((F.col("component") != F.col("l.component")) & may_link(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at")))
     votes = met.groupBy("node", F.col("l.node").alias("leader")).agg(F.count(F.lit(1)).alias("votes"))
     return votes.groupBy("node").agg(F.max(F.struct("votes", "leader")).alias("v")).select(F.col("node").alias("a"), F.col("v.leader").alias("b"))
 
@@ -182,11 +146,11 @@ def remaining_pairs(entries: DataFrame, parity: DataFrame) -> DataFrame:
     entries = entries.join(parity, "node")
     sizes = entries.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
     widest = sizes.groupBy("shingle").agg(F.max(F.struct("c", "component"))["component"].alias("widest"))
-    left = entries.join(widest, "shingle").where("component <> widest").select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("component").alias("cx"), F.col("parity").alias("px"), "widest")
+    left = with_list(entries, widest).where("component <> widest").select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("component").alias("cx"), F.col("parity").alias("px"), "widest")
     right = entries.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("at").alias("iy"), F.col("component").alias("cy"), F.col("parity").alias("py"))
     apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("widest")) | (F.col("x") < F.col("y")))
     met = left.join(right, "shingle").where(apart & may_link(F.col("nx"), F.col("ix"), F.col("ny"), F.col("iy")) & alike())
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return overlaps(met)
 
 
 def prefix_pairs(prefix: DataFrame, parity: DataFrame) -> DataFrame:
@@ -195,28 +159,35 @@ def prefix_pairs(prefix: DataFrame, parity: DataFrame) -> DataFrame:
     left = entries.select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("parity").alias("px"))
     right = entries.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("at").alias("iy"), F.col("parity").alias("py"))
     met = left.join(right, "shingle").where((F.col("x") < F.col("y")) & may_link(F.col("nx"), F.col("ix"), F.col("ny"), F.col("iy")) & alike())
-    return met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return overlaps(met)
 
 
-def node_components(nodes: DataFrame, parity: DataFrame) -> DataFrame:
+def node_components(nodes: DataFrame, parity: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component for the nodes that link with another; the others are left out."""
-    prefix = written(prefixes(nodes), "prefixes")
+    prefix = scratch.written(prefixes(nodes))
     edges, components = None, None
     for turn in range(LEADER_ROUNDS + 1):
-        entries = written(mixed_lists(labelled(prefix, components)), "lists")
+        entries = scratch.written(mixed_lists(labelled(prefix, components)))
         pairs = leader_pairs(entries, turn) if turn < LEADER_ROUNDS else remaining_pairs(entries, parity)
-        found = written(links(pairs, nodes).select("a", "b"), "links")
+        found = scratch.written(links(pairs, nodes, scratch).select("a", "b"))
         edges = found if edges is None else edges.unionByName(found)
-        components = written(connected(edges), "components")
+        components = connected(edges)
         prefix = entries.drop("component")
     return components
 
 
-def sharing_nodes(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes that share enough to link (see shared_entries), and node, parity of these."""
-    nodes = written(shared_entries(incidence(docs)), "nodes")
-    parity = keys.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("parity").alias("parity"))
-    return nodes, written(parity, "parity")
+def set_keys(docs: DataFrame, scratch: Scratch, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What tasks read of the texts (see read_sets), and doc_id, node, n_shingles and `row` per row of docs."""
+    sets = scratch.written(read_sets(docs, row))
+    return sets, written(sets.where("n_shingles >= 0").select(*([row] if row else []), "doc_id", "node", "n_shingles"), "keys")
+
+
+def sharing_nodes(docs: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The nodes that share enough to link and their shared shingles (see shared_rows), and node, parity of these."""
+    rows = shared_rows(docs, sets).where(F.size("shingles") >= least_shared(F.col("n")))
+    nodes = scratch.written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")))
+    parity = sets.where("n_shingles > 0").join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("parity").alias("parity"))
+    return nodes, scratch.written(parity)
 
 
 def members(keys: DataFrame, components: DataFrame) -> DataFrame:
@@ -231,8 +202,11 @@ def members(keys: DataFrame, components: DataFrame) -> DataFrame:
 
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    keys = written(set_keys(docs), "keys")
-    return members(keys, node_components(*sharing_nodes(docs, keys))).select("doc_id", "n_shingles", "component_id")
+    scratch = Scratch(docs.sparkSession)
+    sets, keys = set_keys(docs, scratch)
+    components = node_components(*sharing_nodes(docs, sets, scratch), scratch)
+    scratch.remove()
+    return members(keys, components).select("doc_id", "n_shingles", "component_id")
 
 
 def join_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -242,12 +216,15 @@ def join_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     component_id, n_links (other texts that this one links with) and n_copies (other rows with the same set). The pairs of a
     group of near copies grow with the square of its different texts: where only components are asked for, take join_documents.
     """
-    keys = written(set_keys(docs), "keys")
-    nodes, parity = sharing_nodes(docs, keys)
-    pairs = written(links(prefix_pairs(written(prefixes(nodes), "prefixes"), parity), nodes), "links")
+    scratch = Scratch(docs.sparkSession)
+    sets, keys = set_keys(docs, scratch)
+    nodes, parity = sharing_nodes(docs, sets, scratch)
+    pairs = written(links(prefix_pairs(scratch.written(prefixes(nodes)), parity), nodes, scratch), "links")
+    components = connected(pairs.select("a", "b"))
+    scratch.remove()
     counts = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     copies = keys.where("node is not null").groupBy("node").agg((F.count(F.lit(1)) - 1).alias("n_copies"))
-    rows = members(keys, written(connected(pairs.select("a", "b")), "components")).join(copies.join(counts, "node", "left"), "node", "left")
+    rows = members(keys, components).join(copies.join(counts, "node", "left"), "node", "left")
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return pairs, rows.select("doc_id", "n_shingles", "node", "component_id", none("n_links"), none("n_copies"))
 
@@ -259,12 +236,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     are judged by their own texts. Rows without shingles all stay. Texts are shuffled only if the rows to drop are too many for
     a broadcast join.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    keys = written(set_keys(rows, "_row"), "keys")
-    found = written(members(keys, node_components(*sharing_nodes(rows, keys))).where("n_shingles > 0").select("_row", "doc_id", "component"), "joined")
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))["_row"].alias("_row"))
-    dropped = written(found.select("_row").join(first.select("_row"), "_row", "left_anti"), "dropped")
-    return rows.join(dropped, "_row", "left_anti").select(docs.columns)
+    scratch = Scratch(docs.sparkSession)
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.monotonically_increasing_id().alias("row"))
+    rows = written(numbered, "rows")
+    texts = rows.select("row", "kept.doc_id", "kept.text")
+    sets, keys = set_keys(texts, scratch, "row")
+    components = node_components(*sharing_nodes(texts, sets, scratch), scratch)
+    found = scratch.written(members(keys, components).where("n_shingles > 0").select("row", "doc_id", "component"))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))["row"].alias("row"))
+    dropped = written(found.select("row").join(first.select("row"), "row", "left_anti"), "dropped")
+    scratch.remove()
+    return rows.join(dropped, "row", "left_anti").select("kept.*")
 
 
 ORACLE_SQL = r"""
