@@ -18,19 +18,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.llm.sentencepiece_codec import text_slices
 from tallyscope.llm.shingles import mix, set_key, shingle_sets
 
 SHINGLE_WORDS = 5
+PERCENT = 75
 #: Bits of a shingle's hash. Above them is the logarithm of the number of rows that have it, so the order of these longs is rarest first.
 HASH_BITS = 48
 ROW_BITS = 16
 #: Entries and rows of a buffer, and entries of a block.
 BUFFER_ENTRIES, BUFFER_ROWS = 2_000_000, 1 << ROW_BITS
-BLOCK_ENTRIES = 1_000_000
+BLOCK_ENTRIES = 2_000_000
 #: A shingle in more than 1 / HOT_SHARE of the rows is kept out of the blocks; at most HOT_LIMIT are, the most frequent ones.
 HOT_SHARE = 1000
 HOT_LIMIT = 100_000
@@ -142,14 +143,20 @@ def hot_shingles(sets: DataFrame, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 PIECES = "block long, buffer long, base long, hashes binary, rows binary, nodes binary, sizes binary, hot binary, hot_rows binary"
-ROWS = "row long, node long, n long, shingles array<long>"
+SHARED = "buffer long, rows binary, shingles binary, nodes binary, sizes binary"
+ROWS = "node long, n long, shingles array<long>"
+
+
+def arrow_of(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(c, kinds[kind]) for c, kind in (f.split() for f in schema.split(", "))])
 
 
 def pieces(docs: DataFrame, blocks: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Buffers cut into blocks of columns (see PIECES). One more piece of each buffer names its rows and holds their frequent shingles."""
     step = np.uint64((1 << HASH_BITS) // blocks)
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    arrow = pa.schema([(c, pa.int64() if kind == "long" else pa.binary()) for c, kind in (f.split() for f in PIECES.split(", "))])
+    arrow = arrow_of(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, packed = shared.value
@@ -191,48 +198,62 @@ def pieces(docs: DataFrame, blocks: int, hot: tuple[np.ndarray, np.ndarray]) ->
     return docs.select(F.col("text").alias("_text")).mapInArrow(run, PIECES)
 
 
-def by_row(rows: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Distinct rows and the list of the packed shingles of each."""
-    order = np.argsort(rows, kind="stable")
-    rows, packed = rows[order], packed[order]
-    starts, _ = runs(rows)
-    return rows[starts], pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), pa.array(packed))
-
-
 def shared_of_block(group: pa.Table) -> pa.Table:
-    """The entries of a block whose shingles several rows have, by row; of a group of buffer names, the rows themselves."""
-    hashes, rows, out = [], [], []
+    """The entries of a block whose shingles several rows have, packed by buffer; pieces that name rows are handed on."""
+    hashes, within, owners, out = [], [], [], []
     for p in group.to_pylist():
         if p["nodes"] is not None:
-            nodes, sizes = np.frombuffer(p["nodes"], dtype=np.int64), np.frombuffer(p["sizes"], dtype=np.int32).astype(np.int64)
-            names = (p["buffer"] << ROW_BITS) + np.arange(len(nodes))
-            out.append(pa.table({"row": names, "node": nodes, "n": sizes, "shingles": pa.nulls(len(nodes), pa.list_(pa.int64()))}))
-            if p["hot"]:
-                some, lists = by_row((p["buffer"] << ROW_BITS) + np.frombuffer(p["hot_rows"], dtype=np.uint16).astype(np.int64), np.frombuffer(p["hot"], dtype=np.int64))
-                out.append(pa.table({"row": some, "node": pa.nulls(len(some), pa.int64()), "n": pa.nulls(len(some), pa.int64()), "shingles": lists}))
+            out.append({"buffer": p["buffer"], "rows": p["hot_rows"], "shingles": p["hot"], "nodes": p["nodes"], "sizes": p["sizes"]})
             continue
-        within = np.frombuffer(p["rows"], dtype=np.uint16)
+        rows = np.frombuffer(p["rows"], dtype=np.uint16)
         steps = np.frombuffer(p["hashes"], dtype=np.uint32 if len(p["hashes"]) == 2 * len(p["rows"]) else np.uint64)
         hashes.append(np.cumsum(steps, dtype=np.int64) + p["base"])
-        rows.append((p["buffer"] << ROW_BITS) + within.astype(np.int64))
+        within.append(rows)
+        owners.append((p["buffer"], len(rows)))
     if hashes:
-        h, r = np.concatenate(hashes), np.concatenate(rows)
+        h = np.concatenate(hashes)
         order = np.argsort(h)
-        h, r = h[order], r[order]
-        starts, counts = runs(h)
-        packed = np.repeat(class_of(counts) << HASH_BITS, counts) | h
-        several = np.repeat(counts > 1, counts)
-        some, lists = by_row(r[several], packed[several])
-        out.append(pa.table({"row": some, "node": pa.nulls(len(some), pa.int64()), "n": pa.nulls(len(some), pa.int64()), "shingles": lists}))
-    return pa.concat_tables(out)
+        starts, counts = runs(h[order])
+        packed = np.empty(len(h), dtype=np.int64)
+        packed[order] = np.repeat(np.where(counts > 1, class_of(counts) << HASH_BITS, -1), counts)
+        at = 0
+        for (buffer, length), rows in zip(owners, within):
+            classes = packed[at : at + length]
+            several = classes >= 0
+            if several.any():
+                out.append({"buffer": buffer, "rows": rows[several].tobytes(), "shingles": (classes | h[at : at + length])[several].tobytes()})
+            at += length
+    return pa.Table.from_pylist(out, schema=arrow_of(SHARED))
+
+
+def rows_of_buffer(group: pa.Table) -> pa.Table:
+    """node, n and the shared shingles, rarest first, of the rows of a buffer that share at least least_shared of theirs."""
+    found = group.to_pylist()
+    rows = np.frombuffer(b"".join(p["rows"] for p in found if p["rows"]), dtype=np.uint16).astype(np.int64)
+    shingles = np.frombuffer(b"".join(p["shingles"] for p in found if p["shingles"]), dtype=np.int64)
+    named = next(p for p in found if p["nodes"] is not None)
+    nodes, sizes = np.frombuffer(named["nodes"], dtype=np.int64), np.frombuffer(named["sizes"], dtype=np.int32).astype(np.int64)
+    enough = np.bincount(rows, minlength=len(nodes)) >= least_shared(sizes)
+    kept = enough[rows]
+    rows, shingles = rows[kept], shingles[kept]
+    order = np.lexsort((shingles, rows))
+    rows, shingles = rows[order], shingles[order]
+    starts, _ = runs(rows)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), pa.array(shingles))
+    return pa.table({"node": nodes[rows[starts]], "n": sizes[rows[starts]], "shingles": lists})
+
+
+def least_shared(n: Column | np.ndarray) -> Column | np.ndarray:
+    """ceil(0.75 n): shingles that a set of n must share with any partner."""
+    return (PERCENT * n + 99) // 100 if isinstance(n, np.ndarray) else F.floor((PERCENT * n + 99) / 100).cast("long")
 
 
 def shared_rows(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, n, shingles: each different set of docs and its shingles that others have too, rarest first. sets: read_sets of docs, written."""
+    """node, n, shingles: sets of docs that share enough to link, with the shingles that others have too, rarest first.
+
+    sets: read_sets of docs, written. Equal sets of different tasks are rows of their own.
+    """
     total = sets.where("n_shingles > 0").agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("entries")).first()
     blocks = -(-total["entries"] // BLOCK_ENTRIES) or 1
     dealt = pieces(docs, blocks, hot_shingles(sets, total["rows"]))
-    found = dealt.groupBy("block").applyInArrow(shared_of_block, ROWS)
-    # a row has one entry per block, so lists are as long as its set
-    rows = found.groupBy("row").agg(F.max("node").alias("node"), F.max("n").alias("n"), F.flatten(F.collect_list("shingles")).alias("shingles"))
-    return rows.select("node", "n", F.array_sort("shingles").alias("shingles"))
+    return dealt.groupBy("block").applyInArrow(shared_of_block, SHARED).groupBy("buffer").applyInArrow(rows_of_buffer, ROWS)

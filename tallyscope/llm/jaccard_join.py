@@ -34,18 +34,14 @@ from pyspark.sql import functions as F
 
 from tallyscope.llm.common import Scratch, written
 from tallyscope.llm.components import connected
-from tallyscope.llm.incidence import HASH_BITS, PARITY_BITS, read_sets, shared_rows
+from tallyscope.llm.incidence import HASH_BITS, PARITY_BITS, PERCENT, least_shared, read_sets, shared_rows
 
-PERCENT = 75
 #: Rounds in which nodes meet one leader, before all remaining pairs are taken.
 LEADER_ROUNDS = 2
 #: A list of more than about 2 ** LIST_BITS nodes is dealt to several tasks.
 LIST_BITS = 10
-
-
-def least_shared(n: Column) -> Column:
-    """ceil(0.75 n): shingles that a set of n must share with any partner."""
-    return F.floor((PERCENT * n + 99) / 100).cast("long")
+#: Rows of one set that are more than 1 / HOT_SHARE of all are joined by broadcast, fewer than HOT_SHARE rows.
+HOT_SHARE = 1000
 
 
 def least_overlap(n: Column, m: Column) -> Column:
@@ -184,20 +180,27 @@ def set_keys(docs: DataFrame, scratch: Scratch, row: str | None = None) -> tuple
 
 def sharing_nodes(docs: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The nodes that share enough to link and their shared shingles (see shared_rows), and node, parity of these."""
-    rows = shared_rows(docs, sets).where(F.size("shingles") >= least_shared(F.col("n")))
-    nodes = scratch.written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")))
-    parity = sets.where("n_shingles > 0").join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("parity").alias("parity"))
+    nodes = scratch.written(shared_rows(docs, sets).groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")))
+    parity = sets.where("n_shingles > 0").groupBy("node").agg(F.first("parity").alias("parity")).join(nodes.select("node"), "node", "left_semi")
     return nodes, scratch.written(parity)
 
 
 def members(keys: DataFrame, components: DataFrame) -> DataFrame:
-    """keys with component (null: no shingles) and component_id."""
-    least = keys.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    """keys with component (null: no shingles) and component_id.
+
+    Sets that very many rows have are joined by broadcast, so their rows stay where they are; rows without shingles are not joined.
+    """
+    least = keys.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
     named = least.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = named.select(F.col("node").alias("_node"), "component").join(smallest, "component").select("_node", "component", "component_id")
-    joined = keys.join(by_node, keys["node"] == F.col("_node"), "left").drop("_node")
-    return joined.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    by_node = written(named.select("node", "component", "rows").join(smallest, "component"), "named")
+    often = F.col("rows") * HOT_SHARE > keys.count()
+    # fewer than HOT_SHARE rows
+    hot = F.broadcast(by_node.where(often).select("node", "component", "component_id"))
+    few = keys.where("node is not null").join(hot.select("node"), "node", "left_anti").join(by_node.where(~often).select("node", "component", "component_id"), "node")
+    columns = [*keys.columns, "component", "component_id"]
+    none = keys.where("node is null").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    return few.select(columns).unionByName(keys.join(hot, "node").select(columns)).unionByName(none.select(columns))
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
