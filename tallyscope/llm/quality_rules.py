@@ -10,8 +10,8 @@ cutoff in use wrongly rejects at most RISK of the good documents. A stratum with
 certifies nothing and loses nothing beyond the base rules.
 
 Defined cases: null text has no words and fails the base rules; a null stratum is a stratum of its own; repeated rows
-get equal verdicts; a document labelled twice is good only if all its labels say so; an empty
-table gives an empty result; columns other than doc_id, text, the stratum and the labels are ignored.
+get equal verdicts; a document labelled twice is good only if all its labels say so; texts of any
+length are read whole; an empty table gives an empty result; columns other than doc_id, text, the stratum and the labels are ignored.
 """
 
 from __future__ import annotations
@@ -151,12 +151,12 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFram
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of docs that pass, with the columns of docs.
 
-    Texts are not shuffled: labelled documents alone set the cutoffs, and every row is judged where it is read.
+    Features are computed once and written beside their rows, so texts are not shuffled: cutoffs are learned
+    from the narrow columns, and each row is judged where it lies.
     """
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = base_features(docs.withColumn("_row", row), stratum, ["_row"])
-    return with_cutoffs(rows, base_features(labelled, stratum), labels).where("kept").select("_row.*")
+    rows = written(base_features(docs.withColumn("_row", row), stratum, ["_row"]), "judged")
+    return with_cutoffs(rows, rows.drop("_row"), labels).where("kept").select("_row.*")
 
 
 ORACLE_SQL = r"""
