@@ -3,15 +3,19 @@
 Sizes are summed per source; a source's repetition rate is its target over its size; a document is
 emitted floor(rate) times, and once more when a hash-seeded draw falls below the fraction.
 
+A row's draw depends on its doc_id alone where no other row has that id. Rows that share an id, or have
+none, also draw by their text, and equal rows of these by their number among equals, so they are drawn
+independently and reruns still agree.
+
 Defined cases: a null source is a source of its own, last in order; a null or wordless text has size
-0 (its copies count as nothing); repeated rows share their draw, so they are kept or left together;
-an empty table gives an empty mix. Only doc_id, text and source are read; other columns pass through
+0 (its copies count as nothing); texts of any length are read whole; an empty table gives an empty mix.
+Only doc_id, text and source are read; other columns, whatever their names, pass through
 `mix_documents` untouched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.llm.common import global_rank, word_count, written
@@ -20,6 +24,8 @@ WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
 #: Up to this many sources their targets are broadcast; beyond it they are joined by shuffle.
 BROADCAST_SOURCES = 50_000
+#: Equal rows with one doc_id are numbered in so many parts.
+EQUAL_PARTS = 256
 #: 13 hex digits of an MD5 make a draw of 52 bits, exact in a double.
 DRAW_DIGITS = 13
 
@@ -64,24 +70,52 @@ def copies(rate: Column, key: Column, seed: str) -> Column:
     return (whole + F.when(draw(key, seed) < rate - whole, 1).otherwise(0)).cast("long")
 
 
+def draw_keys(rows: DataFrame) -> DataFrame:
+    """rows (row, doc_id, source, digest of the text, size) with `_key`, what a row's draw depends on.
+
+    Rows with an id of their own are not moved. The others are counted by group and part, so a group with a third
+    of the rows is numbered in EQUAL_PARTS tasks.
+    """
+    shared_ids = written(rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "shared-ids")
+    part = F.pmod(F.xxhash64("row"), F.lit(EQUAL_PARTS))
+    # a struct holds nulls apart from values
+    group = F.struct("doc_id", "source", "digest")
+    some = rows.join(shared_ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("row", "digest", F.xxhash64(F.to_json(group)).alias("_group"), part.alias("_part"))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = some.groupBy("_group", "_part").count().select("_group", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_group", "_part").orderBy("row")) - 1
+    numbered = some.withColumn("_place", place).join(starts, ["_group", "_part"]).select("row", F.concat("digest", F.lit("|"), (F.col("_place") + F.col("_start")).cast("string")).alias("_more"))
+    known = rows.join(written(numbered, "numbered"), "row", "left")
+    return known.withColumn("_key", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("_more", F.lit("")))).drop("_more")
+
+
+def row_copies(rows: DataFrame, seed: str) -> DataFrame:
+    """draw_keys of rows with source_size, target and copies."""
+    joined = draw_keys(rows).join(source_targets(rows), F.col("source").eqNullSafe(F.col("_source")))
+    return joined.withColumn("copies", copies(F.col("_rate"), F.col("_key"), seed))
+
+
+def mix_columns(docs: DataFrame) -> list[Column]:
+    return [F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("source"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"), word_count(F.col("text")).alias("size")]
+
+
 def plan_mix(docs: DataFrame, seed: str = "mix-1") -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken per row of docs."""
-    slim = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix")
-    joined = slim.join(source_targets(slim), F.col("source").eqNullSafe(F.col("_source")))
-    out = joined.withColumn("copies", copies(F.col("_rate"), F.col("doc_id"), seed))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    planned = row_copies(written(docs.select(*mix_columns(docs)), "mix"), seed)
+    return planned.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, seed: str = "mix-1") -> DataFrame:
-    """The mix itself: rows of docs, repeated or left out."""
-    sizes = docs.select("source", word_count(F.col("text")).alias("size"))
-    joined = docs.join(source_targets(sizes).select("_source", "_rate"), docs["source"].eqNullSafe(F.col("_source")))
-    repeated = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies(F.col("_rate"), docs["doc_id"], seed).cast("int"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    """The mix itself: rows of docs, repeated or left out. Rows are written once with a number of their own; copies are planned on narrow columns."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept")
+    rows = written(docs.select(kept, *mix_columns(docs)), "mix")
+    planned = row_copies(rows, seed)
+    return planned.select("kept", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("kept.*")
 
 
 ORACLE_SQL = r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(text, '')) as digest,
+        count(*) over (partition by doc_id) as sharing, row_number() over (partition by doc_id, source, md5(coalesce(text, ''))) - 1 as place from documents),
 s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rk from d group by source),
 w as (select source, source_size, case rk % 3 when 0 then 5 when 1 then 2 else 1 end as weight from s),
 r as (select *, 3.0 * source_size / weight as full_at, row_number() over (order by 3.0 * source_size / weight, weight, source nulls last) as k from w),
@@ -92,7 +126,7 @@ l as (select min(case when (total - 3 * held)::double / free <= full_at then k e
 v as (select (c.total - 3 * c.held)::double / c.free as level from c join l using (k)),
 t as (select source, source_size, least(level * weight, (3 * source_size)::double) as target from w, v),
 j as (select d.doc_id, d.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate,
-        ('0x' || substr(md5('mix-1' || coalesce(cast(d.doc_id as varchar), '')), 1, 13))::bigint::double / 4503599627370496.0 as u
+        ('0x' || substr(md5('mix-1' || coalesce(cast(d.doc_id as varchar), '') || case when sharing > 1 then digest || '|' || place else '' end), 1, 13))::bigint::double / 4503599627370496.0 as u
       from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target, (size * (floor(rate) + case when u < rate - floor(rate) then 1 else 0 end))::bigint as taken from j
 """
