@@ -6,7 +6,9 @@ included. A hit inside an exception phrase counts nothing; at one word start the
 The weights are summed and normalised by the number of words, and a logistic curve over both makes the score.
 
 Terms (word beginnings), exception phrases (a term with a neighbour word) and the curve are learned from
-labelled rows: at most SAMPLE_ROWS of them, taken by hash of doc_id. Only the text is an input of a score.
+labelled rows: at most SAMPLE_ROWS of them, taken by hash of doc_id. Every term that passes the thresholds
+is kept; as each is in at least MIN_TOXIC_DOCS documents of the sample, the sample bounds the lexicon that
+is broadcast. Only the text is an input of a score.
 
 Defined cases: a null text scores as an empty one; texts are read whole; repeated rows score alike;
 a document labelled twice is toxic if any label says so; without labels of both kinds every score is
@@ -27,7 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tallyscope.llm.common import unused_name
 from tallyscope.llm.sentencepiece_codec import text_slices
 
 #: Labelled rows that the lexicon and the curve are fitted on, at most.
@@ -37,8 +41,6 @@ TERM_LETTERS = range(4, 13)
 MIN_TOXIC_DOCS = 4
 MIN_WEIGHT = 3.0
 MIN_EXCEPTION_DOCS = 3
-#: The lexicon is broadcast: so many terms at most, heaviest first.
-MAX_TERMS = 20_000
 #: Terms that a task counts before it hands its counts on.
 HELD_TERMS = 300_000
 THRESHOLD = 0.7
@@ -109,9 +111,15 @@ class Scorer:
                 free.append((start, end))
             elif weight > found.get(start, 0.0):
                 found[start] = weight
-        for start, end in free:
-            for at in [at for at in found if start <= at < end]:
-                del found[at]
+        if free:
+            free.sort()
+            following, reach = 0, -1
+            for at in sorted(found):
+                while following < len(free) and free[following][0] <= at:
+                    reach = max(reach, free[following][1])
+                    following += 1
+                if at < reach:
+                    del found[at]
         return found
 
     def measures(self, folded: str) -> tuple[float, float]:
@@ -197,7 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
             return Lexicon({})
         weight = F.log((F.col("toxic_docs") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean_docs") + 0.5) / (n_clean + 1))
         heavy = _counted(texts, word_starts, "terms").where(F.col("toxic_docs") >= MIN_TOXIC_DOCS).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT)
-        weights = choose_terms({r["term"]: (r["toxic_docs"], r["weight"]) for r in heavy.orderBy(F.desc("weight"), "term").limit(MAX_TERMS).collect()})
+        weights = choose_terms({r["term"]: (r["toxic_docs"], r["weight"]) for r in heavy.collect()})
         plain = Scorer(Lexicon(weights))
 
         def neighbours(text: str) -> set[str]:
@@ -212,7 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
             return out
 
         odd = _counted(texts, neighbours, "phrases").where((F.col("clean_docs") >= MIN_EXCEPTION_DOCS) & (F.col("clean_docs") >= 9 * F.col("toxic_docs")))
-        phrases = sorted(r["term"] for r in odd.orderBy(F.desc("clean_docs"), "term").limit(MAX_TERMS).collect())
+        phrases = sorted(r["term"] for r in odd.collect())
         scorer = Scorer(Lexicon(weights, phrases))
 
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,27 +249,28 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
     return tuple(float(v) for v in w)
 
 
-def add_score(rows: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """rows and `_score`: one narrow pass; the lexicon is broadcast (MAX_TERMS terms and phrases at most)."""
+def add_score(rows: DataFrame, lexicon: Lexicon, text: str = "text", to: str = "score") -> DataFrame:
+    """rows and their score in column `to`: one narrow pass with the lexicon broadcast."""
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
-    names = rows.columns
+    schema = StructType([*rows.schema.fields, StructField(to, DoubleType())])
+    at = rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in text_slices(batches, text):
-            scores = pa.array([scorer.score(t) for t in batch.column(text).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*names, "_score"])
+            scores = pa.array([scorer.score(t) for t in batch.column(at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=schema.names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _score double"
-    return rows.mapInArrow(run, fields)
+    return rows.mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     scored = add_score(docs.select("doc_id", "text"), learn(docs, labels))
-    return scored.select("doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs below the threshold, with the columns of docs."""
-    return add_score(docs, learn(docs, labels)).where(F.col("_score") < THRESHOLD).drop("_score")
+    score = unused_name(docs.columns, "score")
+    return add_score(docs, learn(docs, labels), to=score).where(F.col(score) < THRESHOLD).drop(score)
