@@ -27,6 +27,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
+
+from tallyscope.llm.common import unused_name
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -180,30 +184,32 @@ def id_lists(encoded: list[bytes | None]) -> pa.Array:
 def encode_texts(docs: DataFrame, model: str = MODEL, keep: list[str] | None = None, check: bool = True) -> DataFrame:
     """`keep` (default doc_id), n_tokens, token_ids and, with `check`, decoded_crc32 (of the decoded text) and round_trip.
 
-    The pieces are read once and broadcast: a vocabulary of a few hundred thousand short strings at most.
+    A column to keep that has the name of one of these gives way to it. The pieces are read once and broadcast: a vocabulary
+    of a few hundred thousand short strings at most.
     """
     import zlib
 
-    keep = ["doc_id"] if keep is None else keep
+    made = [StructField("n_tokens", LongType()), StructField("token_ids", ArrayType(IntegerType()))]
+    made += [StructField("decoded_crc32", LongType()), StructField("round_trip", BooleanType())] if check else []
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c.lower() not in {f.name for f in made}]
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
-    kept = docs.select(*keep).schema
+    own = unused_name(keep, "_text")
+    taken = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(own))
+    schema = StructType([*taken.schema.fields[:-1], *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared_codec(pieces.value)
-        for batch in text_slices(batches):
-            texts = batch.column("_text").to_pylist()
+        for batch in text_slices(batches, own):
+            texts = batch.column(own).to_pylist()
             encoded = [None if t is None else codec.encode(t) for t in texts]
-            columns = {c: batch.column(c) for c in keep}
-            columns["n_tokens"] = pa.array([None if e is None else len(e) // 4 for e in encoded], pa.int64())
-            columns["token_ids"] = id_lists(encoded)
+            columns = [*batch.columns[:-1], pa.array([None if e is None else len(e) // 4 for e in encoded], pa.int64()), id_lists(encoded)]
             if check:
                 decoded = [None if e is None else codec.decode(np.frombuffer(e, dtype=np.int32).tolist()) for e in encoded]
-                columns["decoded_crc32"] = pa.array([None if d is None else zlib.crc32(d.encode()) for d in decoded], pa.int64())
-                columns["round_trip"] = pa.array([None if t is None else d == t for d, t in zip(decoded, texts)], pa.bool_())
-            yield pa.RecordBatch.from_pydict(columns)
+                columns.append(pa.array([None if d is None else zlib.crc32(d.encode()) for d in decoded], pa.int64()))
+                columns.append(pa.array([None if t is None else d == t for d, t in zip(decoded, texts)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_tokens long, token_ids array<int>" + ", decoded_crc32 long, round_trip boolean" * check
-    return docs.select(*keep, docs["text"].alias("_text")).mapInArrow(run, fields)
+    return taken.mapInArrow(run, schema)
 
 
 def decode_ids(encoded: DataFrame, ids: str = "token_ids", to: str = "text", model: str = MODEL) -> DataFrame:
