@@ -37,7 +37,7 @@ EPOCHS = 25
 BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose content is never text of the page.
-SKIPPED = frozenset("script style template noscript head iframe svg textarea select option canvas audio video".split())
+SKIPPED = frozenset("script style title template noscript head iframe svg textarea select option canvas audio video".split())
 #: Elements whose content is no markup: all up to their own end tag. Unclosed, they take the rest of the page, but for noscript.
 RAW = frozenset("script style textarea iframe noscript title".split())
 #: Elements that a head may hold; any other one, or text, ends it.
@@ -47,8 +47,8 @@ IN_SELECT = frozenset("option button legend hr".split())
 IN_PARAGRAPH = frozenset("option button".split())
 #: An element that a new start tag of the same family ends.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
-_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -102,7 +102,7 @@ def leaf_blocks(html: str) -> list[Block]:
                 links += len(raw)
 
     at = 0
-    while m := _TOKEN.search(html, at):
+    while m := TOKEN.search(html, at):
         if m.start() > at:
             add(html[at : m.start()])
         at = m.end()
@@ -129,7 +129,7 @@ def leaf_blocks(html: str) -> list[Block]:
             if attributes.rstrip().endswith("/"):
                 continue
             if tag in RAW:
-                end = _RAW_ENDS[tag].search(html, at)
+                end = RAW_ENDS[tag].search(html, at)
                 if end or tag != "noscript":
                     at = end.start() if end else len(html)
                     continue

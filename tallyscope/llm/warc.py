@@ -23,14 +23,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyscope.llm.html_crf import RAW, RAW_ENDS, TOKEN
+
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 SCHEMA = "page_id long, record_type string, record_id string, refers_to string, target_uri string, headers map<string,string>, source_headers map<string,string>, block_digest string, payload_digest string, content_length long, content string"
 
-_DROP = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|$)", re.I | re.S)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|aside|blockquote|pre|form|title|head|body|html|main|hr|dl|dt|dd|td|th)\b[^>]*(?:>|$)", re.I)
-_TAG = re.compile(r"</?[a-zA-Z!?][^>]*(?:>|$)")
-_TITLE = re.compile(r"<title[^>]*>(.*?)(?:</title|$)", re.I | re.S)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements whose content is no text of the page.
+DROPPED = frozenset("script style template noscript iframe".split())
+BREAKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table section article header footer nav aside main blockquote pre form title head body html hr dl dt dd td th caption figure figcaption fieldset legend details summary address option select textarea center".split())
+_HREF = re.compile(r"(?:^|[\s\"'/])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
 
 
@@ -38,11 +39,47 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def read_page(html: str) -> tuple[str, str | None, list[str]]:
+    """Text of a page (one line per block, references decoded), its first title, and the targets of its links, in one pass."""
+    texts: list[str] = []
+    links: list[str] = []
+    title: str | None = None
+    dropped: str | None = None  # an element without an end tag of its own kind so far
+    at = 0
+    while m := TOKEN.search(html, at):
+        if dropped is None:
+            texts.append(html[at : m.start()])
+        at = m.end()
+        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        tag = (tag or "").lower()
+        if closing and tag == dropped:
+            dropped = None
+        elif dropped is None and tag:
+            if tag in BREAKS or tag in DROPPED:
+                texts.append("\n")
+            if tag == "a" and not closing and (href := _HREF.search(attributes)):
+                links.append(html_lib.unescape(next(x for x in href.groups() if x is not None)))
+            if not closing and tag in RAW:
+                end = RAW_ENDS[tag].search(html, at)
+                inside = html[at : end.start() if end else len(html)]
+                if tag == "noscript" and not end:
+                    inside = ""
+                at += len(inside)
+                if tag == "title" and title is None:
+                    title = " ".join(html_lib.unescape(inside).split())
+                if tag not in DROPPED:
+                    texts += [inside, "\n"]
+            elif not closing and tag == "template":
+                dropped = tag
+    if dropped is None:
+        texts.append(html[at:])
+    lines = (" ".join(line.split()) for line in html_lib.unescape("".join(texts).replace("\r", " ")).split("\n"))
+    return "\n".join(line for line in lines if line), title, links
+
+
 def plain_text(html: str) -> str:
     """Text of a page, one line per block, references decoded."""
-    body = _TAG.sub("", _BREAK.sub("\n", _DROP.sub("\n", html)))
-    lines = (" ".join(line.split()) for line in html_lib.unescape(body).split("\n"))
-    return "\n".join(line for line in lines if line)
+    return read_page(html)[0]
 
 
 def derive(page_id: int | None, url: str | None, html: str | None, date: str) -> list[dict]:
@@ -54,18 +91,18 @@ def derive(page_id: int | None, url: str | None, html: str | None, date: str) ->
     source = {"Content-Type": "text/html; charset=utf-8", "Content-Length": str(len(payload))}
     key = f"{page_id}|{url}|{hashlib.sha256(block).hexdigest()}"
     response_id = f"<urn:uuid:{uuid.uuid5(SPACE, 'response|' + key)}>"
-    title = _TITLE.search(body)
+    text, title, links = read_page(body)
     lang = _LANG.search(body)
     facts = {
-        "title": " ".join(html_lib.unescape(title[1]).split()) if title else "",
+        "title": title or "",
         "languages": lang[1] if lang else "",
-        "outlinks": [html_lib.unescape(next(x for x in m.groups() if x is not None)) for m in _LINK.finditer(_DROP.sub("", body))],
+        "outlinks": links,
         "source-payload-digest": digest(payload),
     }
     made = [
         ("response", response_id, None, "application/http; msgtype=response", status + body),
         ("metadata", f"<urn:uuid:{uuid.uuid5(SPACE, 'metadata|' + key)}>", response_id, "application/json", json.dumps(facts, ensure_ascii=False)),
-        ("conversion", f"<urn:uuid:{uuid.uuid5(SPACE, 'conversion|' + key)}>", response_id, "text/plain; charset=utf-8", plain_text(body)),
+        ("conversion", f"<urn:uuid:{uuid.uuid5(SPACE, 'conversion|' + key)}>", response_id, "text/plain; charset=utf-8", text),
     ]
     out = []
     for kind, record_id, refers, content_type, content in made:
