@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +59,42 @@ class Scratch:
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Rows that one row of flags stands for, and rows of flags that are broadcast at most (some 60 MB, for 400 million rows).
+FLAGGED_ROWS, BROADCAST_FLAGS = 4096, 100_000
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """kept (a struct of the columns of docs), file and row: where a row lies in the files that docs reads, which no lost executor changes.
+
+    What is not read from Parquet files alone is written first.
+    """
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept")
+    place = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    try:
+        return docs.select(kept, *place)
+    except AnalysisException:
+        return written(docs.select(kept), "rows").select("kept", *place)
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of a numbered table without the dropped ones (file, row), as they were before they were numbered.
+
+    Dropped rows are bits of a few longs per FLAGGED_ROWS rows, so up to BROADCAST_FLAGS of these rows the texts stay where
+    they are; with more, they are joined by shuffle.
+    """
+    word = F.floor(F.col("row") / 64)
+    words = dropped.groupBy("file", word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("row") % 64).cast("int"))).alias("bits"))
+    per_row = FLAGGED_ROWS // 64
+    listed = words.groupBy("file", F.floor(F.col("word") / per_row).alias("part")).agg(F.collect_list(F.struct((F.col("word") % per_row).cast("int").alias("at"), "bits")).alias("found"))
+    bits_at = lambda i: F.aggregate("found", F.lit(0).cast("long"), lambda a, f: F.when(f["at"] == i, f["bits"]).otherwise(a))
+    flags = written(listed.select("file", "part", F.transform(F.sequence(F.lit(0), F.lit(per_row - 1)), bits_at).alias("flags")), "flags")
+    if flags.count() <= BROADCAST_FLAGS:
+        flags = F.broadcast(flags)
+    joined = rows.withColumn("part", F.floor(F.col("row") / FLAGGED_ROWS)).join(flags, ["file", "part"], "left")
+    flag = F.getbit(F.get("flags", F.floor(F.col("row") % FLAGGED_ROWS / 64).cast("int")), (F.col("row") % 64).cast("int"))
+    return joined.where(F.coalesce(flag, F.lit(0)) == 0).select("kept.*")
+
+
 def unused_name(columns: list[str], name: str) -> str:
     """name, with underscores in front until no column is called so."""
     taken = {c.lower() for c in columns}

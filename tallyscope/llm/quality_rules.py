@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import SPACES, written
+from tallyscope.llm.common import SPACES, numbered, without, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -151,12 +151,13 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFram
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of docs that pass, with the columns of docs.
 
-    Features are computed once and written beside their rows, so texts are not shuffled: cutoffs are learned
-    from the narrow columns, and each row is judged where it lies.
+    Features are computed once and written as narrow rows; texts are neither written nor shuffled: the rows that fail are
+    flagged where they lie.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = written(base_features(docs.withColumn("_row", row), stratum, ["_row"]), "judged")
-    return with_cutoffs(rows, rows.drop("_row"), labels).where("kept").select("_row.*")
+    rows = numbered(docs)
+    asked = rows.select("file", "row", "kept.doc_id", "kept.text", F.col(f"kept.`{stratum}`").alias("stratum"))
+    features = written(base_features(asked, "stratum", ["file", "row"]), "features")
+    return without(rows, with_cutoffs(features, features, labels).where("not kept").select("file", "row"))
 
 
 ORACLE_SQL = r"""
