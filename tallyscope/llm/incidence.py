@@ -30,8 +30,8 @@ PERCENT = 75
 HASH_BITS = 48
 ROW_BITS = 16
 #: Entries and rows of a buffer, and entries of a block.
-BUFFER_ENTRIES, BUFFER_ROWS = 2_000_000, 1 << ROW_BITS
-BLOCK_ENTRIES = 2_000_000
+BUFFER_ENTRIES, BUFFER_ROWS = 1_000_000, 1 << ROW_BITS
+BLOCK_ENTRIES = 1_000_000
 #: A shingle in more than 1 / HOT_SHARE of the rows is kept out of the blocks; at most HOT_LIMIT are, the most frequent ones.
 HOT_SHARE = 1000
 HOT_LIMIT = 100_000
@@ -95,12 +95,11 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(values)))
 
 
-def read_sets(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """doc_id, node (null: no shingles), n_shingles and the parity map per row, and its long `row` if named.
+def read_sets(docs: DataFrame, more: list[str]) -> DataFrame:
+    """doc_id, node (null: no shingles), n_shingles and the parity map per row, and its long columns `more`.
 
     Rows with n_shingles = -1 are a task's reports of frequent shingles: their hashes and counts.
     """
-    more = [row] if row else []
     schema = "".join(f"{c} long, " for c in more) + "doc_id long, node long, n_shingles long, parity array<long>, hot array<long>, hot_rows array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import Scratch, written
+from tallyscope.llm.common import Scratch, numbered, without, written
 from tallyscope.llm.components import connected
 from tallyscope.llm.incidence import HASH_BITS, PARITY_BITS, PERCENT, least_shared, read_sets, shared_rows
 
@@ -172,10 +172,10 @@ def node_components(nodes: DataFrame, parity: DataFrame, scratch: Scratch) -> Da
     return components
 
 
-def set_keys(docs: DataFrame, scratch: Scratch, row: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """What tasks read of the texts (see read_sets), and doc_id, node, n_shingles and `row` per row of docs."""
-    sets = scratch.written(read_sets(docs, row))
-    return sets, written(sets.where("n_shingles >= 0").select(*([row] if row else []), "doc_id", "node", "n_shingles"), "keys")
+def set_keys(docs: DataFrame, scratch: Scratch, *more: str) -> tuple[DataFrame, DataFrame]:
+    """What tasks read of the texts (see read_sets), and doc_id, node, n_shingles and the long columns `more` per row of docs."""
+    sets = scratch.written(read_sets(docs, list(more)))
+    return sets, written(sets.where("n_shingles >= 0").select(*more, "doc_id", "node", "n_shingles"), "keys")
 
 
 def sharing_nodes(docs: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -235,21 +235,21 @@ def join_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, the one with the smallest doc_id (rows without one come last), with the columns of docs.
 
-    Rows are told apart by an id that they get as they are written once, not by doc_id: rows that share a doc_id, or have none,
-    are judged by their own texts. Rows without shingles all stay. Texts are shuffled only if the rows to drop are too many for
-    a broadcast join.
+    Rows are told apart by their place in the files, not by doc_id: rows that share a doc_id, or have none, are judged by their
+    own texts. Rows without shingles all stay. Texts are neither written nor shuffled: the rows to drop are flagged where they lie.
     """
     scratch = Scratch(docs.sparkSession)
-    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.monotonically_increasing_id().alias("row"))
-    rows = written(numbered, "rows")
-    texts = rows.select("row", "kept.doc_id", "kept.text")
-    sets, keys = set_keys(texts, scratch, "row")
+    rows = numbered(docs)
+    texts = rows.select("file", "row", "kept.doc_id", "kept.text")
+    sets, keys = set_keys(texts, scratch, "file", "row")
     components = node_components(*sharing_nodes(texts, sets, scratch), scratch)
-    found = scratch.written(members(keys, components).where("n_shingles > 0").select("row", "doc_id", "component"))
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))["row"].alias("row"))
-    dropped = written(found.select("row").join(first.select("row"), "row", "left_anti"), "dropped")
+    place = F.struct("file", "row")
+    found = scratch.written(members(keys, components).where("n_shingles > 0").select("file", "row", "doc_id", "component"))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", place.alias("p")))["p"].alias("p"))
+    dropped = found.select("file", "row").join(first.select("p.file", "p.row"), ["file", "row"], "left_anti")
+    out = without(rows, dropped)
     scratch.remove()
-    return rows.join(dropped, "row", "left_anti").select("kept.*")
+    return out
 
 
 ORACLE_SQL = r"""
