@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import global_rank, word_count, written
+from tallyscope.llm.common import global_rank, numbered, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
@@ -70,46 +70,46 @@ def copies(rate: Column, key: Column, seed: str) -> Column:
     return (whole + F.when(draw(key, seed) < rate - whole, 1).otherwise(0)).cast("long")
 
 
-def draw_keys(rows: DataFrame) -> DataFrame:
-    """rows (row, doc_id, source, digest of the text, size) with `_key`, what a row's draw depends on.
+def narrow(rows: DataFrame) -> DataFrame:
+    """file, row, doc_id, source, digest of the text and size of numbered rows, written."""
+    digest = F.md5(F.coalesce(F.col("kept.text"), F.lit("")).cast("binary"))
+    return written(rows.select("file", "row", "kept.doc_id", "kept.source", digest.alias("digest"), word_count(F.col("kept.text")).alias("size")), "mix")
 
-    Rows with an id of their own are not moved. The others are counted by group and part, so a group with a third
-    of the rows is numbered in EQUAL_PARTS tasks.
+
+def shared_draws(slim: DataFrame) -> DataFrame:
+    """file, row and `_more`, what the draw of a row depends on beside its doc_id, of the rows whose doc_id others have too.
+
+    Rows are counted by group and part, so a group with a third of the rows is numbered in EQUAL_PARTS tasks.
     """
-    shared_ids = written(rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "shared-ids")
-    part = F.pmod(F.xxhash64("row"), F.lit(EQUAL_PARTS))
-    # a struct holds nulls apart from values
-    group = F.struct("doc_id", "source", "digest")
-    some = rows.join(shared_ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("row", "digest", F.xxhash64(F.to_json(group)).alias("_group"), part.alias("_part"))
+    shared_ids = written(slim.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "shared-ids")
+    part = F.pmod(F.xxhash64("file", "row"), F.lit(EQUAL_PARTS))
+    group = F.xxhash64(F.to_json(F.struct("doc_id", "source", "digest")))  # leaves nulls out, so they differ from values
+    some = slim.join(shared_ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("file", "row", "digest", group.alias("_group"), part.alias("_part"))
     before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = some.groupBy("_group", "_part").count().select("_group", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_group", "_part").orderBy("row")) - 1
-    numbered = some.withColumn("_place", place).join(starts, ["_group", "_part"]).select("row", F.concat("digest", F.lit("|"), (F.col("_place") + F.col("_start")).cast("string")).alias("_more"))
-    known = rows.join(written(numbered, "numbered"), "row", "left")
-    return known.withColumn("_key", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("_more", F.lit("")))).drop("_more")
-
-
-def row_copies(rows: DataFrame, seed: str) -> DataFrame:
-    """draw_keys of rows with source_size, target and copies."""
-    joined = draw_keys(rows).join(source_targets(rows), F.col("source").eqNullSafe(F.col("_source")))
-    return joined.withColumn("copies", copies(F.col("_rate"), F.col("_key"), seed))
+    place = F.row_number().over(Window.partitionBy("_group", "_part").orderBy("file", "row")) - 1
+    joined = some.withColumn("_place", place).join(starts, ["_group", "_part"])
+    return written(joined.select("file", "row", F.concat("digest", F.lit("|"), (F.col("_place") + F.col("_start")).cast("string")).alias("_more")), "draws")
 
 
-def mix_columns(docs: DataFrame) -> list[Column]:
-    return [F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("source"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"), word_count(F.col("text")).alias("size")]
+def with_copies(rows: DataFrame, slim: DataFrame, doc_id: str, source: str, seed: str) -> DataFrame:
+    """rows with source_size, target and copies. Rows with an id of their own meet nothing but the targets of their source."""
+    joined = rows.join(shared_draws(slim), ["file", "row"], "left").join(source_targets(slim), F.col(source).eqNullSafe(F.col("_source")))
+    key = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce("_more", F.lit("")))
+    return joined.withColumn("copies", copies(F.col("_rate"), key, seed))
 
 
 def plan_mix(docs: DataFrame, seed: str = "mix-1") -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken per row of docs."""
-    planned = row_copies(written(docs.select(*mix_columns(docs)), "mix"), seed)
+    slim = narrow(numbered(docs))
+    planned = with_copies(slim, slim, "doc_id", "source", seed)
     return planned.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, seed: str = "mix-1") -> DataFrame:
-    """The mix itself: rows of docs, repeated or left out. Rows are written once with a number of their own; copies are planned on narrow columns."""
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept")
-    rows = written(docs.select(kept, *mix_columns(docs)), "mix")
-    planned = row_copies(rows, seed)
+    """The mix itself: rows of docs, repeated or left out where they lie; sizes and draws are planned on narrow columns."""
+    rows = numbered(docs)
+    planned = with_copies(rows, narrow(rows), "kept.doc_id", "kept.source", seed)
     return planned.select("kept", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("kept.*")
 
 
