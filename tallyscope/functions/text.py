@@ -132,6 +132,14 @@ def forced_concepts(c: Column, known: list[str]) -> Column:
     return F.array_intersect(F.array_distinct(canon), F.array(*[F.lit(k) for k in known]))
 
 
+def as_list(c: Column) -> Column:
+    """The different items, in order, of a text that holds a list ('["a", "b"]', "['a', 'b']") or a single item; blank and 'nan' hold none."""
+    inside = F.regexp_extract(F.trim(F.coalesce(c, F.lit(""))), r"^\[(.*)\]$", 1)
+    items = F.when(F.trim(c).rlike(r"^\[.*\]$"), F.split(inside, ",")).otherwise(F.array(F.coalesce(c, F.lit(""))))
+    plain = F.transform(items, lambda x: F.trim(F.regexp_replace(F.trim(x), "^['\"]|['\"]$", "")))
+    return F.array_distinct(F.filter(plain, lambda x: ~F.lower(x).isin("", "nan")))
+
+
 def money(c: Column) -> Column:
     """Amount with two decimals and separators; null as 0."""
     return F.format_number(F.coalesce(c, F.lit(0.0)), 2)

@@ -1,45 +1,70 @@
 """Lexicon tagging of transfer texts.
 
 Texts repeat, so every distinct text is tagged once and the tags are joined back. A lexicon is a
-table (family, ord, weight, kind, term); kinds are word, phrase, pattern and seed. Users pass their own table;
-DEFAULT_LEXICON holds the families with their weights and a core of terms.
+table (family, ord, weight, kind, term); kinds are word, phrase, pattern and seed. Users pass their own table or
+file; DEFAULT_LEXICON holds the families with their weights and about 200 terms.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyscope.checkpoints import cut
 from tallyscope.functions.text import ACCENTED, PLAIN
 
-# Families, weights and terms, in the order that breaks ties.
-DEFAULT_LEXICON: dict[str, tuple[float, list[str], list[str]]] = {
-    "SOBORNO": (3.4, ["mordida", "moche", "coima", "chayote", "incentivo", "detalle", "comision", "por fuera", "bono especial", "pa la firma", "caja de whisky"], [r"\b(por|para)\b.*\b(aprob|firm|palome|autoriza|asigna|libera|valid)\w*"]),
-    "EXTORSION": (3.1, ["cuota", "derecho de piso", "aportacion", "cooperacion", "mocharse", "pago obligatorio", "proteccion"], [r"(para que no haya problema|no te atraso|no te atrase|para que sigas tranquilo)"]),
-    "OFUSCACION": (2.9, ["sin cfdi", "sin factura", "no timbrar", "por fuera", "en sobre", "bajo el agua", "servicios varios", "sin soporte"], [r"(sin\s+cfdi|sin\s+factura|no\s+timbrar|por\s+fuera|en\s+sobre|bajo\s+el\s+agua|sin\s+soporte)"]),
-    "FACILITACION": (2.3, ["agilizar", "destrabar", "prioridad", "liberar", "gestion", "tramite", "fast track", "pase directo", "vip"], []),
-    "NOMINA_PARALELA": (1.9, ["bono", "comision", "incentivo", "gratificacion", "compensacion", "fuera de nomina", "nomina sombra"], []),
-    "REEMBOLSO_DUDOSO": (1.7, ["reembolso", "viaticos", "gastos", "varios", "servicio", "servicios", "caja chica", "taxi", "spa"], []),
-    "PRESTAMO": (1.8, ["prestamo", "adelanto", "abono", "saldo", "liquidar", "en partes", "anticipo"], [r"\blo del\s+\d{1,2}\b", r"\bprestamo\s+personal\b"]),
-    "COI_RELACIONAL": (1.8, ["compadre", "primo", "sobrino", "cuate", "palanca", "familia", "tio", "mi socio"], [r"\bmi\s+(compadre|primo|ahijado|gente|gallo|socio)\b"]),
-    "DINERO_SLANG": (1.0, ["lana", "varo", "feria", "billete", "plata", "cash", "money"], [r"\b\d+\s*k\b"]),
-    "CODIGO": (1.2, ["plan delta", "clave sombra", "canal negro"], [r"\b[a-z]{1,3}-\d{1,4}\b"]),
-    "COORDINACION_REITERADA": (1.2, ["lo de ayer", "como quedamos", "lo de siempre", "misma jugada"], [r"lo\s+de\s+(ayer|siempre|antes)"]),
-    "ALUSION_INDIRECTA": (1.0, ["ya sabes", "aquello", "lo pendiente", "el tema"], [r"ya\s+sabes"]),
-    "EMOCIONAL": (0.9, ["gracias mil", "favorzote", "te debo la vida", "eres el mejor", "mil gracias"], []),
-    "FAVORES_SEXUALES": (3.6, ["favor sexual", "salida intima", "cita privada", "trato especial"], [r"(favor|salida|cita|encuentro).{0,10}(intim|privad|personal)"]),
-    "AGASAJOS_SOCIALES": (2.0, ["cerveza", "tragos", "fiesta", "botella", "tequila"], [r"(after|fiesta|antro|karaoke)"]),
-    "DETALLE_PERSONAL": (2.2, ["regalo", "regalito", "detallito"], [r"regal(?:o|ito)"]),
-    "REGALOS_LUJO": (2.8, ["reloj rolex", "viaje cancun", "boletos vip", "joyeria"], [r"(viaje|cena|boletos|suite|hotel|spa|yate|reloj|auto).{0,20}(vip|luj[oa]|premium|exclusivo)"]),
-    "CONFLICTO_INTERES_FAMILIAR": (3.0, ["esposo", "esposa", "hermano", "familia", "pariente", "mi pareja"], [r"mi\s+(esposo|esposa|hermano|hijo|hija|pareja|familia)"]),
-    "VIATICOS_LUJOSOS": (2.5, ["primera clase", "upgrade suite", "tour vip"], [r"viaticos?.{0,15}(vip|premium|luj[oa]|business)"]),
-    "FACTURACION_SIMULADA": (3.2, ["empresa fachada", "factura espejo", "proveedor fantasma"], [r"(factura|servicio|compra).{0,15}(fantasma|simulad|espejo|duplicad|fachada)"]),
-    "CONSULTORIA_FANTASMA": (2.6, ["consultoria express", "asesoria relampago"], [r"consultoria.{0,15}(fantasma|dummy|express|relampago)"]),
-    "DONATIVO_CRUZADO": (2.4, ["donativo", "donacion", "fundacion", "patrocinio"], [r"(donativo|donacion|patrocinio|aporte).{0,20}(campan|fundacion|partido|evento)"]),
-    "PRESION_POLITICA": (2.7, ["diputado", "senador", "candidato", "partido"], [r"(candidato|senador|diputado|partido|delegado|campan).{0,20}(apoyo|favor|contrato|evento)"]),
+# Families with their weights, in the order that breaks ties, and about 200 of their terms. Longer lists are a
+# parameter (lexicon_table, lexicon_file). Texts are free of accents when terms meet them, so each term is here once.
+DEFAULT_LEXICON: dict[str, tuple[float, list[str]]] = {
+    "SOBORNO": (3.4, ["mordida", "moche", "mochada", "coima", "aceitar", "engrasar", "chayote", "agradecimiento", "detalle", "regalito", "incentivo", "comision", "bono especial", "por tu gestion", "palomear", "por fuera", "dar aceite", "pa la firma", "propina fuerte", "caja de whisky", "brown envelope", "sweetener"]),
+    "EXTORSION": (3.1, ["cuota", "derecho de piso", "aportacion", "cooperacion", "afloja", "para que no haya problema", "no te atraso", "mocharse", "pago obligatorio", "no digas nada", "proteccion", "maletin"]),
+    "OFUSCACION": (2.9, ["sin cfdi", "sin factura", "no timbrar", "por fuera", "en sobre", "bajo el agua", "discreto", "off the record", "sin registro", "gasto general", "servicios varios", "sin soporte"]),
+    "FACILITACION": (2.3, ["agilizar", "destrabar", "desatorar", "prioridad", "darle salida", "liberar", "gestion", "tramite", "fast track", "greenlight", "palomear", "pase directo", "vip"]),
+    "NOMINA_PARALELA": (1.9, ["bono", "comision", "incentivo", "premio", "gratificacion", "compensacion", "extra nomina", "fuera de nomina", "nomina sombra"]),
+    "REEMBOLSO_DUDOSO": (1.7, ["reembolso", "reembolsos", "viaticos", "gastos", "varios", "servicio", "servicios", "material", "caja chica", "consumo", "tickets", "uber", "taxi", "spa", "gift card"]),
+    "PRESTAMO": (1.8, ["prestamo", "adelanto", "abono", "saldo", "liquidar", "en partes", "lo del", "anticipo", "prestamo puente"]),
+    "COI_RELACIONAL": (1.8, ["compadre", "comadre", "primo", "sobrino", "carnal", "cuate", "de confianza", "palanca", "conecte", "familia", "tio", "mi socio", "ahijado", "padrino"]),
+    "DINERO_SLANG": (1.0, ["lana", "varo", "feria", "billete", "pasta", "morralla", "plata", "cash", "money", "lucas"]),
+    "CODIGO": (1.2, ["px-", "off the record", "plan delta", "codigo amber", "clave sombra", "modo sigilo", "canal negro"]),
+    "COORDINACION_REITERADA": (1.2, ["lo de ayer", "la vez pasada", "como quedamos", "igual que antes", "lo de siempre", "lo acostumbrado", "misma jugada", "mismo trato"]),
+    "ALUSION_INDIRECTA": (1.0, ["ya sabes", "aquello", "eso", "lo pendiente", "lo hablado", "el tema"]),
+    "EMOCIONAL": (0.9, ["gracias mil", "favorzote", "te debo la vida", "eres el mejor", "increible", "salvaste", "mil gracias", "eres un crack", "idolo", "heroina"]),
+    "FAVORES_SEXUALES": (3.6, ["favor sexual", "sexo", "salida intima", "cita privada", "encuentro", "trato especial", "noche juntos", "masaje privado", "lenceria"]),
+    "AGASAJOS_SOCIALES": (2.0, ["cerveza", "chelas", "tragos", "pomo", "after", "fiesta", "antro", "karaoke", "botella", "tequila", "mezcal"]),
+    "DETALLE_PERSONAL": (2.2, ["regalo", "regalito", "detallito", "detallazo", "detalle personal"]),
+    "REGALOS_LUJO": (2.8, ["reloj rolex", "viaje cancun", "boletos vip", "suite presidencial", "yate", "joyeria"]),
+    "CONFLICTO_INTERES_FAMILIAR": (3.0, ["esposo", "esposa", "hermano", "hermana", "yerno", "nuera", "familia", "pariente", "mi pareja", "mi hijo", "suegro", "suegra"]),
+    "VIATICOS_LUJOSOS": (2.5, ["first class", "primera clase", "upgrade suite", "tour vip"]),
+    "FACTURACION_SIMULADA": (3.2, ["empresa fachada", "compra fantasma", "factura espejo", "proveedor fantasma", "contrato simulado"]),
+    "CONSULTORIA_FANTASMA": (2.6, ["consultoria express", "asesoria relampago", "entrega dummy"]),
+    "DONATIVO_CRUZADO": (2.4, ["donativo", "donacion", "fundacion", "campana", "sponsor", "patrocinio"]),
+    "PRESION_POLITICA": (2.7, ["diputado", "senador", "candidato", "delegado", "regidor", "partido"]),
+}
+# Patterns of the families, over texts without accents.
+DEFAULT_PATTERNS: dict[str, list[str]] = {
+    "SOBORNO": [r"\b(agradecimiento|detalle|incentivo|comision|bono|mordida|moche|coima|engras|aceit|chayote|propina|sweetener|compensacion)\b.*\b(aprob|firm|palome|autoriza|asigna|libera|licitacion)\w*", r"\b(por|para)\b.*\b(aprob|firm|palome|autoriza|asigna|libera|valid)\w*"],
+    "EXTORSION": [r"\b(cuota|aportacion|cooperacion|derecho de piso|proteccion)\b.*\b(evaluacion|proyecto|asignacion|auditoria)\b", r"(para que no haya problema|no te atraso|no te atrase|para que sigas tranquilo|para que no los visite la auditoria)"],
+    "OFUSCACION": [r"(sin\s+cfdi|sin\s+factura|no\s+timbrar|no\s+timbres|por\s+fuera|en\s+sobre|bajo\s+el\s+agua|off\s+the\s+record|sin\s+soporte|gasto\s+general)"],
+    "PRESTAMO": [r"\blo del\s+\d{1,2}\b", r"\banticipo\s+nomina\b", r"\bprestamo\s+personal\b"],
+    "COI_RELACIONAL": [r"\bmi\s+(compadre|primo|ahijado|gente|gallo|socio)\b"],
+    "DINERO_SLANG": [r"\b\d+\s*k\b", r"\b(?:bolsa|sobre)\s+de\s+lana\b"],
+    "CODIGO": [r"\b[a-z]{1,3}-\d{1,4}\b", r"\bclave\s+(?:sombra|amber|oro)\b"],
+    "COORDINACION_REITERADA": [r"lo\s+de\s+(ayer|siempre|antes)", r"(misma|mismo)\s+(jugada|trato)"],
+    "ALUSION_INDIRECTA": [r"ya\s+sabes", r"lo\s+pendiente"],
+    "FAVORES_SEXUALES": [r"(favor|salida|cita|encuentro).{0,10}(intim|privad|personal)", r"(carino|mimos?).{0,10}(extra|especial)", r"(a\s+cambio\s+de).{0,12}(salida|cita|favor)", r"(trato\s+especial).{0,20}(firma|aproba|libera|contrato|orden)", r"(after\s+office).{0,15}(privado|suite)"],
+    "AGASAJOS_SOCIALES": [r"(after|fiesta|antro|karaoke)", r"(botella|pomo|tragos?).{0,10}(vip|premium)?"],
+    "DETALLE_PERSONAL": [r"te\s*compras?\s*algo\s*bonit", r"regal(?:o|ito)"],
+    "REGALOS_LUJO": [r"(viaje|cena|boletos|suite|hotel|spa|yate|reloj|auto).{0,20}(vip|luj[oa]|premium|exclusivo)"],
+    "CONFLICTO_INTERES_FAMILIAR": [r"mi\s+(esposo|esposa|hermano|hijo|hija|pareja|familia)", r"(contrato|orden).{0,20}(para\s+mi\s+(?:familia|primo|hijo|hermana))"],
+    "VIATICOS_LUJOSOS": [r"viaticos?.{0,15}(vip|premium|luj[oa]|business)"],
+    "FACTURACION_SIMULADA": [r"(factura|servicio|compra).{0,15}(fantasma|simulad|espejo|duplicad|fachada)"],
+    "CONSULTORIA_FANTASMA": [r"consultoria.{0,15}(fantasma|dummy|express|relampago)"],
+    "DONATIVO_CRUZADO": [r"(donativo|donacion|patrocinio|aporte).{0,20}(campan|fundacion|partido|evento)"],
+    "PRESION_POLITICA": [r"(candidato|senador|diputado|partido|delegado|campan).{0,20}(apoyo|favor|contrato|evento)"],
 }
 HIERARCHY_FAMILIES = ["SOBORNO", "EXTORSION", "OFUSCACION", "FACILITACION", "NOMINA_PARALELA", "REEMBOLSO_DUDOSO", "PRESTAMO", "COI_RELACIONAL", "FAVORES_SEXUALES", "REGALOS_LUJO", "AGASAJOS_SOCIALES", "DETALLE_PERSONAL", "CONFLICTO_INTERES_FAMILIAR", "FACTURACION_SIMULADA", "CONSULTORIA_FANTASMA", "DONATIVO_CRUZADO", "PRESION_POLITICA"]
 WEAK_FAMILIES = ["DINERO_SLANG", "EMOCIONAL", "COORDINACION_REITERADA", "ALUSION_INDIRECTA"]
@@ -54,11 +79,26 @@ LEET_FROM, LEET_TO = "013457$@!", "oieastsai"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2700}-\x{27BF}\x{2600}-\x{26FF}]"
 
 
-def lexicon_table(spark: SparkSession, lexicon: dict[str, tuple[float, list[str], list[str]]] | None = None) -> DataFrame:
-    """The lexicon as rows."""
-    rows = [(fam, i, w, "phrase" if " " in t else "word", t) for i, (fam, (w, words, _)) in enumerate((lexicon or DEFAULT_LEXICON).items()) for t in words]
-    rows += [(fam, i, w, "pattern", t) for i, (fam, (w, _, pats)) in enumerate((lexicon or DEFAULT_LEXICON).items()) for t in pats]
-    return spark.createDataFrame(rows, "family string, ord int, weight double, kind string, term string")
+def default_rows() -> list[tuple[str, int, float, str, str]]:
+    words = [(fam, i, w, "phrase" if " " in t else "word", t) for i, (fam, (w, terms)) in enumerate(DEFAULT_LEXICON.items()) for t in terms]
+    return words + [(fam, i, w, "pattern", t) for i, (fam, (w, _)) in enumerate(DEFAULT_LEXICON.items()) for t in DEFAULT_PATTERNS.get(fam, [])]
+
+
+LEXICON_SCHEMA = "family string, ord int, weight double, kind string, term string"
+
+
+def lexicon_table(spark: SparkSession, rows: list[tuple[str, int, float, str, str]] | None = None) -> DataFrame:
+    """The lexicon as rows (see LEXICON_SCHEMA); the built-in one, or a user's own rows."""
+    return spark.createDataFrame(default_rows() if rows is None else rows, LEXICON_SCHEMA)
+
+
+def lexicon_file(spark: SparkSession, path: str) -> DataFrame:
+    """A lexicon of any length from a CSV file with the columns of LEXICON_SCHEMA; words and phrases are normalised as texts are."""
+    rows = spark.read.schema(LEXICON_SCHEMA).csv(path, header=True)
+    plain = F.trim(normalize_text(F.col("term")))
+    term = F.when(F.col("kind") == "pattern", F.col("term")).otherwise(plain)
+    kind = F.when(F.col("kind").isin("pattern", "seed"), F.col("kind")).when(plain.contains(" "), "phrase").otherwise("word")
+    return rows.select("family", "ord", "weight", kind.alias("kind"), term.alias("term")).where("term <> ''").distinct()
 
 
 def normalize_text(raw: Column) -> Column:
@@ -106,13 +146,23 @@ def sentiment(words: Column) -> Column:
     return (_count_in(words, GOOD_WORDS) - _count_in(words, BAD_WORDS)) / F.greatest(F.size(words), F.lit(1))
 
 
+#: A lexicon is broadcast: so many rows at most.
+MOST_TERMS = 100_000
+
+
+def checked(lexicon: DataFrame) -> DataFrame:
+    """The lexicon, if it is small enough to be broadcast."""
+    if lexicon.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        raise ValueError(f"a lexicon of more than {MOST_TERMS} terms is not broadcast")
+    return lexicon
+
+
 def lexicon_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(norm, family, ord, weight, term) for every term that a distinct text holds. texts: one column norm.
 
-    The lexicon is broadcast; it is a word list, checked to stay below 100,000 rows. Words meet by equality, phrases and patterns by test.
+    The lexicon is broadcast; it is a word list, checked to stay below MOST_TERMS rows. Words meet by equality, phrases and patterns by test.
     """
-    if lexicon.limit(100_001).count() > 100_000:
-        raise ValueError("a lexicon of more than 100,000 terms is not broadcast")
+    lexicon = checked(lexicon)
     lex = F.broadcast(lexicon.where("kind in ('word', 'phrase', 'pattern')"))
     words = texts.select("norm", F.explode(F.array_distinct(words_of(F.col("norm")))).alias("term"))
     by_word = words.join(F.broadcast(lexicon.where("kind = 'word' and length(term) >= 4")), "term")
@@ -124,44 +174,68 @@ def lexicon_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     return by_word.select(columns).union(tested.select(columns)).union(eased.select(columns)).distinct()
 
 
-def fuzzy_hits(texts: DataFrame, lexicon: DataFrame, ratio: float = 0.9) -> DataFrame:
-    """Near matches of words of four letters or more, by the ratio of difflib's matcher, over distinct texts in Arrow batches.
+#: A near match of a whole text, and the longest text that is compared as a whole.
+WHOLE_RATIO, WHOLE_LENGTH = 0.03, 600
+#: Segments of a text that are compared with a term, as many as in the reference.
+SEGMENTS = 50
 
-    As in the reference, at most 50 segments of a text are compared.
-    """
-    import re
+
+def resembles(matcher, text: str, term: str, ratio: float) -> bool:
+    """Does a segment of the text, or a text as a whole, match the term by the ratio of difflib's matcher? matcher holds the term as its second text."""
+    for i, m in enumerate(re.finditer(r"[a-z0-9][a-z0-9\s]{0,%d}" % (len(term) + 6), text)):
+        if i >= SEGMENTS:
+            break
+        matcher.set_seq1(m[0][: len(term) + 3])
+        # two upper bounds first: most segments go no further
+        if matcher.real_quick_ratio() >= ratio and matcher.quick_ratio() >= ratio and matcher.ratio() >= ratio:
+            return True
+    matcher.set_seq1(text[:WHOLE_LENGTH])
+    least = ratio + WHOLE_RATIO
+    return matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and matcher.ratio() >= least
+
+
+def fuzzy_hits(texts: DataFrame, lexicon: DataFrame, word_ratio: float = 0.9, phrase_ratio: float = 0.88) -> DataFrame:
+    """(norm, family, ord, weight, term) for near matches of terms of four letters or more that a distinct text does not hold itself, in Arrow batches; terms are marked by a ~."""
     from difflib import SequenceMatcher
 
-    terms = [(r["family"], r["ord"], r["weight"], r["term"]) for r in lexicon.where("kind in ('word', 'phrase') and length(term) >= 4").limit(100_000).collect()]
+    rows = checked(lexicon).where("kind in ('word', 'phrase') and length(term) >= 4").distinct().collect()
+    terms = sorted((r["family"], r["ord"], r["weight"], r["term"]) for r in rows)
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = {t: SequenceMatcher(None, "", t) for _, _, _, t in terms}
         for b in batches:
-            rows = []
+            found = []
             for text in b.column("norm").to_pylist():
+                near: dict[str, bool] = {}
                 for family, ord_, weight, term in terms:
-                    segments = re.findall(r"[a-z0-9][a-z0-9\s]{0,%d}" % (len(term) + 6), text)[:50]
-                    if term not in text and any(SequenceMatcher(None, s[: len(term) + 3], term).ratio() >= ratio for s in segments):
-                        rows.append((text, family, ord_, weight, "~" + term))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string()))], names=["norm", "family", "ord", "weight", "term"])
+                    if term not in near:
+                        near[term] = term not in text and resembles(matchers[term], text, term, phrase_ratio if " " in term else word_ratio)
+                    if near[term]:
+                        found.append((text, family, ord_, weight, "~" + term))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], names=["norm", "family", "ord", "weight", "term"])
 
     return texts.select("norm").mapInArrow(run, "norm string, family string, ord int, weight double, term string")
 
 
-def tag_texts(texts: DataFrame, lexicon: DataFrame, fuzzy: bool = False) -> DataFrame:
-    """One row of tags per distinct raw text (column raw).
+def tag_texts(texts: DataFrame, lexicon: DataFrame, fuzzy: bool = True, similarity: bool = False) -> DataFrame:
+    """One row of tags per distinct raw text (column raw).
 
     Families contribute their weight once; the score adds vagueness, emoji, coordination and sentiment terms. The hierarchy
-    bonus depends on the transfer and is added by `tag_transfers`.
+    bonus depends on the transfer and is added by `tag_transfers`. With `similarity`, n-gram similarity to the families (N14)
+    and terms found by it (N15) add to the score; both are fitted on the lexicon alone.
     """
-    norm = texts.select("raw", normalize_text(F.col("raw")).alias("norm"))
-    uniq = norm.select("norm").distinct()
+    norm = unescaped(texts.select("raw", F.col("raw").alias("norm")), "norm").select("raw", normalize_text(F.col("norm")).alias("norm"))
+    # every distinct text is tagged once; several branches read it
+    uniq = cut(norm.select("norm").distinct(), "texts")
     hits = lexicon_hits(uniq, lexicon)
     if fuzzy:
-        hits = hits.union(fuzzy_hits(uniq, lexicon))
+        hits = hits.union(fuzzy_hits(uniq, lexicon)).distinct()
     by_family = hits.groupBy("norm", "family").agg(F.min("ord").alias("ord"), F.min("weight").alias("contrib"), F.array_sort(F.collect_set("term")).alias("terms"))
     grouped = by_family.groupBy("norm").agg(F.array_sort(F.collect_list(F.struct("ord", "family", "contrib"))).alias("fams"), F.array_distinct(F.array_sort(F.flatten(F.collect_list("terms")))).alias("frases"))
     empty = F.array().cast("array<struct<ord:int,family:string,contrib:double>>")
-    df = norm.join(grouped, "norm", "left").withColumn("fams", F.coalesce("fams", empty)).withColumn("frases", F.coalesce("frases", F.array().cast("array<string>"))).withColumn("words", words_of(F.col("norm")))
+    more = similar_scores(uniq, lexicon, by_family) if similarity else uniq.select("norm", F.lit(0.0).alias("_similar"))
+    df = norm.join(grouped, "norm", "left").join(more, "norm", "left").withColumn("fams", F.coalesce("fams", empty)).withColumn("frases", F.coalesce("frases", F.array().cast("array<string>"))).withColumn("words", words_of(F.col("norm")))
     has = lambda name: F.exists("fams", lambda f: f["family"] == name)
     event = F.col("norm").rlike(EVENT)
     social = F.exists(F.array(*[F.lit(s) for s in SOCIAL_WORDS]), lambda s: F.col("norm").contains(s))
@@ -196,7 +270,7 @@ def tag_texts(texts: DataFrame, lexicon: DataFrame, fuzzy: bool = False) -> Data
         F.col("emo").cast("double").alias("feat_nlp_emocion"),
         event.alias("nlp_evento_corporativo"),
         F.round("sent", 3).alias("feat_nlp_sentimiento"),
-        score.alias("_base"),
+        (score + F.coalesce("_similar", F.lit(0.0))).alias("_base"),
         ((F.size("cats") > 0) & (F.size(F.array_except("cats", F.array(*[F.lit(x) for x in WEAK_FAMILIES]))) == 0)).alias("_weak"),
     )
 
@@ -206,10 +280,10 @@ def level(points: Column) -> Column:
     return F.when(points >= 6.5, "CRITICO").when(points >= 4.2, "ALTO").when(points >= 2.6, "MEDIO").otherwise("BAJO")
 
 
-def tag_transfers(tx: DataFrame, lexicon: DataFrame, fuzzy: bool = False) -> DataFrame:
+def tag_transfers(tx: DataFrame, lexicon: DataFrame, fuzzy: bool = True, similarity: bool = False) -> DataFrame:
     """Tags of each transfer's text, with the hierarchy bonus of its relation."""
     texts = tx.select(F.coalesce("descripcion", F.lit("")).alias("raw")).distinct()
-    tags = tag_texts(texts, lexicon, fuzzy)
+    tags = tag_texts(texts, lexicon, fuzzy, similarity)
     df = tx.withColumn("_raw", F.coalesce("descripcion", F.lit(""))).join(tags, F.col("_raw") == F.col("raw"), "left")
     boss = F.lower("relacion").contains("manager") & F.arrays_overlap("cats", F.array(*[F.lit(x) for x in HIERARCHY_FAMILIES]))
     points = F.col("_base") + F.when(boss, 0.8).otherwise(0.0)
@@ -252,12 +326,34 @@ def family_similarity(texts: DataFrame, lexicon: DataFrame, top: int = 5) -> Dat
     return ranked.groupBy("norm").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("r", "family", "sim"))), lambda s: F.struct(s["family"], s["sim"]))).alias("similitudes_por_categoria"))
 
 
+def word_runs(texts: DataFrame) -> DataFrame:
+    """(norm, term): the runs of one to three words of three letters or more of each text."""
+    with_words = texts.select("norm").distinct().withColumn("w", F.filter(F.split("norm", " "), lambda w: F.length(w) >= 3))
+    runs = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.array_join(F.slice(F.col("w"), i, n), " "))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
+    return with_words.select("norm", F.explode(F.array_distinct(F.concat(*runs))).alias("term")).where(F.length("term") >= 4)
+
+
 def expand_lexicon(texts: DataFrame, lexicon: DataFrame, least: float = 0.32) -> DataFrame:
     """Runs of one to three words whose similarity to a family reaches `least`, as new terms (family, term, sim)."""
-    words = F.filter(F.split("norm", " "), lambda w: F.length(w) >= 3)
-    with_words = texts.select("norm").distinct().withColumn("w", words)
-    runs = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.array_join(F.slice(F.col("w"), i, n), " "))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
-    segments = with_words.select(F.explode(F.concat(*runs)).alias("norm")).where(F.length("norm") >= 4).distinct()
+    segments = word_runs(texts).select(F.col("term").alias("norm")).distinct()
     sims = family_similarity(segments, lexicon, top=1000).select(F.col("norm").alias("term"), F.explode("similitudes_por_categoria").alias("family", "sim"))
     known = lexicon.select("family", normalize_text(F.col("term")).alias("term"))
     return sims.where(F.col("sim") >= least).join(known, ["family", "term"], "left_anti")
+
+
+#: Similarity counts above this, times these factors.
+SIMILAR_LEAST, SIMILAR_FACTOR, SIMILAR_FAVOURS = 0.18, 0.9, 3.6
+#: Shares of a family's weight that one found term, or several, add.
+FOUND_ONE, FOUND_MORE = 0.45, 0.7
+
+
+def similar_scores(texts: DataFrame, lexicon: DataFrame, by_family: DataFrame) -> DataFrame:
+    """(norm, _similar): what N14 and N15 add to a text's score. A family without a hit of its own that has found terms adds its weight too."""
+    sims = family_similarity(texts, lexicon).select("norm", F.explode("similitudes_por_categoria").alias("family", "sim")).where(F.col("sim") > SIMILAR_LEAST)
+    near = sims.select("norm", (F.col("sim") * SIMILAR_FACTOR * F.when(F.col("family") == "FAVORES_SEXUALES", SIMILAR_FAVOURS).otherwise(1.0)).alias("x"))
+    found = word_runs(texts).join(expand_lexicon(texts, lexicon).select("family", "term"), "term").groupBy("norm", "family").agg(F.count(F.lit(1)).alias("n"))
+    weights = lexicon.groupBy("family").agg(F.max("weight").alias("weight"))
+    own = by_family.select("norm", "family", F.lit(True).alias("own"))
+    share = F.when(F.col("n") == 1, FOUND_ONE).otherwise(FOUND_MORE) + F.when(F.col("own"), 0.0).otherwise(1.0)
+    extra = found.join(F.broadcast(weights), "family").join(own, ["norm", "family"], "left").select("norm", (F.col("weight") * share).alias("x"))
+    return near.unionByName(extra).groupBy("norm").agg(F.sum("x").alias("_similar"))

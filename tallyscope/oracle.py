@@ -6,7 +6,7 @@ import re
 
 from tallyscope.operators import lexicon as lx
 from tallyscope.params import DEFAULTS
-from tallyscope.sources.fixtures import F1_SQL, F3_SQL, F3_WHOLE_SQL
+from tallyscope.sources.fixtures import F1_SQL, F3_SQL
 
 W = DEFAULTS.weights
 
@@ -21,9 +21,7 @@ def _list(items: list[str]) -> str:
 
 
 def _terms() -> str:
-    rows = [(fam, i, w, "phrase" if " " in t else "word", t) for i, (fam, (w, words, _)) in enumerate(lx.DEFAULT_LEXICON.items()) for t in words]
-    rows += [(fam, i, w, "pattern", t) for i, (fam, (w, _, pats)) in enumerate(lx.DEFAULT_LEXICON.items()) for t in pats]
-    return f"select * from (values {_values(rows)}) as v(family, ord, weight, kind, term)"
+    return f"select * from (values {_values(lx.default_rows())}) as v(family, ord, weight, kind, term)"
 
 
 APPROVAL = r"(?i)(autoriza\w*|aprob\w*|firma\w*|liber\w*|palome\w*|oc\b|po\b|orden de compra|licitaci[oó]n|contrato|alta proveedor)"
@@ -106,11 +104,13 @@ PARTS: dict[str, str] = {
       (rank() over (partition by month_id order by risk) + (count(*) over (partition by month_id, risk) - 1) / 2.0) / count(*) over (partition by month_id) as norm from scored join cal using (month_id)""",
     "s": """select tiers.*, tf as timeframe_periodo from tiers join (values ('ultimo_mes', 30), ('ultimos_3_meses', 90), ('todo_el_tiempo', 1000000)) f(tf, d) on epoch_us(tiers.ts) >= (select max(epoch_us(ts)) from tiers) - f.d * 86400000000""",
     "ends": "select s.*, user_id as persona, true as sent_ from s union all select s.*, receiver_id as persona, false as sent_ from s",
+    "whole_edges": "select distinct user_id as a, receiver_id as b from s where timeframe_periodo = 'todo_el_tiempo'",
+    "both_ways": "select a, b from whole_edges union select b, a from whole_edges",
+    "reach": "select a as x, a as y from both_ways union select r.x, e.b from reach r join both_ways e on e.a = r.y",
+    "clusters": "select node, 'cluster_' || dense_rank() over (order by root) as cluster_id from (select x as node, min(y) as root from reach group by x)",
+    "clustered": "select s.*, cluster_id from s join clusters on s.user_id = clusters.node where timeframe_periodo = 'todo_el_tiempo'",
     "f3e": "select distinct user_id as a, receiver_id as b from f3",
     "f3u": "select a, b from f3e union select b, a from f3e",
-    "f3w": F3_WHOLE_SQL,
-    "f3we": "select distinct user_id as a, receiver_id as b from f3w",
-    "f3wu": "select a, b from f3we union select b, a from f3we",
 }
 
 _NAMES = list(PARTS)
@@ -132,4 +132,4 @@ def sql(select: str) -> str:
         if re.search(rf"\b(?:from|join)\s+{p}\b", select):
             need(p)
     # named tables are made once: scored transfers feed many parts
-    return "with " + ",\n".join(f"{p} as {'materialized ' if p in ('tx', 'sig', 'scored', 'tiers', 's') else ''}({PARTS[p]})" for p in order) + "\n" + select
+    return ("with recursive " if "reach" in order else "with ") + ",\n".join(f"{p} as {'materialized ' if p in ('tx', 'sig', 'scored', 'tiers', 's') else ''}({PARTS[p]})" for p in order) + "\n" + select

@@ -118,6 +118,34 @@ def q3_with_details(s: DataFrame, **how: float) -> DataFrame:
     return pairs.unionByName(rows.withColumn("tipo", F.lit("detalle")), allowMissingColumns=True)
 
 
+def pair_concepts(s: DataFrame) -> DataFrame:
+    """The tagged concepts and the cleaned texts of each pair, in one long form, and joined in order of their names."""
+    both = F.array(F.col("nlp_concepto_sospechoso"), text.clean_concept(F.col("descripcion")))
+    long = s.select(TF, F.col("feat_quid_pair_key").alias("quid_pair_clave"), F.explode(both).alias("c")).where("trim(c) <> ''").distinct()
+    return long.groupBy(TF, "quid_pair_clave").agg(F.array_join(F.array_sort(F.collect_list("c")), ", ").alias("conceptos_par"))
+
+
+def q3_enriched(s: DataFrame, **how: float) -> DataFrame:
+    """Pairs of Q3 with counts, amounts, relations, concepts and the best example of all their transfers; what a pair already has stays where there is nothing new.
+
+    Pairs meet by both persons whatever the direction (Q-11). The best example has the highest score, then risk, then comes first.
+    """
+    best = F.struct(-F.col("feat_quid_score"), -F.col("risk_score"), F.unix_micros("fecha_hora_ts"), "tx_id")
+    more = s.groupBy(TF, F.col("feat_quid_pair_key").alias("quid_pair_clave")).agg(
+        F.count_if("feat_quid_has_approval").alias("quid_aprob_count"),
+        F.count_if("feat_quid_has_comp").alias("quid_comp_count"),
+        F.max(AMOUNT).alias("quid_tx_amount_max"),
+        mean("risk_score").alias("quid_tx_risk_avg"),
+        F.array_join(F.array_distinct(F.array_sort(F.concat(F.collect_set("relacion"), F.collect_set("feat_quid_rel_label")))), ", ").alias("quid_tx_relaciones"),
+        F.min_by(F.struct("tx_id", "fecha_hora_ts", AMOUNT, "feat_quid_score", "risk_score", "relacion", "feat_quid_rel_label", "feat_quid_value_vs_load_days", "feat_quid_has_approval", "feat_quid_has_comp", "descripcion"), best).alias("b"),
+    )
+    names = {"tx_id": "quid_top_tx_id", AMOUNT: "quid_top_tx_monto", "feat_quid_score": "quid_top_tx_score", "descripcion": "quid_top_tx_descripcion"}
+    new = {"quid_top_tx_fecha": "fecha_hora_ts", "quid_top_tx_relacion": "relacion", "quid_top_tx_rel_label": "feat_quid_rel_label", "quid_top_tx_aprob": "feat_quid_has_approval", "quid_top_tx_comp": "feat_quid_has_comp"}
+    out = q3(s, **how).join(more, [TF, "quid_pair_clave"], "left").join(pair_concepts(s), [TF, "quid_pair_clave"], "left")
+    out = out.withColumns({old: F.coalesce(F.col(f"b.{c}"), F.col(old)) for c, old in names.items()}).withColumns({k: F.col(f"b.{c}") for k, c in new.items()})
+    return out.withColumns({"quid_top_tx_risk": F.round("b.risk_score", 6), "quid_top_tx_value_vs_load_days": F.round("b.feat_quid_value_vs_load_days", 6)}).drop("b")
+
+
 def responsible() -> Column:
     """The manager where one is named by the relation, else the sender."""
     return F.coalesce(F.when(F.col("relacion") == "manager_del_emisor", F.col("receiver_id")), F.col("manager_1_user_id"), F.col("user_id"))
@@ -132,18 +160,36 @@ def q4(s: DataFrame, n: int = 10) -> DataFrame:
     return strict.unionByName(rest).select(TF, "tx_id", "fecha_hora_ts", "user_id", "receiver_id", AMOUNT, "feat_quid_score", F.round(days, 6).alias("dias_valor_vs_carga"), responsible().alias("responsable"), "nivel_relajado", say("Fecha valor ", F.format_number(-days, 1), " días antes de la carga").alias("interpretabilidad"))
 
 
-def q5(s: DataFrame, min_senders: int = 2) -> DataFrame:
-    """One concept to one receiver from several senders, with the texts in order of first use."""
-    order = F.struct("fecha_hora_ts", "tx_id", F.coalesce("descripcion", F.lit("")).alias("t"))
-    g = s.withColumn("concepto", F.explode(F.when(F.size("nlp_categorias") > 0, F.col("nlp_categorias")))).groupBy(TF, "receiver_id", "concepto").agg(
-        F.array_sort(F.collect_set("user_id")).alias("emisores"),
-        F.count(F.lit(1)).alias("tx_count"),
-        total().alias("monto_total"),
-        F.round(F.percentile("risk_score", F.lit(0.95)), 6).alias("risk_p95"),
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["t"])).alias("textos"),
-    )
-    out = g.where(F.size("emisores") >= min_senders)
-    return out.select(TF, "receiver_id", "concepto", F.size("emisores").alias("emisores_unicos"), F.array_join("emisores", ", ").alias("emisores_lista"), "tx_count", "monto_total", "risk_p95", F.array_join("textos", " | ").alias("textos"), say(F.size("emisores"), " personas pagaron a ", F.col("receiver_id"), " por ", F.col("concepto")).alias("interpretabilidad"))
+# Concepts that Q5 finds in a text that lists several.
+FORCED_CONCEPTS = ["SOBORNO", "VIATICOS_LUJOSOS", "EXTORSION", "DONATIVO_CRUZADO", "FAVORES_SEXUALES", "REGALOS_LUJO"]
+
+
+def in_order_of_use(rows: DataFrame, keys: list[str], value: Column, to: str) -> DataFrame:
+    """The different texts of each key in order of first use, joined by ' | '. Texts are made distinct before they are gathered."""
+    first = rows.groupBy(*keys, value.alias("t")).agg(F.min(F.struct("fecha_hora_ts", "tx_id")).alias("f"))
+    return first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "t"))), lambda x: x["t"]), " | ").alias(to))
+
+
+def q5(s: DataFrame, min_senders: int = 2, forced: bool = False, include_raw_concept: bool = False) -> DataFrame:
+    """One concept to one receiver from several senders, with the texts in order of first use.
+
+    forced: concepts are read from nlp_concepto_sospechoso, which may list several of FORCED_CONCEPTS (P35), and months and mean risk
+    are added; include_raw_concept: the cleaned texts are added.
+    """
+    concepts = F.col("nlp_categorias")
+    if forced:
+        listed = text.forced_concepts(F.col("nlp_concepto_sospechoso"), FORCED_CONCEPTS)
+        concepts = F.when(F.size(listed) > 0, listed).otherwise(F.filter(F.array(F.trim("nlp_concepto_sospechoso")), lambda c: c != ""))
+    keys = [TF, "receiver_id", "concepto"]
+    rows = s.withColumn("concepto", F.explode(F.when(F.size(concepts) > 0, concepts)))
+    more = [F.count_distinct("month_id").alias("meses_distintos"), F.array_join(F.array_sort(F.collect_set("month_id")), ", ").alias("meses_detalle"), mean("risk_score").alias("riesgo_promedio")] if forced else []
+    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("user_id")).alias("emisores"), F.count(F.lit(1)).alias("tx_count"), total().alias("monto_total"), F.round(F.percentile("risk_score", F.lit(0.95)), 6).alias("risk_p95"), *more)
+    out = g.where(F.size("emisores") >= min_senders).join(in_order_of_use(rows, keys, F.coalesce("descripcion", F.lit("")), "textos"), keys)
+    if include_raw_concept:
+        out = out.join(in_order_of_use(rows, keys, text.clean_concept(F.col("descripcion")), "conceptos_crudos"), keys)
+    said = say(F.size("emisores"), " personas pagaron a ", F.col("receiver_id"), " por ", F.col("concepto")).alias("interpretabilidad")
+    added = (["meses_distintos", "meses_detalle", "riesgo_promedio"] if forced else []) + (["conceptos_crudos"] if include_raw_concept else [])
+    return out.select(*keys, F.size("emisores").alias("emisores_unicos"), F.array_join("emisores", ", ").alias("emisores_lista"), "tx_count", "monto_total", "risk_p95", "textos", *added, said)
 
 
 def q6(s: DataFrame) -> DataFrame:
@@ -197,19 +243,23 @@ def q9(s: DataFrame, newcomer_months: float = 6, veteran_months: float = 60) ->
 
 
 def reverse_gap() -> Column:
-    """Microseconds since the latest earlier transfer the other way in the pair."""
-    w = Window.partitionBy(TF, "par_bidir").orderBy("fecha_hora_ts", "tx_id").rowsBetween(Window.unboundedPreceding, -1)
+    """Microseconds between a transfer and the one the other way in its pair: the latest earlier one, or the next transfer, if that goes the other way."""
+    order = Window.partitionBy(TF, "par_bidir").orderBy("fecha_hora_ts", "tx_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     up = F.col("user_id") < F.col("receiver_id")
     us = F.unix_micros("fecha_hora_ts")
-    return us - F.when(up, F.last(F.when(~up, us), True).over(w)).otherwise(F.last(F.when(up, us), True).over(w))
+    back = us - F.when(up, F.last(F.when(~up, us), True).over(before)).otherwise(F.last(F.when(up, us), True).over(before))
+    ahead = F.when(F.lead(up).over(order) != up, F.lead(us).over(order) - us)
+    return F.least(back, ahead)
 
 
 def q10(s: DataFrame, min_consecutive: int = 2, risk: float = 1.8) -> DataFrame:
-    """Pairs with long runs of back-and-forth transfers; without flags, runs of transfers within 8, 24 or 72 hours of one the other way."""
+    """Pairs with long runs of back-and-forth transfers; without flags, runs of transfers within 8, 24 or 72 hours of one the other way; without these, pairs that pay both ways."""
     keyed = s.where("user_id <> receiver_id").withColumn("par_bidir", F.concat_ws("⇄", F.least("user_id", "receiver_id"), F.greatest("user_id", "receiver_id")))
-    gap = keyed.withColumn("_gap", reverse_gap())
+    whole = Window.partitionBy(TF, "par_bidir")
+    gap = keyed.withColumn("_gap", reverse_gap()).withColumn("_both", F.min("user_id").over(whole) != F.max("user_id").over(whole))
     hours = lambda h: F.coalesce(F.col("_gap") <= h * 3_600_000_000, F.lit(False))
-    levels = gap.withColumn("_lv", F.when(F.col("sig_yoyo"), 0).when(hours(8), 1).when(hours(24), 2).when(hours(72), 3))
+    levels = gap.withColumn("_lv", F.when(F.col("sig_yoyo"), 0).when(hours(8), 1).when(hours(24), 2).when(hours(72), 3).when(F.col("_both"), 4))
     best = levels.groupBy(TF).agg(F.min("_lv").alias("_best"))
     marked = levels.join(F.broadcast(best), TF).withColumn("_hit", F.coalesce(F.col("_lv") <= F.col("_best"), F.lit(False)))
     # Gaps and islands
@@ -226,6 +276,7 @@ def q10(s: DataFrame, min_consecutive: int = 2, risk: float = 1.8) -> DataFrame:
         F.round(F.max(F.when(hit, F.col("risk_score"))), 6).alias("riesgo_max_yo_yo"),
         F.round(F.avg(F.when(hit, F.col("risk_score"))), 6).alias("riesgo_promedio_yo_yo"),
         F.round(F.sum(F.when(hit, F.col(AMOUNT))), 4).alias("monto_total_yo_yo"),
+        F.round(F.avg(F.when(hit, F.col(AMOUNT))), 8).alias("monto_promedio_yo_yo"),
         F.max("_best").alias("criterio"),
     )
     both = g.join(longest, [TF, "par_bidir"])
@@ -240,9 +291,10 @@ def by_month_then_pair(rows: DataFrame, per_month: dict[str, Column], per_pair:
 
 
 def q11(s: DataFrame, min_months: int = 3, delta: float = 10.0) -> DataFrame:
-    """Amounts kept near the thresholds over several months."""
+    """Amounts kept near the thresholds over several months; without any, the nearest 15 % (half, if these are all at a threshold)."""
     d = F.col("feat_delta_near_thr")
-    p15 = s.groupBy(TF).agg(F.percentile("feat_delta_near_thr", F.lit(0.15)).alias("_p15"))
+    cut = F.percentile("feat_delta_near_thr", F.lit(0.15))
+    p15 = s.groupBy(TF).agg(F.when(cut > 0, cut).otherwise(F.percentile("feat_delta_near_thr", F.lit(0.5))).alias("_p15"))
     near = relaxed(s.join(F.broadcast(p15), TF), [F.col("sig_near_thr") & (d <= delta), d <= delta, d <= 2 * delta, d <= F.col("_p15")])
     g = by_month_then_pair(near, {"n": F.count(AMOUNT), "x": F.sum(AMOUNT), "d": F.avg("feat_delta_near_thr"), "r": F.max("risk_score"), "lv": F.max("nivel_relajado")}, {"meses_con_near": F.count(F.lit(1)), "tx_near_totales": F.sum("n"), "monto_total_near": F.round(F.sum("x"), 4), "delta_promedio": F.round(F.avg("d"), 6), "riesgo_max": F.round(F.max("r"), 6), "criterio": F.max("lv")})
     months = F.col("meses_con_near")
@@ -260,8 +312,9 @@ def q12(s: DataFrame, min_months: int | None = None, top_n: int = 25) -> DataFra
     Every pair that passes; top_n holds only where none has min_months.
     """
     quarter = s.groupBy(TF, pair().alias("_p")).agg(F.percentile(AMOUNT, F.lit(0.25)).alias("_q"))
-    rows = s.withColumn("_p", pair()).join(quarter, [TF, "_p"])
-    found = relaxed(rows, [F.col("sig_smurf"), F.col(AMOUNT) <= F.col("_q")])
+    half = s.groupBy(TF).agg(F.percentile(AMOUNT, F.lit(0.5)).alias("_half"))  # a row per time frame
+    rows = s.withColumn("_p", pair()).join(quarter, [TF, "_p"]).join(F.broadcast(half), TF)
+    found = relaxed(rows, [F.col("sig_smurf"), F.col(AMOUNT) <= F.coalesce("_q", "_half")]).drop("_half")
     trend = F.max_by("r", "month_id") - F.min_by("r", "month_id")
     g = by_month_then_pair(found, {"n": F.count(AMOUNT), "x": F.sum(AMOUNT), "r": F.avg("risk_score"), "rm": F.max("risk_score")}, {"meses_con_fraccionamiento": F.count(F.lit(1)), "transacciones_fraccionadas": F.sum("n"), "monto_fraccionado_total": F.round(F.sum("x"), 4), "riesgo_promedio": F.round(F.avg("r"), 6), "riesgo_maximo": F.round(F.max("rm"), 6), "_t": F.round(trend, 6)})
     g = g.withColumn("tendencia_riesgo", F.when(F.col("_t") > 0.05, "al alza").when(F.col("_t") < -0.05, "a la baja").otherwise("estable")).drop("_t")
@@ -271,12 +324,46 @@ def q12(s: DataFrame, min_months: int | None = None, top_n: int = 25) -> DataFra
     return g.withColumn("interpretabilidad", say(F.col("pair"), " fraccionó ", num("monto_fraccionado_total"), ", riesgo ", F.col("tendencia_riesgo")))
 
 
-def q13(s: DataFrame, min_months: int = 2) -> DataFrame:
-    """Loans that do not come back, and many transfers, in the same months of a pair."""
+def estimated_loans(s: DataFrame) -> DataFrame:
+    """Q13 without loan flags: in each month of two persons, the larger direction counts as the loan and the other as its return.
+
+    A row per time frame, directed pair and month, at level 2 (many transfers: the upper quarter, three at least; half or less came
+    back), 3 (the upper 40 %, two at least) or 4 (the 50 busiest months); of the levels that a time frame has, the lowest is kept.
+    """
+    ways = s.groupBy(TF, F.least("user_id", "receiver_id").alias("lo"), F.greatest("user_id", "receiver_id").alias("hi"), "month_id", "user_id", "receiver_id").agg(F.sum(AMOUNT).alias("x"), F.count(F.lit(1)).alias("n"), F.max("risk_score").alias("r"), F.sum("risk_score").alias("rs"))
+    larger = F.min_by(F.struct("user_id", "receiver_id", "x", "n"), F.struct(-F.col("x"), "user_id")).alias("loan")
+    m = ways.groupBy(TF, "lo", "hi", "month_id").agg(larger, F.sum("x").alias("all_x"), F.sum("n").alias("f"), F.max("r").alias("r"), (F.sum("rs") / F.sum("n")).alias("ra"))
+    back = F.when(F.col("lo") == F.col("hi"), F.col("loan.x")).otherwise(F.col("all_x") - F.col("loan.x"))
+    m = m.select(TF, F.concat_ws("→", "loan.user_id", "loan.receiver_id").alias("pair"), "month_id", F.col("loan.n").alias("l"), F.greatest(F.col("loan.x") - back, F.lit(0.0)).alias("x"), "f", "r", "ra", F.coalesce(F.try_divide(back, F.col("loan.x")), F.lit(0.0)).alias("ratio"))
+    cuts = m.groupBy(TF).agg(F.percentile("f", F.array(F.lit(0.75), F.lit(0.6))).alias("q"))
+    m = m.join(F.broadcast(cuts), TF)
+    owed = F.col("ratio") <= 0.5
+    level = F.when(owed & (F.col("f") >= F.greatest(F.get("q", F.lit(0)), F.lit(3))), 2).when(owed & (F.col("f") >= F.greatest(F.get("q", F.lit(1)), F.lit(2))), 3)
+    busiest = top(m, 50, F.desc("f"), F.desc(F.round("x", 4)), F.col("pair"), F.col("month_id"))
+    every = m.withColumn("criterio", level).where("criterio is not null").unionByName(busiest.withColumn("criterio", F.lit(4)))
+    best = every.groupBy(TF).agg(F.min("criterio").alias("_best"))
+    return every.join(F.broadcast(best), TF).where("criterio = _best").drop("q", "ratio", "_best")
+
+
+def q13(s: DataFrame, min_months: int = 2, top_n: int = 25) -> DataFrame:
+    """Loans that do not come back, and many transfers, in the same months of a pair.
+
+    criterio 0: in the same months; 1: in different months of a pair; 2 to 4: no loan is flagged, see estimated_loans.
+    Then pairs with min_months, else with a month less, else the first top_n.
+    """
     bad, often = F.col("sig_loan_bad_repay"), F.col("sig_freq")
-    m = s.groupBy(TF, pair().alias("pair"), "month_id").agg(F.count_if(bad).alias("l"), F.sum(F.when(bad, F.col(AMOUNT))).alias("x"), F.count_if(often).alias("f"), F.max("risk_score").alias("r"), F.avg("risk_score").alias("ra")).withColumn("hit", (F.col("l") > 0) & (F.col("f") > 0))
-    g = m.where("hit").groupBy(TF, "pair").agg(F.count(F.lit(1)).alias("meses_con_coincidencia"), F.sum("l").alias("prestamos_incumplidos"), F.round(F.sum("x"), 4).alias("monto_prestamos_incumplidos"), F.sum("f").alias("eventos_alta_frecuencia"), F.round(F.max("r"), 6).alias("riesgo_max"), F.round(F.avg("ra"), 6).alias("riesgo_promedio"))
-    kept = relaxed(g, [F.col("meses_con_coincidencia") >= min_months, F.lit(True)])
+    m = s.groupBy(TF, pair().alias("pair"), "month_id").agg(F.count_if(bad).alias("l"), F.sum(F.when(bad, F.col(AMOUNT))).alias("x"), F.count_if(often).alias("f"), F.max("risk_score").alias("r"), F.avg("risk_score").alias("ra"))
+    sums = [F.sum("l").alias("prestamos_incumplidos"), F.round(F.coalesce(F.sum("x"), F.lit(0.0)), 4).alias("monto_prestamos_incumplidos"), F.sum("f").alias("eventos_alta_frecuencia"), F.round(F.max("r"), 6).alias("riesgo_max"), F.round(F.avg("ra"), 6).alias("riesgo_promedio")]
+    together = m.where("l > 0 and f > 0").groupBy(TF, "pair").agg(F.count(F.lit(1)).alias("meses_con_coincidencia"), *sums).withColumn("criterio", F.lit(0))
+    apart = m.groupBy(TF, "pair").agg(F.least(F.count_if(F.col("l") > 0), F.count_if(F.col("f") > 0)).alias("meses_con_coincidencia"), *sums).where("meses_con_coincidencia > 0").withColumn("criterio", F.lit(1))
+    flagged = m.groupBy(TF).agg(F.sum("l").alias("_flagged")).where("_flagged > 0").select(TF)  # a row per time frame
+    estimated = estimated_loans(s.join(F.broadcast(flagged), TF, "left_anti")).groupBy(TF, "pair").agg(F.count(F.lit(1)).alias("meses_con_coincidencia"), *sums, F.max("criterio").alias("criterio"))
+    every = together.unionByName(apart).unionByName(estimated)
+    best = every.groupBy(TF).agg(F.min("criterio").alias("_best"))
+    months = F.col("meses_con_coincidencia")
+    kept = relaxed(every.join(F.broadcast(best), TF).where("criterio = _best").drop("_best"), [months >= min_months, months >= max(min_months - 1, 1), F.lit(True)])
+    last = top(kept.where("nivel_relajado = 2"), top_n, F.desc("meses_con_coincidencia"), F.desc("monto_prestamos_incumplidos"), F.desc("eventos_alta_frecuencia"), F.col("pair"))
+    kept = kept.where("nivel_relajado < 2").unionByName(last)
     return kept.withColumn("interpretabilidad", say(F.col("pair"), ": ", F.col("prestamos_incumplidos"), " préstamos sin retorno en ", F.col("meses_con_coincidencia"), " meses"))
 
 

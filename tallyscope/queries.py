@@ -190,23 +190,24 @@ ORACLE_SQL["holiday_nearest"] = _HOLIDAYS
 # -- graph ---------------------------------------------------------------------------------------------------------
 
 
-def sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.distinct_edges(fixtures.sparse_transfers(spark, sf_dir))
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of all orders."""
+    return graph.distinct_edges(fixtures.order_transfers(spark, sf_dir))
 
 
 @register("triangles", "select distinct x.a as node from f3u x join f3u y on x.a = y.a and x.b < y.b join f3u z on z.a = x.b and z.b = y.b")
 def _triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.triangle_nodes(sparse_edges(spark, sf_dir))
+    return graph.triangle_nodes(all_edges(spark, sf_dir))
 
 
 @register("cycles", """select distinct unnest([a, b, c]) as node from (select x.a, x.b, y.b as c from f3e x join f3e y on x.b = y.a join f3e z on z.a = y.b and z.b = x.a)
   union select distinct unnest([a, b, c, d]) from (select x.a, x.b, y.b as c, z.b as d from f3e x join f3e y on x.b = y.a join f3e z on z.a = y.b join f3e u on u.a = z.b and u.b = x.a where z.b <> x.a and x.b <> z.b)""")
 def _cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycle_nodes(sparse_edges(spark, sf_dir))
+    return graph.cycle_nodes(all_edges(spark, sf_dir))
 
 
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cluster_ids(sparse_edges(spark, sf_dir))
+    return graph.cluster_ids(all_edges(spark, sf_dir))
 
 
 QUERIES["components"] = _components
@@ -217,30 +218,9 @@ ORACLE_SQL["components"] = (
 )
 
 
-# The same three over the edges of all orders; the names above keep the part that their SQL takes.
-
-
-def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.distinct_edges(fixtures.whole_transfers(spark, sf_dir))
-
-
-@register("triangles_whole", "select distinct x.a as node from f3wu x join f3wu y on x.a = y.a and x.b < y.b join f3wu z on z.a = x.b and z.b = y.b")
-def _triangles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.triangle_nodes(whole_edges(spark, sf_dir))
-
-
-@register("cycles_whole", """select distinct unnest([a, b, c]) as node from (select x.a, x.b, y.b as c from f3we x join f3we y on x.b = y.a join f3we z on z.a = y.b and z.b = x.a)
-  union select distinct unnest([a, b, c, d]) from (select x.a, x.b, y.b as c, z.b as d from f3we x join f3we y on x.b = y.a join f3we z on z.a = y.b join f3we u on u.a = z.b and u.b = x.a where z.b <> x.a and x.b <> z.b)""")
-def _cycles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycle_nodes(whole_edges(spark, sf_dir))
-
-
-def _components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cluster_ids(whole_edges(spark, sf_dir))
-
-
-QUERIES["components_whole"] = _components_whole
-ORACLE_SQL["components_whole"] = ORACLE_SQL["components"].replace(fixtures.F3_SQL, fixtures.F3_WHOLE_SQL)
+# second names of the three, from the time when the first ones read a part of the orders
+for _name in ("triangles", "cycles", "components"):
+    QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
 
 
 @register("network_totals", "select user_id as persona, round(sum(amt), 2) as p1_out_sum, bool_or(user_id in (select node from cyc)) as en_ciclo, bool_or(user_id in (select node from tri)) as en_triangulo from tx group by user_id")
@@ -323,9 +303,14 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.scored(spark, sf_dir).select("tx_id", *[F.col(c).alias(k) for k, c in names.items()])
 
 
-@register("transfer_report")
+@register("transfer_report", "select timeframe_periodo, tx_id, user_id, receiver_id, amt as movement_amount, round(risk, 6) as risk_score, tier as risk_tier from s")
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.transactions(reports.sliced(pipeline.scored(spark, sf_dir))).select(TF, "tx_id", "user_id", "receiver_id", "movement_amount", "risk_score", "risk_tier", "interp_tx")
+    return reports.transactions(reports.sliced(pipeline.scored(spark, sf_dir))).select(TF, "tx_id", "user_id", "receiver_id", "movement_amount", r6("risk_score"), "risk_tier")
+
+
+@register("transfer_explanations")
+def _explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.scored(spark, sf_dir).select("tx_id", "interp_tx")
 
 
 # -- reports -------------------------------------------------------------------------------------------------------
@@ -371,8 +356,13 @@ over_slices("change_events", lambda s: reports.change_events(s).drop("relacion")
   count(*)::bigint as month_tx_count, round(sum(amt), 4) as month_tx_sum, round(max(risk), 6) as risk_score_max from s where jump or fresh group by all""")
 over_slices("change_pairs", lambda s: reports.change_pairs(s), """select timeframe_periodo, user_id, receiver_id, pair, sum(j)::bigint as change_point_eventos, sum(f)::bigint as new_edge_eventos, max(m) as risk_score_max from (select timeframe_periodo, user_id, receiver_id, pair, month_id, bool_or(jump)::int as j, bool_or(fresh)::int as f, round(max(risk), 6) as m from s where jump or fresh group by all) group by all""")
 over_slices("burst_report", lambda s: reports.bursts(s).select(TF, "rafaga_canal_id", us("rafaga_canal_hora_bin_inicio").alias("us"), "rafaga_canal_tx_en_bin", "monto_promedio", "monto_total", "riesgo_promedio", "riesgo_maximo"), "select timeframe_periodo, app as rafaga_canal_id, epoch_us(ini)::bigint as us, max(bin_n)::bigint as rafaga_canal_tx_en_bin, round(avg(amt), 8) as monto_promedio, round(sum(amt), 4) as monto_total, round(avg(risk), 6) as riesgo_promedio, round(max(risk), 6) as riesgo_maximo from s where burst group by all")
-over_slices("cluster_report", lambda s: reports.clusters(s))
-over_slices("cluster_members", lambda s: reports.cluster_members(s))
+_CLUSTER_RATES = ", ".join(_rate(f, n) for f, n in (("yoyo", "yo_yo_cluster_tasa_flag"), ("smurf", "smurf_cluster_tasa_flag"), ("freq", "frecuencia_cluster_tasa_flag"), ("recurrent", "recurrente_cluster_tasa_flag"), ("bad_loan", "prestamo_cluster_tasa_repay_insuficiente"), ("is_round", "monto_cluster_tasa_flag_redondo"), ("near", "umbral_cluster_tasa_flag_cercania"), ("cyc1", "red_cluster_tasa_en_ciclos"), ("tri1", "red_cluster_tasa_en_triangulos"), ("quid", "quid_cluster_tasa_flag"), ("ref_reuse", "referencia_cluster_tasa_reutilizada")))
+_CLUSTERS = f"""select g.*, personas as cluster_personas_total, persona as desbalance_cluster_persona_principal, net as desbalance_cluster_persona_principal_monto, 'todo_el_tiempo' as timeframe_periodo from (
+    select cluster_id, count(*)::bigint as cluster_tx_count, round(sum(amt), 4) as cluster_tx_sum, round(max(risk), 6) as riesgo_cluster_maximo, round(avg(risk), 6) as riesgo_cluster_promedio, count(*) filter (where concept <> '')::bigint as nlp_cluster_total_transacciones_sospechosas, count(distinct nullif(concept, ''))::bigint as nlp_cluster_conceptos_sospechosos_unicos, {_CLUSTER_RATES} from clustered group by cluster_id) g
+  join (select *, count(*) over (partition by cluster_id)::bigint as personas, row_number() over (partition by cluster_id order by abs(net) desc, persona) as r from (
+    select cluster_id, persona, round(sum(x), 4) as net from (select cluster_id, user_id as persona, amt as x from clustered union all select cluster_id, receiver_id, -amt from clustered) group by all)) using (cluster_id) where r = 1"""
+over_slices("cluster_report", lambda s: reports.clusters(s), _CLUSTERS)
+over_slices("cluster_members", lambda s: reports.cluster_members(s), "select cluster_id, node as persona from clusters")
 
 # -- short questions -----------------------------------------------------------------------------------------------
 
@@ -393,13 +383,32 @@ _TOP = lambda inner, order, n: f"select * exclude (r_) from (select *, row_numbe
 over_slices("q1", lambda s: questions.q1(s), """select timeframe_periodo, month_id, receiver_id as manager_user_id, user_id as subordinado_user_id, 'subordinado_a_manager' as direction, array_to_string(list_sort(list(distinct c)), ', ') as nlp_concepto_sospechoso, array_to_string(list_sort(list(distinct descripcion)), ' | ') as nlp_descripciones,
   count(*)::bigint as tx_count, count(distinct tx_id)::bigint as tx_distinct, round(sum(amt), 4) as monto_total from (select *, unnest(cats) as c from s where relacion = 'manager_del_emisor') group by timeframe_periodo, month_id, receiver_id, user_id""")
 over_slices("q2", lambda s: questions.q2(s), "select timeframe_periodo, month_id, c as nlp_concepto_sospechoso, count(*)::bigint as tx_count, round(quantile_cont(risk, 0.95), 6) as risk_p95 from (select *, unnest(cats) as c from s where relacion = 'manager_del_emisor') group by all")
-over_slices("q3", lambda s: questions.q3(s))
-over_slices("q3_details", lambda s: questions.q3_with_details(s))
+_Q3 = """select * exclude (best, place) from (select *, min(nivel_relajado) over (partition by timeframe_periodo) as best, row_number() over (partition by timeframe_periodo, nivel_relajado order by quid_score_max desc, quid_tx_count desc, quid_pair_clave) as place from (
+    select * exclude (t), case when quid_score_max >= 2.2 and quid_manager_ratio > 0.5 then case when quid_aprob_ratio > 0 or quid_comp_ratio > 0 then 0 else 1 end else 2 end::int as nivel_relajado, t.tx_id as quid_top_tx_id, t.amt as quid_top_tx_monto, t.qscore as quid_top_tx_score, t.descripcion as quid_top_tx_descripcion from (
+      select timeframe_periodo, upair as quid_pair_clave, count(*)::bigint as quid_tx_count, max(qscore) as quid_score_max, round(avg(qscore), 6) as quid_score_avg, round(avg((label like '%Manager%')::int), 9) as quid_manager_ratio, round(avg(apr::int), 9) as quid_aprob_ratio, round(avg(cmp::int), 9) as quid_comp_ratio,
+        round(sum(amt), 4) as quid_tx_amount_sum, round(max(risk), 6) as quid_tx_risk_max, epoch_us(min(ts))::bigint as quid_tx_first_us, epoch_us(max(ts))::bigint as quid_tx_last_us,
+        arg_min({'tx_id': tx_id, 'amt': amt, 'qscore': qscore, 'descripcion': descripcion}, (-qscore, -amt, tx_id)) as t from s group by 1, 2)))
+  where nivel_relajado = best and (nivel_relajado < 2 or place <= 10)"""
+
+
+def _with_us(df: DataFrame) -> DataFrame:
+    return df.withColumns({"quid_tx_first_us": us("quid_tx_first_fecha"), "quid_tx_last_us": us("quid_tx_last_fecha")}).drop("quid_tx_first_fecha", "quid_tx_last_fecha")
+
+
+over_slices("q3", lambda s: _with_us(questions.q3(s)), _Q3)
+over_slices("q3_enriched", lambda s: _with_us(questions.q3_enriched(s)).withColumn("quid_top_tx_us", us("quid_top_tx_fecha")).drop("quid_top_tx_fecha", "conceptos_par"), f"""select p.* exclude (quid_top_tx_id, quid_top_tx_monto, quid_top_tx_score, quid_top_tx_descripcion), quid_aprob_count, quid_comp_count, quid_tx_amount_max, quid_tx_risk_avg, quid_tx_relaciones, t.tx_id as quid_top_tx_id, t.amt as quid_top_tx_monto, t.qscore as quid_top_tx_score, coalesce(t.descripcion, quid_top_tx_descripcion) as quid_top_tx_descripcion,
+    t.relacion as quid_top_tx_relacion, t.label as quid_top_tx_rel_label, t.apr as quid_top_tx_aprob, t.cmp as quid_top_tx_comp, round(t.risk, 6) as quid_top_tx_risk, round(t.days, 6) as quid_top_tx_value_vs_load_days, t.us as quid_top_tx_us from ({_Q3}) p join (
+    select timeframe_periodo, upair as quid_pair_clave, count(*) filter (where apr)::bigint as quid_aprob_count, count(*) filter (where cmp)::bigint as quid_comp_count, max(amt) as quid_tx_amount_max, round(avg(risk), 6) as quid_tx_risk_avg, array_to_string(list_sort(list_distinct(list(relacion) || list(label))), ', ') as quid_tx_relaciones,
+      arg_min({{'tx_id': tx_id, 'amt': amt, 'qscore': qscore, 'descripcion': descripcion, 'relacion': relacion, 'label': label, 'apr': apr, 'cmp': cmp, 'risk': risk, 'days': days, 'us': epoch_us(ts)::bigint}}, (-qscore, -risk, epoch_us(ts), tx_id)) as t from s group by 1, 2) using (timeframe_periodo, quid_pair_clave)""")
+over_slices("q3_details", lambda s: _with_us(questions.q3_with_details(s)).withColumn("us", us("fecha_hora_ts")).drop("fecha_hora_ts"), f"""select *, 'par' as tipo, null::varchar as tx_id, null::bigint as us, null::double as movement_amount, null::double as feat_quid_score from ({_Q3})
+  union all by name select timeframe_periodo, upair as quid_pair_clave, 'detalle' as tipo, tx_id, epoch_us(ts)::bigint as us, amt as movement_amount, qscore as feat_quid_score from s semi join ({_Q3}) p on s.timeframe_periodo = p.timeframe_periodo and s.upair = p.quid_pair_clave""")
 over_slices("q4", lambda s: questions.q4(s).select(TF, "tx_id", "movement_amount", "feat_quid_score", "dias_valor_vs_carga", "responsable", "nivel_relajado"), "select timeframe_periodo, tx_id, amt as movement_amount, qscore as feat_quid_score, round(days, 6) as dias_valor_vs_carga, coalesce(case when relacion = 'manager_del_emisor' then receiver_id end, case when sn > 0 then 'P' || lpad((sn // 4)::varchar, 4, '0') end, user_id) as responsable, 0 as nivel_relajado from s where days < 0")
 over_slices("q5", lambda s: questions.q5(s).drop("textos"), "select timeframe_periodo, receiver_id, c as concepto, count(distinct user_id)::int as emisores_unicos, array_to_string(list_sort(list(distinct user_id)), ', ') as emisores_lista, count(*)::bigint as tx_count, round(sum(amt), 4) as monto_total, round(quantile_cont(risk, 0.95), 6) as risk_p95 from (select *, unnest(cats) as c from s) group by timeframe_periodo, receiver_id, c having count(distinct user_id) >= 2")
 over_slices("q5_textos", lambda s: questions.q5(s).select(TF, "receiver_id", "concepto", "textos"), """select timeframe_periodo, receiver_id, c as concepto, string_agg(t, ' | ' order by f) as textos from (
   select timeframe_periodo, receiver_id, c, t, min(strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' ' || tx_id) as f from (select *, unnest(cats) as c, coalesce(descripcion, '') as t from s) group by all) join (
   select timeframe_periodo, receiver_id, c from (select *, unnest(cats) as c from s) group by all having count(distinct user_id) >= 2) using (timeframe_periodo, receiver_id, c) group by all""")
+over_slices("q5_forced", lambda s: questions.q5(s, forced=True, include_raw_concept=True).drop("textos", "conceptos_crudos"), """select timeframe_periodo, receiver_id, concept as concepto, count(distinct user_id)::int as emisores_unicos, array_to_string(list_sort(list(distinct user_id)), ', ') as emisores_lista, count(*)::bigint as tx_count, round(sum(amt), 4) as monto_total, round(quantile_cont(risk, 0.95), 6) as risk_p95,
+  count(distinct month_id)::bigint as meses_distintos, array_to_string(list_sort(list(distinct month_id)), ', ') as meses_detalle, round(avg(risk), 6) as riesgo_promedio from s where concept <> '' group by 1, 2, 3 having count(distinct user_id) >= 2""")
 over_slices("q6", lambda s: questions.q6(s).select(TF, "month_id", "receiver_id", F.round("inflow", 2).alias("inflow"), "emisores_unicos", F.round("inflow_acumulado", 2).alias("inflow_acumulado")), "select timeframe_periodo, month_id, receiver_id, round(i, 2) as inflow, e as emisores_unicos, round(sum(i) over (partition by timeframe_periodo, receiver_id order by month_id), 2) as inflow_acumulado from (select timeframe_periodo, month_id, receiver_id, round(sum(amt), 4) as i, count(distinct user_id)::bigint as e from s group by all)")
 over_slices("q7", lambda s: questions.q7(s), """select timeframe_periodo, persona, round(sum(e), 4) as desbalance_persona_monto_neto, count(*) filter (where z >= 2)::bigint as desbalance_persona_meses_envia_extremo, count(*) filter (where z <= -2)::bigint as desbalance_persona_meses_recibe_extremo from (
   select *, round(case when stddev_pop(net) over w > 0 then (net - avg(net) over w) / stddev_pop(net) over w else 0 end, 6) as z from (select timeframe_periodo, month_id, persona, sum(case when sent_ then amt else -amt end) as e, round(sum(case when sent_ then amt else -amt end), 4) as net from ends group by all) window w as (partition by timeframe_periodo, month_id)) group by all""")
@@ -411,7 +420,17 @@ over_slices("q9", lambda s: questions.q9(s), """select * exclude (lv) from (sele
     array_to_string(list_sort(list(distinct user_id)), ', ') as caso14_persona_emisores_nuevos_lista, max(tier_)::int as limites_usados, case when count(distinct user_id) >= 3 and count(*) >= 5 then 0 else 1 end as nivel_relajado
   from (select *, min(tier_) over (partition by timeframe_periodo) as best from (select s.*, case when ten_u <= 0.5 and ten_r >= 5 then 0 when ten_u <= 1 and ten_r >= 4 then 1 when ten_u <= 1.5 and ten_r >= 3.5 then 2 when ten_u <= q1_ and ten_r >= q3_ then 3 end as tier_
     from s join (select timeframe_periodo, quantile_cont(ten_u, 0.25) as q1_, quantile_cont(ten_r, 0.75) as q3_ from s group by 1) using (timeframe_periodo))) where tier_ <= best group by timeframe_periodo, receiver_id)) where nivel_relajado = lv""")
-over_slices("q10", lambda s: questions.q10(s))
+_Q10 = """select * exclude (best) from (select *, min(nivel_relajado) over (partition by timeframe_periodo) as best from (select *, case when racha_max_yo_yo >= 2 then case when riesgo_max_par >= 1.8 then 0 else 1 end else 2 end::int as nivel_relajado from (
+  select timeframe_periodo, par_bidir, count(*) filter (where hit)::bigint as tx_yo_yo_totales, count(distinct month_id) filter (where hit)::bigint as meses_con_yo_yo, round(max(risk), 6) as riesgo_max_par, round(avg(risk), 6) as riesgo_promedio_par, round(max(risk) filter (where hit), 6) as riesgo_max_yo_yo, round(avg(risk) filter (where hit), 6) as riesgo_promedio_yo_yo,
+    round(sum(amt) filter (where hit), 4) as monto_total_yo_yo, round(avg(amt) filter (where hit), 8) as monto_promedio_yo_yo, max(first_level)::int as criterio, max(run)::bigint as racha_max_yo_yo from (
+    select *, case when hit then count(*) over (partition by timeframe_periodo, par_bidir, hit, island) end as run from (
+      select *, row_number() over (partition by timeframe_periodo, par_bidir order by ts, tx_id) - row_number() over (partition by timeframe_periodo, par_bidir, hit order by ts, tx_id) as island from (
+        select *, coalesce(lv <= first_level, false) as hit from (select *, min(lv) over (partition by timeframe_periodo) as first_level from (
+          select *, case when yoyo then 0 when gap <= 28800000000 then 1 when gap <= 86400000000 then 2 when gap <= 259200000000 then 3 when min(user_id) over (partition by timeframe_periodo, par_bidir) <> max(user_id) over (partition by timeframe_periodo, par_bidir) then 4 end as lv from (
+            select *, least(us - case when up then last_value(case when not up then us end ignore nulls) over w else last_value(case when up then us end ignore nulls) over w end, case when lead(up) over o <> up then lead(us) over o - us end) as gap from (
+              select *, least(user_id, receiver_id) || '⇄' || greatest(user_id, receiver_id) as par_bidir, user_id < receiver_id as up, epoch_us(ts)::bigint as us from s where user_id <> receiver_id)
+            window o as (partition by timeframe_periodo, par_bidir order by ts, tx_id), w as (partition by timeframe_periodo, par_bidir order by ts, tx_id rows between unbounded preceding and 1 preceding))))))) group by 1, 2 having max(run) is not null))) where nivel_relajado = best"""
+over_slices("q10", lambda s: questions.q10(s), _Q10)
 over_slices("q11", lambda s: questions.q11(s), """select timeframe_periodo, pair, meses_con_near, tx_near_totales, monto_total_near, delta_promedio, riesgo_max, criterio, lv as nivel_relajado from (select *, min(lv) over (partition by timeframe_periodo) as best_ from (
   select timeframe_periodo, pair, count(*)::bigint as meses_con_near, sum(n)::bigint as tx_near_totales, round(sum(x), 4) as monto_total_near, round(avg(d), 6) as delta_promedio, round(max(r), 6) as riesgo_max, max(lv)::int as criterio, greatest(0, 3 - count(*))::int as lv from (
     select timeframe_periodo, pair, month_id, count(*) as n, sum(amt) as x, avg(delta) as d, max(risk) as r, max(lv) as lv from (select *, min(lv) over (partition by timeframe_periodo) as best from (
@@ -421,16 +440,25 @@ over_slices("q12", lambda s: questions.top(questions.q12(s), 25, *questions.q12_
   case when round(arg_max(r, month_id) - arg_min(r, month_id), 6) > 0.05 then 'al alza' when round(arg_max(r, month_id) - arg_min(r, month_id), 6) < -0.05 then 'a la baja' else 'estable' end as tendencia_riesgo from (select timeframe_periodo, pair, month_id, count(*) as n, sum(amt) as x, avg(risk) as r, max(risk) as m from s where smurf group by all) group by 1, 2""", "monto_fraccionado_total desc, transacciones_fraccionadas desc, meses_con_fraccionamiento desc, pair", 25))
 over_slices("q12_all", lambda s: questions.q12(s), """select timeframe_periodo, pair, count(*)::bigint as meses_con_fraccionamiento, sum(n)::bigint as transacciones_fraccionadas, round(sum(x), 4) as monto_fraccionado_total, round(avg(r), 6) as riesgo_promedio, round(max(m), 6) as riesgo_maximo,
   case when round(arg_max(r, month_id) - arg_min(r, month_id), 6) > 0.05 then 'al alza' when round(arg_max(r, month_id) - arg_min(r, month_id), 6) < -0.05 then 'a la baja' else 'estable' end as tendencia_riesgo from (select timeframe_periodo, pair, month_id, count(*) as n, sum(amt) as x, avg(risk) as r, max(risk) as m from s where smurf group by all) group by 1, 2""")
-over_slices("q13", lambda s: questions.q13(s), """select * exclude (best) from (select *, min(nivel_relajado) over (partition by timeframe_periodo) as best from (
+over_slices("q13", lambda s: questions.q13(s).drop("criterio"), """select * exclude (best) from (select *, min(nivel_relajado) over (partition by timeframe_periodo) as best from (
   select timeframe_periodo, pair, count(*)::bigint as meses_con_coincidencia, sum(l)::bigint as prestamos_incumplidos, round(sum(x), 4) as monto_prestamos_incumplidos, sum(f)::bigint as eventos_alta_frecuencia, round(max(r), 6) as riesgo_max, round(avg(ra), 6) as riesgo_promedio, (count(*) < 2)::int as nivel_relajado from (
     select timeframe_periodo, pair, month_id, count(*) filter (where bad_loan) as l, sum(amt) filter (where bad_loan) as x, count(*) filter (where freq) as f, max(risk) as r, avg(risk) as ra from s group by all) where l > 0 and f > 0 group by 1, 2)) where nivel_relajado = best""")
 over_slices("q14", lambda s: questions.top(questions.q14(s).where("nivel_relajado = 0").drop("nivel_relajado"), 50, *questions.q14_order()), _TOP("select timeframe_periodo, user_id as emisor, receiver_id as receptor, day(ts)::int as dia_corte, count(distinct month_id)::bigint as meses_recurrentes, count(*)::bigint as tx_totales, round(sum(amt), 4) as monto_total, round(avg(amt), 8) as monto_promedio from s group by all having count(distinct month_id) >= 3", "meses_recurrentes desc, monto_total desc, emisor, receptor, dia_corte", 50))
 over_slices("q14_all", lambda s: questions.q14(s), """select * exclude (best) from (select *, min(nivel_relajado) over (partition by timeframe_periodo) as best from (
   select timeframe_periodo, user_id as emisor, receiver_id as receptor, day(ts)::int as dia_corte, count(distinct month_id)::bigint as meses_recurrentes, count(*)::bigint as tx_totales, round(sum(amt), 4) as monto_total, round(avg(amt), 8) as monto_promedio, greatest(0, 3 - count(distinct month_id))::int as nivel_relajado from s group by all))
   where nivel_relajado = best qualify nivel_relajado < 2 or row_number() over (partition by timeframe_periodo order by meses_recurrentes desc, monto_total desc, emisor, receptor, dia_corte) <= 25""")
-over_slices("q15", lambda s: questions.q15(s))
+_Q15 = _TOP(f"select *, (yo_yo_cluster_tasa_flag > 0)::int + (smurf_cluster_tasa_flag > 0)::int + (frecuencia_cluster_tasa_flag > 0)::int + (recurrente_cluster_tasa_flag > 0)::int + (prestamo_cluster_tasa_repay_insuficiente > 0)::int as senales_activas from ({_CLUSTERS})", "senales_activas desc, riesgo_cluster_maximo desc, cluster_id", 10)
+over_slices("q15", lambda s: questions.q15(s), _Q15)
 over_slices("q16", lambda s: questions.q16(s).drop("nivel_relajado", "risk_tier"), _TOP("select timeframe_periodo, tx_id, user_id, receiver_id, amt as movement_amount, round(risk, 6) as risk_score, n as senales from (select *, smurf::int + yoyo::int + bad_loan::int + freq::int + near::int + is_round::int as n, max(smurf::int + yoyo::int + bad_loan::int + freq::int + near::int + is_round::int) over (partition by timeframe_periodo) as best from s) where n >= least(3, best)", "senales desc, risk_score desc, tx_id", 25))
-over_slices("q17", lambda s: questions.q17(s))
+_Q17 = _TOP(f"""select timeframe_periodo, persona, em + re as movements, susp as tx_sospechosas_nlp, conc as conceptos_unicos, round(susp / greatest(em, 1), 9) as proporcion_sospechosa, greatest(ca, cm, ra, rm) as score_probable_coi, mood as sentimiento_promedio,
+    case when mood > 0.2 then 'positivo' when mood < -0.2 then 'negativo' else 'neutral' end as sentimiento_etiqueta, round((risk_em + risk_re) / 2, 7) as risk_avg_person, sum_emit, sum_recv, round(sum_emit - sum_recv, 4) as net_flow, conceptos_principales from (
+    select *, round((sa + sr) / 2, 6) as mood from (
+      select timeframe_periodo, persona, count(*) filter (where sent_)::bigint as em, count(*) filter (where not sent_)::bigint as re, count(*) filter (where sent_ and concept <> '')::bigint as susp, count(distinct nullif(concept, '')) filter (where sent_)::bigint as conc,
+        {_e('avg(coi)')} as ca, {_e('max(coi)')} as cm, {_r('avg(coi)')} as ra, {_r('max(coi)')} as rm, {_e('avg(sent)')} as sa, {_r('avg(sent)')} as sr, {_e('avg(risk)')} as risk_em, {_r('avg(risk)')} as risk_re,
+        round(coalesce(sum(amt) filter (where sent_), 0), 4) as sum_emit, round(coalesce(sum(amt) filter (where not sent_), 0), 4) as sum_recv from ends group by 1, 2))
+  left join (select timeframe_periodo, persona, string_agg(concept, ', ' order by r) as conceptos_principales from (
+    select *, row_number() over (partition by timeframe_periodo, persona order by c desc, concept) as r from (select timeframe_periodo, user_id as persona, concept, count(*) as c from s where concept <> '' group by all)) where r <= 3 group by 1, 2) using (timeframe_periodo, persona)""", "tx_sospechosas_nlp desc, score_probable_coi desc, persona", 15)
+over_slices("q17", lambda s: questions.q17(s), _Q17)
 over_slices("q18", lambda s: person_risk.q18(s))
 over_slices("payment_profile", lambda s: person_risk.payment_profile(s).drop("detalle_pagos_mensuales"), "select timeframe_periodo, persona, count(*)::bigint as meses, round(stddev_pop(m), 4) as std_monto_mensual, round(stddev_pop(d), 6) as std_dia_pago_mensual from (select timeframe_periodo, user_id as persona, month_id, round(sum(amt), 4) as m, round(avg(day(ts)), 6) as d from s group by all) group by 1, 2")
 over_slices("payment_details", lambda s: person_risk.payment_rows(s).select(TF, "persona", "mes", "monto_total", "dia_pago_promedio", us("fecha").alias("us"), "monto"), "select timeframe_periodo, user_id as persona, month_id as mes, round(sum(amt) over w, 4) as monto_total, round(avg(day(ts)) over w, 6) as dia_pago_promedio, epoch_us(ts)::bigint as us, amt as monto from s window w as (partition by timeframe_periodo, user_id, month_id)")
@@ -438,7 +466,8 @@ over_slices("overview", lambda s: questions.overview(s))
 over_slices("digest", lambda s: questions.digest(s))
 over_slices("pair_month_pivot", lambda s: questions.pair_month_pivot(s, ["1995-01", "1995-02", "1995-03"]), "select pair, count(*) filter (where month_id = '1995-01')::bigint as \"1995-01\", count(*) filter (where month_id = '1995-02')::bigint as \"1995-02\", count(*) filter (where month_id = '1995-03')::bigint as \"1995-03\" from s where timeframe_periodo = 'todo_el_tiempo' group by pair")
 over_slices("pair_months_all", lambda s: questions.pair_month_counts(s), "select pair, month_id, count(*)::bigint as n from s where timeframe_periodo = 'todo_el_tiempo' group by all")
-over_slices("yoyo_timeline", lambda s: questions.yoyo_timeline(s))
+_SHARES = "select pair, month_id, round(avg(yoyo::int), 9) as pct_yoyo from s where timeframe_periodo = 'todo_el_tiempo' group by all"
+over_slices("yoyo_timeline", lambda s: questions.yoyo_timeline(s), f"select * from ({_SHARES}) m semi join (select pair from ({_SHARES}) group by pair order by round(avg(pct_yoyo), 9) desc, pair limit 10) b on m.pair = b.pair")
 over_slices("top_pairs", lambda s: questions.top_summary(reports.pairs(s), "pair", "risk_max").select(TF, "pair", "tx_count", "risk_max"), _TOP("select timeframe_periodo, pair, count(*)::bigint as tx_count, round(max(risk), 6) as risk_max from s group by all", "risk_max desc, pair", 10))
 
 # -- streaming -----------------------------------------------------------------------------------------------------

@@ -41,20 +41,12 @@ select leg, l_orderkey as order_key, l_partkey as part_key, l_suppkey as supp_ke
 from legs
 """.replace("{modulus}", MODULUS)
 
+#: The graph of all orders: every line is an edge from a customer to another.
 F3_SQL = """
 select 'C' || cast(o.o_custkey as varchar(20)) as user_id,
        'C' || cast(l.l_partkey * 7 % (select count(*) from customer) as varchar(20)) as receiver_id,
        l.l_extendedprice as movement_amount, l.l_shipdate as ts
 from lineitem l join orders o on l.l_orderkey = o.o_orderkey
-where l.l_orderkey % 97 = 0
-"""
-
-#: F3 without its filter: every line of every order is an edge.
-F3_WHOLE_SQL = """
-select 'C' || cast(o.o_custkey as varchar(20)) as user_id,
-       'C' || cast(l.l_partkey * 7 % (select count(*) from customer) as varchar(20)) as receiver_id,
-       l.l_extendedprice as movement_amount, l.l_shipdate as ts
-from lineitem l join orders o on l.l_orderkey = o.o_orderkey
 """
 
 TABLES = ("lineitem", "orders", "customer")
@@ -73,16 +65,11 @@ def dense_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql_over_tables(spark, sf_dir, F1_SQL)
 
 
-def sparse_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a sparse graph of several components."""
+def order_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3."""
     return sql_over_tables(spark, sf_dir, F3_SQL)
 
 
-def whole_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graph of F3 from all orders."""
-    return sql_over_tables(spark, sf_dir, F3_WHOLE_SQL)
-
-
 def event_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the event stream as transfers through channels."""
     from pyspark.sql import functions as F
