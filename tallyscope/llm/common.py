@@ -95,6 +95,22 @@ def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return joined.where(F.coalesce(flag, F.lit(0)) == 0).select("kept.*")
 
 
+#: Equal rows are numbered in so many parts, each a task's.
+EQUAL_PARTS = 256
+
+
+def places_among_equals(rows: DataFrame, group: Column) -> DataFrame:
+    """file, row and `place`, the number (from 0) of a row among those with the same group; written.
+
+    Rows are counted by group and part first, so a group with a third of the rows is numbered in EQUAL_PARTS tasks.
+    """
+    some = rows.select("file", "row", group.alias("_group"), F.pmod(F.xxhash64("file", "row"), F.lit(EQUAL_PARTS)).alias("_part"))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = some.groupBy("_group", "_part").count().select("_group", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_group", "_part").orderBy("file", "row")) - 1
+    return written(some.withColumn("_place", place).join(starts, ["_group", "_part"]).select("file", "row", (F.col("_place") + F.col("_start")).alias("place")), "places")
+
+
 def unused_name(columns: list[str], name: str) -> str:
     """name, with underscores in front until no column is called so."""
     taken = {c.lower() for c in columns}

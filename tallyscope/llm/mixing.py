@@ -15,17 +15,15 @@ Only doc_id, text and source are read; other columns, whatever their names, pass
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import global_rank, numbered, word_count, written
+from tallyscope.llm.common import global_rank, numbered, places_among_equals, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
 #: Up to this many sources their targets are broadcast; beyond it they are joined by shuffle.
 BROADCAST_SOURCES = 50_000
-#: Equal rows with one doc_id are numbered in so many parts.
-EQUAL_PARTS = 256
 #: 13 hex digits of an MD5 make a draw of 52 bits, exact in a double.
 DRAW_DIGITS = 13
 
@@ -77,19 +75,11 @@ def narrow(rows: DataFrame) -> DataFrame:
 
 
 def shared_draws(slim: DataFrame) -> DataFrame:
-    """file, row and `_more`, what the draw of a row depends on beside its doc_id, of the rows whose doc_id others have too.
-
-    Rows are counted by group and part, so a group with a third of the rows is numbered in EQUAL_PARTS tasks.
-    """
+    """file, row and `_more`, what the draw of a row depends on beside its doc_id, of the rows whose doc_id others have too."""
     shared_ids = written(slim.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "shared-ids")
-    part = F.pmod(F.xxhash64("file", "row"), F.lit(EQUAL_PARTS))
+    some = slim.join(shared_ids, F.col("doc_id").eqNullSafe(F.col("_id")))
     group = F.xxhash64(F.to_json(F.struct("doc_id", "source", "digest")))  # leaves nulls out, so they differ from values
-    some = slim.join(shared_ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("file", "row", "digest", group.alias("_group"), part.alias("_part"))
-    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = some.groupBy("_group", "_part").count().select("_group", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_group", "_part").orderBy("file", "row")) - 1
-    joined = some.withColumn("_place", place).join(starts, ["_group", "_part"])
-    return written(joined.select("file", "row", F.concat("digest", F.lit("|"), (F.col("_place") + F.col("_start")).cast("string")).alias("_more")), "draws")
+    return places_among_equals(some, group).join(slim.select("file", "row", "digest"), ["file", "row"]).select("file", "row", F.concat("digest", F.lit("|"), F.col("place").cast("string")).alias("_more"))
 
 
 def with_copies(rows: DataFrame, slim: DataFrame, doc_id: str, source: str, seed: str) -> DataFrame:

@@ -3,10 +3,11 @@
 Every page becomes a response record; from it follow a metadata record (what was extracted: title,
 outlinks, language) and a conversion record (plain text), both naming the response in WARC-Refers-To
 and carrying its target URI, date and digests. Record ids are UUIDs made from the content, so a task
-that runs again writes the same records. One narrow Arrow pass; nothing is shuffled.
+that runs again writes the same records. One Arrow pass over the pages, which are not shuffled.
 
 Defined cases: null html is an empty body, null url gives no WARC-Target-URI; repeated rows give
-records with equal ids; an empty table gives no records. Only page_id, url and html are read.
+records with ids of their own, made from their number among equals; pages of any length are read whole;
+an empty table gives no records. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tallyscope.llm.common import numbered, places_among_equals, written
 from tallyscope.llm.html_crf import RAW, RAW_ENDS, TOKEN
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
@@ -82,14 +85,14 @@ def plain_text(html: str) -> str:
     return read_page(html)[0]
 
 
-def derive(page_id: int | None, url: str | None, html: str | None, date: str) -> list[dict]:
-    """The response record of a page and the two derived from it."""
+def derive(page_id: int | None, url: str | None, html: str | None, date: str, place: int = 0) -> list[dict]:
+    """The response record of a page and the two derived from it. place: the page's number among equal rows."""
     body = html or ""
     payload = body.encode()
     status = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = status.encode() + payload
     source = {"Content-Type": "text/html; charset=utf-8", "Content-Length": str(len(payload))}
-    key = f"{page_id}|{url}|{hashlib.sha256(block).hexdigest()}"
+    key = f"{page_id}|{url}|{hashlib.sha256(block).hexdigest()}" + f"|{place}" * bool(place)
     response_id = f"<urn:uuid:{uuid.uuid5(SPACE, 'response|' + key)}>"
     text, title, links = read_page(body)
     lang = _LANG.search(body)
@@ -120,24 +123,29 @@ def derive(page_id: int | None, url: str | None, html: str | None, date: str) ->
 
 
 def build_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Three records per page (see SCHEMA)."""
+    """Three records per page (see SCHEMA). Pages are read where they lie; only digests are compared, to tell repeated rows apart."""
     arrow = pa.schema(
         [("page_id", pa.int64())]
         + [(c, pa.string()) for c in ("record_type", "record_id", "refers_to", "target_uri")]
         + [(c, pa.map_(pa.string(), pa.string())) for c in ("headers", "source_headers")]
         + [("block_digest", pa.string()), ("payload_digest", pa.string()), ("content_length", pa.int64()), ("content", pa.string())]
     )
+    rows = numbered(pages.select("page_id", "url", "html"))
+    digests = written(rows.select("file", "row", F.xxhash64("kept.page_id", "kept.url", "kept.html").alias("digest")), "digests")
+    repeated = written(digests.groupBy("digest").count().where("count > 1").select("digest"), "repeated")
+    placed = places_among_equals(digests.join(repeated, "digest"), F.col("digest")).where("place > 0")
+    read = rows.join(placed, ["file", "row"], "left").select("kept.page_id", "kept.url", "kept.html", F.coalesce("place", F.lit(0)).cast("long").alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256).to_pydict()
-                rows = [r for x in zip(part["page_id"], part["url"], part["html"]) for r in derive(*x, date)]
-                for r in rows:
+                made = [r for x in zip(part["page_id"], part["url"], part["html"], part["place"]) for r in derive(*x[:3], date, x[3])]
+                for r in made:
                     r["headers"], r["source_headers"] = list(r["headers"].items()), list(r["source_headers"].items())
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+    return read.mapInArrow(run, SCHEMA)
 
 
 def record_bytes(headers: dict[str, str], content: str) -> bytes:

@@ -277,3 +277,14 @@ def test_sharding_hot_null_and_long(spark):
         slots[r["shard"]].append(r["slot"])
     assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(r["size"] for r in got) == 300_001
+
+
+def test_records_of_repeated_pages_have_ids_of_their_own(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>", "a")] * 40 + [(None, None, None, "a")] * 3 + [(2, "v", "<p>" + "y " * 200_000 + "</p>", "a")], "page_id long, url string, html string, record_id string")
+    got = warc.build_records(pages).collect()
+    ids = [r["record_id"] for r in got]
+    assert len(got) == 3 * 44 and len(set(ids)) == len(ids)
+    responses = {r["record_id"] for r in got if r["record_type"] == "response"}
+    assert Counter(r["refers_to"] for r in got if r["record_type"] != "response") == {i: 2 for i in responses}
+    assert sorted(ids) == sorted(r["record_id"] for r in warc.build_records(pages.repartition(5)).select("record_id").collect())
+    assert max(r["content_length"] for r in got if r["record_type"] == "conversion") == 399_999
