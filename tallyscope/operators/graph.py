@@ -21,27 +21,52 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select("b", "a")).distinct()
 
 
+def upward(near: DataFrame) -> DataFrame:
+    """near (a, b and more, each edge from both ends, no loops) from the lower-ranked end only, with the degree db of the other. Rank: degree, id."""
+    degree = near.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
+    ranked = near.join(degree.select("a", F.col("deg").alias("da")), "a").join(degree.select(F.col("a").alias("b"), F.col("deg").alias("db")), "b")
+    return ranked.where((F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))).drop("da")
+
+
+def closed_wedges(up: DataFrame, more: list[str]) -> DataFrame:
+    """a, u, v of every triangle, with `more` of its edges as l_ (a, u), r_ (a, v) and c_ (u, v).
+
+    Each is met at its lowest-ranked end, so a hub's wedges are formed from its neighbours' side and number at most E * sqrt(E).
+    """
+    side = lambda end, name: [F.col(c).alias(f"{name}_{c}") for c in more]
+    left = up.select("a", F.col("b").alias("u"), F.col("db").alias("du"), *side("u", "l"))
+    right = up.select("a", F.col("b").alias("v"), F.col("db").alias("dv"), *side("v", "r"))
+    wedges = left.join(right, "a").where((F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v"))))
+    return wedges.join(up.select(F.col("a").alias("u"), F.col("b").alias("v"), *side("v", "c")), ["u", "v"])
+
+
 def triangle_nodes(edges: DataFrame) -> DataFrame:
     """G1: nodes with two neighbours that are neighbours; a self-loop makes a node its own neighbour.
 
-    Each triangle is met from its edge with the two lower-ranked ends (rank: degree, id), so a hub's wedges
-    are formed from its neighbours' side and number at most E * sqrt(E). A node with a self-loop and any other
-    neighbour qualifies, and so does that neighbour.
+    A node with a self-loop and any other neighbour qualifies, and so does that neighbour.
     """
     near = neighbours(edges)
     plain = near.where("a <> b")
-    degree = plain.groupBy("a").agg(F.count(F.lit(1)).alias("deg")).withColumnRenamed("a", "n")
-    ranked = plain.join(degree.select(F.col("n").alias("a"), F.col("deg").alias("da")), "a").join(degree.select(F.col("n").alias("b"), F.col("deg").alias("db")), "b")
-    up = ranked.where((F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))).select("a", "b", "db")
-    left = up.select("a", F.col("b").alias("u"), F.col("db").alias("du"))
-    right = up.select("a", F.col("b").alias("v"), F.col("db").alias("dv"))
-    wedges = left.join(right, "a").where((F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v"))))
-    closed = wedges.join(up.select(F.col("a").alias("u"), F.col("b").alias("v")), ["u", "v"], "left_semi").select(F.explode(F.array("a", "u", "v")).alias("node"))
+    closed = closed_wedges(upward(plain), []).select(F.explode(F.array("a", "u", "v")).alias("node"))
     loops = near.where("a = b").select(F.col("a").alias("loop"))
     beside = plain.join(loops, plain["a"] == loops["loop"], "left_semi").select(F.explode(F.array("a", "b")).alias("node"))
     return closed.union(beside).distinct()
 
 
+def three_walk_nodes(edges: DataFrame, simple: bool = False) -> DataFrame:
+    """Nodes on a closed walk a-b-c-a: directed triangles and, but for simple cycles, self-loops and who pays and is paid by a node with one."""
+    plain = edges.where("a <> b")
+    ends = plain.select("a", "b", F.lit(True).alias("out"), F.lit(False).alias("back")).union(plain.select("b", "a", F.lit(False), F.lit(True)))
+    up = upward(ends.groupBy("a", "b").agg(F.max("out").alias("out"), F.max("back").alias("back")))
+    around = (F.col("l_out") & F.col("c_out") & F.col("r_back")) | (F.col("r_out") & F.col("c_back") & F.col("l_back"))
+    triangles = closed_wedges(up, ["out", "back"]).where(around).select(F.explode(F.array("a", "u", "v")).alias("node"))
+    if simple:
+        return triangles.distinct()
+    loops = edges.where("a = b").select("a")
+    mutual = plain.join(plain.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_semi").join(loops, "a", "left_semi")
+    return triangles.union(loops).union(mutual.select("b")).distinct()
+
+
 def two_paths(edges: DataFrame) -> DataFrame:
     """Per (a, c): how many middle nodes lead a -> b -> c, and the least and the greatest."""
     first = edges.select("a", F.col("b").alias("mid"))
@@ -56,12 +81,10 @@ def cycle_nodes(edges: DataFrame, simple: bool = False) -> DataFrame:
     distinct nodes. 4-walks are never listed: two 2-path sets a->b->c and c->d->a are compared by their size and least node.
     """
     e = edges.where("a <> b") if simple else edges
-    paths = cut(two_paths(e), "paths")
-    back = e.select(F.col("a").alias("c"), F.col("b").alias("a"))
-    # every turn of a closed 3-walk is one too, so the starts are all of its nodes
-    three = cut(paths.join(back, ["a", "c"]).select(F.col("a").alias("node")).distinct(), "threes")
+    three = cut(three_walk_nodes(edges, simple), "threes")
     if three.count() == nodes_of(edges).count():
         return three
+    paths = cut(two_paths(e), "paths")
     forth = paths.where("a <> c") if simple else paths
     # d ranges over middles of c -> d -> a but for a itself (and, for simple cycles, both ends)
     via = e.select(F.col("a").alias("c"), F.col("b").alias("d")).join(e.select(F.col("a").alias("d"), F.col("b").alias("a")), "d").where("d <> a" + (" and d <> c" if simple else ""))

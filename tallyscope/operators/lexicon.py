@@ -208,9 +208,11 @@ def fuzzy_hits(texts: DataFrame, lexicon: DataFrame, word_ratio: float = 0.9, ph
             found = []
             for text in b.column("norm").to_pylist():
                 near: dict[str, bool] = {}
+                words = set(re.findall("[a-z0-9]+", text))
                 for family, ord_, weight, term in terms:
                     if term not in near:
-                        near[term] = term not in text and resembles(matchers[term], text, term, phrase_ratio if " " in term else word_ratio)
+                        held = term in text if " " in term else term in words
+                        near[term] = not held and resembles(matchers[term], text, term, phrase_ratio if " " in term else word_ratio)
                     if near[term]:
                         found.append((text, family, ord_, weight, "~" + term))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], names=["norm", "family", "ord", "weight", "term"])

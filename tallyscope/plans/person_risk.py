@@ -58,10 +58,14 @@ def scenario_metrics(s: DataFrame) -> dict[str, DataFrame]:
 
 
 def scenario_scores(metrics: DataFrame) -> DataFrame:
-    """3, 2 or 1 by quantiles of the positive metrics of a scenario and time frame; a single positive one scores 3."""
+    """3, 2 or 1 by quantiles of the positive metrics of a scenario and time frame; a single positive one scores 3.
+
+    Metrics and quantiles are compared with six digits, so that the order of a sum decides nothing.
+    """
+    metrics = metrics.withColumn("metric", F.round("metric", 6))
     positive = metrics.where("metric > 0")
     medium = F.element_at(F.create_map(*[F.lit(x) for k, (q, _) in SCENARIOS.items() for x in (k, q)]), F.col("scenario"))
-    cuts = positive.groupBy(TF, "scenario").agg(F.count(F.lit(1)).alias("n"), F.percentile("metric", F.array(F.lit(0.5), F.lit(0.55), F.lit(0.6), F.lit(HIGH_QUANTILE))).alias("q"))
+    cuts = positive.groupBy(TF, "scenario").agg(F.count(F.lit(1)).alias("n"), F.transform(F.percentile("metric", F.array(F.lit(0.5), F.lit(0.55), F.lit(0.6), F.lit(HIGH_QUANTILE))), lambda x: F.round(x, 6)).alias("q"))
     at = F.when(medium == 0.5, F.get("q", F.lit(0))).when(medium == 0.55, F.get("q", F.lit(1))).otherwise(F.get("q", F.lit(2)))
     cuts = cuts.select(TF, "scenario", "n", at.alias("mid"), F.get("q", F.lit(3)).alias("high"))  # scenarios times time frames
     m = F.col("metric")

@@ -21,13 +21,15 @@ from tallyscope.streaming import bursts as stream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The selects of ORACLE_SQL without the parts that they use.
+SELECTS: dict[str, str] = {}
 
 
 def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[name] = f
         if oracle:
-            ORACLE_SQL[name] = sql(oracle)
+            SELECTS[name], ORACLE_SQL[name] = oracle, sql(oracle)
         return f
 
     return keep
@@ -459,10 +461,56 @@ _Q17 = _TOP(f"""select timeframe_periodo, persona, em + re as movements, susp as
   left join (select timeframe_periodo, persona, string_agg(concept, ', ' order by r) as conceptos_principales from (
     select *, row_number() over (partition by timeframe_periodo, persona order by c desc, concept) as r from (select timeframe_periodo, user_id as persona, concept, count(*) as c from s where concept <> '' group by all)) where r <= 3 group by 1, 2) using (timeframe_periodo, persona)""", "tx_sospechosas_nlp desc, score_probable_coi desc, persona", 15)
 over_slices("q17", lambda s: questions.q17(s), _Q17)
-over_slices("q18", lambda s: person_risk.q18(s))
+
+
+def _q18_sql() -> tuple[str, str]:
+    """The select of Q18, and the long table of its metrics."""
+    both = lambda a, b, m, rows, how="sum": f"select timeframe_periodo, persona, {how}(m) as metric from (select timeframe_periodo, unnest(list_distinct([{a}, {b}])) as persona, ({m})::double as m from ({rows})) group by 1, 2"
+    ends = lambda key, sign, m, rows, how="sum": both("ends[1]", "ends[2]", m, f"select *, string_split({key}, '{sign}') as ends from ({rows})", how)
+    one = lambda persona, m, rows: f"select timeframe_periodo, {persona} as persona, sum({m})::double as metric from ({rows}) group by 1, 2"
+    hits = "select distinct timeframe_periodo, month_id, c as nlp_concepto_sospechoso, receiver_id as mg, user_id as sb from (select *, unnest(cats) as c from s where relacion = 'manager_del_emisor')"
+    balance = "select timeframe_periodo, persona, round(round(coalesce(sum(amt) filter (where sent_), 0), 4) - round(coalesce(sum(amt) filter (where not sent_), 0), 4), 4) as net from ends group by 1, 2"
+    metrics = {
+        "manager_nlp": both("manager_user_id", "subordinado_user_id", "tx_count", SELECTS["q1"]),
+        "manager_concepts": both("mg", "sb", "risk_p95", f"select * from ({hits}) join ({SELECTS['q2']}) using (timeframe_periodo, month_id, nlp_concepto_sospechoso)", "max"),
+        "quid_pairs": ends("quid_pair_clave", "|", "quid_tx_count * greatest(quid_score_max, quid_score_avg, 0)", _Q3.replace("quid_score_max >= 2.2", "quid_score_max >= 1.0").replace("quid_manager_ratio > 0.5", "quid_manager_ratio > 0.0")),
+        "quid_value_vs_load": both("user_id", "receiver_id", "abs(round(days, 6)) + qscore", "select * from s where days < 0"),
+        "reference_reuse": ends("p", "|", "tx_count", "select timeframe_periodo, tx_count, unnest(ps) as p from (select timeframe_periodo, lower(trim(ref)), count(*) as tx_count, list(distinct upair) as ps from s where ref_reuse group by 1, 2)"),
+        "centralizer": one("receiver_id", "inflow", SELECTS["qa4"]),
+        "net_imbalance": f"select timeframe_periodo, persona, abs(net)::double as metric from ({balance})",
+        "case13": one("persona", "caso13_persona_monto_total", SELECTS["q8"]),
+        "case14": one("persona", "caso14_persona_monto_de_emisores_nuevos", SELECTS["q9"]),
+        "yoyo": ends("par_bidir", "⇄", "tx_yo_yo_totales + racha_max_yo_yo + greatest(riesgo_max_par - 1, 0)", SELECTS["q10"]),
+        "near_threshold": ends("pair", "→", "tx_near_totales + monto_total_near / 1000", SELECTS["q11"]),
+        "smurfing": ends("pair", "→", "transacciones_fraccionadas + monto_fraccionado_total / 1000", SELECTS["q12_all"]),
+        "bad_loans": ends("pair", "→", "monto_prestamos_incumplidos + 1000 * prestamos_incumplidos + 500 * eventos_alta_frecuencia", SELECTS["q13"]),
+        "recurrent_payroll": both("emisor", "receptor", "monto_total + 1000 * meses_recurrentes", SELECTS["q14_all"]),
+    }
+    long = " union all ".join(f"select timeframe_periodo, persona, round(metric, 6) as metric, '{k}' as scenario, {person_risk.SCENARIOS[k][0]} as mid_at, {person_risk.SCENARIOS[k][1]} as weight from ({q})" for k, q in metrics.items())
+    cuts = "select timeframe_periodo, scenario, count(*) as n, round(quantile_cont(metric, 0.5), 6) as q50, round(quantile_cont(metric, 0.55), 6) as q55, round(quantile_cont(metric, 0.6), 6) as q60, round(quantile_cont(metric, 0.9), 6) as high from long_ where metric > 0 group by 1, 2"
+    scored = f"select l.*, case when metric <= 0 then 1 when n = 1 then 3 when metric >= high then 3 when metric >= case mid_at when 0.5 then q50 when 0.55 then q55 else q60 end then 2 else 1 end as score from long_ l left join ({cuts}) using (timeframe_periodo, scenario)"
+    weight = sum(w for _, w in person_risk.SCENARIOS.values())
+    totals = f"select timeframe_periodo, persona, (sum((score - 1) * weight) + {weight})::bigint as points, string_agg(scenario || '=' || score, ', ' order by r) filter (where r <= 3 and score > 1) as summary from (select *, row_number() over (partition by timeframe_periodo, persona order by case when score > 1 then 0 else 1 end, score * weight desc, scenario) as r from ({scored})) group by 1, 2"
+    flags = {"pct_yoyo": "yoyo", "pct_smurf": "smurf", "pct_freq": "freq", "pct_recurrent": "recurrent", "pct_quid_pro_quo": "quid", "pct_reference_reuse": "ref_reuse", "pct_change_point": "jump", "pct_new_edge": "fresh", "pct_loan_bad": "bad_loan", "pct_roundsum": "is_round", "pct_near_thr": "near", "pct_in_cycle": "cyc1", "pct_in_triangle": "tri1"}
+    rates = ", ".join(f"round(coalesce(avg({c}::int) filter (where sent_), 0), 9) as {k}" for k, c in flags.items())
+    people = f"select timeframe_periodo, persona, count(*) filter (where sent_)::bigint as em, count(*) filter (where not sent_)::bigint as re, round(coalesce(sum(amt) filter (where sent_), 0), 4) as sum_emit, round(coalesce(sum(amt) filter (where not sent_), 0), 4) as sum_recv, round(({_e('avg(risk)')} + {_r('avg(risk)')}) / 2, 7) as risk_avg_person, {rates} from ends group by 1, 2"
+    pairs = ", ".join(f"{{'k': '{k}', 'x': {k}}}" for k in flags)
+    active = f"list_sort(list_transform(list_filter([{pairs}], lambda f: f.x > 0), lambda f: {{'o': -f.x, 'k': f.k}}))"
+    every = f"""select p.*, coalesce(points, {weight})::bigint as points_, coalesce(summary, 'sin escenarios') as summary_, {active} as active from ({people}) p left join ({totals}) using (timeframe_periodo, persona)"""
+    shaped = f"""select timeframe_periodo, persona, points_ as puntaje_total, round(points_ / {weight}, 6) as puntaje_promedio, (sum(points_) over (partition by persona))::bigint as puntaje_total_todos, summary_ as casuistica_resumen, risk_avg_person,
+      case when risk_avg_person >= 4.7 then 'CRITICO' when risk_avg_person >= 3.2 then 'ALTO' when risk_avg_person >= 1.8 then 'MEDIO' else 'BAJO' end as risk_tier, em + re as movements, em as n_tx_emit, sum_emit, re as n_tx_recv, sum_recv, round(sum_emit - sum_recv, 4) as net_flow, len(active)::int as flags_activas, greatest({', '.join(flags)}) as flag_rate_max,
+      case when len(active) = 0 then 'SIN_ALERTA' else array_to_string(list_transform(active[1:3], lambda f: f.k || '=' || printf('%.2f', -f.o)), ', ') end as banderas_destacadas from ({every})"""
+    return f"select * from (select *, (row_number() over (partition by timeframe_periodo order by puntaje_total desc, risk_avg_person desc, abs(net_flow) desc, flag_rate_max desc, flags_activas desc, persona))::int as ranking_prioridad from ({shaped})) where ranking_prioridad <= 25", long
+
+
+_q18_select, _q18_long = _q18_sql()
+over_slices("q18", lambda s: person_risk.q18(s), _q18_select)
+# the metrics are one more part, between those that they need and the select that reads them
+ORACLE_SQL["q18"] = sql(_q18_long + _q18_select)[: -len(_q18_long + _q18_select)].rstrip() + f", long_ as materialized ({_q18_long})\n" + _q18_select
 over_slices("payment_profile", lambda s: person_risk.payment_profile(s).drop("detalle_pagos_mensuales"), "select timeframe_periodo, persona, count(*)::bigint as meses, round(stddev_pop(m), 4) as std_monto_mensual, round(stddev_pop(d), 6) as std_dia_pago_mensual from (select timeframe_periodo, user_id as persona, month_id, round(sum(amt), 4) as m, round(avg(day(ts)), 6) as d from s group by all) group by 1, 2")
 over_slices("payment_details", lambda s: person_risk.payment_rows(s).select(TF, "persona", "mes", "monto_total", "dia_pago_promedio", us("fecha").alias("us"), "monto"), "select timeframe_periodo, user_id as persona, month_id as mes, round(sum(amt) over w, 4) as monto_total, round(avg(day(ts)) over w, 6) as dia_pago_promedio, epoch_us(ts)::bigint as us, amt as monto from s window w as (partition by timeframe_periodo, user_id, month_id)")
-over_slices("overview", lambda s: questions.overview(s))
+_COUNTED = {f"q{i}": f"q{i}" for i in range(1, 18)} | {"q12": "q12_all", "q14": "q14_all"}
+over_slices("overview", lambda s: questions.overview(s), " union all ".join(f"select '{k}' as pregunta, count(*)::bigint as filas, count(distinct timeframe_periodo)::bigint as marcos from ({SELECTS[name]})" for k, name in _COUNTED.items()))
 over_slices("digest", lambda s: questions.digest(s))
 over_slices("pair_month_pivot", lambda s: questions.pair_month_pivot(s, ["1995-01", "1995-02", "1995-03"]), "select pair, count(*) filter (where month_id = '1995-01')::bigint as \"1995-01\", count(*) filter (where month_id = '1995-02')::bigint as \"1995-02\", count(*) filter (where month_id = '1995-03')::bigint as \"1995-03\" from s where timeframe_periodo = 'todo_el_tiempo' group by pair")
 over_slices("pair_months_all", lambda s: questions.pair_month_counts(s), "select pair, month_id, count(*)::bigint as n from s where timeframe_periodo = 'todo_el_tiempo' group by all")
