@@ -185,22 +185,28 @@ def sharing_nodes(docs: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[D
     return nodes, scratch.written(parity)
 
 
-def members(keys: DataFrame, components: DataFrame) -> DataFrame:
-    """keys with component (null: no shingles) and component_id.
+def by_share(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with a table of one row per key, which has `rows`, how many rows have that key.
 
-    Sets that very many rows have are joined by broadcast, so their rows stay where they are; rows without shingles are not joined.
+    Rows of a key that more than 1 / HOT_SHARE of all have are joined by broadcast, so they stay where they are.
     """
+    often = F.col("rows") * HOT_SHARE > rows.count()
+    hot = F.broadcast(table.where(often).drop("rows"))  # fewer than HOT_SHARE rows
+    few = rows.join(hot.select(key), key, "left_anti").join(table.where(~often).drop("rows"), key)
+    both = rows.join(hot, key)
+    return few.unionByName(both.select(few.columns))
+
+
+def members(keys: DataFrame, components: DataFrame) -> DataFrame:
+    """keys with component (null: no shingles) and component_id; rows without shingles are not joined."""
     least = keys.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
-    named = least.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = written(named.select("node", "component", "rows").join(smallest, "component"), "named")
-    often = F.col("rows") * HOT_SHARE > keys.count()
-    # fewer than HOT_SHARE rows
-    hot = F.broadcast(by_node.where(often).select("node", "component", "component_id"))
-    few = keys.where("node is not null").join(hot.select("node"), "node", "left_anti").join(by_node.where(~often).select("node", "component", "component_id"), "node")
+    named = written(least.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    of_node = by_share(named.select("node", "component", F.col("rows").alias("copies")), written(smallest, "smallest"), "component")
     columns = [*keys.columns, "component", "component_id"]
+    found = by_share(keys.where("node is not null"), written(of_node.withColumnRenamed("copies", "rows"), "by-node"), "node")
     none = keys.where("node is null").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
-    return few.select(columns).unionByName(keys.join(hot, "node").select(columns)).unionByName(none.select(columns))
+    return found.select(columns).unionByName(none.select(columns))
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
