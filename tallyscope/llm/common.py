@@ -63,17 +63,26 @@ class Scratch:
 FLAGGED_ROWS, BROADCAST_FLAGS = 4096, 100_000
 
 
+def reads_rows_as_they_are(docs: DataFrame) -> bool:
+    """Is docs one table of files, or columns and rows chosen from it, so that each of its rows is one row of a file?"""
+    plan = docs._jdf.queryExecution().analyzed().toString()
+    nodes = [line.strip(" :+-").split(" ")[0] for line in plan.splitlines() if line.strip()]
+    return nodes[-1] == "Relation" and set(nodes[:-1]) <= {"Project", "Filter", "SubqueryAlias"}
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """kept (a struct of the columns of docs), file and row: where a row lies in the files that docs reads, which no lost executor changes.
 
-    What is not read from Parquet files alone is written first.
+    What is not read row by row from one table of Parquet files is written first.
     """
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept")
     place = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-    try:
-        return docs.select(kept, *place)
-    except AnalysisException:
-        return written(docs.select(kept), "rows").select("kept", *place)
+    if reads_rows_as_they_are(docs):
+        try:
+            return docs.select(kept, *place)
+        except AnalysisException:  # files without row numbers, or a column called _metadata
+            pass
+    return written(docs.select(kept), "rows").select("kept", *place)
 
 
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:

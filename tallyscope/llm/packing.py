@@ -9,8 +9,8 @@ A packed row: `ids` (int32 little-endian, exactly `width` of them, padded), `n_t
 `cu_seqlens` (0 and the cumulative segment lengths), `position_ids` (int32, from 0 in each segment,
 0 in the padding), and the documents and chunk numbers of its segments, in order.
 
-Defined cases: null and empty texts have no tokens and thus no segment; a text longer than a row
-becomes several chunks; repeated rows are packed as often as they occur; an empty table gives no rows.
+Defined cases: null and empty texts have no tokens and thus no segment; a text of any length is encoded
+whole, and one longer than a row becomes several chunks; repeated rows are packed as often as they occur; an empty table gives no rows.
 """
 
 from __future__ import annotations

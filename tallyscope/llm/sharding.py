@@ -3,8 +3,8 @@
 A stable key decides the shard; there is no ring table. When a shard is appended, a key stays
 where it is or moves into the new shard, so 1/(n+1) of the rows move.
 
-Defined cases: a null key is a key of its own; a null text has no bytes; repeated rows go to the
-same shard and take different slots; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null key is a key of its own; a null text has no bytes; texts of any length are measured
+whole; repeated rows go to the same shard and take different slots; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -288,3 +288,22 @@ def test_records_of_repeated_pages_have_ids_of_their_own(spark):
     assert Counter(r["refers_to"] for r in got if r["record_type"] != "response") == {i: 2 for i in responses}
     assert sorted(ids) == sorted(r["record_id"] for r in warc.build_records(pages.repartition(5)).select("record_id").collect())
     assert max(r["content_length"] for r in got if r["record_type"] == "conversion") == 399_999
+
+
+def test_rows_are_told_apart_where_they_lie(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tallyscope.llm import common
+
+    spark.range(10_000).select(F.col("id").alias("doc_id"), F.format_string("text %d", "id").alias("text"), F.array("id", "id").alias("both")).repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    exploded = docs.select(F.explode("both").alias("doc_id"), "text")
+    for df, here in ((docs, True), (docs.where("doc_id % 2 = 0").select("doc_id", "text"), True), (exploded, False), (docs.union(docs), False), (docs.join(docs.select("doc_id"), "doc_id"), False)):
+        assert common.reads_rows_as_they_are(df) is here
+        rows = common.numbered(df)
+        assert rows.select("file", "row").distinct().count() == df.count()
+        dropped = rows.where("kept.doc_id % 3 = 1").select("file", "row")
+        left = common.without(rows, dropped)
+        assert left.columns == df.columns and left.where("doc_id % 3 = 1").count() == 0 and left.count() == df.where("doc_id % 3 <> 1").count()
+    odd = docs.select("doc_id", F.col("text").alias("_metadata"))
+    assert common.without(common.numbered(odd), common.numbered(odd).where("false").select("file", "row")).count() == 10_000
