@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyscope.llm import html_crf, jaccard_join, mixing, packing, quality_rules, sentencepiece_codec, sharding, toxicity, vafile, warc
+from tallyscope.llm import byte_bpe, html_crf, jaccard_join, mixing, packing, quality_rules, sentencepiece_codec, sharding, toxicity, vafile, warc
 from tallyscope.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op12_byte_bpe": op12_byte_bpe,
     "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {"op2_topk": vafile.ORACLE_SQL, "op4_jaccard": jaccard_join.ORACLE_SQL, "op5_quality": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
