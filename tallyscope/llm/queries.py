@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyscope.llm import byte_bpe, html_crf, jaccard_join, mixing, packing, quality_rules, sentencepiece_codec, sharding, toxicity, vafile, warc
+from tallyscope.llm import byte_bpe, conversation_repair, html_crf, jaccard_join, mixing, packing, prefix_trie, quality_rules, sentencepiece_codec, sharding, toxicity, vafile, warc
 from tallyscope.llm.common import table
 
 
@@ -50,10 +50,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {"op2_topk": vafile.ORACLE_SQL, "op4_jaccard": jaccard_join.ORACLE_SQL, "op5_quality": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_topk": vafile.ORACLE_SQL, "op4_jaccard": jaccard_join.ORACLE_SQL, "op5_quality": quality_rules.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op11_conversation_repair": conversation_repair.ORACLE_SQL, "op13_prefix_trie": prefix_trie.ORACLE_SQL}
