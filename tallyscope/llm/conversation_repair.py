@@ -222,7 +222,7 @@ def judged(rows: DataFrame, kept: Scratch) -> DataFrame:
     firsts = placed.groupBy(*KEYS, "key").agg(F.min("at").alias("at"))
     seen = placed.select("at").join(firsts.select("at"), "at", "left_anti").withColumn("seen", F.lit(True))
     fault = F.when(F.col("last") == "", "blank").when(F.col("seen"), "duplicate").when(~F.col("last").isin(".", "!", "?"), "truncated")
-    place = F.locate(F.substring("role", 1, 1), F.lit(INITIALS)) - 1
+    place = F.position(F.substring("role", 1, 1), F.lit(INITIALS)) - 1
     initial = F.when((F.length("role") > 0) & (place >= 0), place).otherwise(3)
     symbol = F.when(F.col("fault").isin("blank", "duplicate"), 0).otherwise(1 + 2 * initial + F.coalesce((F.col("fault") == "truncated").cast("int"), F.lit(0)))
     return kept.written(placed.join(seen, "at", "left").withColumn("fault", fault).withColumn("symbol", symbol.cast("int")).drop("seen", "last"))
@@ -373,7 +373,7 @@ def repair(rows: DataFrame, damage: bool = True) -> DataFrame:
     texts = kept_rows.select(*_named(kept_rows), "turn", "role", F.substring("text", 1, 32).alias("t"), turn_key(F.col("role"), F.col("text")).alias("key"), F.lit(1).alias("tag"), F.col("text").alias("piece"))
     signs = lambda what, tag: acted.where(f"{what} is not null").select(*KEYS, "turn", "role", F.col("text").alias("t"), "key", F.lit(tag).alias("tag"), F.col(what).alias("piece"))
     pieces = texts.unionByName(signs("lead", 0)).unionByName(signs("tail", 2))
-    hashed = digests(pieces, KEYS, [F.col("turn").asc_nulls_first(), "role", "t", "key", "tag"], "piece", b"", kept)
+    hashed = digests(pieces, KEYS, [F.col("turn").asc_nulls_first(), F.substring("role", 1, 32), "t", "key", "tag"], "piece", b"", kept)
     in_segments = done.groupBy(*KEYS, _segment(SHIFTS[0]).alias("seg")).agg(F.sum("cost").alias("cost"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "edits"))), lambda e: e["edits"]), "").alias("edits"))
     audits = in_segments.groupBy(*KEYS).agg(F.sum("cost").alias("cost"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg", "edits"))), lambda e: e["edits"]), "").alias("audit"))
     every = some.select(*_named(some)).distinct()
@@ -405,7 +405,7 @@ ORACLE_SQL = f"""
 WITH RECURSIVE crc AS ({CRC_TABLE_SQL}),
 drawn AS (SELECT coalesce(conv_id::VARCHAR, ' ') AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, crc),
 damaged AS (SELECT c, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM drawn WHERE k <> 0),
-placed AS (SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, left(text, 32), md5(length(role) || ':' || role || text), copy) AS i FROM damaged),
+placed AS (SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, left(role, 32), left(text, 32), md5(length(role) || ':' || role || text), copy) AS i FROM damaged),
 seen AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM placed),
 r AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) || left(role, 1) AS pair FROM seen),
 counted AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
