@@ -103,7 +103,7 @@ def persons(s: DataFrame) -> DataFrame:
     p = p.withColumns({
         "risk_avg_person": F.round((F.col("risk_avg_em") + F.col("risk_avg_re")) / 2, 7),
         # the mean always divides by two (Q-16)
-        "nlp_sentimiento_promedio": F.round((F.col("nlp_sent_emit_avg") + F.col("nlp_sent_recv_avg")) / 2, 6),
+        "nlp_sentimiento_promedio": F.round((F.col("nlp_sent_emit_avg") + F.col("nlp_sent_recv_avg")) / 2, 7),
         "nlp_score_max": F.greatest("nlp_score_emit_avg", "nlp_score_emit_max", "nlp_score_recv_avg", "nlp_score_recv_max"),
         "net": F.round(F.col("sum_emit") - F.col("sum_recv"), 4),
         "movements": F.col("n_tx_emit") + F.col("n_tx_recv"),

@@ -454,7 +454,7 @@ over_slices("q15", lambda s: questions.q15(s), _Q15)
 over_slices("q16", lambda s: questions.q16(s).drop("nivel_relajado", "risk_tier"), _TOP("select timeframe_periodo, tx_id, user_id, receiver_id, amt as movement_amount, round(risk, 6) as risk_score, n as senales from (select *, smurf::int + yoyo::int + bad_loan::int + freq::int + near::int + is_round::int as n, max(smurf::int + yoyo::int + bad_loan::int + freq::int + near::int + is_round::int) over (partition by timeframe_periodo) as best from s) where n >= least(3, best)", "senales desc, risk_score desc, tx_id", 25))
 _Q17 = _TOP(f"""select timeframe_periodo, persona, em + re as movements, susp as tx_sospechosas_nlp, conc as conceptos_unicos, round(susp / greatest(em, 1), 9) as proporcion_sospechosa, greatest(ca, cm, ra, rm) as score_probable_coi, mood as sentimiento_promedio,
     case when mood > 0.2 then 'positivo' when mood < -0.2 then 'negativo' else 'neutral' end as sentimiento_etiqueta, round((risk_em + risk_re) / 2, 7) as risk_avg_person, sum_emit, sum_recv, round(sum_emit - sum_recv, 4) as net_flow, conceptos_principales from (
-    select *, round((sa + sr) / 2, 6) as mood from (
+    select *, round((sa + sr) / 2, 7) as mood from (
       select timeframe_periodo, persona, count(*) filter (where sent_)::bigint as em, count(*) filter (where not sent_)::bigint as re, count(*) filter (where sent_ and concept <> '')::bigint as susp, count(distinct nullif(concept, '')) filter (where sent_)::bigint as conc,
         {_e('avg(coi)')} as ca, {_e('max(coi)')} as cm, {_r('avg(coi)')} as ra, {_r('max(coi)')} as rm, {_e('avg(sent)')} as sa, {_r('avg(sent)')} as sr, {_e('avg(risk)')} as risk_em, {_r('avg(risk)')} as risk_re,
         round(coalesce(sum(amt) filter (where sent_), 0), 4) as sum_emit, round(coalesce(sum(amt) filter (where not sent_), 0), 4) as sum_recv from ends group by 1, 2))
