@@ -7,7 +7,9 @@ file; DEFAULT_LEXICON holds the families with their weights and about 200 terms.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -157,21 +159,90 @@ def checked(lexicon: DataFrame) -> DataFrame:
     return lexicon
 
 
+HIT = ["norm", "family", "ord", "weight", "term"]
+#: Patterns are compiled into the plan: so many at most.
+MOST_PATTERNS = 2000
+
+
+def _listed(kinds: str, rows: DataFrame) -> list:
+    return rows.where(kinds).distinct().collect()
+
+
+def _parts_of(texts: DataFrame, part: Column) -> DataFrame:
+    return texts.select("norm", F.explode(F.array_distinct(part)).alias("part"))
+
+
+def _ends_of_tokens(lengths: list[int]) -> Column:
+    """The last characters of every token of a text, for each length."""
+    ends = lambda w: F.array(*[F.right(w, F.lit(n)) for n in lengths])
+    return F.flatten(F.transform(F.array_distinct(F.split("norm", " ")), ends))
+
+
+def _substrings(lengths: list[int]) -> Column:
+    """Every run of so many characters of a text."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length("norm") - n + 1), lambda i: F.substring(F.col("norm"), i, F.lit(n)))
+    return F.flatten(F.array(*[F.when(F.length("norm") >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in lengths]))
+
+
+def anchored_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """N5 for phrases and for words that may lie inside others: HIT for every such term that a distinct text contains.
+
+    A phrase is looked up by its first token, which a text that holds it has at the end of one of its tokens; a term without an inner
+    space is looked up as it stands, among the text's runs of its length. Both are equal joins; the phrase's other tokens are then compared in
+    place.
+    """
+    inside = lexicon.where("kind = 'phrase' or (kind = 'word' and length(term) < 4)")
+    space = F.locate(" ", F.col("term"))
+    inside = inside.withColumn("anchored", (space > 1) & (F.col("kind") == "phrase"))
+    inside = inside.withColumn("part", F.when(F.col("anchored"), F.substring_index("term", " ", 1)).otherwise(F.col("term"))).where("term <> ''")
+    found = []
+    for flag, parts in ((True, _ends_of_tokens), (False, _substrings)):
+        some = inside.where(F.col("anchored") == flag)
+        lengths = sorted(r[0] for r in some.select(F.length("part")).distinct().collect())
+        if lengths:
+            met = _parts_of(texts, parts(lengths)).join(F.broadcast(some), "part")
+            found.append(met.where(F.col("norm").contains(F.col("term"))) if flag else met)
+    out = texts.select("norm").join(inside.limit(0), F.lit(False)).select(HIT) if not found else found[0].select(HIT)
+    for more in found[1:]:
+        out = out.union(more.select(HIT))
+    return out
+
+
+def pattern_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """HIT for every pattern that a distinct text matches. Patterns are part of the plan, compiled once; a text is tried against
+    one alternation of a family's patterns, and against each of them only if that matches."""
+    rows = _listed("kind = 'pattern'", lexicon)
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"a lexicon of more than {MOST_PATTERNS} patterns is not compiled into a plan")
+    by_family: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r["ord"], r["term"])):
+        by_family.setdefault(r["family"], []).append(r)
+    kind = "struct<family:string,ord:int,weight:double,term:string>"
+    each = [F.array().cast(f"array<{kind}>")]
+    for family in by_family.values():
+        tried = F.array(*[F.when(F.col("norm").rlike(r["term"]), F.struct(F.lit(r["family"]).alias("family"), F.lit(r["ord"]).alias("ord"), F.lit(r["weight"]).alias("weight"), F.lit(r["term"]).alias("term"))) for r in family])
+        # numbered groups would be others in an alternation
+        alone = len(family) == 1 or any(re.search(r"\\[1-9k]", r["term"]) for r in family)
+        any_of = "|".join(f"(?:{r['term']})" for r in family)
+        each.append(tried if alone else F.when(F.col("norm").rlike(any_of), tried).otherwise(F.array().cast(f"array<{kind}>")))
+    return texts.select("norm", F.explode(F.filter(F.flatten(F.array(*each)), lambda h: h.isNotNull())).alias("h")).select("norm", "h.*").select(HIT)
+
+
 def lexicon_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(norm, family, ord, weight, term) for every term that a distinct text holds. texts: one column norm.
 
-    The lexicon is broadcast; it is a word list, checked to stay below MOST_TERMS rows. Words meet by equality, phrases and patterns by test.
+    The lexicon is broadcast; it is a word list, checked to stay below MOST_TERMS rows. All terms meet texts by equality (of words, of
+    anchors) or as compiled patterns; no text is paired with a term otherwise.
     """
     lexicon = checked(lexicon)
-    lex = F.broadcast(lexicon.where("kind in ('word', 'phrase', 'pattern')"))
-    words = texts.select("norm", F.explode(F.array_distinct(words_of(F.col("norm")))).alias("term"))
-    by_word = words.join(F.broadcast(lexicon.where("kind = 'word' and length(term) >= 4")), "term")
-    # short words match inside others (Q-14)
-    inside = (F.col("kind") == "phrase") | ((F.col("kind") == "word") & (F.length("term") < 4))
-    tested = texts.join(lex.where(inside | (F.col("kind") == "pattern")), F.when(inside, F.col("norm").contains(F.col("term"))).otherwise(F.expr("norm rlike term")))
-    eased = texts.where(F.col("norm").rlike(FACILITATE) & F.col("norm").rlike(EVENT)).join(F.broadcast(lexicon.where("family = 'FACILITACION'").limit(1)).drop("term", "kind")).withColumn("term", F.lit("facilitacion+evento"))
-    columns = ["norm", "family", "ord", "weight", "term"]
-    return by_word.select(columns).union(tested.select(columns)).union(eased.select(columns)).distinct()
+    words = _parts_of(texts, words_of(F.col("norm")))
+    by_word = words.join(F.broadcast(lexicon.where("kind = 'word' and length(term) >= 4").withColumnRenamed("term", "part")), "part").withColumnRenamed("part", "term")
+    out = by_word.select(HIT).union(anchored_hits(texts, lexicon)).union(pattern_hits(texts, lexicon))
+    eased = min(((r["ord"], r["weight"]) for r in _listed("family = 'FACILITACION'", lexicon.select("family", "ord", "weight"))), default=None)
+    if eased:
+        both = texts.where(F.col("norm").rlike(FACILITATE) & F.col("norm").rlike(EVENT))
+        out = out.union(both.select("norm", F.lit("FACILITACION"), F.lit(eased[0]), F.lit(eased[1]), F.lit("facilitacion+evento")))
+    return out.distinct()
 
 
 #: A near match of a whole text, and the longest text that is compared as a whole.
@@ -180,44 +251,121 @@ WHOLE_RATIO, WHOLE_LENGTH = 0.03, 600
 SEGMENTS = 50
 
 
-def resembles(matcher, text: str, term: str, ratio: float) -> bool:
-    """Does a segment of the text, or a text as a whole, match the term by the ratio of difflib's matcher? matcher holds the term as its second text."""
-    for i, m in enumerate(re.finditer(r"[a-z0-9][a-z0-9\s]{0,%d}" % (len(term) + 6), text)):
-        if i >= SEGMENTS:
-            break
-        matcher.set_seq1(m[0][: len(term) + 3])
-        # two upper bounds first: most segments go no further
-        if matcher.real_quick_ratio() >= ratio and matcher.quick_ratio() >= ratio and matcher.ratio() >= ratio:
-            return True
-    matcher.set_seq1(text[:WHOLE_LENGTH])
-    least = ratio + WHOLE_RATIO
-    return matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and matcher.ratio() >= least
+def least_matching(ratio: float, letters: int) -> int:
+    """Characters that two strings of so many letters together must share, in order, to reach difflib's ratio (twice the matching over all)."""
+    return math.ceil(ratio * letters / 2 - 1e-9)
 
 
-def fuzzy_hits(texts: DataFrame, lexicon: DataFrame, word_ratio: float = 0.9, phrase_ratio: float = 0.88) -> DataFrame:
-    """(norm, family, ord, weight, term) for near matches of terms of four letters or more that a distinct text does not hold itself, in Arrow batches; terms are marked by a ~."""
+def least_grams(ratio: float, letters: int, q: int) -> int:
+    """q-grams that such strings have in common at least: each run of n matching characters holds n - q + 1, and between two runs there is
+    a character that does not match."""
+    m = least_matching(ratio, letters)
+    return m - (q - 1) * (letters - 2 * m + 1)
+
+
+def gram_size(ratio: float) -> int:
+    """2 where pairs of letters still bound the ratio for the shortest terms (four letters), else 1."""
+    shortest = 4 + 4 * ratio / (2 - ratio)
+    return 2 if (0.5 - 1.5 * (1 - ratio)) * shortest > 1 else 1
+
+
+def _numbered_grams(text: str, q: int) -> list[str]:
+    """q-grams of a string, each with the number of its kind before it, so that sets count repeated ones."""
+    seen: dict[str, int] = {}
+    out = []
+    for i in range(len(text) - q + 1):
+        g = text[i : i + q]
+        out.append(f"{g}{seen.get(g, 0)}")
+        seen[g] = seen.get(g, 0) + 1
+    return out
+
+
+def gram_index(terms: list[tuple[str, float]], q: int) -> list[tuple[int, str, str, float, list[str]]]:
+    """(length, gram, term, ratio, grams): each term under its rarest grams, so many that what reaches the ratio has one of them."""
+    grams = {t: _numbered_grams(t, q) for t, _ in terms}
+    often = Counter(g for gs in grams.values() for g in gs)
+    out = []
+    for term, ratio in terms:
+        n = len(term)
+        lengths = [m for m in range(1, int(n * (2 - ratio) / ratio) + 2) if 2 * min(n, m) >= ratio * (n + m) - 1e-9]
+        need = max(1, min(least_grams(ratio, n + m, q) for m in lengths))
+        rare = sorted(grams[term], key=lambda g: (often[g], g))
+        out += [(n, g, term, ratio, grams[term]) for g in rare[: len(rare) - need + 1]]
+    return out
+
+
+def _segments(lengths: list[int], most: int | None) -> Column:
+    """(length of the term, segment, whole) of a text, for terms of each length."""
+    def of_length(n: int) -> Column:
+        found = F.regexp_extract_all("norm", F.lit(r"[a-z0-9][a-z0-9\s]{0,%d}" % (n + 6)), F.lit(0))
+        found = found if most is None else F.slice(found, 1, most)
+        cut_off = F.array_distinct(F.transform(found, lambda s: F.left(s, F.lit(n + 3))))
+        return F.transform(cut_off, lambda s: F.struct(F.lit(n).alias("n"), s.alias("segment"), F.lit(False).alias("whole")))
+
+    each = [of_length(n) for n in lengths]
+    whole = F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.struct(n.alias("n"), F.left("norm", F.lit(WHOLE_LENGTH)).alias("segment"), F.lit(True).alias("whole")))
+    return F.flatten(F.array(*each, whole))
+
+
+def near_pairs(texts: DataFrame, terms: DataFrame, lengths: list[int], q: int, most: int | None) -> DataFrame:
+    """(norm, segment, term, least): segments and terms of their length class that share enough q-grams for the ratio `least`.
+
+    terms: (n, gram, term, ratio, grams), broadcast. A segment's grams look terms up by (n, gram); lengths and the count of common
+    grams are bounded before any pair is compared letter by letter.
+    """
+    segments = texts.select("norm", F.explode(_segments(lengths, most)).alias("s")).select("norm", "s.*")
+    m = F.length("segment")
+    # a whole text is compared only where its length allows it
+    segments = segments.where(~F.col("whole") | (m <= 4 * F.col("n")))
+    plain = F.when(m >= q, F.transform(F.sequence(F.lit(1), m - q + 1), lambda i: F.substring(F.col("segment"), i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+    counted = F.transform(F.col("plain"), lambda g, i: F.concat(g, F.size(F.filter(F.slice(F.col("plain"), 1, i), lambda x: x == g)).cast("string")))
+    # most segments repeat no gram
+    numbered = F.when(F.size(F.array_distinct("plain")) == F.size("plain"), F.transform("plain", lambda g: F.concat(g, F.lit("0")))).otherwise(counted)
+    each = segments.withColumn("plain", plain).select("norm", "n", "segment", "whole", numbered.alias("own"))
+    met = each.withColumn("gram", F.explode("own")).join(F.broadcast(terms), ["n", "gram"])
+    least = F.col("ratio") + F.when(F.col("whole"), WHOLE_RATIO).otherwise(0.0)
+    letters = F.length("segment") + F.col("n")
+    matching = F.ceil(least * letters / 2 - 1e-9)
+    enough = (matching <= F.least(F.length("segment"), F.col("n"))) & (F.size(F.array_intersect("own", "grams")) >= matching - (q - 1) * (letters - 2 * matching + 1))
+    return met.where(enough).select("norm", "segment", "term", least.alias("least")).distinct()
+
+
+def fuzzy_hits(texts: DataFrame, lexicon: DataFrame, word_ratio: float = 0.9, phrase_ratio: float = 0.88, segments: int | None = SEGMENTS) -> DataFrame:
+    """HIT for near matches of terms of four letters or more that a distinct text does not hold itself; terms are marked by a ~.
+
+    A text's segments are as long as a term and a little more, `segments` of them at most (None: all). Candidates come from a q-gram index of the terms
+    as an equal join; only they are compared by the ratio of difflib's matcher, in Arrow batches. Ratios from 0.5 on.
+    """
     from difflib import SequenceMatcher
 
-    rows = checked(lexicon).where("kind in ('word', 'phrase') and length(term) >= 4").distinct().collect()
-    terms = sorted((r["family"], r["ord"], r["weight"], r["term"]) for r in rows)
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string())
+    if min(word_ratio, phrase_ratio) < 0.5:
+        raise ValueError("near matches need a ratio of 0.5 or more")
+    spark = texts.sparkSession
+    some = checked(lexicon).where("kind in ('word', 'phrase') and length(term) >= 4")
+    listed = sorted({r["term"] for r in some.select("term").distinct().collect()})
+    q = gram_size(min(word_ratio, phrase_ratio))
+    index = gram_index([(t, phrase_ratio if " " in t else word_ratio) for t in listed], q)
+    terms = spark.createDataFrame(index, "n int, gram string, term string, ratio double, grams array<string>")
+    pairs = near_pairs(texts.select("norm").distinct(), terms, sorted({len(t) for t in listed}) or [4], q, segments)
+    held = F.when(F.col("term").contains(" "), F.col("norm").contains(F.col("term"))).otherwise(F.array_contains(words_of(F.col("norm")), F.col("term")))
+    pairs = pairs.where(~held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = {t: SequenceMatcher(None, "", t) for _, _, _, t in terms}
+        matchers: dict[str, SequenceMatcher] = {}
         for b in batches:
-            found = []
-            for text in b.column("norm").to_pylist():
-                near: dict[str, bool] = {}
-                words = set(re.findall("[a-z0-9]+", text))
-                for family, ord_, weight, term in terms:
-                    if term not in near:
-                        held = term in text if " " in term else term in words
-                        near[term] = not held and resembles(matchers[term], text, term, phrase_ratio if " " in term else word_ratio)
-                    if near[term]:
-                        found.append((text, family, ord_, weight, "~" + term))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], names=["norm", "family", "ord", "weight", "term"])
+            keep = []
+            for segment, term, least in zip(*[b.column(c).to_pylist() for c in ("segment", "term", "least")]):
+                m = matchers.get(term)
+                if m is None:
+                    if len(matchers) > 5000:
+                        matchers.clear()
+                    m = matchers[term] = SequenceMatcher(None, "", term)
+                m.set_seq1(segment)
+                keep.append(m.ratio() >= least)
+            yield b.select(["norm", "term"]).filter(pa.array(keep, pa.bool_()))
 
-    return texts.select("norm").mapInArrow(run, "norm string, family string, ord int, weight double, term string")
+    near = pairs.mapInArrow(run, "norm string, term string").distinct()
+    return near.join(F.broadcast(some.select("family", "ord", "weight", "term").distinct()), "term").select("norm", "family", "ord", "weight", F.concat(F.lit("~"), "term").alias("term"))
 
 
 def tag_texts(texts: DataFrame, lexicon: DataFrame, fuzzy: bool = True, similarity: bool = False) -> DataFrame:
@@ -298,9 +446,7 @@ def tag_transfers(tx: DataFrame, lexicon: DataFrame, fuzzy: bool = True, similar
 
 def char_ngrams(texts: DataFrame, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
     """(norm, gram, tf): character n-grams of distinct texts."""
-    grams = [F.transform(F.sequence(F.lit(1), F.length("norm") - n + 1), lambda i, n=n: F.substring(F.col("norm"), i, F.lit(n))) for n in sizes]
-    safe = [F.when(F.length("norm") >= n, g).otherwise(F.array().cast("array<string>")) for n, g in zip(sizes, grams)]
-    return texts.select("norm", F.explode(F.concat(*safe)).alias("gram")).groupBy("norm", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    return texts.select("norm", F.explode(_substrings(list(sizes))).alias("gram")).groupBy("norm", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _weighted(grams: DataFrame, idf: DataFrame) -> DataFrame:
@@ -331,7 +477,8 @@ def family_similarity(texts: DataFrame, lexicon: DataFrame, top: int = 5) -> Dat
 def word_runs(texts: DataFrame) -> DataFrame:
     """(norm, term): the runs of one to three words of three letters or more of each text."""
     with_words = texts.select("norm").distinct().withColumn("w", F.filter(F.split("norm", " "), lambda w: F.length(w) >= 3))
-    runs = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.array_join(F.slice(F.col("w"), i, n), " "))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(n)), " "))
+    runs = [F.when(F.size("w") >= n, run(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
     return with_words.select("norm", F.explode(F.array_distinct(F.concat(*runs))).alias("term")).where(F.length("term") >= 4)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions import text, values
+from tallyscope.operators.quantiles import quantiles
 from tallyscope.params import DEFAULTS, Params
 
 
@@ -40,14 +41,8 @@ def risk_score(tx: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 def monthly_calibration(tx: DataFrame) -> DataFrame:
     """A3: exact p80, p90, p95 and count of the score per month."""
-    cuts = tx.groupBy("month_id").agg(F.percentile("risk_score", F.array(F.lit(0.8), F.lit(0.9), F.lit(0.95))).alias("q"), F.count("risk_score").alias("n_tx_mes"))
-    return cuts.select("month_id", F.get("q", F.lit(0)).alias("p80"), F.get("q", F.lit(1)).alias("p90"), F.get("q", F.lit(2)).alias("p95"), "n_tx_mes")
-
-
-def approximate_calibration(tx: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """A3 for months too large to sort: percentiles with an error of 1 / accuracy in rank, by partial sketches."""
-    cuts = tx.groupBy("month_id").agg(F.percentile_approx("risk_score", [0.8, 0.9, 0.95], accuracy).alias("q"), F.count("risk_score").alias("n_tx_mes"))
-    return cuts.select("month_id", F.get("q", F.lit(0)).alias("p80"), F.get("q", F.lit(1)).alias("p90"), F.get("q", F.lit(2)).alias("p95"), "n_tx_mes")
+    cuts = quantiles(tx, ["month_id"], "risk_score", [0.8, 0.9, 0.95])
+    return cuts.select("month_id", F.get("q", F.lit(0)).alias("p80"), F.get("q", F.lit(1)).alias("p90"), F.get("q", F.lit(2)).alias("p95"), F.col("n").alias("n_tx_mes"))
 
 
 def add_tiers(tx: DataFrame, calibration: DataFrame) -> DataFrame:

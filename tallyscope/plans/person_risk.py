@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions import text, values
+from tallyscope.operators.quantiles import quantiles
 from tallyscope.plans import questions, reports
 from tallyscope.plans.reports import AMOUNT, TF
 
@@ -65,7 +66,7 @@ def scenario_scores(metrics: DataFrame) -> DataFrame:
     metrics = metrics.withColumn("metric", F.round("metric", 6))
     positive = metrics.where("metric > 0")
     medium = F.element_at(F.create_map(*[F.lit(x) for k, (q, _) in SCENARIOS.items() for x in (k, q)]), F.col("scenario"))
-    cuts = positive.groupBy(TF, "scenario").agg(F.count(F.lit(1)).alias("n"), F.transform(F.percentile("metric", F.array(F.lit(0.5), F.lit(0.55), F.lit(0.6), F.lit(HIGH_QUANTILE))), lambda x: F.round(x, 6)).alias("q"))
+    cuts = quantiles(positive, [TF, "scenario"], "metric", [0.5, 0.55, 0.6, HIGH_QUANTILE]).withColumn("q", F.transform("q", lambda x: F.round(x, 6)))
     at = F.when(medium == 0.5, F.get("q", F.lit(0))).when(medium == 0.55, F.get("q", F.lit(1))).otherwise(F.get("q", F.lit(2)))
     cuts = cuts.select(TF, "scenario", "n", at.alias("mid"), F.get("q", F.lit(3)).alias("high"))  # scenarios times time frames
     m = F.col("metric")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import text
 from tallyscope.operators.lexicon import DEFAULT_LEXICON
+from tallyscope.operators.quantiles import quantile, quantiles
 from tallyscope.plans import qa, reports
 from tallyscope.plans.reports import AMOUNT, TF, mean, pair, total
 
@@ -209,8 +210,9 @@ def q7(s: DataFrame) -> DataFrame:
 def tenure_limit(s: DataFrame, column: str, definition: tuple[str, float]) -> DataFrame:
     """A row per time frame with the limit in years: ('months', m), or ('percentile', p) of the column."""
     kind, x = definition
-    limit = F.lit(x / 12.0) if kind == "months" else F.percentile(column, F.lit(float(x)))
-    return s.groupBy(TF).agg((F.max(limit) if kind == "months" else limit).alias("limite"))
+    if kind == "months":
+        return s.groupBy(TF).agg(F.max(F.lit(x / 12.0)).alias("limite"))
+    return quantile(s, [TF], column, float(x), "limite")
 
 
 def q8(s: DataFrame, new: tuple[str, float] = ("months", 6)) -> DataFrame:
@@ -226,7 +228,7 @@ def q9(s: DataFrame, newcomer_months: float = 6, veteran_months: float = 60) ->
     """Veterans paid by newcomers: flagged, then any, then wider limits, then the quartiles of tenure."""
     new, old = newcomer_months / 12, veteran_months / 12
     young, aged = F.col("user_antiguedad_anios"), F.col("receptor_antiguedad_anios")
-    quart = s.groupBy(TF).agg(F.percentile("user_antiguedad_anios", F.lit(0.25)).alias("_q1"), F.percentile("receptor_antiguedad_anios", F.lit(0.75)).alias("_q3"))
+    quart = quantile(s, [TF], "user_antiguedad_anios", 0.25, "_q1").join(quantile(s, [TF], "receptor_antiguedad_anios", 0.75, "_q3"), TF)
     ranked = s.join(F.broadcast(quart), TF).withColumn("_tier", F.when((young <= new) & (aged >= old), 0).when((young <= 2 * new) & (aged >= 0.8 * old), 1).when((young <= 3 * new) & (aged >= 0.7 * old), 2).when((young <= F.col("_q1")) & (aged >= F.col("_q3")), 3))
     best = ranked.groupBy(TF).agg(F.min("_tier").alias("_best"))
     chosen = ranked.join(F.broadcast(best), TF).where(F.col("_tier") <= F.col("_best"))
@@ -293,8 +295,8 @@ def by_month_then_pair(rows: DataFrame, per_month: dict[str, Column], per_pair:
 def q11(s: DataFrame, min_months: int = 3, delta: float = 10.0) -> DataFrame:
     """Amounts kept near the thresholds over several months; without any, the nearest 15 % (half, if these are all at a threshold)."""
     d = F.col("feat_delta_near_thr")
-    cut = F.percentile("feat_delta_near_thr", F.lit(0.15))
-    p15 = s.groupBy(TF).agg(F.when(cut > 0, cut).otherwise(F.percentile("feat_delta_near_thr", F.lit(0.5))).alias("_p15"))
+    least, middle = F.get("q", F.lit(0)), F.get("q", F.lit(1))
+    p15 = quantiles(s, [TF], "feat_delta_near_thr", [0.15, 0.5]).select(TF, F.when(least > 0, least).otherwise(middle).alias("_p15"))
     near = relaxed(s.join(F.broadcast(p15), TF), [F.col("sig_near_thr") & (d <= delta), d <= delta, d <= 2 * delta, d <= F.col("_p15")])
     g = by_month_then_pair(near, {"n": F.count(AMOUNT), "x": F.sum(AMOUNT), "d": F.avg("feat_delta_near_thr"), "r": F.max("risk_score"), "lv": F.max("nivel_relajado")}, {"meses_con_near": F.count(F.lit(1)), "tx_near_totales": F.sum("n"), "monto_total_near": F.round(F.sum("x"), 4), "delta_promedio": F.round(F.avg("d"), 6), "riesgo_max": F.round(F.max("r"), 6), "criterio": F.max("lv")})
     months = F.col("meses_con_near")
@@ -311,8 +313,8 @@ def q12(s: DataFrame, min_months: int | None = None, top_n: int = 25) -> DataFra
 
     Every pair that passes; top_n holds only where none has min_months.
     """
-    quarter = s.groupBy(TF, pair().alias("_p")).agg(F.percentile(AMOUNT, F.lit(0.25)).alias("_q"))
-    half = s.groupBy(TF).agg(F.percentile(AMOUNT, F.lit(0.5)).alias("_half"))  # a row per time frame
+    quarter = quantile(s.withColumn("_p", pair()), [TF, "_p"], AMOUNT, 0.25, "_q")
+    half = quantile(s, [TF], AMOUNT, 0.5, "_half")  # a row per time frame
     rows = s.withColumn("_p", pair()).join(quarter, [TF, "_p"]).join(F.broadcast(half), TF)
     found = relaxed(rows, [F.col("sig_smurf"), F.col(AMOUNT) <= F.coalesce("_q", "_half")]).drop("_half")
     trend = F.max_by("r", "month_id") - F.min_by("r", "month_id")
@@ -335,7 +337,7 @@ def estimated_loans(s: DataFrame) -> DataFrame:
     m = ways.groupBy(TF, "lo", "hi", "month_id").agg(larger, F.sum("x").alias("all_x"), F.sum("n").alias("f"), F.max("r").alias("r"), (F.sum("rs") / F.sum("n")).alias("ra"))
     back = F.when(F.col("lo") == F.col("hi"), F.col("loan.x")).otherwise(F.col("all_x") - F.col("loan.x"))
     m = m.select(TF, F.concat_ws("→", "loan.user_id", "loan.receiver_id").alias("pair"), "month_id", F.col("loan.n").alias("l"), F.greatest(F.col("loan.x") - back, F.lit(0.0)).alias("x"), "f", "r", "ra", F.coalesce(F.try_divide(back, F.col("loan.x")), F.lit(0.0)).alias("ratio"))
-    cuts = m.groupBy(TF).agg(F.percentile("f", F.array(F.lit(0.75), F.lit(0.6))).alias("q"))
+    cuts = quantiles(m, [TF], "f", [0.75, 0.6]).drop("n")
     m = m.join(F.broadcast(cuts), TF)
     owed = F.col("ratio") <= 0.5
     level = F.when(owed & (F.col("f") >= F.greatest(F.get("q", F.lit(0)), F.lit(3))), 2).when(owed & (F.col("f") >= F.greatest(F.get("q", F.lit(1)), F.lit(2))), 3)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import text, values
 from tallyscope.operators import graph
+from tallyscope.operators.quantiles import quantile
 from tallyscope.params import DEFAULTS, TIMEFRAMES, Params
 
 TF = "timeframe_periodo"
@@ -142,7 +143,7 @@ def person_imbalance(s: DataFrame) -> DataFrame:
 
 def case13(s: DataFrame, new_years: float = 0.5, min_senders: int = 3, min_high: int = 2, new_limit: str | None = None) -> DataFrame:
     """Newcomers who receive high amounts (at or above the 90th percentile of the time frame). new_limit: a column with the limit in years instead of new_years."""
-    cut = s.groupBy(TF).agg(F.percentile(AMOUNT, F.lit(0.9)).alias("_cut"))
+    cut = quantile(s, [TF], AMOUNT, 0.9, "_cut")
     new = s.where(F.col("receptor_antiguedad_anios") <= (F.lit(new_years) if new_limit is None else F.col(new_limit))).join(F.broadcast(cut), TF)  # a row per time frame
     g = new.groupBy(TF, F.col("receiver_id").alias("persona")).agg(
         F.count(AMOUNT).alias("caso13_persona_tx_recibidas"),

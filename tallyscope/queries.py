@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyscope.functions import text
+from tallyscope.functions.text import ACCENTED, PLAIN
 from tallyscope.operators import graph, groups, intervals, lexicon
 from tallyscope.oracle import sql
 from tallyscope.plans import person_risk, pipeline, qa, questions, reports
@@ -220,11 +221,6 @@ ORACLE_SQL["components"] = (
 )
 
 
-# second names of the three, from the time when the first ones read a part of the orders
-for _name in ("triangles", "cycles", "components"):
-    QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
-
-
 @register("network_totals", "select user_id as persona, round(sum(amt), 2) as p1_out_sum, bool_or(user_id in (select node from cyc)) as en_ciclo, bool_or(user_id in (select node from tri)) as en_triangulo from tx group by user_id")
 def _network(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = graph.network_flags(pipeline.ingested(spark, sf_dir))
@@ -267,6 +263,25 @@ def _fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.fuzzy_hits(norm, lexicon.lexicon_table(spark)).select("norm", "family", "term")
 
 
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's whole text in plain letters."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.trim(F.regexp_replace(F.lower(F.translate(F.coalesce("text", F.lit("")), ACCENTED, PLAIN)), "[^a-z0-9]+", " ")).alias("norm"))
+
+
+_DOCUMENT_NORM = f"trim(regexp_replace(lower(translate(coalesce(text, ''), '{ACCENTED}', '{PLAIN}')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@register("document_hits", f"""select doc_id, family, term from (select doc_id, {_DOCUMENT_NORM} as norm from documents) join (
+  with plain as (select distinct {_DOCUMENT_NORM} as norm from documents)
+  select distinct norm, family, term from plain join terms on case kind when 'word' then case when length(term) >= 4 then list_contains(string_split(norm, ' '), term) else contains(norm, term) end when 'phrase' then contains(norm, term) else regexp_matches(norm, term) end
+  union select norm, 'FACILITACION', 'facilitacion+evento' from plain where regexp_matches(norm, '{lexicon.FACILITATE}') and regexp_matches(norm, '{lexicon.EVENT}')) using (norm)""")
+def _document_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms in the texts of documents."""
+    texts = document_texts(spark, sf_dir)
+    return texts.join(lexicon.lexicon_hits(texts.select("norm").distinct(), lexicon.lexicon_table(spark)), "norm").select("doc_id", "family", "term")
+
+
 @register("ngram_similarity")
 def _similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = transfer_texts(spark, sf_dir).select(lexicon.normalize_text(F.col("raw")).alias("norm")).distinct()
