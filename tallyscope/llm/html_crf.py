@@ -20,7 +20,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,16 +47,30 @@ IN_SELECT = frozenset("option button legend hr".split())
 IN_PARAGRAPH = frozenset("option button".split())
 #: An element that a new start tag of the same family ends.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
+#: A quote opens a value only after an equals sign; elsewhere in a tag it is a character like others, so a stray one hides no text.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)(?:>|\Z)", re.S)
 RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 
+class Node:
+    """An open element; tags, names and main are those of all elements around it too, shared where it adds none."""
+
+    __slots__ = ("tag", "tags", "names", "main")
+
+    def __init__(self, tag: str, words: tuple[str, ...], main: bool, up: Node | None):
+        tags, names, around = (up.tags, up.names, up.main) if up else (frozenset(), frozenset(), False)
+        self.tag = tag
+        self.tags = tags if tag in tags else tags | {tag}
+        self.names = names if names.issuperset(words) else names.union(words)
+        self.main = main or around
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...], bool], ...]  # (tag, class and id words, marked as main)
+    inner: Node | None  # the innermost element
     link_chars: int
     size: int
 
@@ -68,18 +82,27 @@ def _names(attributes: str) -> tuple[str, ...]:
 
 
 def leaf_blocks(html: str) -> list[Block]:
-    """The leaf blocks of a page, in order."""
+    """The leaf blocks of a page, in order: one pass, whatever the depth, as open elements are counted by tag."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    stack: list[Node] = []
+    opened: Counter[str] = Counter()
+    n_hidden = 0
     texts: list[str] = []
-    path: tuple = ()
+    inner: Node | None = None
     links = 0
 
+    def pop() -> str:
+        nonlocal n_hidden
+        tag = stack.pop().tag
+        opened[tag] -= 1
+        n_hidden -= tag in SKIPPED
+        return tag
+
     def hidden() -> bool:
-        return any(s[0] in SKIPPED for s in stack)
+        return n_hidden > 0
 
     def close(tag: str) -> None:
-        while stack.pop()[0] != tag:
+        while pop() != tag:
             pass
 
     def flush() -> None:
@@ -87,18 +110,18 @@ def leaf_blocks(html: str) -> list[Block]:
         if texts:
             text = " ".join(html_lib.unescape("".join(texts)).split())
             if text:
-                out.append(Block(text, path, links, len(text)))
+                out.append(Block(text, inner, links, len(text)))
         texts, links = [], 0
 
     def add(raw: str) -> None:
-        nonlocal path, links
-        if raw.strip() and stack and stack[-1][0] == "head":
-            stack.pop()
+        nonlocal inner, links
+        if raw.strip() and stack and stack[-1].tag == "head":
+            pop()
         if raw and (texts or not raw.isspace()) and not hidden():
             if not texts:
-                path = tuple(stack)
+                inner = stack[-1] if stack else None
             texts.append(raw)
-            if any(s[0] == "a" for s in stack):
+            if opened["a"]:
                 links += len(raw)
 
     at = 0
@@ -106,22 +129,22 @@ def leaf_blocks(html: str) -> list[Block]:
         if m.start() > at:
             add(html[at : m.start()])
         at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        closing, tag, attributes = m[1], m[2], m[3]
         tag = (tag or "").lower()
         if not tag:
             continue
         if tag in BLOCKS or tag == "head":
             flush()
         if closing:
-            if any(s[0] == tag for s in stack):
+            if opened[tag]:
                 close(tag)
             continue
-        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
-            stack.pop()
-        if tag in BLOCKS and any(s[0] in ("select", "option") for s in stack) and tag not in IN_SELECT:
+        if stack and stack[-1].tag == "head" and tag not in IN_HEAD:
+            pop()
+        if tag in BLOCKS and (opened["select"] or opened["option"]) and tag not in IN_SELECT:
             # a block that a select cannot hold: it was never closed
-            close("select" if any(s[0] == "select" for s in stack) else "option")
-        if tag in BLOCKS and any(s[0] == "svg" for s in stack) and not any(s[0] == "foreignobject" for s in stack):
+            close("select" if opened["select"] else "option")
+        if tag in BLOCKS and opened["svg"] and not opened["foreignobject"]:
             close("svg")
         if tag in SKIPPED or tag in RAW and hidden():
             if tag not in ("option", "head"):
@@ -136,13 +159,14 @@ def leaf_blocks(html: str) -> list[Block]:
                 tag = "noscript-unclosed"
         if tag in VOID:
             continue
-        if tag in BLOCKS and tag not in IN_PARAGRAPH and any(s[0] == "p" for s in stack) and not hidden():
+        if tag in BLOCKS and tag not in IN_PARAGRAPH and opened["p"] and not hidden():
             close("p")
         ends = ENDS.get(tag)
-        if ends and stack and stack[-1][0] in ends:
-            while stack and stack[-1][0] in ends:
-                stack.pop()
-        stack.append((tag, _names(attributes), "data-main" in attributes))
+        while ends and stack and stack[-1].tag in ends:
+            pop()
+        stack.append(Node(tag, _names(attributes), "data-main" in attributes, stack[-1] if stack else None))
+        opened[tag] += 1
+        n_hidden += tag in SKIPPED
     if at < len(html):
         add(html[at:])
     flush()
@@ -158,11 +182,11 @@ def features(blocks: list[Block], hide_own: bool = False) -> list[list[str]]:
     n = len(blocks)
     for i, b in enumerate(blocks):
         f = ["bias"]
-        tags = {t for t, _, _ in b.path}
+        tags = b.inner.tags if b.inner else frozenset()
         f += [f"in:{t}" for t in tags if t not in ("html", "body") and not (hide_own and t in OWN_TAGS)]
-        parent = b.path[-1][0] if b.path else ""
+        parent = b.inner.tag if b.inner else ""
         f.append("parent:" + ("" if hide_own and parent in OWN_TAGS else parent))
-        f += {f"name:{w}" for _, words, _ in b.path for w in words}
+        f += [f"name:{w}" for w in (b.inner.names if b.inner else ())]
         size = b.size
         f.append(f"size:{min(9, int(math.log2(size + 1)))}")
         f.append(f"links:{int(3.999 * min(1.0, b.link_chars / size))}")
@@ -281,9 +305,11 @@ def labelled(html: str, main: str = "mark") -> tuple[list[Block], list[int]]:
     """Blocks and labels of a page by its data-main marks, or ("own") by its own article element."""
     blocks = leaf_blocks(html)
     if main == "mark":
-        return blocks, [int(any(m for _, _, m in b.path)) for b in blocks]
+        return blocks, [int(b.inner is not None and b.inner.main) for b in blocks]
     away = {"nav", "aside", "footer", "form", "header"}
-    return blocks, [int(any(t in OWN_TAGS for t, _, _ in b.path) and not any(t in away for t, _, _ in b.path) and not any(w in ("comment", "comments", "ad", "ads") for _, ws, _ in b.path for w in ws)) for b in blocks]
+    unwanted = {"comment", "comments", "ad", "ads"}
+    own = lambda n: n is not None and not n.tags.isdisjoint(OWN_TAGS) and n.tags.isdisjoint(away) and n.names.isdisjoint(unwanted)
+    return blocks, [int(own(b.inner)) for b in blocks]
 
 
 def train(pages: DataFrame, limit: int = TRAIN_PAGES) -> Field:

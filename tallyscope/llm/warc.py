@@ -53,7 +53,7 @@ def read_page(html: str) -> tuple[str, str | None, list[str]]:
         if dropped is None:
             texts.append(html[at : m.start()])
         at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        closing, tag, attributes = m[1], m[2], m[3]
         tag = (tag or "").lower()
         if closing and tag == dropped:
             dropped = None

@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 import numpy as np
 import pytest
 
-from tallyscope.llm import incidence, jaccard_join, mixing, quality_rules, sentencepiece_codec, toxicity, vafile, warc
+from tallyscope.llm import html_crf, incidence, jaccard_join, mixing, quality_rules, sentencepiece_codec, toxicity, vafile, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -217,12 +217,31 @@ def test_page_text_is_what_a_parser_reads(page):
 
 def test_page_text_of_random_pages():
     rnd = random.Random(9)
-    bits = ["<p>", "</p>", "<div class='a>b'>", "</div>", "word ", "a &amp; b ", "<b>", "</b>", "<br/>", "<script>if(a<b){'</p>'}</script>", "<!-- x -->", "&eacute;", "1 < 2 ", '<a href="/x?a=1&amp;b">', "</a>", "\n", "<li>", "<h1 id=k>"]
-    for _ in range(300):
+    bits = ["<p>", "</p>", "<div class='a>b'>", "</div>", "word ", "a &amp; b ", "<b>", "</b>", "<br/>", "<script>if(a<b){'</p>'}</script>", "<!-- x -->", "&eacute;", "1 < 2 ", '<a href="/x?a=1&amp;b">', "</a>", "\n", "<li>", "<h1 id=k>", "<img alt=Bob's>", "<p title=it's>", "<p x'y>", "it's ", 'a "word" ', "<i a = 'q>r'>", "</i>"]
+    for _ in range(600):
         page = "".join(rnd.choice(bits) for _ in range(rnd.randrange(40)))
         text, _, links = warc.read_page(page)
         assert text == reference_text(page), page
         assert links == ["/x?a=1&b"] * page.count("<a ")
+        blocks = " ".join(b.text for b in html_crf.leaf_blocks(page))
+        assert blocks.replace(" ", "") == "".join(text.split()), page
+
+
+def test_stray_quotes_hide_no_text():
+    page = "<p><img alt=Bob's>first para</p><p>it's the second</p><p>third</p>"
+    assert [b.text for b in html_crf.leaf_blocks(page)] == ["first para", "it's the second", "third"]
+    assert warc.read_page(page)[0].split("\n") == ["first para", "it's the second", "third"]
+    assert [b.text for b in html_crf.leaf_blocks('<p title="a>b" class=x\'y>one</p><p a="unclosed>two</p>')][:1] == ["one"]
+
+
+def test_deep_pages_end():
+    began = time.time()
+    page = "<div>x" * 200_000
+    blocks = html_crf.leaf_blocks(page)
+    assert len(blocks) == 200_000 and len(html_crf.features(blocks)) == 200_000
+    assert warc.read_page(page)[0].count("x") == 200_000
+    assert len(html_crf.leaf_blocks("<p><a href='x" * 50_000)) <= 50_000
+    assert time.time() - began < 60
 
 
 def test_pipeline_is_its_stages_in_plain_python(spark, tmp_path):
