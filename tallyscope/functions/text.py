@@ -41,14 +41,17 @@ def spanish_ampm(c: Column) -> Column:
     return F.regexp_replace(low, r"(?i)\bp\.?\s*m\b\.?", "PM")
 
 
-#: Accepted layouts, in order: ISO, then day first. The reference guesses one layout from the first value instead (Q-20).
-TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "dd/MM/yyyy hh:mm:ss a", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy")
+#: A text that begins so is read as ISO 8601: T or a space before the time, fractions, Z or an offset.
+ISO = r"^\d{4}-\d{1,2}-\d{1,2}([T ]|$)"
+#: Other layouts, day first, with parts that may be absent. The reference guesses one layout from the first value instead (Q-20).
+TIME_FORMATS = ("d/M/yyyy[ H:mm[:ss[.SSSSSS]]]", "d/M/yyyy h:mm[:ss[.SSSSSS]] a", "d-M-yyyy[ H:mm[:ss[.SSSSSS]]]", "d-M-yyyy h:mm[:ss[.SSSSSS]] a", "yyyy/M/d[ H:mm[:ss[.SSSSSS]]]", "yyyy-M-d h:mm[:ss[.SSSSSS]] a")
 
 
 def parse_time(c: Column) -> Column:
-    """Timestamp from text; null where no layout fits or the text is blank."""
+    """Timestamp from text; null where no layout fits or the text is blank. A time without an offset is one of the session's zone."""
     text = blank_to_null(spanish_ampm(c.cast("string")))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS])
+    iso = F.when(text.rlike(ISO), text.try_cast("timestamp"))
+    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS])
 
 
 def split_list(c: Column) -> Column:

@@ -73,7 +73,7 @@ def quoted(name: str) -> Column:
 
 
 def ingest(raw: DataFrame) -> DataFrame:
-    """Typed transfers from raw text columns; rows without an amount or a time are dropped.
+    """Typed transfers from raw text columns; rows without an amount or a time are dropped, and `rejected` lists them.
 
     One narrow projection. Times are read by a fixed list of layouts, ISO first.
     """
@@ -109,6 +109,14 @@ def ingest(raw: DataFrame) -> DataFrame:
     return out.dropna(subset=["movement_amount", "fecha_hora_ts"])
 
 
+def rejected(raw: DataFrame) -> DataFrame:
+    """The raw rows that `ingest` leaves out, with `reason`: which of movement_amount and load_date cannot be read, and how."""
+    check_columns(raw, REQUIRED)
+    unread = lambda c, value: F.when(value.isNull(), F.concat(F.lit(c), F.when(text.blank_to_null(F.col(c)).isNull(), " is empty").otherwise(" cannot be read")))
+    reason = F.concat_ws(", ", unread("movement_amount", values.to_number(F.col("movement_amount"))), unread("load_date", text.parse_time(F.col("load_date"))))
+    return raw.withColumn("reason", reason).where("reason <> ''")
+
+
 def from_dense(f1: DataFrame) -> DataFrame:
     """Typed transfers from the dense fixture, with managers, teammates and tenures by arithmetic on the person number."""
     sn, rn = F.col("sn"), F.col("rn")

@@ -43,6 +43,42 @@ def test_times(spark):
     assert tuple(got) == (dt.datetime(2024, 1, 5, 10), dt.datetime(2024, 1, 5, 15, 4, 5), dt.datetime(2024, 1, 5), None, None)
 
 
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("2024-01-01 10:00:00.123", dt.datetime(2024, 1, 1, 10, 0, 0, 123000)),
+        ("2024-01-01T10:00:00Z", dt.datetime(2024, 1, 1, 10)),
+        ("2024-01-01T10:00:00.5", dt.datetime(2024, 1, 1, 10, 0, 0, 500000)),
+        ("2024-01-01T10:00:00+02:00", dt.datetime(2024, 1, 1, 8)),
+        ("2024-01-01T10:00", dt.datetime(2024, 1, 1, 10)),
+        ("2024-01-01 10:00", dt.datetime(2024, 1, 1, 10)),
+        ("2024-01-01", dt.datetime(2024, 1, 1)),
+        ("2024-1-5", dt.datetime(2024, 1, 5)),
+        ("01/02/2024 10:00 a. m.", dt.datetime(2024, 2, 1, 10)),
+        ("01/02/2024 10:00:05 PM", dt.datetime(2024, 2, 1, 22, 0, 5)),
+        ("1/2/2024 09:05", dt.datetime(2024, 2, 1, 9, 5)),
+        ("01-02-2024", dt.datetime(2024, 2, 1)),
+        ("31/12/2023 23:59:59.25", dt.datetime(2023, 12, 31, 23, 59, 59, 250000)),
+        ("2024/3/4 5:06", dt.datetime(2024, 3, 4, 5, 6)),
+        ("10:00:00", None),
+        ("32/01/2024", None),
+        ("2024-13-01", None),
+        (None, None),
+    ],
+)
+def test_time_layouts(spark, raw, want):
+    df = spark.createDataFrame([(raw,)], "t string")
+    assert df.select(text.parse_time(F.col("t"))).first()[0] == want
+
+
+def test_rejected_rows_are_listed(spark):
+    columns = ["user_id", "receptor-user_id", "movement_amount", "load_date", "transaction_desc"]
+    rows = [("a", "b", "10", "2024-01-01 10:00:00.123", "x"), ("a", "b", "ten", "2024-01-01", "x"), ("a", "b", "5", "soon", "x"), ("a", "b", None, " ", "x")]
+    raw = spark.createDataFrame(rows, columns)
+    assert transfers.ingest(raw).count() == 1
+    assert [r["reason"] for r in transfers.rejected(raw).collect()] == ["movement_amount cannot be read", "load_date cannot be read", "movement_amount is empty, load_date is empty"]
+
+
 def test_values(spark):
     lit = F.lit
     ts = lambda s: F.to_timestamp(lit(s))
