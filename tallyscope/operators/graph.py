@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tallyscope.checkpoints import cut
 
 
-def distinct_edges(tx: DataFrame) -> DataFrame:
-    return tx.select(F.col("user_id").alias("a"), F.col("receiver_id").alias("b")).where("a is not null and b is not null").distinct()
+def distinct_edges(tx: DataFrame, by: str | None = None) -> DataFrame:
+    return tx.select(*([by] if by else []), F.col("user_id").alias("a"), F.col("receiver_id").alias("b")).where("a is not null and b is not null").distinct()
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -120,14 +120,22 @@ def components(edges: DataFrame) -> DataFrame:
     return loops.join(now.withColumnRenamed("a", "node"), "node", "left").groupBy("node").agg(F.least(F.min("b"), F.first("root")).alias("root"))
 
 
-def cluster_ids(edges: DataFrame) -> DataFrame:
-    """Node, root, cluster_id ('cluster_1' has the least root)."""
-    comps = cut(components(edges), "components")
+def cluster_ids(edges: DataFrame, by: str | None = None) -> DataFrame:
+    """Node, root, cluster_id ('cluster_1' has the least root). by: a column that parts the edges into graphs of their own.
+
+    The graphs of all values of `by` are solved in one run, as nodes named by value and id; numbers start again with each.
+    """
+    at = lambda c: F.struct(F.col(by).alias("by"), F.col(c).alias("id")) if by else F.struct(F.lit("").alias("by"), F.col(c).alias("id"))
+    comps = cut(components(edges.select(at("a").alias("a"), at("b").alias("b"))), "components")
     roots = comps.select("root").distinct().repartitionByRange("root").withColumn("_p", F.spark_partition_id())
     roots = cut(roots, "roots")
     starts = roots.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))  # a row per partition
     numbered = roots.join(F.broadcast(starts), "_p").withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("root")) + F.col("_s"))
-    return comps.join(numbered.select("root", F.concat(F.lit("cluster_"), F.col("_n").cast("string")).alias("cluster_id")), "root").select("node", "root", "cluster_id")
+    # roots of one value of `by` follow each other: counted from the first of them
+    firsts = numbered.groupBy("root.by").agg(F.min("_n").alias("_f"))
+    numbered = numbered.select("root", F.col("root.by").alias("by"), "_n").join(firsts, "by")
+    named = comps.join(numbered.select("root", F.concat(F.lit("cluster_"), (F.col("_n") - F.col("_f") + 1).cast("string")).alias("cluster_id")), "root")
+    return named.select(*([F.col("node.by").alias(by)] if by else []), F.col("node.id").alias("node"), F.col("root.id").alias("root"), "cluster_id")
 
 
 def network_flags(tx: DataFrame, simple: bool = False) -> DataFrame:

@@ -104,11 +104,13 @@ PARTS: dict[str, str] = {
       (rank() over (partition by month_id order by risk) + (count(*) over (partition by month_id, risk) - 1) / 2.0) / count(*) over (partition by month_id) as norm from scored join cal using (month_id)""",
     "s": """select tiers.*, tf as timeframe_periodo from tiers join (values ('ultimo_mes', 30), ('ultimos_3_meses', 90), ('todo_el_tiempo', 1000000)) f(tf, d) on epoch_us(tiers.ts) >= (select max(epoch_us(ts)) from tiers) - f.d * 86400000000""",
     "ends": "select s.*, user_id as persona, true as sent_ from s union all select s.*, receiver_id as persona, false as sent_ from s",
-    "whole_edges": "select distinct user_id as a, receiver_id as b from s where timeframe_periodo = 'todo_el_tiempo'",
-    "both_ways": "select a, b from whole_edges union select b, a from whole_edges",
-    "reach": "select a as x, a as y from both_ways union select r.x, e.b from reach r join both_ways e on e.a = r.y",
-    "clusters": "select node, 'cluster_' || dense_rank() over (order by root) as cluster_id from (select x as node, min(y) as root from reach group by x)",
-    "clustered": "select s.*, cluster_id from s join clusters on s.user_id = clusters.node where timeframe_periodo = 'todo_el_tiempo'",
+    "frame_edges": "select distinct timeframe_periodo as tf, user_id as a, receiver_id as b from s",
+    "both_ways": "select tf, a, b from frame_edges union select tf, b, a from frame_edges",
+    "reach": "select tf, a as x, a as y from both_ways union select r.tf, r.x, e.b from reach r join both_ways e on e.tf = r.tf and e.a = r.y",
+    "clusters": "select tf as timeframe_periodo, node, 'cluster_' || dense_rank() over (partition by tf order by root) as cluster_id from (select tf, x as node, min(y) as root from reach group by all)",
+    "clustered": "select s.*, cluster_id from s join clusters on s.user_id = clusters.node and s.timeframe_periodo = clusters.timeframe_periodo",
+    "shared_refs": """select * from (select timeframe_periodo, lower(trim(ref)) as reference_norm, min(ts) as lo, max(ts) as hi, count(distinct upair) as pairs_count, list(distinct upair) as ps, count(*) as tx_count, sum(amt) as total
+      from s where length(lower(trim(ref))) >= 4 group by all) where pairs_count > 1 and epoch_us(hi) - epoch_us(lo) <= 30 * 86400000000""",
     "f3e": "select distinct user_id as a, receiver_id as b from f3",
     "f3u": "select a, b from f3e union select b, a from f3e",
 }

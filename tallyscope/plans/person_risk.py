@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyscope.checkpoints import cut
 from tallyscope.functions import text, values
 from tallyscope.operators.quantiles import quantiles
 from tallyscope.plans import questions, reports
@@ -92,6 +93,8 @@ def payment_rows(s: DataFrame) -> DataFrame:
 def q18(s: DataFrame, top_n: int = 25) -> DataFrame:
     """Persons by weighted scenario scores, with tier, main scenarios, flags, balance and the total over all time frames."""
     long = reduce(DataFrame.unionByName, [df.select(TF, "persona", "metric").withColumn("scenario", F.lit(k)) for k, df in scenario_metrics(s).items()])
+    # the metrics feed quantiles and scores: fourteen plans run once
+    long = cut(long.withColumn("metric", F.round("metric", 6)), "metrics")
     scored = scenario_scores(long)
     weight = F.element_at(F.create_map(*[F.lit(x) for k, (_, w) in SCENARIOS.items() for x in (k, w)]), F.col("scenario"))
     all_weight = sum(w for _, w in SCENARIOS.values())

@@ -385,9 +385,9 @@ def q14(s: DataFrame, min_months: int = 3, top_n: int = 25) -> DataFrame:
 SIGNALS5 = ("yo_yo_cluster_tasa_flag", "smurf_cluster_tasa_flag", "frecuencia_cluster_tasa_flag", "recurrente_cluster_tasa_flag", "prestamo_cluster_tasa_repay_insuficiente")
 
 
-def q15(s: DataFrame, top_n: int = 10, frame: str = "todo_el_tiempo") -> DataFrame:
-    """Clusters with several coordinated signals."""
-    c = reports.clusters(s, frame)
+def q15(s: DataFrame, top_n: int = 10) -> DataFrame:
+    """Clusters of each time frame with several coordinated signals."""
+    c = reports.clusters(s)
     n = sum([(F.col(k) > 0).cast("int") for k in SIGNALS5], F.lit(0))
     c = c.withColumn("senales_activas", n)
     return top(c, top_n, F.desc("senales_activas"), F.desc("riesgo_cluster_maximo"), F.col("cluster_id")).withColumn("interpretabilidad", say(F.col("cluster_id"), ": ", F.col("senales_activas"), " señales en ", F.col("cluster_personas_total"), " personas"))

@@ -261,11 +261,19 @@ def change_pairs(s: DataFrame) -> DataFrame:
 
 
 def references(s: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Reused references of each time frame."""
+    """References that two or more pairs used within reference_days in a time frame; transfers outside of it decide nothing."""
     pair_key = values.undirected_pair(F.col("user_id"), F.col("receiver_id"))
-    used = s.where("feat_reference_norm <> '' and sig_reference_reuse")
+    used = s.where("feat_reference_norm <> ''")
     g = used.groupBy(TF, F.col("feat_reference_norm").alias("reference_norm")).agg(F.min("fecha_hora_ts").alias("first_ts"), F.max("fecha_hora_ts").alias("last_ts"), F.count_distinct(pair_key).alias("pairs_count"), F.array_sort(F.collect_set(pair_key)).alias("pairs"), F.count(F.lit(1)).alias("tx_count"), total().alias("monto_total"), F.max("feat_reference_len").alias("reference_len"))
-    return g.withColumn("span_days", F.round((F.unix_micros("last_ts") - F.unix_micros("first_ts")) / values.MICROS_DAY, 6))
+    span = F.unix_micros("last_ts") - F.unix_micros("first_ts")
+    return g.where((F.col("pairs_count") > 1) & (span <= p.reference_days * values.MICROS_DAY)).withColumn("span_days", F.round(span / values.MICROS_DAY, 6))
+
+
+def reference_transfers(s: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """The transfers of those references, with their place in time among the reference's."""
+    rows = s.join(references(s, p).select(TF, F.col("reference_norm").alias("feat_reference_norm")), [TF, "feat_reference_norm"], "left_semi")
+    place = Window.partitionBy(TF, "feat_reference_norm").orderBy("fecha_hora_ts", "tx_id")
+    return rows.select(TF, "tx_id", "fecha_hora_ts", "user_id", "receiver_id", "reference_number_trans_desc", "feat_reference_norm", "feat_reference_len", "sig_reference_reuse", F.round("risk_score", 6).alias("risk_score"), F.row_number().over(place).alias("orden"))
 
 
 def bursts(s: DataFrame) -> DataFrame:
@@ -283,12 +291,16 @@ def bursts(s: DataFrame) -> DataFrame:
     )
 
 
-def clusters(s: DataFrame, frame: str = "todo_el_tiempo") -> DataFrame:
-    """Connected components of one time frame with totals, flag rates and the most unbalanced person (ties by id)."""
-    tx = s.where(F.col(TF) == frame)
-    ids = graph.cluster_ids(graph.distinct_edges(tx)).select(F.col("node").alias("user_id"), "cluster_id")
-    labelled = tx.join(ids, "user_id")
-    g = labelled.groupBy("cluster_id").agg(
+def cluster_members(s: DataFrame) -> DataFrame:
+    """The persons of each cluster, a row each. The components of all time frames are found in one run."""
+    return graph.cluster_ids(graph.distinct_edges(s, TF), TF).select(TF, "cluster_id", F.col("node").alias("persona"))
+
+
+def clusters(s: DataFrame) -> DataFrame:
+    """Connected components of each time frame with totals, flag rates and the most unbalanced person (ties by id)."""
+    keys = [TF, "cluster_id"]
+    labelled = s.join(cluster_members(s).withColumnRenamed("persona", "user_id"), [TF, "user_id"])
+    g = labelled.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("cluster_tx_count"),
         total().alias("cluster_tx_sum"),
         F.round(F.max("risk_score"), 6).alias("riesgo_cluster_maximo"),
@@ -297,16 +309,11 @@ def clusters(s: DataFrame, frame: str = "todo_el_tiempo") -> DataFrame:
         F.count_distinct(F.nullif(F.col("nlp_concepto_sospechoso"), F.lit(""))).alias("nlp_cluster_conceptos_sospechosos_unicos"),
         *[rate(f).alias(k) for k, f in CLUSTER_FLAGS.items()],
     )
-    net = sides(labelled).groupBy("cluster_id", "persona").agg(F.round(F.sum(F.when(F.col("sent"), F.col(AMOUNT)).otherwise(-F.col(AMOUNT))), 4).alias("net"))
-    main = net.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_personas_total"), F.min_by(F.struct("persona", "net"), F.struct(-F.abs("net"), "persona")).alias("m"))
-    out = g.join(main, "cluster_id").withColumn("desbalance_cluster_persona_principal", F.col("m.persona")).withColumn("desbalance_cluster_persona_principal_monto", F.col("m.net")).drop("m")
+    net = sides(labelled).groupBy(*keys, "persona").agg(F.round(F.sum(F.when(F.col("sent"), F.col(AMOUNT)).otherwise(-F.col(AMOUNT))), 4).alias("net"))
+    main = net.groupBy(*keys).agg(F.count(F.lit(1)).alias("cluster_personas_total"), F.min_by(F.struct("persona", "net"), F.struct(-F.abs("net"), "persona")).alias("m"))
+    out = g.join(main, keys).withColumn("desbalance_cluster_persona_principal", F.col("m.persona")).withColumn("desbalance_cluster_persona_principal_monto", F.col("m.net")).drop("m")
     said = F.concat(F.col("cluster_personas_total").cast("string"), F.lit(" personas con "), F.col("cluster_tx_count").cast("string"), F.lit(" tx. Riesgo max "), F.format_number("riesgo_cluster_maximo", 2))
-    return out.withColumn(TF, F.lit(frame)).withColumn("interp_cluster", said)
-
-
-def cluster_members(s: DataFrame, frame: str = "todo_el_tiempo") -> DataFrame:
-    """The persons of each cluster, a row each."""
-    return graph.cluster_ids(graph.distinct_edges(s.where(F.col(TF) == frame))).select("cluster_id", F.col("node").alias("persona"))
+    return out.withColumn("interp_cluster", said)
 
 
 def build_all(scored: DataFrame) -> dict[str, DataFrame]:
@@ -315,7 +322,7 @@ def build_all(scored: DataFrame) -> dict[str, DataFrame]:
     makers = {
         "transaccion": transactions, "persona": persons, "persona_desbalance": person_imbalance, "casuistica_13": case13, "casuistica_14": case14, "par": pairs, "casuistica_12": case12,
         "concepto": concepts, "persona_concepto": person_concepts, "par_concepto": pair_concepts, "casuistica_quid_casos": quid_cases, "casuistica_quid_pares": quid_pairs,
-        "casuistica_cambio_eventos": change_events, "casuistica_cambio_pares": change_pairs, "casuistica_referencia": references, "cluster": clusters, "rafaga": bursts,
+        "casuistica_cambio_eventos": change_events, "casuistica_cambio_pares": change_pairs, "casuistica_referencia": references, "casuistica_referencia_tx": reference_transfers, "cluster": clusters, "rafaga": bursts,
     }
-    return {k: f(s) for k, f in makers.items() if k != "cluster"} | {"cluster": clusters(s)}
+    return {k: f(s) for k, f in makers.items()}
 

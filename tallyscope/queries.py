@@ -368,18 +368,19 @@ over_slices("person_concept", lambda s: reports.person_concepts(s), "select time
 over_slices("pair_concept", lambda s: reports.pair_concepts(s), "select timeframe_periodo, pair, concept as nlp_concepto_sospechoso, count(*)::bigint as nlp_par_concepto_tx_total, round(sum(amt), 4) as nlp_par_concepto_monto_total, round(avg(risk), 6) as nlp_par_concepto_riesgo_promedio from s where concept <> '' group by all")
 over_slices("quid_cases", lambda s: reports.quid_cases(s).select(TF, "tx_id", "feat_quid_rel_label", "feat_quid_score", "feat_quid_pair_key", r6("risk_score")), "select timeframe_periodo, tx_id, label as feat_quid_rel_label, qscore as feat_quid_score, upair as feat_quid_pair_key, round(risk, 6) as risk_score from s where qscore >= 2.2")
 over_slices("quid_pairs", lambda s: reports.quid_pairs(s), "select timeframe_periodo, upair as quid_pair_clave, count(*)::bigint as quid_tx_count, max(qscore) as quid_score_max, round(avg(qscore), 6) as quid_score_avg, round(avg((label like '%Manager%')::int), 9) as quid_manager_ratio, round(avg(apr::int), 9) as quid_aprob_ratio, round(avg(cmp::int), 9) as quid_comp_ratio, replace(upair, '|', '↔') as quid_pair_label from s where qscore >= 2.2 group by all")
-over_slices("reference_summary", lambda s: reports.references(s).select(TF, "reference_norm", us("first_ts").alias("first_us"), us("last_ts").alias("last_us"), "pairs_count", F.array_join("pairs", ",").alias("pairs"), "tx_count", "monto_total"), "select timeframe_periodo, lower(trim(ref)) as reference_norm, epoch_us(min(ts))::bigint as first_us, epoch_us(max(ts))::bigint as last_us, count(distinct upair)::bigint as pairs_count, array_to_string(list_sort(list(distinct upair)), ',') as pairs, count(*)::bigint as tx_count, round(sum(amt), 4) as monto_total from s where ref_reuse group by 1, 2")
+over_slices("reference_summary", lambda s: reports.references(s).select(TF, "reference_norm", us("first_ts").alias("first_us"), us("last_ts").alias("last_us"), "pairs_count", F.array_join("pairs", ",").alias("pairs"), "tx_count", "monto_total"), "select timeframe_periodo, reference_norm, epoch_us(lo)::bigint as first_us, epoch_us(hi)::bigint as last_us, pairs_count, array_to_string(list_sort(ps), ',') as pairs, tx_count, round(total, 4) as monto_total from shared_refs")
+over_slices("reference_transfers", lambda s: reports.reference_transfers(s).select(TF, "tx_id", us("fecha_hora_ts").alias("us"), "user_id", "receiver_id", F.col("feat_reference_norm").alias("reference_norm"), F.col("sig_reference_reuse").alias("reused_ever"), "risk_score", "orden"), "select timeframe_periodo, tx_id, epoch_us(ts)::bigint as us, user_id, receiver_id, reference_norm, ref_reuse as reused_ever, round(risk, 6) as risk_score, (row_number() over (partition by timeframe_periodo, reference_norm order by ts, tx_id))::int as orden from (select *, lower(trim(ref)) as reference_norm from s) join (select timeframe_periodo, reference_norm from shared_refs) using (timeframe_periodo, reference_norm)")
 over_slices("change_events", lambda s: reports.change_events(s).drop("relacion"), """select timeframe_periodo, user_id, receiver_id, pair, month_id, bool_or(jump) as sig_pair_change_point, bool_or(fresh) as sig_pair_new_edge, round(max(rx), 6) as feat_pair_month_amount_ratio, round(max(rn_ratio), 6) as feat_pair_month_count_ratio, max(since)::int as feat_pair_months_since_prev,
   count(*)::bigint as month_tx_count, round(sum(amt), 4) as month_tx_sum, round(max(risk), 6) as risk_score_max from s where jump or fresh group by all""")
 over_slices("change_pairs", lambda s: reports.change_pairs(s), """select timeframe_periodo, user_id, receiver_id, pair, sum(j)::bigint as change_point_eventos, sum(f)::bigint as new_edge_eventos, max(m) as risk_score_max from (select timeframe_periodo, user_id, receiver_id, pair, month_id, bool_or(jump)::int as j, bool_or(fresh)::int as f, round(max(risk), 6) as m from s where jump or fresh group by all) group by all""")
 over_slices("burst_report", lambda s: reports.bursts(s).select(TF, "rafaga_canal_id", us("rafaga_canal_hora_bin_inicio").alias("us"), "rafaga_canal_tx_en_bin", "monto_promedio", "monto_total", "riesgo_promedio", "riesgo_maximo"), "select timeframe_periodo, app as rafaga_canal_id, epoch_us(ini)::bigint as us, max(bin_n)::bigint as rafaga_canal_tx_en_bin, round(avg(amt), 8) as monto_promedio, round(sum(amt), 4) as monto_total, round(avg(risk), 6) as riesgo_promedio, round(max(risk), 6) as riesgo_maximo from s where burst group by all")
 _CLUSTER_RATES = ", ".join(_rate(f, n) for f, n in (("yoyo", "yo_yo_cluster_tasa_flag"), ("smurf", "smurf_cluster_tasa_flag"), ("freq", "frecuencia_cluster_tasa_flag"), ("recurrent", "recurrente_cluster_tasa_flag"), ("bad_loan", "prestamo_cluster_tasa_repay_insuficiente"), ("is_round", "monto_cluster_tasa_flag_redondo"), ("near", "umbral_cluster_tasa_flag_cercania"), ("cyc1", "red_cluster_tasa_en_ciclos"), ("tri1", "red_cluster_tasa_en_triangulos"), ("quid", "quid_cluster_tasa_flag"), ("ref_reuse", "referencia_cluster_tasa_reutilizada")))
-_CLUSTERS = f"""select g.*, personas as cluster_personas_total, persona as desbalance_cluster_persona_principal, net as desbalance_cluster_persona_principal_monto, 'todo_el_tiempo' as timeframe_periodo from (
-    select cluster_id, count(*)::bigint as cluster_tx_count, round(sum(amt), 4) as cluster_tx_sum, round(max(risk), 6) as riesgo_cluster_maximo, round(avg(risk), 6) as riesgo_cluster_promedio, count(*) filter (where concept <> '')::bigint as nlp_cluster_total_transacciones_sospechosas, count(distinct nullif(concept, ''))::bigint as nlp_cluster_conceptos_sospechosos_unicos, {_CLUSTER_RATES} from clustered group by cluster_id) g
-  join (select *, count(*) over (partition by cluster_id)::bigint as personas, row_number() over (partition by cluster_id order by abs(net) desc, persona) as r from (
-    select cluster_id, persona, round(sum(x), 4) as net from (select cluster_id, user_id as persona, amt as x from clustered union all select cluster_id, receiver_id, -amt from clustered) group by all)) using (cluster_id) where r = 1"""
+_CLUSTERS = f"""select g.*, personas as cluster_personas_total, persona as desbalance_cluster_persona_principal, net as desbalance_cluster_persona_principal_monto from (
+    select timeframe_periodo, cluster_id, count(*)::bigint as cluster_tx_count, round(sum(amt), 4) as cluster_tx_sum, round(max(risk), 6) as riesgo_cluster_maximo, round(avg(risk), 6) as riesgo_cluster_promedio, count(*) filter (where concept <> '')::bigint as nlp_cluster_total_transacciones_sospechosas, count(distinct nullif(concept, ''))::bigint as nlp_cluster_conceptos_sospechosos_unicos, {_CLUSTER_RATES} from clustered group by all) g
+  join (select *, count(*) over (partition by timeframe_periodo, cluster_id)::bigint as personas, row_number() over (partition by timeframe_periodo, cluster_id order by abs(net) desc, persona) as r from (
+    select timeframe_periodo, cluster_id, persona, round(sum(x), 4) as net from (select timeframe_periodo, cluster_id, user_id as persona, amt as x from clustered union all select timeframe_periodo, cluster_id, receiver_id, -amt from clustered) group by all)) using (timeframe_periodo, cluster_id) where r = 1"""
 over_slices("cluster_report", lambda s: reports.clusters(s), _CLUSTERS)
-over_slices("cluster_members", lambda s: reports.cluster_members(s), "select cluster_id, node as persona from clusters")
+over_slices("cluster_members", lambda s: reports.cluster_members(s), "select timeframe_periodo, cluster_id, node as persona from clusters")
 
 # -- short questions -----------------------------------------------------------------------------------------------
 
@@ -490,7 +491,7 @@ def _q18_sql() -> tuple[str, str]:
         "manager_concepts": both("mg", "sb", "risk_p95", f"select * from ({hits}) join ({SELECTS['q2']}) using (timeframe_periodo, month_id, nlp_concepto_sospechoso)", "max"),
         "quid_pairs": ends("quid_pair_clave", "|", "quid_tx_count * greatest(quid_score_max, quid_score_avg, 0)", _Q3.replace("quid_score_max >= 2.2", "quid_score_max >= 1.0").replace("quid_manager_ratio > 0.5", "quid_manager_ratio > 0.0")),
         "quid_value_vs_load": both("user_id", "receiver_id", "abs(round(days, 6)) + qscore", "select * from s where days < 0"),
-        "reference_reuse": ends("p", "|", "tx_count", "select timeframe_periodo, tx_count, unnest(ps) as p from (select timeframe_periodo, lower(trim(ref)), count(*) as tx_count, list(distinct upair) as ps from s where ref_reuse group by 1, 2)"),
+        "reference_reuse": ends("p", "|", "tx_count", "select timeframe_periodo, tx_count, unnest(ps) as p from shared_refs"),
         "centralizer": one("receiver_id", "inflow", SELECTS["qa4"]),
         "net_imbalance": f"select timeframe_periodo, persona, abs(net)::double as metric from ({balance})",
         "case13": one("persona", "caso13_persona_monto_total", SELECTS["q8"]),
