@@ -5,6 +5,8 @@ Every function adds columns to a transfer table. Ties in time are ordered by tx_
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,13 +41,39 @@ def amount_flags(tx: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     })
 
 
+#: A slice of time is this many windows long, so at most half of the rows are read again as halo.
+SLICE_WINDOWS = 4
+
+
+def in_slices(rows: DataFrame, time: Column, reach: int, compute: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """compute(rows, keys) slice by slice of time: a row also visits the slices that begin or end within `reach` of it, and only its own slice's result is kept.
+
+    compute adds columns by windows over the given keys, and may look no further than `reach` back or ahead; so the result is that of
+    windows over all time, and a key with a third of all rows is as many tasks as its history has slices. time: whole numbers; rows without one are a slice.
+    """
+    width = F.lit(SLICE_WINDOWS * reach)
+    slice_of = lambda t: F.floor(t / width)
+    visits = F.when(time.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(slice_of(time - reach), slice_of(time + reach)))
+    dealt = rows.withColumn("_own", slice_of(time)).withColumn("_slice", F.explode(visits))
+    return compute(dealt, ["_slice"]).where(F.col("_own").eqNullSafe(F.col("_slice"))).drop("_own", "_slice")
+
+
+def pair_windows(tx: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """W4 and W5 over the same slices, so that both need one exchange."""
+    return in_slices(tx, micros(), max(p.freq_days, p.smurf_days) * DAY, lambda rows, keys: _smurfing(_frequency(rows, p, keys), p, keys))
+
+
 def frequency(tx: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Rows of a directed pair in any window of freq_days with at least freq_count transfers; all rows of the window are marked.
 
     Row numbers turn the window into an interval [start, here]; starts never go back, so a row is
     marked when the least start of the hits at or after it is not beyond it.
     """
-    by = Window.partitionBy(*PAIR)
+    return in_slices(tx, micros(), p.freq_days * DAY, lambda rows, keys: _frequency(rows, p, keys))
+
+
+def _frequency(tx: DataFrame, p: Params, keys: list[str]) -> DataFrame:
+    by = Window.partitionBy(*PAIR, *keys)
     place = by.orderBy("fecha_hora_ts", "tx_id")
     out = tx.withColumn("_us", micros()).withColumn("_rn", F.row_number().over(place))
     out = out.withColumn("_start", F.min("_rn").over(by.orderBy("_us").rangeBetween(-p.freq_days * DAY, 0)))
@@ -60,7 +88,11 @@ def smurfing(tx: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     A window runs from the first row of the last smurf_days to the row itself, ties by tx_id. Its sum, and its number of amounts
     that are not below a threshold, are running totals at the row less those before the start, in decimals: exact for any number of ties.
     """
-    by = Window.partitionBy(*PAIR)
+    return in_slices(tx, micros(), p.smurf_days * DAY, lambda rows, keys: _smurfing(rows, p, keys))
+
+
+def _smurfing(tx: DataFrame, p: Params, keys: list[str]) -> DataFrame:
+    by = Window.partitionBy(*PAIR, *keys)
     place = by.orderBy("fecha_hora_ts", "tx_id")
     upto = place.rowsBetween(Window.unboundedPreceding, 0)
     amount = F.coalesce(F.col(AMOUNT).try_cast("decimal(38,10)"), F.lit(0).cast("decimal(38,10)"))
@@ -186,11 +218,16 @@ def quid_pro_quo(tx: DataFrame, p: Params = DEFAULTS) -> DataFrame:
         "feat_quid_value_vs_load_days": values.days_between(F.col("_v"), F.col("load_date")),
         "_s": F.floor(F.unix_micros("_v") / 1_000_000),
     })
-    # rows without a value time are in a partition of their own and take no part in the pairing
-    before = Window.partitionBy("feat_quid_pair_key", F.col("_s").isNull()).orderBy("_v", "tx_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda flag: F.last(F.when(F.col(flag), F.col("_s")), ignorenulls=True).over(before)
-    close = lambda mine, other: (F.col(mine) & (F.col("_s") - last(other) <= p.quid_days * 86_400)).cast("int")
-    work = work.withColumn("_boost", 0.8 * F.coalesce(close("feat_quid_has_approval", "feat_quid_has_comp"), F.lit(0)) + 0.8 * F.coalesce(close("feat_quid_has_comp", "feat_quid_has_approval"), F.lit(0)))
+    near = p.quid_days * 86_400
+
+    def boosted(rows: DataFrame, keys: list[str]) -> DataFrame:
+        before = Window.partitionBy("feat_quid_pair_key", *keys).orderBy("_v", "tx_id").rowsBetween(Window.unboundedPreceding, -1)
+        last = lambda flag: F.last(F.when(F.col(flag), F.col("_s")), ignorenulls=True).over(before)
+        close = lambda mine, other: (F.col(mine) & (F.col("_s") - last(other) <= near)).cast("int")
+        return rows.withColumn("_boost", 0.8 * F.coalesce(close("feat_quid_has_approval", "feat_quid_has_comp"), F.lit(0)) + 0.8 * F.coalesce(close("feat_quid_has_comp", "feat_quid_has_approval"), F.lit(0)))
+
+    # rows without a value time are a slice of their own and take no part in the pairing
+    work = in_slices(work, F.col("_s"), near, boosted)
     on = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     score = (
         on(F.col("feat_quid_rel_label") != "Par/Indefinido") * 1.0

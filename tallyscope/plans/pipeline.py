@@ -13,7 +13,7 @@ from tallyscope.sources import fixtures, transfers
 def add_signals(tx: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """All signals but the network and the texts; operators with the same partitioning stand side by side, so exchanges are shared."""
     tx = groups.amount_flags(groups.sender_baseline(tx), p)
-    tx = groups.recurrent_day(groups.smurfing(groups.frequency(tx, p), p), p)
+    tx = groups.recurrent_day(groups.pair_windows(tx, p), p)
     tx = groups.quid_pro_quo(tx, p)
     tx = groups.bursts(groups.reference_reuse(groups.change_points(tx, p), p), p)
     return intervals.loan_repay(intervals.yoyo(tx, p), p)

@@ -23,9 +23,7 @@ def rows_of(seed, n=400, people=6, days=60):
     return out
 
 
-@pytest.fixture(scope="module")
-def case(spark):
-    rows = rows_of(1)
+def transfers_of(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     ts = F.timestamp_micros("us")
     tx = df.withColumn("fecha_hora_ts", ts).withColumn("month_id", F.date_format(ts, "yyyy-MM")).withColumn("movement_value_date", ts - F.expr("interval 1 day")).withColumn("load_date", ts)
@@ -33,6 +31,22 @@ def case(spark):
     return rows, tx.withColumn("user_antiguedad_anios", F.lit(0.2)).withColumn("receptor_antiguedad_anios", F.lit(6.0)).drop("us")
 
 
+@pytest.fixture(scope="module")
+def case(spark):
+    rows = rows_of(1)
+    return transfers_of(spark, rows)
+
+
+@pytest.fixture(scope="module", params=["many", "hot"])
+def paired(spark, request):
+    """Transfers among six persons, or between two over four years, so that a pair's history has many slices."""
+    rows = rows_of(1)
+    if request.param == "hot":
+        nothing = [(f"{a}{r[0]}", a, b, r[3], 0.0, *r[5:]) for a, b, seed in (("P0", "P1", 3), ("P1", "P0", 4)) for r in rows_of(seed, n=30, people=2, days=40)]
+        rows = rows_of(2, n=700, people=2, days=1500) + nothing
+    return transfers_of(spark, rows)
+
+
 def marked(df, flag):
     return {r["tx_id"] for r in df.where(flag).select("tx_id").collect()}
 
@@ -44,8 +58,8 @@ def by_pair(rows):
     return groups_
 
 
-def test_frequency_and_smurfing(case):
-    rows, tx = case
+def test_frequency_and_smurfing(paired):
+    rows, tx = paired
     freq, smurf = set(), set()
     for rs in by_pair(rows).values():
         i = k = 0
@@ -63,21 +77,63 @@ def test_frequency_and_smurfing(case):
     assert marked(groups.smurfing(tx), "sig_smurf") == smurf and smurf
 
 
-def test_yoyo_and_loans(case):
-    rows, tx = case
+def test_yoyo_and_loans(paired):
+    rows, tx = paired
     yoyo, ratios = set(), {}
     for a in rows:
         for b in rows:
             if a[1] < a[2] and (a[1], a[2]) == (b[2], b[1]) and abs(a[3] - b[3]) <= DAY // 3 and abs(a[4] - b[4]) <= 0.02 * max(a[4], b[4]):
                 yoyo |= {a[0], b[0]}
         if a[5] in ("abono 25", "prestam"):
-            ratios[a[0]] = sum(b[4] for b in rows if (b[1], b[2]) == (a[2], a[1]) and a[3] <= b[3] <= a[3] + 60 * DAY) / a[4]
+            ratios[a[0]] = sum(b[4] for b in rows if (b[1], b[2]) == (a[2], a[1]) and a[3] <= b[3] <= a[3] + 60 * DAY) / a[4] if a[4] > 0 else 1.0
     assert marked(intervals.yoyo(tx), "sig_yoyo") == yoyo and yoyo
     got = {r["tx_id"]: r["feat_repay_ratio"] for r in intervals.loan_repay(tx).where("sig_loan_like").collect()}
     assert got == pytest.approx(ratios)
     assert intervals.loan_repay(tx).count() == len(rows)
 
 
+def test_slices_change_nothing(paired):
+    """Both pair windows over shared slices, and the slices of the quid pairing, equal their windows over all time; a row without a time stays."""
+    rows, tx = paired
+    both = groups.pair_windows(tx)
+    assert both.count() == len(rows)
+    assert marked(both, "sig_freq") == marked(groups._frequency(tx, groups.DEFAULTS, []), "sig_freq")
+    assert marked(both, "sig_smurf") == marked(groups._smurfing(tx, groups.DEFAULTS, []), "sig_smurf")
+    late = tx.withColumn("fecha_hora_ts", F.when(F.col("tx_id") != "t0003", F.col("fecha_hora_ts")))
+    assert groups.pair_windows(late).where("tx_id = 't0003'").count() == 1
+    quid = {r["tx_id"]: r["feat_quid_score"] for r in groups.quid_pro_quo(groups.amount_flags(groups.sender_baseline(tx))).collect()}
+    whole = groups.in_slices
+    groups.in_slices = lambda df, time, reach, compute: compute(df.withColumn("_none", time.isNull()), ["_none"])
+    try:
+        assert {r["tx_id"]: r["feat_quid_score"] for r in groups.quid_pro_quo(groups.amount_flags(groups.sender_baseline(tx))).collect()} == quid
+    finally:
+        groups.in_slices = whole
+
+
+def test_references_of_each_frame(spark):
+    """A reference is judged by the transfers of the time frame: R1 has one pair in the last month, R2 spans years but not there."""
+    data = [("a", "A", "B", "2024-05-01", "ref r1"), ("b", "C", "D", "2024-05-20", "ref r1"), ("c", "C", "D", "2024-05-21", "ref r1"), ("d", "Q", "R", "2023-01-01", "ref r2"), ("e", "Q", "R", "2024-06-10", "ref r2"), ("f", "S", "U", "2024-06-11", "ref r2"), ("g", "X", "Y", "2024-06-15", "none")]
+    tx = spark.createDataFrame(data, "tx_id string, user_id string, receiver_id string, d string, reference_number_trans_desc string")
+    tx = tx.withColumns({"fecha_hora_ts": F.col("d").cast("timestamp"), "movement_amount": F.lit(1.0), "risk_score": F.lit(1.0)}).drop("d")
+    s = reports.sliced(groups.reference_reuse(tx))
+    got = {(r["timeframe_periodo"], r["reference_norm"], r["pairs_count"], r["tx_count"]) for r in reports.references(s).collect()}
+    assert got == {("todo_el_tiempo", "ref r1", 2, 3), ("ultimos_3_meses", "ref r1", 2, 3), ("ultimos_3_meses", "ref r2", 2, 2), ("ultimo_mes", "ref r2", 2, 2)}
+    rows = reports.reference_transfers(s).where("timeframe_periodo = 'ultimo_mes'").orderBy("orden").collect()
+    assert [(r["tx_id"], r["orden"]) for r in rows] == [("e", 1), ("f", 2)]
+
+
+def test_clusters_of_each_frame(spark):
+    """Clusters that an old transfer joins are apart in later frames; numbers start again in each."""
+    data = [("2023-01-01", "A", "B"), ("2023-02-01", "B", "C"), ("2024-06-01", "A", "B"), ("2024-06-02", "C", "D"), ("2024-04-20", "D", "E"), ("2024-06-03", "Z", "Z")]
+    df = spark.createDataFrame(data, "d string, user_id string, receiver_id string").withColumn("fecha_hora_ts", F.col("d").cast("timestamp"))
+    got = defaultdict(dict)
+    for r in reports.cluster_members(reports.sliced(df)).collect():
+        got[r["timeframe_periodo"]].setdefault(r["cluster_id"], set()).add(r["persona"])
+    assert got["todo_el_tiempo"] == {"cluster_1": set("ABCDE"), "cluster_2": {"Z"}}
+    assert got["ultimos_3_meses"] == {"cluster_1": set("AB"), "cluster_2": set("CDE"), "cluster_3": {"Z"}}
+    assert got["ultimo_mes"] == {"cluster_1": set("AB"), "cluster_2": set("CD"), "cluster_3": {"Z"}}
+
+
 def test_baseline_and_references(case):
     rows, tx = case
     import statistics
