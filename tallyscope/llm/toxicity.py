@@ -140,11 +140,15 @@ def remainder(doc_id: Column) -> Column:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, text, toxic of at most `rows` labelled documents that are not held out."""
+    """doc_id, text, toxic of at most `rows` labelled documents that are not held out.
+
+    A doc_id on several rows gives one training row, the least of its texts, chosen by partial aggregates: so the bound holds whatever an id's rows.
+    """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 1))
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # `rows` short rows at most
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def _counted(texts: DataFrame, terms_of, name: str) -> DataFrame:

@@ -224,6 +224,32 @@ def test_crf_decoding_and_marginals_by_enumeration():
             assert p[i] == pytest.approx(sum(math.exp(s) for y, s in score.items() if y[i]) / z)
 
 
+def test_toxicity_one_row_of_an_id(spark):
+    """One labelled id on two fifths of all rows is one training row; the learned terms are those of a plain count over one text per id."""
+    rnd = random.Random(5)
+    texts = {i: " ".join(rnd.choices(["river", "market", "garden", "window", "letter", "summer"], k=12) + (["grobian", "lumpenhund"] if i % 7 == 0 else [])) for i in range(1, 900)}
+    rows = list(texts.items()) + [(3, f"river {i} market") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = {i: int(i % 7 == 0) for i in texts}
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")
+    assert toxicity.training_texts(docs, labels, 50).count() <= 50
+    least = {}
+    for i, t in rows:
+        least[i] = min(t, least.get(i, t))
+    taken = {r["doc_id"] for r in docs.where(toxicity.remainder(F.col("doc_id")) != 1).select("doc_id").distinct().collect()}
+    got = toxicity.training_texts(docs, labels).collect()
+    assert {(r["doc_id"], r["text"], r["toxic"]) for r in got} == {(i, least[i], marks[i]) for i in taken} and len(got) == len(taken)
+    bad, good = Counter(), Counter()
+    for i in taken:
+        (bad if marks[i] else good).update(toxicity.word_starts(least[i]))
+    sizes = [sum(marks[i] == y for i in taken) for y in (1, 0)]
+    weight = {t: (n, toxicity._weight(n, good[t], *sizes)) for t, n in bad.items() if n >= toxicity.MIN_TOXIC_DOCS}
+    heavy = toxicity.choose_terms({t: v for t, v in weight.items() if v[1] >= toxicity.MIN_WEIGHT})
+    learned = toxicity.learn(docs, labels).weights
+    assert learned.keys() == heavy.keys() and heavy
+    assert all(abs(learned[t] - heavy[t]) < 1e-9 for t in heavy)
+
+
 def test_toxicity_learns_and_folds(spark):
     rnd = random.Random(8)
     plain = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
