@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.checkpoints import cut
@@ -21,11 +21,27 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select("b", "a")).distinct()
 
 
-def upward(near: DataFrame) -> DataFrame:
-    """near (a, b and more, each edge from both ends, no loops) from the lower-ranked end only, with the degree db of the other. Rank: degree, id."""
+def both_ways(edges: DataFrame) -> DataFrame:
+    """a, b of every joined pair from both ends, no loops: out, whether a pays b; back, whether b pays a."""
+    plain = edges.where("a <> b")
+    ends = plain.select("a", "b", F.lit(True).alias("out"), F.lit(False).alias("back")).union(plain.select("b", "a", F.lit(False), F.lit(True)))
+    return ends.groupBy("a", "b").agg(F.max("out").alias("out"), F.max("back").alias("back"))
+
+
+def ranked(near: DataFrame) -> DataFrame:
+    """near (a, b and more, each edge from both ends, no loops) with the degrees da and db of both."""
     degree = near.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
-    ranked = near.join(degree.select("a", F.col("deg").alias("da")), "a").join(degree.select(F.col("a").alias("b"), F.col("deg").alias("db")), "b")
-    return ranked.where((F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))).drop("da")
+    return near.join(degree.select("a", F.col("deg").alias("da")), "a").join(degree.select(F.col("a").alias("b"), F.col("deg").alias("db")), "b")
+
+
+def below(node: str, degree: str, other: str, its: str) -> Column:
+    """A node ranks below another: by degree, then by id."""
+    return (F.col(degree) < F.col(its)) | ((F.col(degree) == F.col(its)) & (F.col(node) < F.col(other)))
+
+
+def upward(near: DataFrame) -> DataFrame:
+    """near from the lower-ranked end only, with the degree db of the other."""
+    return ranked(near).where(below("a", "da", "b", "db")).drop("da")
 
 
 def closed_wedges(up: DataFrame, more: list[str]) -> DataFrame:
@@ -36,7 +52,7 @@ def closed_wedges(up: DataFrame, more: list[str]) -> DataFrame:
     side = lambda end, name: [F.col(c).alias(f"{name}_{c}") for c in more]
     left = up.select("a", F.col("b").alias("u"), F.col("db").alias("du"), *side("u", "l"))
     right = up.select("a", F.col("b").alias("v"), F.col("db").alias("dv"), *side("v", "r"))
-    wedges = left.join(right, "a").where((F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v"))))
+    wedges = left.join(right, "a").where(below("u", "du", "v", "dv"))
     return wedges.join(up.select(F.col("a").alias("u"), F.col("b").alias("v"), *side("v", "c")), ["u", "v"])
 
 
@@ -56,8 +72,7 @@ def triangle_nodes(edges: DataFrame) -> DataFrame:
 def three_walk_nodes(edges: DataFrame, simple: bool = False) -> DataFrame:
     """Nodes on a closed walk a-b-c-a: directed triangles and, but for simple cycles, self-loops and who pays and is paid by a node with one."""
     plain = edges.where("a <> b")
-    ends = plain.select("a", "b", F.lit(True).alias("out"), F.lit(False).alias("back")).union(plain.select("b", "a", F.lit(False), F.lit(True)))
-    up = upward(ends.groupBy("a", "b").agg(F.max("out").alias("out"), F.max("back").alias("back")))
+    up = upward(both_ways(edges))
     around = (F.col("l_out") & F.col("c_out") & F.col("r_back")) | (F.col("r_out") & F.col("c_back") & F.col("l_back"))
     triangles = closed_wedges(up, ["out", "back"]).where(around).select(F.explode(F.array("a", "u", "v")).alias("node"))
     if simple:
@@ -67,33 +82,46 @@ def three_walk_nodes(edges: DataFrame, simple: bool = False) -> DataFrame:
     return triangles.union(loops).union(mutual.select("b")).distinct()
 
 
-def two_paths(edges: DataFrame) -> DataFrame:
-    """Per (a, c): how many middle nodes lead a -> b -> c, and the least and the greatest."""
-    first = edges.select("a", F.col("b").alias("mid"))
-    second = edges.select(F.col("a").alias("mid"), F.col("b").alias("c"))
-    return first.join(second, "mid").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("lo"))
+def paths_below(near: DataFrame) -> DataFrame:
+    """(top, far, mid, forth, back) of every path top - mid - far whose top ranks above both others: forth, it is paid along; back, against.
+
+    near: both_ways with its ranks. The nodes above a node number at most sqrt(2 E), so a hub in the middle forms at most its degree times that,
+    and the paths of all nodes number at most E * sqrt(2 E) from each end.
+    """
+    up = near.where(below("a", "da", "b", "db")).select(F.col("a").alias("mid"), F.col("b").alias("top"), F.col("db").alias("dt"), F.col("back").alias("from_top"), F.col("out").alias("to_top"))
+    down = near.select(F.col("a").alias("mid"), F.col("b").alias("far"), F.col("db").alias("df"), F.col("out").alias("to_far"), F.col("back").alias("from_far"))
+    paths = up.join(down, "mid").where(below("far", "df", "top", "dt"))
+    return paths.select("top", "far", "mid", (F.col("from_top") & F.col("to_far")).alias("forth"), (F.col("from_far") & F.col("to_top")).alias("back")).where("forth or back")
+
+
+def four_cycle_nodes(near: DataFrame) -> DataFrame:
+    """Nodes on a directed cycle of four. Each cycle is met at its highest-ranked node, as a path forth and a path back to the same far node
+    through different middles; both sets of middles are compared by size and least node, so that no cycle is listed."""
+    paths = paths_below(near)
+    middle = lambda way: F.min(F.when(F.col(way), F.col("mid")))
+    met = paths.groupBy("top", "far").agg(F.count_if("forth").alias("nf"), F.count_if("back").alias("nb"), middle("forth").alias("lof"), middle("back").alias("lob"))
+    met = met.where("nf > 0 and nb > 0 and not (nf = 1 and nb = 1 and lof = lob)")
+    corners = met.select(F.explode(F.array("top", "far")).alias("node"))
+    middles = paths.join(met, ["top", "far"]).where("(forth and (nb > 1 or lob <> mid)) or (back and (nf > 1 or lof <> mid))").select(F.col("mid").alias("node"))
+    return corners.union(middles).distinct()
 
 
 def cycle_nodes(edges: DataFrame, simple: bool = False) -> DataFrame:
     """Nodes on a closed walk a-b-c-a, or a-b-c-d-a with d <> a and b <> d.
 
-    Walks, not cycles: self-loops and two reciprocal partners qualify (Q-13). simple=True takes only
-    distinct nodes. 4-walks are never listed: two 2-path sets a->b->c and c->d->a are compared by their size and least node.
+    Walks, not cycles: self-loops and two reciprocal partners qualify (Q-13). simple=True takes only distinct nodes. A 4-walk with a
+    self-loop holds a closed 3-walk on the same nodes; what else is no cycle of four is a node between two partners that pay both ways.
     """
-    e = edges.where("a <> b") if simple else edges
     three = cut(three_walk_nodes(edges, simple), "threes")
     if three.count() == nodes_of(edges).count():
         return three
-    paths = cut(two_paths(e), "paths")
-    forth = paths.where("a <> c") if simple else paths
-    # d ranges over middles of c -> d -> a but for a itself (and, for simple cycles, both ends)
-    via = e.select(F.col("a").alias("c"), F.col("b").alias("d")).join(e.select(F.col("a").alias("d"), F.col("b").alias("a")), "d").where("d <> a" + (" and d <> c" if simple else ""))
-    ways = via.groupBy("a", "c").agg(F.count(F.lit(1)).alias("nd"), F.min("d").alias("lod"))
-    four = forth.join(ways, ["a", "c"])
-    ends4 = four.where("not (n = 1 and nd = 1 and lo = lod)").select(F.explode(F.array("a", "c")).alias("node"))
-    on_b = e.select("a", F.col("b").alias("node")).join(four.select("a", "c", "nd", "lod"), "a").join(e.select(F.col("a").alias("node"), F.col("b").alias("c")), ["node", "c"], "left_semi").where("nd > 1 or lod <> node").select("node")
-    on_d = via.join(forth, ["a", "c"]).where("n > 1 or lo <> d").select(F.col("d").alias("node"))
-    return three.union(ends4).union(on_b).union(on_d).distinct()
+    near = cut(ranked(both_ways(edges)), "near")
+    found = three.union(four_cycle_nodes(near))
+    if not simple:
+        mutual = near.where("out and back").select("a", "b")
+        between = mutual.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = found.union(mutual.join(between, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("node")))
+    return found.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
