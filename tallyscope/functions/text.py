@@ -26,6 +26,11 @@ def normalize(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(F.trim(F.coalesce(c, F.lit("")))), ACCENTED, PLAIN), r"\s+", " ")
 
 
+def plain_text(s: str) -> str:
+    """normalize() of a parameter."""
+    return " ".join(s.strip().lower().translate(str.maketrans(ACCENTED, PLAIN)).split())
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 

@@ -62,14 +62,6 @@ def days_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(float(MICROS_DAY))
 
 
-def vagueness_of_text(text: Column) -> Column:
-    """Share of vague words; texts of one or two words count as at least 0.8 vague."""
-    words = F.size(F.filter(F.split(text, " "), lambda x: x != ""))
-    hits = F.regexp_count(text, F.lit(r"\b(?:varios|gastos|servicio|pago|consultoria|apoyo|reembolso|proyecto)\b"))
-    share = hits / F.greatest(words, F.lit(1))
-    return F.when(words > 2, share).otherwise(F.greatest(F.lit(0.8), share))
-
-
 def tier_by_cuts(score: Column, critical: Column, high: Column, medium: Column) -> Column:
     """Tier of a score against three cuts; null cuts are never reached."""
     return F.when(score >= critical, "CRITICO").when(score >= high, "ALTO").when(score >= medium, "MEDIO").otherwise("BAJO")

@@ -5,14 +5,16 @@ Keys name the operator of the inventory. Times are returned as microseconds or t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyscope.checkpoints import shared_folder
 from tallyscope.functions import text
 from tallyscope.functions.text import ACCENTED, PLAIN
-from tallyscope.operators import graph, groups, intervals, lexicon
+from tallyscope.operators import descriptions, graph, groups, intervals, lexicon
 from tallyscope.oracle import sql
 from tallyscope.plans import person_risk, pipeline, qa, questions, reports
 from tallyscope.plans.reports import TF
@@ -294,6 +296,37 @@ def _expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.expand_lexicon(norm, lexicon.lexicon_table(spark))
 
 
+def _description_sql(source: str, key: str, column: str, families: dict[str, str]) -> str:
+    found = ", ".join(f"case when regexp_matches(t, '{rx}') then '{name}' end" for name, rx in sorted(families.items()))
+    felt = " + ".join(f"contains(t, '{x}')::int" for x in descriptions.EMOTIONS)
+    return f"""select {key}, round(case when n > 2 then h / n else greatest(0.8, h / greatest(n, 1)) end, 6) as feat_nlp_vaguedad, ({felt})::double as feat_nlp_emocion,
+      case when t = '' then 'SIN_DESCRIPCION' else array_to_string(list_filter([{found}], lambda x: x is not null), ',') end as desc_flags
+      from (select {key}, t, len(list_filter(string_split(t, ' '), lambda x: x <> '')) as n, len(regexp_extract_all(t, '{families["VAGUEDAD"]}'))::double as h from (
+        select {key}, trim(regexp_replace(translate(lower(trim(coalesce({column}, ''))), '{ACCENTED}', '{PLAIN}'), '\\s+', ' ', 'g')) as t from {source}))"""
+
+
+def _described(df: DataFrame, key: str, column: str, families: dict[str, str]) -> DataFrame:
+    return descriptions.describe(df, column, families=families).select(key, r6("feat_nlp_vaguedad"), "feat_nlp_emocion", F.array_join("desc_flags", ",").alias("desc_flags"))
+
+
+@register("description_flags", _description_sql("tx", "tx_id", "descripcion", descriptions.FAMILIES))
+def _description_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _described(pipeline.ingested(spark, sf_dir), "tx_id", "descripcion", descriptions.FAMILIES)
+
+
+#: Families that a user gives, here for documents.
+OWN_FAMILIES = {"VAGUEDAD": "(?:^| )(?:the|of|and|de|la) ", "CORREO": "[a-z0-9]+@[a-z0-9]+", "NUMERO": "[0-9]{4,}"}
+
+
+ORACLE_SQL["document_flags"] = _description_sql("documents", "doc_id", "text", OWN_FAMILIES)
+
+
+@register("document_flags")
+def _document_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents by families of a user's own."""
+    return _described(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", OWN_FAMILIES)
+
+
 # -- score ---------------------------------------------------------------------------------------------------------
 
 
@@ -537,10 +570,15 @@ over_slices("top_pairs", lambda s: questions.top_summary(reports.pairs(s), "pair
 # -- streaming -----------------------------------------------------------------------------------------------------
 
 
+def stream_folder(df: DataFrame) -> str:
+    return f"{shared_folder(df)}/stream-{uuid.uuid4().hex}"
+
+
 @register("stream_flags")
 def _stream_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X2 on the event table; the same function runs on a stream."""
-    return stream.stateless_flags(fixtures.event_transfers(spark, sf_dir)).select("tx_id", "sig_roundsum", "sig_near_thr")
+    """A stream over the event table's files."""
+    events = fixtures.event_stream(spark, sf_dir)
+    return stream.streamed_flags(events, stream_folder(events)).select("tx_id", "sig_roundsum", "sig_near_thr")
 
 
 ORACLE_SQL["stream_flags"] = "select 'E' || event_id as tx_id, " + " or ".join(f"least(x - floor(x / {b}) * {b}, {b} - (x - floor(x / {b}) * {b})) < 1e-9" for b in (10, 50, 100, 500, 1000)) + " as sig_roundsum, least(abs(x - 17000), abs(x - 85000), abs(x - 92500)) <= 10 as sig_near_thr from (select event_id, value as x from events)"
@@ -548,11 +586,13 @@ ORACLE_SQL["stream_flags"] = "select 'E' || event_id as tx_id, " + " or ".join(f
 
 @register("stream_bursts")
 def _stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X1 on the event table as a batch, without the approximate count."""
-    return stream.channel_bursts(fixtures.event_transfers(spark, sf_dir)).select("canal", us("inicio").alias("us"), "n", "fuera", F.round("monto", 2).alias("monto"), "evento")
+    """A stream over the event table's files; every row counts, however late."""
+    events = fixtures.event_stream(spark, sf_dir)
+    bins = stream.streamed_bursts(events, stream_folder(events))
+    return bins.select("canal", us("inicio").alias("us"), "n", "fuera", F.round("monto", 2).alias("monto"), "emisores", "receptores", "evento")
 
 
-ORACLE_SQL["stream_bursts"] = "select event_type as canal, epoch_us(time_bucket(interval '2 hours', ts))::bigint as us, count(*)::bigint as n, sum((hour(ts) < 8 or hour(ts) >= 20)::int)::bigint as fuera, round(sum(value), 2) as monto, count(*) >= 5 and sum((hour(ts) < 8 or hour(ts) >= 20)::int) / count(*) >= 0.6 as evento from events group by 1, 2"
+ORACLE_SQL["stream_bursts"] = "select event_type as canal, epoch_us(time_bucket(interval '2 hours', ts))::bigint as us, count(*)::bigint as n, sum((hour(ts) < 8 or hour(ts) >= 20)::int)::bigint as fuera, round(sum(value), 2) as monto, count(distinct user_id)::bigint as emisores, count(distinct (props::json->>'k')::bigint % 50)::bigint as receptores, count(*) >= 5 and sum((hour(ts) < 8 or hour(ts) >= 20)::int) / count(*) >= 0.6 as evento from events group by 1, 2"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,8 +72,17 @@ def order_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the event stream as transfers through channels."""
+    return as_transfers(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 as a stream of the table's files; the pattern lets a single file be read, too."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return as_transfers(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))
+
+
+def as_transfers(e: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     receiver = F.get_json_object("props", "$.k").cast("long") % 50
     return e.select(F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("tx_id"), F.col("user_id").cast("string").alias("user_id"), receiver.cast("string").alias("receiver_id"), F.col("event_type").alias("origin_application_id"), F.col("value").alias("movement_amount"), F.col("ts").cast("timestamp").alias("fecha_hora_ts"))
