@@ -294,47 +294,50 @@ def gram_index(terms: list[tuple[str, float]], q: int) -> list[tuple[int, str, s
     return out
 
 
-def _segments(lengths: list[int], most: int | None) -> Column:
-    """(length of the term, segment, whole) of a text, for terms of each length."""
+def _segments(lengths: list[int], most: int | None, lowest: float) -> Column:
+    """(length of the term, segment, whole) of a text, for terms of each length, where the lengths alone allow the ratio `lowest`."""
+    may = lambda n, m, least: 2 * F.least(m, F.lit(n)) >= F.lit(least) * (m + n) - 1e-9
+
     def of_length(n: int) -> Column:
         found = F.regexp_extract_all("norm", F.lit(r"[a-z0-9][a-z0-9\s]{0,%d}" % (n + 6)), F.lit(0))
         found = found if most is None else F.slice(found, 1, most)
-        cut_off = F.array_distinct(F.transform(found, lambda s: F.left(s, F.lit(n + 3))))
+        cut_off = F.array_distinct(F.filter(F.transform(found, lambda s: F.left(s, F.lit(n + 3))), lambda s: may(n, F.length(s), lowest)))
         return F.transform(cut_off, lambda s: F.struct(F.lit(n).alias("n"), s.alias("segment"), F.lit(False).alias("whole")))
 
-    each = [of_length(n) for n in lengths]
-    whole = F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.struct(n.alias("n"), F.left("norm", F.lit(WHOLE_LENGTH)).alias("segment"), F.lit(True).alias("whole")))
-    return F.flatten(F.array(*each, whole))
+    start = F.left("norm", F.lit(WHOLE_LENGTH))
+    whole = [F.when(may(n, F.length(start), lowest + WHOLE_RATIO), F.struct(F.lit(n).alias("n"), start.alias("segment"), F.lit(True).alias("whole"))) for n in lengths]
+    return F.flatten(F.array(*[of_length(n) for n in lengths], F.array_compact(F.array(*whole))))
 
 
-def near_pairs(texts: DataFrame, terms: DataFrame, lengths: list[int], q: int, most: int | None) -> DataFrame:
-    """(norm, segment, term, least): segments and terms of their length class that share enough q-grams for the ratio `least`.
+def near_pairs(texts: DataFrame, terms: DataFrame, lengths: list[int], q: int, most: int | None, lowest: float) -> DataFrame:
+    """(name, segment, term, least): segments and terms of their length class that share enough q-grams for the ratio `least`.
 
-    terms: (n, gram, term, ratio, grams), broadcast. A segment's grams look terms up by (n, gram); lengths and the count of common
-    grams are bounded before any pair is compared letter by letter.
+    texts: (name, norm); the segments carry the name alone, so a long text is not repeated with each of them.
+    terms: (n, gram, term, ratio, grams), broadcast. Segments whose length rules out the ratio `lowest` are never formed; the others' grams
+    look terms up by (n, gram), and the count of common grams is bounded before any pair is compared letter by letter.
     """
-    segments = texts.select("norm", F.explode(_segments(lengths, most)).alias("s")).select("norm", "s.*")
+    each = texts.select("name", F.explode(_segments(lengths, most, lowest)).alias("s")).select("name", "s.*")
+    # a long text is thousands of short segments, each much work: they are dealt to as many tasks as a shuffle has
+    each = each.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name", "segment")
     m = F.length("segment")
-    # a whole text is compared only where its length allows it
-    segments = segments.where(~F.col("whole") | (m <= 4 * F.col("n")))
     plain = F.when(m >= q, F.transform(F.sequence(F.lit(1), m - q + 1), lambda i: F.substring(F.col("segment"), i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
     counted = F.transform(F.col("plain"), lambda g, i: F.concat(g, F.size(F.filter(F.slice(F.col("plain"), 1, i), lambda x: x == g)).cast("string")))
     # most segments repeat no gram
     numbered = F.when(F.size(F.array_distinct("plain")) == F.size("plain"), F.transform("plain", lambda g: F.concat(g, F.lit("0")))).otherwise(counted)
-    each = segments.withColumn("plain", plain).select("norm", "n", "segment", "whole", numbered.alias("own"))
+    each = each.withColumn("plain", plain).select("name", "n", "segment", "whole", numbered.alias("own"))
     met = each.withColumn("gram", F.explode("own")).join(F.broadcast(terms), ["n", "gram"])
     least = F.col("ratio") + F.when(F.col("whole"), WHOLE_RATIO).otherwise(0.0)
     letters = F.length("segment") + F.col("n")
     matching = F.ceil(least * letters / 2 - 1e-9)
     enough = (matching <= F.least(F.length("segment"), F.col("n"))) & (F.size(F.array_intersect("own", "grams")) >= matching - (q - 1) * (letters - 2 * matching + 1))
-    return met.where(enough).select("norm", "segment", "term", least.alias("least")).distinct()
+    return met.where(enough).select("name", "segment", "term", least.alias("least")).distinct()
 
 
 def fuzzy_hits(texts: DataFrame, lexicon: DataFrame, word_ratio: float = 0.9, phrase_ratio: float = 0.88, segments: int | None = SEGMENTS) -> DataFrame:
     """HIT for near matches of terms of four letters or more that a distinct text does not hold itself; terms are marked by a ~.
 
     A text's segments are as long as a term and a little more, `segments` of them at most (None: all). Candidates come from a q-gram index of the terms
-    as an equal join; only they are compared by the ratio of difflib's matcher, in Arrow batches. Ratios from 0.5 on.
+    as an equal join; only they are compared by the ratio of difflib's matcher, in Arrow batches. Texts are named by 128 bits until then. Ratios from 0.5 on.
     """
     from difflib import SequenceMatcher
 
@@ -346,9 +349,8 @@ def fuzzy_hits(texts: DataFrame, lexicon: DataFrame, word_ratio: float = 0.9, ph
     q = gram_size(min(word_ratio, phrase_ratio))
     index = gram_index([(t, phrase_ratio if " " in t else word_ratio) for t in listed], q)
     terms = spark.createDataFrame(index, "n int, gram string, term string, ratio double, grams array<string>")
-    pairs = near_pairs(texts.select("norm").distinct(), terms, sorted({len(t) for t in listed}) or [4], q, segments)
-    held = F.when(F.col("term").contains(" "), F.col("norm").contains(F.col("term"))).otherwise(F.array_contains(words_of(F.col("norm")), F.col("term")))
-    pairs = pairs.where(~held)
+    named = texts.select(F.unhex(F.md5("norm")).alias("name"), "norm").dropDuplicates(["name"])
+    pairs = near_pairs(named, terms, sorted({len(t) for t in listed}) or [4], q, segments, min(word_ratio, phrase_ratio))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers: dict[str, SequenceMatcher] = {}
@@ -362,10 +364,11 @@ def fuzzy_hits(texts: DataFrame, lexicon: DataFrame, word_ratio: float = 0.9, ph
                     m = matchers[term] = SequenceMatcher(None, "", term)
                 m.set_seq1(segment)
                 keep.append(m.ratio() >= least)
-            yield b.select(["norm", "term"]).filter(pa.array(keep, pa.bool_()))
+            yield b.select(["name", "term"]).filter(pa.array(keep, pa.bool_()))
 
-    near = pairs.mapInArrow(run, "norm string, term string").distinct()
-    return near.join(F.broadcast(some.select("family", "ord", "weight", "term").distinct()), "term").select("norm", "family", "ord", "weight", F.concat(F.lit("~"), "term").alias("term"))
+    near = pairs.mapInArrow(run, "name binary, term string").distinct().join(named, "name")
+    held = F.when(F.col("term").contains(" "), F.col("norm").contains(F.col("term"))).otherwise(F.array_contains(words_of(F.col("norm")), F.col("term")))
+    return near.where(~held).join(F.broadcast(some.select("family", "ord", "weight", "term").distinct()), "term").select("norm", "family", "ord", "weight", F.concat(F.lit("~"), "term").alias("term"))
 
 
 def tag_texts(texts: DataFrame, lexicon: DataFrame, fuzzy: bool = True, similarity: bool = False) -> DataFrame:
