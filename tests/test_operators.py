@@ -268,3 +268,28 @@ def test_stream_equals_batch(spark, tmp_path):
         query.stop()
     want = bursts.channel_bursts(tx).select("canal", "inicio", "n", "fuera", "evento")
     assert sorted(map(tuple, spark.table("bins").select("canal", "inicio", "n", "fuera", "evento").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_neighbour_of_a_self_loop_is_in_no_triangle(spark):
+    """Only the node with the loop has two neighbours that are neighbours: itself and the other."""
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "c")], "a string, b string")
+    assert {r["node"] for r in graph.triangle_nodes(df).collect()} == {"a"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tried_wedges_and_search_find_the_same_nodes(spark, seed, monkeypatch):
+    """Dense and sparse graphs, with and without tried wedges, against loops; a dense graph leaves nothing to search."""
+    rnd = random.Random(seed)
+    dense = {(f"n{rnd.randrange(40):02d}", f"n{rnd.randrange(40):02d}") for _ in range(700)}
+    sparse = {(f"s{rnd.randrange(90):02d}", f"s{rnd.randrange(90):02d}") for _ in range(110)}
+    edges = sorted(dense | sparse)
+    df = spark.createDataFrame(edges, "a string, b string")
+    tri, cyc, _ = brute_graph(edges)
+    for buckets in (64, 1, 0):
+        monkeypatch.setattr(graph, "PROBE_BUCKETS", buckets)
+        assert {r["node"] for r in graph.triangle_nodes(df).collect()} == tri
+        assert {r["node"] for r in graph.cycle_nodes(df).collect()} == cyc
+    monkeypatch.undo()
+    monkeypatch.setattr(graph, "closed_wedges", lambda *_: pytest.fail("searched"))
+    whole = spark.createDataFrame(sorted(dense), "a string, b string")
+    assert {r["node"] for r in graph.cycle_nodes(whole).collect()} == brute_graph(sorted(dense))[1]
