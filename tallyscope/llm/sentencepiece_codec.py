@@ -39,10 +39,19 @@ MARK = "▁"
 TABLE_SIZE, TABLE_LENGTH = 500_000, 48
 #: Bytes of text encoded at a time.
 SLICE_BYTES = 1_000_000
+#: A piece counts as beaten by a sum that is better by more than this, far above what rounding of sums can turn.
+MARGIN = 1e-3
 _CUTS = re.compile(" *[^ ]+| +")
 _NEVER = float("-inf")
 
 
+def _cuts(part: str) -> list[str]:
+    """A part before each run of spaces; words with one space in front need no pattern."""
+    if part[:1] == " " and part[-1] != " " and "  " not in part:
+        return [" " + w for w in part[1:].split(" ")]
+    return _CUTS.findall(part)
+
+
 def load_pieces(model: str = MODEL) -> list[tuple[str, float, str]]:
     """(piece, score, kind) by id; kind: normal, byte or control."""
     import sentencepiece
@@ -55,40 +64,51 @@ def load_pieces(model: str = MODEL) -> list[tuple[str, float, str]]:
 class Codec:
     def __init__(self, pieces: list[tuple[str, float, str]]):
         normal = [(p, s, i) for i, (p, s, kind) in enumerate(pieces) if kind == "normal" and p]
-        self.automaton = ahocorasick.Automaton()
-        for p, s, i in normal:
-            self.automaton.add_word(p, (len(p), s, i))
-        self.automaton.make_automaton()
+        self._read(normal)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == "byte"}
         if len(self.byte_ids) != 256:
             raise ValueError("the model has no byte pieces; texts could not be restored")
         self.fallback_score = min(s for _, s, _ in normal) - 10.0
+        self._read([(p, s, i) for p, s, i in normal if not self._beaten(p, s)])
         self.by_words = not any(MARK in p.lstrip(MARK) for p, _, _ in normal)
         self.table: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.restored = [bytes([int(p[3:5], 16)]) if kind == "byte" else p.replace(MARK, " ").encode() if kind == "normal" else b"" for p, _, kind in pieces]
 
+    def _read(self, normal: list[tuple[str, float, int]]) -> None:
+        self.automaton = ahocorasick.Automaton()
+        for p, s, i in normal:
+            self.automaton.add_word(p, (len(p), s, i))
+        self.automaton.make_automaton()
+
+    def _beaten(self, piece: str, score: float) -> bool:
+        """Whether shorter pieces spell a piece with a better sum: then it is on no best path, wherever it stands."""
+        n = len(piece)
+        best = [0.0] + [_NEVER] * n
+        for end, (length, s, _) in self.automaton.iter(piece):
+            if length < n and best[end + 1 - length] + s > best[end + 1]:
+                best[end + 1] = best[end + 1 - length] + s
+        return best[n] > score + MARGIN
+
     def viterbi(self, marked: str) -> list[int]:
         """Ids of the best path through a text whose spaces are marks."""
         n = len(marked)
-        best = [_NEVER] * (n + 1)
-        best[0] = 0.0
-        last: list = [None] * (n + 1)  # the (length, score, id) that ends at each position on its best path
+        best = [_NEVER] * n + [0.0]  # by the position of the last character; -1, before the first, is the last entry
+        last: list = [None] * n  # the (length, score, id) that ends at each position on its best path
         for end, piece in self.automaton.iter(marked):
             length, score, _ = piece
-            at = end + 1
-            got = best[at - length] + score
-            if got > best[at]:
-                best[at] = got
-                last[at] = piece
+            got = best[end - length] + score
+            if got > best[end]:
+                best[end] = got
+                last[end] = piece
         if _NEVER in best:
-            best, last = self._with_fallback(marked)
+            last = self._with_fallback(marked)[1][1:]
         ids: list[int] = []
-        at = n
-        while at:
+        at = n - 1
+        while at >= 0:
             piece = last[at]
             if piece is None:
-                ids.extend(self.byte_ids[b] for b in reversed(marked[at - 1].encode()))
+                ids.extend(self.byte_ids[b] for b in reversed(marked[at].encode()))
                 at -= 1
             else:
                 ids.append(piece[2])
@@ -137,7 +157,7 @@ class Codec:
         out = []
         for part in parts:
             if self.by_words:
-                out.append(b"".join([get(c) or cut(c) for c in _CUTS.findall(part)]))
+                out.append(b"".join([get(c) or cut(c) for c in _cuts(part)]))
             else:
                 out.append(np.array(self.viterbi(part.replace(" ", MARK)), dtype=np.int32).tobytes())
         return literal.join(out)

@@ -207,3 +207,18 @@ def test_packing_is_lossless(spark, docs):
     packed = packing.pack_tokens(sentencepiece_codec.encode_texts(docs), width=width).agg(F.sum("n_tokens")).first()[0]
     assert packed == total
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_beaten_pieces_and_plain_cuts_change_no_ids(monkeypatch):
+    """Pieces that shorter ones spell with a better sum are left out of the automaton; ids stay those of all pieces."""
+    pieces = sentencepiece_codec.load_pieces()
+    few = sentencepiece_codec.Codec(pieces)
+    monkeypatch.setattr(sentencepiece_codec, "MARGIN", 1e18)
+    whole = sentencepiece_codec.Codec(pieces)
+    assert len(few.automaton) < len(whole.automaton) / 2
+    rnd = random.Random(5)
+    texts = ["", " ", "  a", "a ", "a  b c", "▁▁ x", "日本語 テスト 🙂", "٣٤٥ عربى\x00", "".join(rnd.choices("aeinrst üé", k=4000))]
+    texts += ["".join(rnd.choices([p for p, _, kind in pieces if kind == "normal"], k=30)).replace("▁", " ") for _ in range(200)]
+    for t in texts:
+        assert few.encode(t) == whole.encode(t)
+        assert sentencepiece_codec._cuts(t) == sentencepiece_codec._CUTS.findall(t)
