@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyscope import queries
 from tallyscope.operators import groups
-from tallyscope.plans import questions
+from tallyscope.plans import person_risk, pipeline, questions
 
 SF = "/root/testdata/sf0.01"
 
@@ -69,3 +69,21 @@ def test_smurfing_beyond_1024_ties(spark):
     tx = spark.createDataFrame(rows, "tx_id string, ts string, movement_amount double").withColumns({"user_id": F.lit("A"), "receiver_id": F.lit("B"), "fecha_hora_ts": F.col("ts").cast("timestamp")})
     assert groups.smurfing(tx).where("sig_smurf").count() == 1501
     assert groups.smurfing(tx.where("tx_id <> 'c'")).where("sig_smurf").count() == 0
+
+
+@pytest.mark.parametrize("name", ["case12", "case13", "case14", "cluster_members", "pair_months_all", "pair_month_pivot", "payment_details", "payment_profile", "person_imbalance_months", "q8", "q9", "q14", "q14_all"])
+def test_reports_without_signals_score_nothing(spark, monkeypatch, name):
+    def scored(*_):
+        raise AssertionError("transfers are scored for a report that reads no score")
+
+    monkeypatch.setattr(pipeline, "score_transfers", scored)
+    monkeypatch.setattr(pipeline, "_kept", {})
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns
+
+
+def test_payments_of_nobody_and_without_a_month_keep_their_rows(spark):
+    rows = [("A", "2024-01", "2024-01-05 10:00:00", 10.0), ("A", "2024-01", "2024-01-05 10:00:00", 10.0), (None, "2024-01", "2024-01-07 10:00:00", 5.0), ("A", None, None, 3.0), ("A", "2024-02", "2024-02-01 00:00:00", None)]
+    s = spark.createDataFrame(rows, "user_id string, month_id string, ts string, movement_amount double").withColumns({"fecha_hora_ts": F.col("ts").cast("timestamp"), "timeframe_periodo": F.lit("todo_el_tiempo")})
+    got = Counter((r["persona"], r["mes"], r["monto_total"], r["dia_pago_promedio"], r["monto"]) for r in person_risk.payment_rows(s).collect())
+    assert got == Counter([("A", "2024-01", 20.0, 5.0, 10.0)] * 2 + [(None, "2024-01", 5.0, 7.0, 5.0), ("A", None, 3.0, None, 3.0), ("A", "2024-02", None, 1.0, None)])
+    assert "collect" not in person_risk.payment_rows(s)._jdf.queryExecution().optimizedPlan().toString()
