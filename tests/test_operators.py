@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tallyscope.checkpoints import cut
 from tallyscope.operators import graph, groups, intervals, lexicon
 from tallyscope.plans import person_risk, pipeline, questions, reports
 from tallyscope.streaming import bursts
@@ -299,7 +300,7 @@ def test_signals_are_found_over_narrow_rows(paired):
     """The table of marked rows gives what each signal's own operator gives; rows that share an id keep signals of their own."""
     _, tx = paired
     ids = lambda df, flag: sorted(r["tx_id"] for r in df.where(flag).select("tx_id").collect())
-    got = pipeline.add_signals(tx.withColumn(pipeline.ROW, F.monotonically_increasing_id()).localCheckpoint()).localCheckpoint()
+    got = cut(pipeline.add_signals(cut(tx.withColumn(pipeline.ROW, F.monotonically_increasing_id()), "given")), "signals")
     alone = {"sig_freq": groups.frequency(tx), "sig_smurf": groups.smurfing(tx), "sig_recurrent": groups.recurrent_day(tx), "sig_yoyo": intervals.yoyo(tx), "sig_loan_bad_repay": intervals.loan_repay(tx)}
     assert {k: ids(got, k) for k in alone} == {k: ids(df, k) for k, df in alone.items()}
     score = {r["tx_id"]: r["feat_quid_score"] for r in groups.quid_pro_quo(groups.amount_flags(groups.sender_baseline(tx))).collect()}
@@ -310,5 +311,5 @@ def test_rows_that_share_an_id_keep_their_own_signals(spark):
     at = 1_700_000_000_000_000
     rows = [(f"s{k}", a, b, at + k, x, "pago", "otro", None, None) for k, (a, b, x) in enumerate([("A", "B", 100.0), ("B", "A", 100.0), ("C", "D", 7.0)])]
     _, tx = transfers_of(spark, [("same", *r[1:]) for r in rows])
-    got = pipeline.add_signals(tx.withColumn(pipeline.ROW, F.monotonically_increasing_id()).localCheckpoint())
+    got = pipeline.add_signals(cut(tx.withColumn(pipeline.ROW, F.monotonically_increasing_id()), "given"))
     assert sorted((r["user_id"], r["sig_yoyo"]) for r in got.select("user_id", "sig_yoyo").collect()) == [("A", True), ("B", True), ("C", False)]
