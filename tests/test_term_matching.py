@@ -114,3 +114,23 @@ def test_grams_and_runs_have_their_lengths(spark):
     assert grams == want
     runs = {r["term"] for r in lexicon.word_runs(df).where("norm like 'uno%'").collect()}
     assert runs == {"tres", "cuatro", "uno dos", "dos tres", "tres cuatro", "uno dos tres", "dos tres cuatro"}
+
+
+def test_long_texts_are_read_once_where_they_lie(spark):
+    rnd = random.Random(4)
+    words = ["mordida", "para", "te", "debo", "la", "vida", "sobre", "mesa", "por", "mi", "xfavor", "en"]
+    texts = [" ".join(rnd.choice(words) for _ in range(4000)) + end for end in ("", " te debo la", " valida x", "\npara y\nvalida")]
+    rows = [*ROWS, ("F", 5, 1.0, "pattern", r"\b(por|para)\b.*\b(firm|valid)\w*")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, norm string")
+    hits = lexicon.hits_of(df, lexicon.lexicon_table(spark, rows))
+    assert "norm" not in hits.columns
+    got = {(r["row"], r["family"], r["term"]) for r in hits.collect()}
+    want = {(texts.index(t), family, term) for t, family, _, _, term in brute_hits(texts)} | {(2, "F", rows[-1][4])}
+    assert got == want
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") + plan.count("Scan ExistingRDD") <= 3  # texts once, and the two parts of the lexicon
+
+
+def test_a_pattern_is_tried_after_the_first_word_only():
+    assert lexicon.once(r"\b(por|para)\b.*\bfirm\w*").startswith("^(?>")
+    assert lexicon.once(r"\b(a b c|b)\b.*x") is None and lexicon.once(r"\b(por)\b.*(x)\1") is None and lexicon.once(r"\b(por)\b.*x|y") is None
