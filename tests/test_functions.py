@@ -109,3 +109,24 @@ def test_ingest_and_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/r_s1").first()["xs"] == "[1,2]"
     assert sinks.write_cases({"casuistica_a": df, "casuistica_b": df.limit(0), "par": df}, str(tmp_path), "s2") == ["casuistica_a"]
     assert [r[0] for r in transfers.ensure_time(spark.createDataFrame([(1700000000000,), (1700000001000,)], "ts long")).select(F.unix_seconds("fecha_hora_ts")).collect()] == [1700000000, 1700000001]
+
+
+def test_layouts_are_tried_on_texts_that_they_may_read_only(spark):
+    dates = ["5/1/2024", "05/01/2024", "005/1/2024", "31/12/12024", "5/1/24", "2024/1/5", "2024/01/05", "5-1-2024", "2024-1-5", "-5/1/2024", "+5/1/2024", "32/1/2024", "5/13/2024", "2024-01-05", "5/1/-2024", "5/1/+12024", "5.1.2024", ""]
+    clocks = ["", " 7:05", " 07:05", " 007:05", " 7:5", " 7:05:09", " 7:05:09.5", " 7:05:09.123456789", " 23:59:59.123456", " 13:05 PM", " 7:05 pm", " 7:05:09 AM", " 7:05:09.5 a. m.", "  7:05", " 7:05 XM", " 12:00 p.m.", " 0:30 AM", "T07:05", " 7:05Z", " x"]
+    df = spark.createDataFrame([(d + c,) for d in dates for c in clocks], "t string")
+    t = text.blank_to_null(text.spanish_ampm(F.col("t")))
+    every = F.coalesce(F.when(t.rlike(text.ISO), t.try_cast("timestamp")), *[F.try_to_timestamp(t, F.lit(f)) for f, _ in text.TIME_FORMATS])
+    rows = df.select("t", text.parse_time(F.col("t")).cast("string").alias("got"), every.cast("string").alias("want")).collect()
+    assert [r for r in rows if r["got"] != r["want"]] == [] and sum(r["got"] is not None for r in rows) > 60
+
+
+def test_steps_are_computed_once(spark):
+    df = spark.createDataFrame([("5/1/2024 7:05 p. m.", "3 SPEI123 abc 456 X12"), ("x", "BNET"), (None, None)], "t string, d string")
+    steps = text.Steps(df)
+    time, parts = text.parse_time(F.col("t"), steps.keep), text.parse_description(F.col("d"), steps.keep)
+    out = steps.df.select(time.alias("time"), *[c.alias(k) for k, c in parts.items()]).where("time is not null or code is null")
+    plain = df.select(text.parse_time(F.col("t")).alias("time"), *[c.alias(k) for k, c in text.parse_description(F.col("d")).items()]).where("time is not null or code is null")
+    assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect())) and out.count() == 3
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_to_timestamp") == len(text.TIME_FORMATS)
