@@ -313,3 +313,14 @@ def test_rows_that_share_an_id_keep_their_own_signals(spark):
     _, tx = transfers_of(spark, [("same", *r[1:]) for r in rows])
     got = pipeline.add_signals(cut(tx.withColumn(pipeline.ROW, F.monotonically_increasing_id()), "given"))
     assert sorted((r["user_id"], r["sig_yoyo"]) for r in got.select("user_id", "sig_yoyo").collect()) == [("A", True), ("B", True), ("C", False)]
+
+
+def test_pairs_cross_the_network_narrow(spark):
+    from tallyscope import queries
+
+    plan = lambda name: queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # two legs of transfers up and two down; none is read to be told that it is not met
+    assert plan("yoyo").count("l_suppkey#") > 0 and sum("Relation [l_orderkey" in x for x in plan("yoyo").splitlines()) == 4
+    # loans become two probes after the pairs without both ways are left out
+    loan = plan("loan_repay")
+    assert loan.index("Generate explode") < loan.index("LeftSemi")
