@@ -134,3 +134,9 @@ def test_long_texts_are_read_once_where_they_lie(spark):
 def test_a_pattern_is_tried_after_the_first_word_only():
     assert lexicon.once(r"\b(por|para)\b.*\bfirm\w*").startswith("^(?>")
     assert lexicon.once(r"\b(a b c|b)\b.*x") is None and lexicon.once(r"\b(por)\b.*(x)\1") is None and lexicon.once(r"\b(por)\b.*x|y") is None
+
+
+def test_runs_are_of_whole_characters(spark):
+    text = "a\U0001F600b\U0001F601\U0001F600 c"
+    got = spark.createDataFrame([(text,), ("ab",), ("",)], "norm string").select("norm", lexicon._substrings([1, 3]).alias("runs")).collect()
+    assert {r["norm"]: r["runs"] for r in got} == {t: [t[i : i + n] for n in (1, 3) for i in range(len(t) - n + 1)] for t in (text, "ab", "")}
