@@ -202,6 +202,79 @@ def test_long_chain_is_one_component(spark):
     assert {r["root"] for r in graph.components(df).collect()} == {"n000"}
 
 
+def roots_by_hand(edges):
+    up = {n: n for e in edges for n in e}
+
+    def top(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in edges:
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    return {n: top(n) for n in up}
+
+
+def graphs_of_many_shapes():
+    rnd = random.Random(7)
+    name = rnd.sample([f"n{i:04d}" for i in range(10000)], 3000)
+    clique = lambda start, n: [(name[i], name[j]) for i in range(start, start + n) for j in range(start, i)]
+    yield "cliques in a row, joined by single edges", [e for k in range(6) for e in clique(k * 20, 20)] + [(name[k * 20 + 7], name[k * 20 + 33]) for k in range(5)]
+    yield "cliques apart, one bridge, a loop alone", clique(0, 30) + clique(30, 25) + clique(60, 25) + [(name[5], name[41])] + [(name[200], name[200])] * 2
+    yield "many small ones", [(name[i], name[i + rnd.choice([1, 2])]) for i in range(0, 600, 4)]
+    yield "chain", [(name[i], name[i + 1]) for i in range(700)]
+    yield "star and loops", [(name[0], name[i]) for i in range(1, 500)] + [(name[0], name[0]), (name[3], name[3])]
+    yield "sparse, with repeats", [(name[rnd.randrange(900)], name[rnd.randrange(900)]) for _ in range(700)] * 2
+    yield "loops alone", [(n, n) for n in name[:5]]
+
+
+@pytest.mark.parametrize("shape", list(graphs_of_many_shapes()), ids=lambda s: s[0])
+def test_components_of_many_shapes(spark, shape):
+    got = graph.components(spark.createDataFrame(shape[1], "a string, b string")).collect()
+    assert len(got) == len({r["node"] for r in got})
+    assert {r["node"]: r["root"] for r in got} == roots_by_hand(shape[1])
+
+
+def test_no_edges_no_components(spark):
+    assert graph.cluster_ids(spark.createDataFrame([], "a string, b string")).collect() == []
+
+
+def test_components_read_edges_once(spark, monkeypatch):
+    """Of a dense graph, the edges are computed once, and every table written after them is as long as its nodes."""
+    rnd, rows, write = random.Random(3), [], graph.cut
+
+    def counted(df, name):
+        out = write(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    edges = [(f"n{rnd.randrange(400):03d}", f"n{rnd.randrange(400):03d}") for _ in range(16000)]
+    read = spark.sparkContext.accumulator(0)
+    once = F.udf(lambda a: read.add(1) or a)
+    got = graph.components(spark.createDataFrame(edges, "a string, b string").select(once("a").alias("a"), "b")).collect()
+    assert {r["node"]: r["root"] for r in got} == roots_by_hand(edges)
+    assert read.value == rows[0] == len(edges) and max(rows[1:]) <= 2 * 400
+
+
+def test_nodes_that_share_a_number(spark, monkeypatch):
+    number = graph.node_number
+    monkeypatch.setattr(graph, "node_number", lambda c, seed: F.pmod(number(c, seed), F.lit(7 if seed < 2 else 2**62)))
+    edges = [(f"n{i:03d}", f"n{i + 10:03d}") for i in range(0, 200, 20)]
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == roots_by_hand(edges)
+
+
+def test_components_of_graphs_told_by_a_column(spark):
+    edges = [("x", "a", "b"), ("x", "c", "b"), ("x", "e", "d"), ("y", "a", "d"), ("y", "b", "b")]
+    got = graph.cluster_ids(spark.createDataFrame(edges, "part string, a string, b string"), "part").collect()
+    assert {(r["part"], r["node"], r["root"], r["cluster_id"]) for r in got} == {
+        ("x", "a", "a", "cluster_1"), ("x", "b", "a", "cluster_1"), ("x", "c", "a", "cluster_1"), ("x", "d", "d", "cluster_2"), ("x", "e", "d", "cluster_2"),
+        ("y", "a", "a", "cluster_1"), ("y", "d", "a", "cluster_1"), ("y", "b", "b", "cluster_2"),
+    }
+
+
 def test_texts(spark):
     texts = spark.createDataFrame([("Mordida pa la firma 😀",), ("prest4mo urgente",), ("",), ("gracias mil",), ("gestion de apoyo",)], "raw string")
     got = {r["raw"]: r for r in lexicon.tag_texts(texts, lexicon.lexicon_table(spark)).collect()}
