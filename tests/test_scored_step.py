@@ -95,3 +95,16 @@ def test_scored_transfers_have_every_column(spark):
     scored = pipeline.score_transfers(tx)
     assert {"risk_score_norm", "risk_tier", "interp_tx", "rafaga_canal_tx_en_bin", "rafaga_canal_monto_total", "rafaga_canal_flag_evento", "feat_quid_desc_norm"} <= set(scored.columns)
     assert "monto_total" in reports.bursts(reports.sliced(scored)).columns and scored.count() == tx.count()
+
+
+def test_texts_that_are_not_read_are_not_put_together(spark):
+    from tallyscope.plans import questions
+
+    rows = [(f"t{i}", f"A{i % 3}", r, "2024-01-05 10:00:00", 10.0 + i, "mordida", None, ["x"]) for i in range(9) for r in ("B", "C", None)]
+    s = given(spark, rows).withColumns({reports.TF: F.lit("todo_el_tiempo"), "nlp_categorias": F.array(F.lit("SOBORNO")), "nlp_concepto_sospechoso": F.lit("SOBORNO"), "risk_score": F.col("movement_amount")})
+    for forced in (False, True):
+        whole, rest = questions.q5(s, forced=forced), questions.q5(s, forced=forced, texts=False)
+        assert sorted(map(tuple, whole.drop("textos").collect())) == sorted(map(tuple, rest.collect())) and rest.count() == 2
+        joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+        # the concepts that a text lists are joined to it
+        assert joins(rest) == int(forced) < joins(whole)
